@@ -19,4 +19,4 @@ def graph_chunk_id(source_url: Column, chunk_idx: Column, header: Column) -> Col
 def version_stamp(ts: Column | None = None) -> Column:
     """``yyyy.MM.dd`` of a timestamp in UTC (now by default)."""
     moment = F.current_timestamp() if ts is None else ts
-    return F.date_format(F.convert_timezone(None, F.lit("UTC"), moment.cast("timestamp_ntz")) if False else moment, "yyyy.MM.dd")
+    return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy.MM.dd")

@@ -26,37 +26,26 @@ BOILERPLATE = [
     r"© \d{4}.* All rights reserved.",
 ]
 
-# Named character references, ampersand last so that nothing is decoded twice.
-ENTITIES = [
-    ("&nbsp;", "\u00a0"),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&trade;", "™"),
-    ("&middot;", "·"),
-    ("&bull;", "•"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&laquo;", "«"),
-    ("&raquo;", "»"),
-    ("&larr;", "←"),
-    ("&rarr;", "→"),
-    ("&times;", "×"),
-    ("&deg;", "°"),
-    ("&para;", "¶"),
-    ("&sect;", "§"),
-    ("&euro;", "€"),
-    ("&zwnj;", "\u200c"),
-    ("&amp;", "&"),
-]
+# Named character references that are decoded.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0",
+    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "laquo": "«", "raquo": "»", "larr": "←", "rarr": "→", "uarr": "↑", "darr": "↓",
+    "times": "×", "divide": "÷", "plusmn": "±", "deg": "°", "para": "¶", "sect": "§",
+    "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "micro": "µ", "frac12": "½",
+    "iexcl": "¡", "iquest": "¿", "szlig": "ß", "agrave": "à", "aacute": "á", "acirc": "â",
+    "atilde": "ã", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è",
+    "eacute": "é", "ecirc": "ê", "euml": "ë", "igrave": "ì", "iacute": "í", "icirc": "î",
+    "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ",
+    "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü",
+}
+
+# Characters that count as white space, as at the ends of a Python string.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Escaped punctuation is parked on Unicode noncharacters while marks are removed.
 _PARKED = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6\ufdd7\ufdd8\ufdd9\ufdda\ufddb"
@@ -73,9 +62,14 @@ def chain(col: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, step: sub(acc, *step), steps, col)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is referred to."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing Unicode whitespace, line ends included."""
-    return sub(col, rf"(?U)^{WS}+|{WS}+$")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def empty_to_null(col: Column) -> Column:
@@ -87,38 +81,37 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
 
 
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|" + "|".join(ENTITIES) + ");"
+
+
 def _code_point(digits: Column, base: int) -> Column:
     """Character for a numeric reference; unusable numbers become U+FFFD."""
-    number = F.expr("0L") if digits is None else F.try_to_number(digits, F.lit("9999999")).cast("long")
-    if base == 16:
-        number = F.conv(digits, 16, 10).cast("long")
+    number = F.conv(digits, base, 10).cast("long")
     usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    unit = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-    return F.when(usable, unit).otherwise(F.lit("\ufffd"))
-
-
-def _numeric_references(col: Column, prefix: str, digit: str, base: int) -> Column:
-    width = 7 if base == 10 else 6
-    pattern = f"&#{prefix}({digit}{{1,{width}}});"
-    parts = F.split(col, pattern, -1)
-    codes = F.regexp_extract_all(col, F.lit(pattern), F.lit(1))
-    # split yields exactly one part more than there are references
-    decoded = F.zip_with(
-        F.transform(codes, lambda d: _code_point(d, base)),
-        F.slice(parts, F.lit(2), F.size(parts)),
-        lambda char, rest: F.concat(char, rest),
-    )
-    return F.when(
-        F.contains(col, F.lit("&#")),
-        F.concat(F.element_at(parts, 1), F.array_join(decoded, "")),
-    ).otherwise(col)
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.when(usable, char).otherwise(F.lit("\ufffd"))
 
 
 def decode_entities(col: Column) -> Column:
     """Decode numeric and common named character references; others stay as text."""
-    numeric = _numeric_references(_numeric_references(col, "", "[0-9]", 10), "[xX]", "[0-9A-Fa-f]", 16)
-    named = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, numeric)
-    return F.when(F.contains(col, F.lit("&")), named).otherwise(col)
+    named = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
+
+    def character(ref: Column) -> Column:
+        return (
+            F.when(F.rlike(ref, F.lit("^&#[xX]")), _code_point(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16))
+            .when(F.startswith(ref, F.lit("&#")), _code_point(F.regexp_extract(ref, "([0-9]+)", 1), 10))
+            .otherwise(F.element_at(named, ref))
+        )
+
+    def decoded(c: Column) -> Column:
+        # split yields exactly one part more than there are references
+        parts = F.split(c, _REFERENCE, -1)
+        chars = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), character)
+        rest = F.zip_with(chars, F.slice(parts, F.lit(2), F.size(parts)), lambda char, part: F.concat(char, part))
+        joined = F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+        return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+    return let(col, decoded)
 
 
 def drop_code(col: Column) -> Column:
@@ -171,7 +164,7 @@ def strip_markup(col: Column) -> Column:
     """
     out = _park_escapes(unlink(col))
     out = chain(out, _RAW_HTML + _BLOCKS)
-    out = F.when(F.contains(out, F.lit("*")) | F.contains(out, F.lit("_")) | F.contains(out, F.lit("`")), chain(out, _INLINE)).otherwise(out)
+    out = chain(out, _INLINE)
     out = decode_entities(chain(out, _TIDY))
     out = sub(out, r"\\([!-/:-@\[-`{-~])", "$1")
     return F.translate(out, _PARKED, _ESCAPED)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
+
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 # Schemes for which relative references are resolved.
 _RELATIVE_SCHEMES = ["http", "https", "ftp", "file", ""]
@@ -23,61 +25,72 @@ def drop_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*$", "")
 
 
-def _scheme(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-
-
 def _merge_paths(base_path: Column, path: Column) -> Column:
     """Relative path against a base path, dot segments removed (RFC 3986, 5.2)."""
-    absolute = F.startswith(path, F.lit("/"))
-    directory = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = F.when(absolute, path).otherwise(
-        F.concat(F.when(directory == "", F.lit("/")).otherwise(F.regexp_replace(directory, "/{2,}", "/")),
-                 F.regexp_replace(path, "/{2,}", "/"))
+    directory = F.regexp_replace(F.regexp_replace(base_path, r"[^/]*$", ""), r"^$", "/")
+    joined = F.when(F.startswith(path, F.lit("/")), path).otherwise(
+        F.regexp_replace(F.concat(directory, path), "/{2,}", "/")
     )
-    # the part before the leading slash is empty, so resolution starts at the second piece
-    pieces = F.slice(F.split(joined, "/", -1), F.lit(2), F.lit(1 << 30))
-    resolved = F.aggregate(
-        pieces,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.array_append(acc, s)),
+    return let(joined, lambda j: F.when(F.contains(j, F.lit("/.")), _without_dots(j)).otherwise(j))
+
+
+def _without_dots(path: Column) -> Column:
+    def resolve(pieces: Column) -> Column:
+        # a closing dot segment leaves a trailing slash
+        closed = F.when(F.element_at(pieces, -1).isin(".", ".."), F.array_append(pieces, F.lit(""))).otherwise(pieces)
+        return F.aggregate(
+            closed,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.array_append(acc, s)),
+        )
+
+    # the piece before the leading slash is empty, so resolution starts at the second
+    pieces = F.slice(F.split(path, "/", -1), F.lit(2), F.lit(1 << 30))
+    return F.concat(F.lit("/"), F.array_join(let(pieces, resolve), "/"))
+
+
+def _components(url: Column, name: str) -> list[Column]:
+    rest = F.regexp_replace(url, _SCHEME, "")
+    return [
+        F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias(f"{name}_scheme"),
+        F.regexp_extract(rest, r"^//([^/?]*)", 1).alias(f"{name}_host"),
+        F.regexp_extract(rest, r"(?s)^(?://[^/?]*)?([^?]*)", 1).alias(f"{name}_path"),
+        F.regexp_extract(rest, r"(?s)\?(.+)$", 1).alias(f"{name}_query"),
+    ]
+
+
+def _rebuilt(p: Column) -> Column:
+    own = p["ref_host"] != ""
+    path = (
+        F.when(own, p["ref_path"])
+        .when(p["ref_path"] == "", p["page_path"])
+        .otherwise(_merge_paths(p["page_path"], p["ref_path"]))
     )
-    ends_in_dots = F.element_at(pieces, -1).isin(".", "..")
-    dotted = F.concat(
-        F.lit("/"),
-        F.array_join(F.when(ends_in_dots, F.array_append(resolved, F.lit(""))).otherwise(resolved), "/"),
+    keeps_query = own | (p["ref_path"] != "") | (p["ref_query"] != "")
+    query = F.when(keeps_query, p["ref_query"]).otherwise(p["page_query"])
+    return F.concat(
+        p["page_scheme"],
+        F.lit("://"),
+        F.when(own, p["ref_host"]).otherwise(p["page_host"]),
+        path,
+        F.regexp_replace(query, r"(?s)^(.+)$", r"?$1"),
     )
-    return F.when(F.contains(joined, F.lit("/.")), dotted).otherwise(joined)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` seen on page ``base``, fragment cut off."""
-    tidy = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    ref, page = drop_fragment(tidy), drop_fragment(base)
-    scheme, base_scheme = _scheme(ref), _scheme(page)
-    foreign = (scheme != "") & (scheme != base_scheme)
-    rest = F.regexp_replace(ref, _SCHEME, "")
-    base_rest = F.regexp_replace(page, _SCHEME, "")
-
-    authority = F.regexp_extract(rest, r"^//([^/?]*)", 1)
-    path = F.regexp_extract(rest, r"(?s)^(?://[^/?]*)?([^?]*)", 1)
-    query = F.regexp_extract(rest, r"(?s)\?(.+)$", 1)
-    base_authority = F.regexp_extract(base_rest, r"^//([^/?]*)", 1)
-    base_path = F.regexp_extract(base_rest, r"(?s)^(?://[^/?]*)?([^?]*)", 1)
-    base_query = F.regexp_extract(base_rest, r"(?s)\?(.+)$", 1)
-
-    own = authority != ""
-    target_path = (
-        F.when(own, path).when(path == "", base_path).otherwise(_merge_paths(base_path, path))
-    )
-    target_query = F.when(own | (path != "") | (query != ""), query).otherwise(base_query)
-    rebuilt = F.concat(
-        base_scheme, F.lit("://"),
-        F.when(own, authority).otherwise(base_authority),
-        target_path,
-        F.when(target_query != "", F.concat(F.lit("?"), target_query)).otherwise(F.lit("")),
-    )
-    unresolvable = foreign | ~base_scheme.isin(_RELATIVE_SCHEMES)
-    return F.when(unresolvable, ref).when(tidy == "", page).otherwise(rebuilt)
+    tidy = drop_fragment(F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""))
+
+    def resolve(u: Column) -> Column:
+        parts = F.struct(*_components(u["ref"], "ref"), *_components(u["page"], "page"))
+
+        def pick(p: Column) -> Column:
+            foreign = (p["ref_scheme"] != "") & (p["ref_scheme"] != p["page_scheme"])
+            unresolvable = foreign | ~p["page_scheme"].isin(_RELATIVE_SCHEMES)
+            return F.when(unresolvable, u["ref"]).when(u["ref"] == "", u["page"]).otherwise(_rebuilt(p))
+
+        return let(parts, pick)
+
+    return let(F.struct(tidy.alias("ref"), drop_fragment(base).alias("page")), resolve)
