@@ -8,6 +8,7 @@ recursively and overflow the task's stack on long documents.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -94,7 +95,9 @@ def _code_point(digits: Column, base: int) -> Column:
 
 def decode_entities(col: Column) -> Column:
     """Decode numeric and common named character references; others stay as text."""
-    named = F.create_map(*[F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)])
+    # one literal that folds to a constant map
+    table = json.dumps({f"&{name};": char for name, char in ENTITIES.items()})
+    named = F.from_json(F.lit(table), "map<string,string>")
 
     def character(ref: Column) -> Column:
         return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import hashing, text
 from pagemill.operators.html import nonempty_markdown
+from pagemill.operators.scale import compute_once
 
 # Header pattern and the names of text outside any header.
 _HEADER = r"(?mdU)^#{1,6}[\s\x1c-\x1f]+"
@@ -44,7 +45,7 @@ def chunk_by_headers(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
     chunks = F.when(F.size("_heads") > 0, F.concat(introduction, sections)).otherwise(whole)
     carried = [c for c in docs.columns if c != markdown]
     return (
-        split.withColumn("_chunks", chunks)
+        compute_once(split, "_chunks", chunks)
         .select(*carried, F.posexplode("_chunks").alias("chunk_idx", "_chunk"))
         .select(*carried, "chunk_idx", "_chunk.header", "_chunk.text")
     )
@@ -70,7 +71,7 @@ def retrieval_chunks(docs: DataFrame) -> DataFrame:
     Narrow from end to end: no shuffle, no Python.
     """
     chunks = nonempty_chunks(chunk_by_headers(source_url(nonempty_markdown(docs)).drop("metadata")))
-    cleaned = chunks.withColumn("document", text.clean_text(F.col("text")))
+    cleaned = compute_once(chunks, "document", text.clean_text(F.col("text")))
     return nonempty_chunks(cleaned, "document").withColumn(
         "chunk_id", hashing.chunk_id(F.col("source_url"), F.col("chunk_idx"))
     )

@@ -10,18 +10,31 @@ from pyspark.sql import functions as F
 from pagemill.functions import urls
 from pagemill.operators.scale import join_dimension, number_rows, stage, staging_root
 
-_VISITED = "target string, url string, page_limit int, host string, rank bigint, emits boolean, depth int"
+_VISITED = "target string, url string, page_limit int, host string, rank bigint, ok boolean, emits boolean, depth int"
+
+
+def _unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
+    """``found`` minus ``visited``.
+
+    The visited table is first cut down to what was found again, which a small
+    level does by broadcast; the table itself, which grows with the crawl, is
+    then not shuffled.
+    """
+    keys = ["target", "url"]
+    again = visited.select(*keys).join(found.select(*keys), keys, "left_semi")
+    return found.join(again, keys, "left_anti")
 
 
 def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
-    """Unvisited same-host URLs linked from fetched frontier pages, at their first position.
+    """Landed, unvisited same-host pages linked from fetched frontier pages, at their first position.
 
     Position is (rank of the linking page, place of the link in it), which is
-    the order a queue would have discovered them in.
+    the order a queue would have discovered them in.  URLs that never landed
+    yield neither documents nor links and drop out here.
     """
-    fetched = frontier.join(pages.filter("ok").select("url"), "url", "left_semi")
-    return (
-        fetched.select("target", "page_limit", "host", "rank", F.col("url").alias("src_url"))
+    found = (
+        frontier.filter("ok")
+        .select("target", "page_limit", "host", "rank", F.col("url").alias("src_url"))
         .join(links.select("src_url", "pos", F.col("abs_url").alias("url")), "src_url")
         .filter(urls.netloc(F.col("url")) == F.col("host"))
         .groupBy("target", "url")
@@ -30,8 +43,8 @@ def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visit
             "target", "url", "_at.page_limit", "_at.host",
             F.col("_at.rank").alias("parent_rank"), F.col("_at.pos").alias("pos"),
         )
-        .join(visited.select("target", "url"), ["target", "url"], "left_anti")
     )
+    return _unvisited(stage(found, "found"), visited).join(pages, "url")
 
 
 def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -45,19 +58,22 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     """
     spark = targets.sparkSession
     landed = stage(
-        pages.groupBy("url").agg(F.max(F.struct("ok", "has_content")).alias("_p")).select("url", "_p.*"), "landed"
+        pages.groupBy("url")
+        .agg(F.max(F.struct("ok", "has_content")).alias("_p"))
+        .select("url", "_p.ok", (F.col("_p.ok") & F.col("_p.has_content")).alias("emits")),
+        "landed",
     )
     edges = stage(links.select("src_url", "pos", "abs_url").filter(urls.netloc(F.col("abs_url")) != ""), "links")
     root = f"{staging_root(spark)}/pagemill-stage/crawl-{uuid.uuid4().hex}"
 
     def visit(level: DataFrame, depth: int) -> DataFrame:
-        emits = landed.select("url", (F.col("ok") & F.col("has_content")).alias("emits"))
-        seen = level.join(emits, "url", "left").withColumn("emits", F.coalesce("emits", F.lit(False)))
-        seen.select("target", "url", "page_limit", "host", "rank", "emits").write.parquet(f"{root}/depth={depth}")
+        level.select("target", "url", "page_limit", "host", "rank", "ok", "emits").write.parquet(f"{root}/depth={depth}")
         return spark.read.schema(_VISITED).parquet(root)
 
-    seeds = targets.select("target", "url", "page_limit", urls.netloc(F.col("url")).alias("host"), F.lit(1).cast("bigint").alias("rank"))
-    visited, depth = visit(seeds, 0), 0
+    seeds = targets.select(
+        "target", "url", "page_limit", urls.netloc(F.col("url")).alias("host"), F.lit(1).cast("bigint").alias("rank")
+    )
+    visited, depth = visit(seeds.join(landed, "url"), 0), 0
     while max_depth is None or depth < max_depth:
         full = visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit")
         frontier = join_dimension(visited.filter(F.col("depth") == depth), full.select("target"), ["target"], "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text
-from pagemill.operators.scale import join_dimension
+from pagemill.operators.scale import compute_once, join_dimension
 
 MENTION = ["target", "doc_ord", "chunk_idx", "chunk_id", "entity", "label", "priority"]
 # Order in which sources name a node first seen in the same chunk.
@@ -45,13 +45,14 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
             .otherwise(F.array().cast("array<struct<entity:string,label:string>>"))
             for p in sorted(listed)
         ])
-        hits = chunks.select(*_POSITION, F.explode(found).alias("_m"))
+        hits = compute_once(chunks, "_all", found).select(*_POSITION, F.explode("_all").alias("_m"))
     else:
         rules = patterns.groupBy("target").agg(F.collect_list(F.struct("label", "pattern")).alias("_rules"))
         per_rule = F.flatten(
             F.transform(F.col("_rules"), lambda r: _matches(F.col("text"), r["pattern"], r["label"]))
         )
-        hits = join_dimension(chunks, rules, ["target"]).select(*_POSITION, F.explode(per_rule).alias("_m"))
+        joined = compute_once(join_dimension(chunks, rules, ["target"]), "_all", per_rule)
+        hits = joined.select(*_POSITION, F.explode("_all").alias("_m"))
     return _mentions(hits.select(*_POSITION, "_m.entity", "_m.label"), RULE)
 
 
@@ -77,7 +78,8 @@ def recognize_entities(
             yield pd.Series([[{"entity": e, "label": n} for e, n in row] for row in found], index=batch.index)
 
     marked = chunks.select(*_POSITION, text.strip_markup(F.col("text")).alias("_plain"))
-    hits = marked.select(*_POSITION, F.explode(recognize(F.col("_plain"))).alias("_m"))
+    found = compute_once(marked, "_all", recognize(F.col("_plain")))
+    hits = found.select(*_POSITION, F.explode("_all").alias("_m"))
     named = hits.select(*_POSITION, text.strip(F.col("_m.entity")).alias("entity"), F.col("_m.label").alias("label"))
     return _mentions(allow_labels(named, labels), MODEL)
 

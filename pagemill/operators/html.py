@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text, urls
+from pagemill.operators.scale import compute_once
 
 # Page metadata fields.
 METADATA_FIELDS = [
@@ -125,7 +126,8 @@ def extract_links(pages: DataFrame) -> DataFrame:
         ).alias("_anchors"),
     )
     return (
-        anchors.select(*carried, "src_url", F.posexplode("_anchors").alias("pos", "_anchor"))
+        compute_once(anchors, "_anchors", F.col("_anchors"))
+        .select(*carried, "src_url", F.posexplode("_anchors").alias("pos", "_anchor"))
         .withColumn("href", text.decode_entities(F.col("_anchor.href")))
         .drop("_anchor")
         .withColumn("abs_url", urls.resolve_url(F.col("src_url"), F.col("href")))
@@ -247,7 +249,7 @@ def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
     )
     body = text.chain(text.decode_entities(F.col("_marked")), finish)
     final = text.strip(_restore(body))
-    return marked.withColumn(out, text.empty_to_null(final)).drop("_bare", "_region", "_flat", "_marked")
+    return compute_once(marked, out, text.empty_to_null(final)).drop("_bare", "_region", "_flat", "_marked")
 
 
 def _restore(col: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.scale import join_dimension
+
 # Texts of the answer format.
 SEPARATOR = "\n\n---\n\n"
 NO_SOURCE = "N/A"
@@ -15,14 +17,21 @@ NO_SUCH_TARGET = ("Error: The knowledge base for the target '", "' does not exis
 def attach_documents(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add the stored (cleaned) document and its source to hits of a target.
 
-    Ranking carries ids only, so texts are read for the hits alone.
+    Ranking carries ids only, so texts are read for the hits alone.  Every hit
+    is a stored vector, hence the inner join, in which the few hits can be the
+    broadcast side.
     """
-    return hits.join(vectors.select("target", "chunk_id", "document", "source_url"), ["target", "chunk_id"], "left")
+    return hits.join(vectors.select("target", "chunk_id", "document", "source_url"), ["target", "chunk_id"])
 
 
 def attach_raw_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Add the raw chunk behind each hit, null when the store no longer holds it."""
-    return hits.join(chunks.select("target", "chunk_id", "text", "header"), ["target", "chunk_id"], "left")
+    """Add the raw chunk behind each hit, null when the store no longer holds it.
+
+    The store is first cut down to the chunks hit, then joined outer.
+    """
+    keys = ["target", "chunk_id"]
+    needed = chunks.select(*keys, "text", "header").join(hits.select(*keys), keys, "left_semi")
+    return hits.join(needed, keys, "left")
 
 
 def _in_rank_order(*fields: str) -> Column:
@@ -67,6 +76,6 @@ def format_context(hits: DataFrame, queries: DataFrame, known_targets: DataFrame
     message = _naming(NOTHING_FOUND, F.col("target"))
     if known_targets is not None:
         known = known_targets.select("target").distinct().withColumn("_known", F.lit(True))
-        out = out.join(known, "target", "left")
+        out = join_dimension(out, known, ["target"], "left")
         message = F.when(F.col("_known"), message).otherwise(_naming(NO_SUCH_TARGET, F.col("target")))
     return out.select("query_id", "target", F.coalesce(F.col("_context"), message).alias("context"))

@@ -38,6 +38,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read instead of repeating.
+
+    The optimizer pushes a filter on a projected column below the projection,
+    with the whole expression copied into it.  It cannot push one below a
+    generator, so the value is emitted by a generator of one element.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """True when a count over the whole of ``df`` proves it small enough to broadcast."""
     size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text
+from pagemill.operators.scale import compute_once, join_dimension
 
 # The model's reply marker, its fenced JSON block, and the prompt it was trained on.
 _REPLY = r"<\|assistant\|>"
@@ -31,8 +32,6 @@ def _json_list(name: str, items: Column) -> Column:
 
 def with_ontology(df: DataFrame, ontology: DataFrame) -> DataFrame:
     """Rows of targets whose ontology has both entity types and predicates."""
-    from pagemill.operators.scale import join_dimension
-
     usable = ontology.filter((F.size("entity_types") > 0) & (F.size("predicates") > 0))
     return join_dimension(df, usable.select("target", "entity_types", "predicates"), ["target"])
 
@@ -65,7 +64,7 @@ def parse_triples(df: DataFrame, raw_col: str = "raw", *, marked: bool = False)
     """
     source = reply(F.col(raw_col)) if marked else F.col(raw_col)
     carried = [c for c in df.columns if c != raw_col]
-    parsed = df.withColumn("_parsed", F.from_json(json_block(source), _TRIPLES))
+    parsed = compute_once(df, "_parsed", F.from_json(json_block(source), _TRIPLES))
     return (
         parsed.select(*carried, F.posexplode("_parsed.triples").alias("pos", "_t"))
         .select(*carried, "pos", "_t.subject", "_t.predicate", "_t.object")
