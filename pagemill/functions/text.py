@@ -68,6 +68,20 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def where_present(col: Column, needles: list[str], use) -> Column:
+    """``use(col)`` where any needle occurs, else the value as it is.
+
+    A substring test costs a small part of a regex pass, and most chunks lack
+    most kinds of markup.
+    """
+
+    def tested(c: Column) -> Column:
+        present = reduce(Column.__or__, [F.contains(c, F.lit(n)) for n in needles])
+        return F.when(present, use(c)).otherwise(c)
+
+    return let(col, tested)
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing Unicode whitespace, line ends included."""
     return F.btrim(col, F.lit(SPACES))
@@ -119,12 +133,12 @@ def decode_entities(col: Column) -> Column:
 
 def drop_code(col: Column) -> Column:
     """Drop fenced code, then inline code (which may span lines)."""
-    return chain(col, [(r"(?s)```.*?```", ""), (r"`[^`]*`", "")])
+    return where_present(col, ["`"], lambda c: chain(c, [(r"(?s)```.*?```", ""), (r"`[^`]*`", "")]))
 
 
 def unlink(col: Column) -> Column:
     """Replace inline links by their text."""
-    return sub(col, r"\[([^\]]+)\]\([^\)]+\)", "$1")
+    return where_present(col, ["]("], lambda c: sub(c, r"\[([^\]]+)\]\([^\)]+\)", "$1"))
 
 
 def _park_escapes(col: Column) -> Column:
@@ -139,6 +153,7 @@ _RAW_HTML = [
     (r"(?i)<((?:https?|ftp|mailto):[^>\s]+)>", "$1"),
     (r"</?[A-Za-z][^>]*>", ""),
 ]
+_BLOCK_START = r"(?md)^[ \t]*(?:[>#*+=_~`-]|\d{1,9}[.)])"
 _BLOCKS = [
     (r"(?md)^ {0,3}(?:```|~~~)[^`\n]*$\n?", ""),
     (r"(?md)^ {0,3}(?:=+|-+)[ \t]*$", ""),
@@ -146,16 +161,26 @@ _BLOCKS = [
     (r"(?md)^[ \t]*>[> \t]*", ""),
     (r"(?md)^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+", ""),
     (r"(?md)^ {0,3}#{1,6}(?:[ \t]+|$)", ""),
-    (r"(?md)[ \t]+$", ""),
-    (r"\n{2,}", f"\n{_PARAGRAPH}\n"),
 ]
 _STAR = (rf"\*([^\s*{_PARAGRAPH}](?:[^*{_PARAGRAPH}]*[^\s*{_PARAGRAPH}])?)\*", "$1")
 _UNDERSCORE = (
     rf"(^|[^\p{{L}}\p{{N}}_])_([^\s_{_PARAGRAPH}](?:[^_{_PARAGRAPH}]*[^\s_{_PARAGRAPH}])?)_($|[^\p{{L}}\p{{N}}_])",
     "$1$2$3",
 )
-_INLINE = [_STAR] * 3 + [_UNDERSCORE] * 3 + [("`+", "")]
-_TIDY = [(f"\n?{_PARAGRAPH}\n?", "\n"), (r"^\n+|\n+\z", "")]
+
+
+def _strip_blocks(col: Column) -> Column:
+    """Remove line-wise marks, and mark paragraph ends, which emphasis cannot cross."""
+    unmarked = let(col, lambda c: F.when(F.rlike(c, F.lit(_BLOCK_START)), chain(c, _BLOCKS)).otherwise(c))
+    flush = where_present(F.rtrim(unmarked), [" \n", "\t\n"], lambda c: sub(c, r"(?md)[ \t]+$"))
+    return where_present(flush, ["\n\n"], lambda c: sub(c, r"\n{2,}", f"\n{_PARAGRAPH}\n"))
+
+
+def _strip_inline(col: Column) -> Column:
+    out = where_present(col, ["*"], lambda c: chain(c, [_STAR] * 3))
+    out = where_present(out, ["_"], lambda c: chain(c, [_UNDERSCORE] * 3))
+    out = F.replace(out, F.lit("`"), F.lit(""))
+    return F.btrim(F.replace(out, F.lit(f"\n{_PARAGRAPH}\n"), F.lit("\n")), F.lit("\n"))
 
 
 def strip_markup(col: Column) -> Column:
@@ -165,21 +190,28 @@ def strip_markup(col: Column) -> Column:
     references and backslash escapes.  Reference links and indented code are
     left as they stand.
     """
-    out = _park_escapes(unlink(col))
-    out = chain(out, _RAW_HTML + _BLOCKS)
-    out = chain(out, _INLINE)
-    out = decode_entities(chain(out, _TIDY))
-    out = sub(out, r"\\([!-/:-@\[-`{-~])", "$1")
-    return F.translate(out, _PARKED, _ESCAPED)
+    out = where_present(unlink(col), ["\\"], _park_escapes)
+    out = where_present(out, ["<"], lambda c: chain(c, _RAW_HTML))
+    out = decode_entities(_strip_inline(_strip_blocks(out)))
+    out = where_present(out, ["\\"], lambda c: sub(c, r"\\([!-/:-@\[-`{-~])", "$1"))
+    return where_present(out, list(_PARKED), lambda c: F.translate(c, _PARKED, _ESCAPED))
 
 
 def drop_boilerplate(col: Column) -> Column:
-    return reduce(lambda acc, p: sub(acc, "(?iudU)" + p), BOILERPLATE, col)
+    """Remove the phrases in list order; text with none of them is tested once."""
+    flags = "(?iudU)"
+    any_of = flags + "|".join(BOILERPLATE)
+
+    def removed(c: Column) -> Column:
+        return reduce(lambda acc, p: sub(acc, flags + p), BOILERPLATE, c)
+
+    return let(col, lambda c: F.when(F.rlike(c, F.lit(any_of)), removed(c)).otherwise(c))
 
 
 def normalize_space(col: Column) -> Column:
     """Lower-case, collapse blanks and newline runs, strip."""
-    return strip(chain(F.lower(col), [(r"[ \t]+", " "), (r"\n{3,}", "\n\n")]))
+    out = where_present(F.lower(col), ["  ", "\t"], lambda c: sub(c, r"[ \t]{2,}|\t", " "))
+    return strip(where_present(out, ["\n\n\n"], lambda c: sub(c, r"\n{3,}", "\n\n")))
 
 
 def clean_text(col: Column) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.operators.scale import join_dimension, number_rows, stage, staging_root
 
+_LEVEL = ["target", "url", "page_limit", "host", "rank", "ok", "emits"]
 _VISITED = "target string, url string, page_limit int, host string, rank bigint, ok boolean, emits boolean, depth int"
+# A level counted to be at most this long is ranked by a plain window.
+_WINDOW_ROWS = 200_000
 
 
 def _unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
@@ -25,14 +28,13 @@ def _unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
     return found.join(again, keys, "left_anti")
 
 
-def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
-    """Landed, unvisited same-host pages linked from fetched frontier pages, at their first position.
+def linked_urls(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """Distinct same-host URLs linked from fetched frontier pages, at their first position.
 
     Position is (rank of the linking page, place of the link in it), which is
-    the order a queue would have discovered them in.  URLs that never landed
-    yield neither documents nor links and drop out here.
+    the order a queue would have discovered them in.
     """
-    found = (
+    return (
         frontier.filter("ok")
         .select("target", "page_limit", "host", "rank", F.col("url").alias("src_url"))
         .join(links.select("src_url", "pos", F.col("abs_url").alias("url")), "src_url")
@@ -44,7 +46,19 @@ def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visit
             F.col("_at.rank").alias("parent_rank"), F.col("_at.pos").alias("pos"),
         )
     )
-    return _unvisited(stage(found, "found"), visited).join(pages, "url")
+
+
+def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
+    """Next level, ranked: landed pages among the linked URLs that were not visited yet.
+
+    URLs that never landed yield neither documents nor links and drop out.
+    """
+    found = stage(linked_urls(frontier, links), "found")
+    fresh = _unvisited(found, visited).join(pages, "url")
+    if found.count() <= _WINDOW_ROWS:
+        order = Window.partitionBy("target").orderBy("parent_rank", "pos")
+        return fresh.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return number_rows(fresh, ["target"], ["parent_rank", "pos"], "rank")
 
 
 def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -66,8 +80,11 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     edges = stage(links.select("src_url", "pos", "abs_url").filter(urls.netloc(F.col("abs_url")) != ""), "links")
     root = f"{staging_root(spark)}/pagemill-stage/crawl-{uuid.uuid4().hex}"
 
+    def level_at(depth: int) -> str:
+        return f"{root}/depth={depth}"
+
     def visit(level: DataFrame, depth: int) -> DataFrame:
-        level.select("target", "url", "page_limit", "host", "rank", "ok", "emits").write.parquet(f"{root}/depth={depth}")
+        level.select(*_LEVEL).write.parquet(level_at(depth))
         return spark.read.schema(_VISITED).parquet(root)
 
     seeds = targets.select(
@@ -75,13 +92,15 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     )
     visited, depth = visit(seeds.join(landed, "url"), 0), 0
     while max_depth is None or depth < max_depth:
-        full = visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit")
-        frontier = join_dimension(visited.filter(F.col("depth") == depth), full.select("target"), ["target"], "left_anti")
-        found = number_rows(next_frontier(frontier, landed, edges, visited), ["target"], ["parent_rank", "pos"], "rank")
-        if found.isEmpty():
-            break
+        full = stage(
+            visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit").select("target"),
+            "full",
+        )
+        frontier = join_dimension(visited.filter(F.col("depth") == depth), full, ["target"], "left_anti")
         depth += 1
-        visited = visit(found, depth)
+        visited = visit(next_frontier(frontier, landed, edges, visited), depth)
+        if visited.filter(F.col("depth") == depth).isEmpty():
+            break
     return limit_emitted(number_rows(visited.filter("emits"), ["target"], ["depth", "rank"], "doc_ord")).select(
         "target", "url", "depth", "doc_ord"
     )

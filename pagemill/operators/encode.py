@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,34 +10,43 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.scale import compute_once
+
 # Called once per task; returns the function that encodes a batch of texts.
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
+class _Slots(dict):
+    """Signed bucket of a word, computed on first use: twice the bucket, plus one if negative."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode()).digest()
+        slot = 2 * (int.from_bytes(digest[:4], "big") % self.dim) + (digest[4] >> 7)
+        self[word] = slot
+        return slot
+
+
 def hashing_encoder(dim: int = 64) -> EncoderFactory:
-    """Feature hashing: every word adds +1 or -1 to one of ``dim`` buckets, then unit length.
+    """Feature hashing: every word adds +1 or -1 to one of ``dim`` buckets.
 
     Bucket and sign come from the word's MD5, so vectors are the same in any run.
     """
 
     def factory() -> Callable[[list[str]], np.ndarray]:
-        slots: dict[str, tuple[int, int]] = {}
-
-        def slot(word: str) -> tuple[int, int]:
-            digest = hashlib.md5(word.encode()).digest()
-            return int.from_bytes(digest[:4], "big") % dim, 1 if digest[4] < 128 else -1
+        slots = _Slots(dim)
 
         def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, content in zip(out, texts):
-                for word in content.split():
-                    if word not in slots:
-                        if len(slots) > 200_000:
-                            slots.clear()
-                        slots[word] = slot(word)
-                    bucket, sign = slots[word]
-                    row[bucket] += sign
-            return out
+            if len(slots) > 1_000_000:
+                slots.clear()
+            coded = [np.fromiter(map(slots.__getitem__, t.split()), np.int64) for t in texts]
+            flat = np.concatenate(coded) if coded else np.empty(0, np.int64)
+            rows = np.repeat(np.arange(len(texts)), [len(c) for c in coded])
+            sums = np.bincount(rows * dim + flat // 2, weights=1 - 2 * (flat % 2), minlength=len(texts) * dim)
+            return sums.reshape(len(texts), dim)
 
         return encode
 
@@ -46,7 +54,7 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
 
 
 def _unit_rows(matrix: np.ndarray) -> np.ndarray:
-    norms = np.array([math.sqrt(float(r @ r)) for r in matrix])[:, None]
+    norms = np.sqrt(np.square(matrix).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
@@ -65,4 +73,4 @@ def embed(df: DataFrame, encoder: EncoderFactory, col: str = "document", out: st
             matrix = _unit_rows(np.asarray(encode(batch.fillna("").tolist()), dtype=np.float64))
             yield pd.Series(list(matrix.astype(np.float32)), index=batch.index)
 
-    return df.withColumn(out, vectors(F.col(col)))
+    return compute_once(df, out, vectors(F.col(col)))

@@ -445,10 +445,11 @@ def extraction_prompt(spark, sf_dir):
 
 
 def _all_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = _graph_chunks(spark, sf_dir)
-    facts = _word_triples(chunks)
+    chunks = scale.stage(_graph_chunks(spark, sf_dir), "graph-chunks")
+    facts = scale.stage(_word_triples(chunks), "triples")
     rules = graph.rule_entities(chunks, targets.patterns_df(spark, _PATTERNS))
-    return graph.union_entities(rules, graph.triple_endpoints(facts)), facts, chunks
+    mentions = scale.stage(graph.union_entities(rules, graph.triple_endpoints(facts)), "mentions")
+    return mentions, facts, chunks
 
 
 @query

@@ -7,35 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import chunking, encode
-from pagemill.operators.scale import dedupe_last
+from pagemill.operators.scale import dedupe_last, stage
 from pagemill.plans.build import build_vectors
 from pagemill.sources import packs
 from pagemill.sources.cache import write_by_target
-
-_VERSIONED = ["target", "chunk_id", "embedding", "document", "source_url"]
-
+from pagemill.sources.pages import spread
 
 def stream_documents(
     docs: DataFrame, path: str, checkpoint: str, encoder: encode.EncoderFactory, **trigger
 ) -> StreamingQuery:
     """Chunk, clean and encode a stream of documents into a log of vectors and chunks.
 
-    Chunking and cleaning are stateless.  Every micro-batch replaces its own
-    ``batch`` partition, so a repeated batch changes nothing; the latest batch
-    of an id wins on reading.
+    Every micro-batch replaces its own ``batch`` partition, so a repeated batch
+    changes nothing; the latest batch of an id wins on reading.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        chunks = batch.persist()
-        try:
-            for name, table in (("vectors", build_vectors(chunks, encoder)), ("chunks", packs.chunk_store(chunks))):
-                write_by_target(table.withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/{name}", "batch")
-        finally:
-            chunks.unpersist()
+        chunks = stage(chunking.retrieval_chunks(spread(batch)), "stream-chunks")
+        for name, table in (("vectors", build_vectors(chunks, encoder)), ("chunks", packs.chunk_store(chunks))):
+            write_by_target(table.withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/{name}", "batch")
 
     return (
-        chunking.retrieval_chunks(docs)
-        .writeStream.foreachBatch(append)
+        docs.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
