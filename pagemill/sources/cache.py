@@ -41,7 +41,9 @@ def read_json_cache(spark: SparkSession, path: str, target: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _CACHED)
-    return raw.filter(F.col("_corrupt").isNull()).select(
+    # reading a data column besides keeps Spark from refusing a scan of the corrupt column alone
+    readable = F.col("_corrupt").isNull() & (F.length(F.coalesce("markdown", F.lit(""))) >= 0)
+    return raw.filter(readable).select(
         F.lit(target).alias("target"), F.monotonically_increasing_id().alias("doc_ord"), "markdown", "metadata"
     )
 
