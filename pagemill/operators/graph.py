@@ -33,6 +33,7 @@ def _matches(body: Column, pattern: Column, label: Column) -> Column:
 def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """First-group matches of each target's patterns, once per chunk, text and label.
 
+    A chunk is one row, so its set is made within the row, without a shuffle.
     A pattern list of ordinary size becomes literal expressions, compiled once
     per task; a longer one is joined by target.
     """
@@ -45,22 +46,20 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
             .otherwise(F.array().cast("array<struct<entity:string,label:string>>"))
             for p in sorted(listed)
         ])
-        hits = compute_once(chunks, "_all", found).select(*_POSITION, F.explode("_all").alias("_m"))
+        hits = compute_once(chunks, "_all", F.array_distinct(found)).select(*_POSITION, F.explode("_all").alias("_m"))
     else:
         rules = patterns.groupBy("target").agg(F.collect_list(F.struct("label", "pattern")).alias("_rules"))
         per_rule = F.flatten(
             F.transform(F.col("_rules"), lambda r: _matches(F.col("text"), r["pattern"], r["label"]))
         )
-        joined = compute_once(join_dimension(chunks, rules, ["target"]), "_all", per_rule)
+        joined = compute_once(join_dimension(chunks, rules, ["target"]), "_all", F.array_distinct(per_rule))
         hits = joined.select(*_POSITION, F.explode("_all").alias("_m"))
     return _mentions(hits.select(*_POSITION, "_m.entity", "_m.label"), RULE)
 
 
 def _mentions(hits: DataFrame, priority: int) -> DataFrame:
     named = hits.filter(F.coalesce(F.col("entity"), F.lit("")) != "")
-    return named.withColumn("priority", F.lit(priority)).select(*MENTION).dropDuplicates(
-        ["target", "chunk_id", "entity", "label"]
-    )
+    return named.withColumn("priority", F.lit(priority)).select(*MENTION)
 
 
 def recognize_entities(
@@ -78,10 +77,13 @@ def recognize_entities(
             yield pd.Series([[{"entity": e, "label": n} for e, n in row] for row in found], index=batch.index)
 
     marked = chunks.select(*_POSITION, text.strip_markup(F.col("text")).alias("_plain"))
-    found = compute_once(marked, "_all", recognize(F.col("_plain")))
+    found = compute_once(marked, "_found", recognize(F.col("_plain")))
+    stripped = F.transform(
+        "_found", lambda m: F.struct(text.strip(m["entity"]).alias("entity"), m["label"].alias("label"))
+    )
+    found = compute_once(found, "_all", F.array_distinct(stripped))
     hits = found.select(*_POSITION, F.explode("_all").alias("_m"))
-    named = hits.select(*_POSITION, text.strip(F.col("_m.entity")).alias("entity"), F.col("_m.label").alias("label"))
-    return _mentions(allow_labels(named, labels), MODEL)
+    return _mentions(allow_labels(hits.select(*_POSITION, "_m.entity", "_m.label"), labels), MODEL)
 
 
 def allow_labels(df: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -89,7 +91,7 @@ def allow_labels(df: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 
 def triple_endpoints(triples: DataFrame) -> DataFrame:
-    """Subjects and objects of triples as mentions with the generic label."""
+    """Subjects and objects of triples as mentions with the generic label, repeats included."""
     ends = F.explode(F.array(text.strip(F.col("subject")), text.strip(F.col("object"))))
     hits = triples.select(*_POSITION, ends.alias("entity"), F.lit(ENDPOINT_LABEL).alias("label"))
     return _mentions(hits, ENDPOINT)

@@ -33,6 +33,11 @@ def visible_html(html: Column) -> Column:
     return text.chain(html, [(r"(?s)<!--.*?(?:-->|\z)", ""), (_element(["script", "style"]), "")])
 
 
+def with_visible(pages: DataFrame) -> DataFrame:
+    """Add the visible page as ``_seen``, unless an earlier step has."""
+    return pages if "_seen" in pages.columns else pages.withColumn("_seen", visible_html(F.col("html")))
+
+
 def _tags(html: Column, name: str) -> Column:
     """Start tags of one element as structs of lower-cased attribute names and raw values."""
     found = F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{_TAG_BODY}>"), F.lit(0))
@@ -75,7 +80,7 @@ def _with_attributes(html: Column, tag: str, *names: str) -> Column:
 def extract_metadata(pages: DataFrame) -> DataFrame:
     """Add the ``metadata`` struct of ten nullable strings to ``pages(url, html, ...)``."""
     scanned = (
-        pages.withColumn("_seen", visible_html(F.col("html")))
+        with_visible(pages)
         .withColumn("_metas", _with_attributes(F.col("_seen"), "meta", "name", "property", "content"))
         .withColumn("_links", _with_attributes(F.col("_seen"), "link", "rel", "href"))
         .withColumn(
@@ -112,26 +117,36 @@ def extract_metadata(pages: DataFrame) -> DataFrame:
     return found.withColumn("metadata", struct).select(*pages.columns, "metadata")
 
 
+def with_hrefs(pages: DataFrame) -> DataFrame:
+    """Add ``hrefs``: the raw targets of all ``<a href>`` in document order."""
+    anchors = _with_attributes(F.col("_seen"), "a", "href")
+    hrefs = F.transform(F.filter(anchors, lambda t: t["href"].isNotNull()), lambda t: t["href"])
+    return with_visible(pages).withColumn("hrefs", hrefs).select(*pages.columns, "hrefs")
+
+
+def links_of(parsed: DataFrame) -> DataFrame:
+    """Links of pages with ``hrefs``, one row each: (..., src_url, pos, href, abs_url)."""
+    carried = [c for c in parsed.columns if c not in ("url", "hrefs", "html", "markdown", "metadata")]
+    return (
+        parsed.select(*carried, F.col("url").alias("src_url"), F.posexplode("hrefs").alias("pos", "_raw"))
+        .withColumn("href", text.decode_entities(F.col("_raw")))
+        .drop("_raw")
+        .withColumn("abs_url", urls.resolve_url(F.col("src_url"), F.col("href")))
+    )
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every ``<a href>`` in document order: (src_url, pos, href, abs_url).
 
     Columns of ``pages`` other than ``url`` and ``html`` are carried along.
     """
-    carried = [c for c in pages.columns if c not in ("url", "html")]
-    anchors = pages.select(
-        *carried,
-        F.col("url").alias("src_url"),
-        F.filter(
-            _with_attributes(visible_html(F.col("html")), "a", "href"), lambda t: t["href"].isNotNull()
-        ).alias("_anchors"),
-    )
-    return (
-        compute_once(anchors, "_anchors", F.col("_anchors"))
-        .select(*carried, "src_url", F.posexplode("_anchors").alias("pos", "_anchor"))
-        .withColumn("href", text.decode_entities(F.col("_anchor.href")))
-        .drop("_anchor")
-        .withColumn("abs_url", urls.resolve_url(F.col("src_url"), F.col("href")))
-    )
+    found = with_hrefs(pages)
+    return links_of(compute_once(found.drop("html"), "hrefs", F.col("hrefs")))
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """``pages(url, html)`` to (url, metadata, hrefs, markdown) in one pass over the page."""
+    return main_content_markdown(with_hrefs(extract_metadata(with_visible(pages)))).drop("html", "_seen")
 
 
 def same_domain(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -234,12 +249,13 @@ def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
         (r" *\n[ \n]*\n *", "\n\n"),
         (r"(?md)^( *)#", r"$1\\#"),
     ]
-    bare = text.chain(visible_html(F.col("html")), [
+    bare = text.chain(F.col("_seen"), [
         (_element([u for u in UNWANTED if u not in ("script", "style")]), ""),
         (r"(?i)<(?:img|source)\b[^>]*>", ""),
     ])
     marked = (
-        pages.withColumn("_bare", bare)
+        with_visible(pages)
+        .withColumn("_bare", bare)
         .withColumn(
             "_region",
             F.coalesce(text.empty_to_null(region("article")), text.empty_to_null(region("main")), whole),
@@ -249,7 +265,7 @@ def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
     )
     body = text.chain(text.decode_entities(F.col("_marked")), finish)
     final = text.strip(_restore(body))
-    return compute_once(marked, out, text.empty_to_null(final)).drop("_bare", "_region", "_flat", "_marked")
+    return compute_once(marked, out, text.empty_to_null(final)).select(*pages.columns, out)
 
 
 def _restore(col: Column) -> Column:

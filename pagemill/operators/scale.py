@@ -134,6 +134,25 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Last row per key of a table in which few keys repeat and ``order`` is unique within a key.
+
+    Wide rows are not shuffled: a first pass over keys and order alone finds
+    the repeated keys, and the others pass through.  Meant for staged or stored
+    tables, where that pass reads only those columns.
+    """
+    repeated = stage(
+        df.groupBy(*keys)
+        .agg(F.max(F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1)
+        .select(*keys, "_last"),
+        "repeated",
+    )
+    marked = join_dimension(df, repeated, keys, "left")
+    latest = F.col("_last").isNull() | (F.struct(*order) == F.col("_last"))
+    return marked.filter(latest).select(*df.columns)
+
+
 def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:
     """Rank rows within a key and keep the first ``k``; trimmed before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import chunking, encode, graph, triples
 from pagemill.operators.crawl import crawl_order
-from pagemill.operators.html import extract_links, extract_metadata, main_content_markdown, ok_pages
-from pagemill.operators.scale import dedupe_last, stage
+from pagemill.operators.html import links_of, ok_pages, parse_pages
+from pagemill.operators.scale import stage
 from pagemill.settings import Settings
 from pagemill.sources import cache, packs
 from pagemill.sources.pages import with_fallback
@@ -18,12 +18,10 @@ from pagemill.sources.targets import select_targets
 
 
 def build_vectors(chunks: DataFrame, encoder: encode.EncoderFactory) -> DataFrame:
-    """Vectors of chunks; ids are made unique first, so nothing is encoded in vain."""
-    unique = dedupe_last(
-        chunks.select("target", "chunk_id", "document", "source_url", "doc_ord", "chunk_idx"),
-        ["target", "chunk_id"], ["doc_ord", "chunk_idx"],
+    """Vectors of chunks whose ids are unique, so nothing is encoded in vain."""
+    return encode.embed(chunks.select("target", "chunk_id", "document", "source_url"), encoder).select(
+        *packs.VECTOR_COLUMNS
     )
-    return encode.embed(unique, encoder).select(*packs.VECTOR_COLUMNS)
 
 
 def build_pack(
@@ -34,9 +32,10 @@ def build_pack(
     Chunks are staged once: all three tables are derived from them.
     """
     chunks = stage(chunking.retrieval_chunks(docs), "chunks")
+    unique = packs.last_chunks(chunks)
     return {
-        "vectors": build_vectors(chunks, encoder),
-        "chunks": packs.chunk_store(chunks),
+        "vectors": build_vectors(unique, encoder),
+        "chunks": packs.chunk_store(unique),
         "metadata": packs.pack_metadata(docs, chunks, model, version),
     }
 
@@ -78,16 +77,11 @@ def build_graph(
 def crawl_documents(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """Documents of each target in crawl order: (target, doc_ord, markdown, metadata).
 
-    Pages are parsed once; ``html`` ends there and what is shuffled is text.
+    Pages are read and parsed once; ``html`` ends there.
     """
-    ok = ok_pages(pages).select("url")
-    parsed = stage(
-        main_content_markdown(extract_metadata(ok_pages(pages).select("url", "html"))).select("url", "markdown", "metadata"),
-        "parsed",
-    )
-    links = extract_links(ok_pages(pages).select("url", "html"))
+    parsed = stage(parse_pages(ok_pages(pages).select("url", "html")), "parsed")
     landed = parsed.select("url", F.lit(True).alias("ok"), F.col("markdown").isNotNull().alias("has_content"))
-    order = crawl_order(targets, landed, links)
+    order = crawl_order(targets, landed, links_of(parsed))
     latest = parsed.groupBy("url").agg(F.max_by(F.struct("markdown", "metadata"), F.length("markdown")).alias("_d"))
     return order.join(latest, "url").select("target", "doc_ord", "_d.markdown", "_d.metadata")
 

@@ -7,7 +7,7 @@ Every query reads whole tables; inputs an operator needs and the tables lack
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -54,7 +54,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for queries that write and read back."""
-    return f"{scale.staging_root(spark)}/pagemill-query/{label}-{next(tempfile._get_candidate_names())}"
+    return f"{scale.staging_root(spark)}/pagemill-query/{label}-{uuid.uuid4().hex}"
 
 
 # --- pages -----------------------------------------------------------------

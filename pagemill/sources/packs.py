@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import hashing
-from pagemill.operators.scale import dedupe_last
+from pagemill.operators.scale import dedupe_last, keep_last
 from pagemill.sources.cache import write_by_target
 from pagemill.sources.targets import check_name
 
@@ -21,14 +21,20 @@ class PackNotFound(LookupError):
     """No published pack for the target."""
 
 
+def last_chunks(chunks: DataFrame) -> DataFrame:
+    """One row per chunk id of a staged chunk table; the last document to produce an id wins."""
+    return keep_last(chunks, ["target", "chunk_id"], _ORDER)
+
+
 def chunk_store(chunks: DataFrame) -> DataFrame:
-    """Raw chunk per id; the last document to produce an id wins."""
-    return dedupe_last(chunks.select(*CHUNK_COLUMNS, "doc_ord"), ["target", "chunk_id"], _ORDER).select(*CHUNK_COLUMNS)
+    """Raw chunks of a table whose ids are unique already."""
+    return chunks.select(*CHUNK_COLUMNS)
 
 
 def write_chunks(chunks: DataFrame, path: str, json: bool = False) -> None:
     """Write the chunk store by target, as Parquet or as JSON lines for exchange."""
-    store = chunk_store(chunks) if "doc_ord" in chunks.columns else chunks
+    keys = ["target", "chunk_id"]
+    store = chunk_store(dedupe_last(chunks, keys, _ORDER)) if "doc_ord" in chunks.columns else chunks
     if json:
         store.hint("rebalance", "target").write.mode("overwrite").partitionBy("target").json(path)
     else:

@@ -23,7 +23,7 @@ def stream_documents(
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        chunks = stage(chunking.retrieval_chunks(spread(batch)), "stream-chunks")
+        chunks = packs.last_chunks(stage(chunking.retrieval_chunks(spread(batch)), "stream-chunks"))
         for name, table in (("vectors", build_vectors(chunks, encoder)), ("chunks", packs.chunk_store(chunks))):
             write_by_target(table.withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/{name}", "batch")
 
