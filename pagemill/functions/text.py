@@ -87,6 +87,13 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(SPACES))
 
 
+def has_words(col: Column, n: int) -> Column:
+    """Whether there are at least ``n`` words; reads no further than the ``n``-th."""
+    if n > 100:
+        return F.size(words(col)) >= n
+    return F.rlike(col, F.lit(rf"(?U)^{WS}*+(?:[^\s\x1c-\x1f]++{WS}++){{{max(n - 1, 0)}}}[^\s\x1c-\x1f]")) if n > 0 else F.lit(True)
+
+
 def empty_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 

@@ -57,7 +57,7 @@ def nonempty_chunks(df: DataFrame, col: str = "text") -> DataFrame:
 
 
 def min_words(df: DataFrame, n: int = 5, col: str = "text") -> DataFrame:
-    return df.filter(F.size(text.words(F.col(col))) >= n)
+    return df.filter(text.has_words(F.col(col), n))
 
 
 def source_url(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.operators.scale import join_dimension, number_rows, stage, staging_root
+from pagemill.operators.scale import number_rows, stage, staging_root
 
 _LEVEL = ["target", "url", "page_limit", "host", "rank", "ok", "emits"]
 _VISITED = "target string, url string, page_limit int, host string, rank bigint, ok boolean, emits boolean, depth int"
@@ -92,11 +92,8 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     )
     visited, depth = visit(seeds.join(landed, "url"), 0), 0
     while max_depth is None or depth < max_depth:
-        full = stage(
-            visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit").select("target"),
-            "full",
-        )
-        frontier = join_dimension(visited.filter(F.col("depth") == depth), full, ["target"], "left_anti")
+        full = visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit")
+        frontier = visited.filter(F.col("depth") == depth).join(full.select("target"), "target", "left_anti")
         depth += 1
         visited = visit(next_frontier(frontier, landed, edges, visited), depth)
         if visited.filter(F.col("depth") == depth).isEmpty():

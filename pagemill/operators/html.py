@@ -61,7 +61,7 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _last_meta(metas: Column, name: str | None = None, prop: str | None = None) -> Column:
-    """Content of the last matching meta tag; ``name`` is tested before ``property``."""
+    """Content of the last matching meta tag, as written; ``name`` is tested before ``property``."""
 
     def matches(tag: Column) -> Column:
         if name is not None:
@@ -69,7 +69,7 @@ def _last_meta(metas: Column, name: str | None = None, prop: str | None = None)
         named = F.coalesce(tag["name"].isin("description", "keywords"), F.lit(False))
         return ~named & (F.coalesce(tag["property"], F.lit("")) == prop)
 
-    return text.decode_entities(F.try_element_at(F.filter(metas, matches), F.lit(-1))["content"])
+    return F.try_element_at(F.filter(metas, matches), F.lit(-1))["content"]
 
 
 def _with_attributes(html: Column, tag: str, *names: str) -> Column:
@@ -79,39 +79,36 @@ def _with_attributes(html: Column, tag: str, *names: str) -> Column:
 
 def extract_metadata(pages: DataFrame) -> DataFrame:
     """Add the ``metadata`` struct of ten nullable strings to ``pages(url, html, ...)``."""
-    scanned = (
-        with_visible(pages)
-        .withColumn("_metas", _with_attributes(F.col("_seen"), "meta", "name", "property", "content"))
-        .withColumn("_links", _with_attributes(F.col("_seen"), "link", "rel", "href"))
-        .withColumn(
-            "_title",
-            text.strip(text.decode_entities(F.regexp_extract("_seen", r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1))),
-        )
-        .withColumn("_has_title", F.rlike("_seen", F.lit(r"(?is)<title\b[^>]*>[^<]")))
-        .withColumn("_lang", F.try_element_at(_with_attributes(F.col("_seen"), "html", "lang"), F.lit(1))["lang"])
-    )
-    metas = F.col("_metas")
+    seen, metas = F.col("_seen"), F.col("_metas")
+    title_text = F.regexp_extract(seen, r"(?is)<title\b[^>]*>(.*?)(?:</title\s*>|\z)", 1)
     icon = F.try_element_at(
-        F.filter(F.col("_links"), lambda t: F.contains(F.coalesce(t["rel"], F.lit("")), F.lit("icon"))),
-        F.lit(1),
+        F.filter(F.col("_icons"), lambda t: F.contains(F.coalesce(t["rel"], F.lit("")), F.lit("icon"))), F.lit(1)
     )
+    # values as written; character references are decoded in all of them at once
+    raw = {
+        "title": text.empty_to_null(title_text),
+        "language": F.try_element_at(_with_attributes(seen, "html", "lang"), F.lit(1))["lang"],
+        "description": _last_meta(metas, name="description"),
+        "keywords": _last_meta(metas, name="keywords"),
+        **{f"og_{p}": _last_meta(metas, prop=f"og:{p}") for p in ("title", "description", "image", "url")},
+        "icon": icon["href"],
+    }
     found = (
-        scanned.withColumn("_og_title", _last_meta(metas, prop="og:title"))
-        .withColumn("_icon_href", text.empty_to_null(text.decode_entities(icon["href"])))
+        with_visible(pages)
+        .withColumn("_metas", _with_attributes(seen, "meta", "name", "property", "content"))
+        .withColumn("_icons", _with_attributes(seen, "link", "rel", "href"))
+        .withColumn("_raw", F.array(*raw.values()))
+        .withColumn("_raw", F.transform("_raw", lambda v: text.decode_entities(v)))
     )
-    own_title = F.when(F.col("_has_title"), F.col("_title"))
-    title = F.coalesce(text.empty_to_null(own_title), text.empty_to_null(F.col("_og_title")), own_title)
+    value = {name: F.element_at(F.col("_raw"), i + 1) for i, name in enumerate(raw)}
+    own_title = text.strip(value["title"])
+    href = text.empty_to_null(value["icon"])
     fields = {
+        **value,
         "source_url": F.col("url"),
-        "title": title,
-        "description": _last_meta(metas, name="description"),
-        "language": text.empty_to_null(F.col("_lang")),
-        "keywords": _last_meta(metas, name="keywords"),
-        "og_title": F.col("_og_title"),
-        "og_description": _last_meta(metas, prop="og:description"),
-        "og_image": _last_meta(metas, prop="og:image"),
-        "og_url": _last_meta(metas, prop="og:url"),
-        "favicon": F.when(F.col("_icon_href").isNotNull(), urls.resolve_url(F.col("url"), F.col("_icon_href"))),
+        "title": F.coalesce(text.empty_to_null(own_title), text.empty_to_null(value["og_title"]), own_title),
+        "language": text.empty_to_null(value["language"]),
+        "favicon": F.when(href.isNotNull(), urls.resolve_url(F.col("url"), href)),
     }
     struct = F.struct(*[fields[f].alias(f) for f in METADATA_FIELDS])
     return found.withColumn("metadata", struct).select(*pages.columns, "metadata")

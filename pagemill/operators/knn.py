@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.scale import join_dimension, top_per_key
+from pagemill.operators.scale import join_dimension, stage, top_per_key
 from pagemill.settings import DEFAULT_RESULTS
 
 MAX_BROADCAST_QUERIES = 8192
@@ -166,7 +166,7 @@ def _blocked(v: DataFrame, q: DataFrame, k: int, schema: T.StructType, query_blo
     def cuts(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
-    sizes = cuts(v, vector_block, "_nv").join(cuts(q, query_block, "_nq"), "_block")
+    sizes = stage(cuts(v, vector_block, "_nv").join(cuts(q, query_block, "_nq"), "_block"), "blocks")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))

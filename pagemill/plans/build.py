@@ -14,7 +14,7 @@ from pagemill.operators.scale import stage
 from pagemill.settings import Settings
 from pagemill.sources import cache, packs
 from pagemill.sources.pages import with_fallback
-from pagemill.sources.targets import select_targets
+from pagemill.sources.targets import of_targets, select_targets
 
 
 def build_vectors(chunks: DataFrame, encoder: encode.EncoderFactory) -> DataFrame:
@@ -98,8 +98,7 @@ def scrape_and_cache(
         return
     docs = stage(crawl_documents(targets, pages), "documents")
     if fallback is not None:
-        wanted = fallback.join(targets.select("target"), "target", "left_semi")
-        docs = with_fallback(docs, wanted.select(*docs.columns))
+        docs = with_fallback(docs, of_targets(fallback, targets).select(*docs.columns))
     cache.write_scrape_cache(docs, settings.cache_dir, force)
 
 
@@ -107,7 +106,7 @@ def process_cached(
     spark: SparkSession, targets: DataFrame, settings: Settings, encoder: encode.EncoderFactory, version: str | None = None
 ) -> dict[str, DataFrame]:
     """Packs of the cached documents of the given targets."""
-    docs = cache.read_scrape_cache(spark, settings.cache_dir).join(targets.select("target"), "target", "left_semi")
+    docs = of_targets(cache.read_scrape_cache(spark, settings.cache_dir), targets)
     return build_pack(docs, encoder, settings.embedding_model, version)
 
 

@@ -10,7 +10,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import hashing, text, urls, vectors
@@ -437,7 +437,7 @@ def parse_marked_triples(spark, sf_dir):
 def extraction_prompt(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "target")
     ontology = docs.groupBy("target").agg(
-        F.array_sort(F.collect_set("source")).alias("entity_types"),
+        F.array(F.min("source"), F.max("source")).alias("entity_types"),
         F.when(F.col("target") == "de", F.array().cast("array<string>")).otherwise(F.array(F.lit("says"), F.lit('is "a"'))).alias("predicates"),
     )
     ready = triples.with_ontology(docs.select("doc_id", "target", "text"), ontology)
@@ -516,11 +516,8 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     Toxic documents fail to load; low-quality ones load without content.
     """
     marks = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
-    place = Window.partitionBy("source").orderBy("doc_id")
-    docs = (
-        table(spark, sf_dir, "documents").join(marks, "doc_id", "left")
-        .select("source", "doc_id", "quality", "toxic", F.row_number().over(place).alias("n"))
-    )
+    marked = table(spark, sf_dir, "documents").select("source", "doc_id").join(marks, "doc_id", "left")
+    docs = scale.number_rows(marked, ["source"], ["doc_id"], "n")
     at = lambda n: F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/p/"), n.cast("string"))
     pages = docs.select(
         "doc_id", at(F.col("n")).alias("url"),

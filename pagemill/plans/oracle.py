@@ -409,7 +409,7 @@ UNION ALL SELECT conv_id, turn, 2, coalesce(w[2], 'none'), '7', coalesce(w[3], '
 
 
 EXTRACTION_PROMPT = """
-WITH o AS (SELECT lang, list(DISTINCT source ORDER BY source) AS s FROM documents WHERE lang <> 'de' GROUP BY 1)
+WITH o AS (SELECT lang, [min(source), max(source)] AS s FROM documents WHERE lang <> 'de' GROUP BY 1)
 SELECT doc_id, md5(
   'Perform Named Entity Recognition (NER) and extract knowledge graph triplets from the text. NER identifies named entities of given entity types, and triple extraction identifies relationships between entities using specified predicates.'
   || chr(10) || chr(10) || '**Entity Types:**' || chr(10) || '{"entity_types": ["' || array_to_string(s, '", "') || '"]}'

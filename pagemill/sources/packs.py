@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import hashing
-from pagemill.operators.scale import dedupe_last, keep_last
+from pagemill.operators.scale import dedupe_last, join_dimension, keep_last
 from pagemill.sources.cache import write_by_target
 from pagemill.sources.targets import check_name
 
 VECTOR_COLUMNS = ["target", "chunk_id", "embedding", "document", "source_url"]
 CHUNK_COLUMNS = ["target", "chunk_id", "chunk_idx", "text", "source_url", "header"]
 _ORDER = ["doc_ord", "chunk_idx"]
+_MAX_LISTED = 1000
 TABLES = ("vectors", "chunks", "metadata")
 
 
@@ -56,7 +57,7 @@ def pack_metadata(docs: DataFrame, embedded: DataFrame, model: str, version: str
 
 
 def write_pack_metadata(metadata: DataFrame, path: str) -> None:
-    metadata.coalesce(1).write.mode("overwrite").json(path)
+    metadata.write.mode("overwrite").json(path)
 
 
 def upsert_vectors(existing: DataFrame, new: DataFrame, prune: bool = False) -> DataFrame:
@@ -71,7 +72,7 @@ def upsert_vectors(existing: DataFrame, new: DataFrame, prune: bool = False) ->
         new = dedupe_last(new, keys, _ORDER)
     new = new.select(*existing.columns)
     if prune:
-        kept = existing.join(new.select("target").distinct(), "target", "left_anti")
+        kept = join_dimension(existing, new.select("target").distinct(), ["target"], "left_anti")
     else:
         kept = existing.join(new.select(*keys), keys, "left_anti")
     return kept.unionByName(new)
@@ -107,10 +108,17 @@ def load_pack(spark: SparkSession, root: str, target: str, version: str | None =
 
 
 def load_packs(spark: SparkSession, root: str, table: str = "vectors") -> DataFrame:
-    """A table of all packs, each target at its latest version."""
+    """A table of all packs, each target at its latest version.
+
+    An ordinary number of packs is listed in the filter, which prunes the
+    partitions of older versions; beyond that they are dropped by a join.
+    """
     everything = spark.read.parquet(f"{root}/{table}").withColumn("version", F.col("version").cast("string"))
     latest = everything.groupBy("target").agg(F.max("version").alias("version"))
-    return everything.join(latest, ["target", "version"], "left_semi")
+    listed = latest.limit(_MAX_LISTED + 1).collect()
+    if len(listed) > _MAX_LISTED:
+        return join_dimension(everything, latest, ["target", "version"], "left_semi")
+    return everything.filter(F.concat_ws("/", "target", "version").isin([f"{p.target}/{p.version}" for p in listed]))
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

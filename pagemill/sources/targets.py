@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.operators.scale import join_dimension
 from pagemill.settings import DEFAULT_PAGE_LIMIT
 
+_MAX_LISTED = 1000
 _NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
 
@@ -64,6 +65,14 @@ def select_targets(targets: DataFrame, name: str) -> DataFrame:
     return targets if name.lower() == "all" else targets.filter(F.col("target") == name)
 
 
+def of_targets(df: DataFrame, targets: DataFrame) -> DataFrame:
+    """Rows of the given targets; a short list of names prunes the partitions of a stored table."""
+    names = [r.target for r in targets.select("target").distinct().limit(_MAX_LISTED + 1).collect()]
+    if len(names) <= _MAX_LISTED:
+        return df.filter(F.col("target").isin(names))
+    return join_dimension(df, targets.select("target").distinct(), ["target"], "left_semi")
+
+
 def resolve_targets(requests: DataFrame, targets: DataFrame) -> DataFrame:
     """Requests joined with their target; unknown names drop out."""
     return join_dimension(requests, targets, ["target"])

@@ -100,9 +100,9 @@ def test_strip_words_and_boilerplate_match_python(spark):
     rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9)))) for i in range(1500)]
     df = spark.createDataFrame(rows, "i int, t string")
     t = F.col("t")
-    got = df.select("i", text.strip(t).alias("s"), text.words(t).alias("w"), text.drop_boilerplate(t).alias("b")).collect()
+    got = df.select("i", text.strip(t).alias("s"), text.words(t).alias("w"), text.drop_boilerplate(t).alias("b"), text.has_words(t, 3).alias("h")).collect()
     for r, (_, raw) in zip(sorted(got), rows):
-        assert r.s == raw.strip() and r.w == raw.split()
+        assert r.s == raw.strip() and r.w == raw.split() and r.h == (len(raw.split()) >= 3)
         want = raw
         for p in text.BOILERPLATE:
             want = re.sub(p, "", want, flags=re.I)
