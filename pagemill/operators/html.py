@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,6 +175,15 @@ _BLOCK = (
 )
 
 
+def _rewrite(html: Column, pattern: str, rewritten: Callable[[Column], Column]) -> Column:
+    """Pass every match of ``pattern`` through ``rewritten``; the text between stays."""
+    # split yields exactly one part more than there are matches
+    parts = F.split(html, pattern, -1)
+    matches = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), rewritten)
+    rest = F.zip_with(matches, F.slice(parts, F.lit(2), F.size(parts)), lambda m, p: F.concat(m, p))
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
 def _protect_code(html: Column) -> Column:
     """Keep line ends, blanks and marks of ``pre`` and ``code`` content from later steps."""
     pattern = r"(?is)<pre\b[^>]*>.*?(?:</pre\s*>|\z)|<code\b[^>]*>.*?(?:</code\s*>|\z)"
@@ -187,11 +198,34 @@ def _protect_code(html: Column) -> Column:
             F.concat(F.lit(mark), inner, F.lit(mark))
         )
 
-    parts = F.split(html, pattern, -1)
-    elements = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), guarded)
-    rest = F.zip_with(elements, F.slice(parts, F.lit(2), F.size(parts)), lambda e, p: F.concat(e, p))
-    joined = F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
-    return F.when(F.rlike(html, F.lit(r"(?i)<(?:pre|code)\b")), joined).otherwise(html)
+    return F.when(F.rlike(html, F.lit(r"(?i)<(?:pre|code)\b")), _rewrite(html, pattern, guarded)).otherwise(html)
+
+
+def _number_items(html: Column) -> Column:
+    """Items of ordered lists without inner lists get their numbers."""
+
+    def numbered(element: Column) -> Column:
+        items = F.split(element, r"(?i)<li\b[^>]*>", -1)
+        lines = F.transform(
+            F.slice(items, F.lit(2), F.size(items)),
+            lambda item, i: F.concat(F.lit("<br class=item>"), (i + 1).cast("string"), F.lit(". "), item),
+        )
+        flat = F.concat(F.element_at(items, 1), F.array_join(lines, ""))
+        return F.when(F.rlike(element, F.lit(r"(?is)<ol\b.*<[uo]l\b")), element).otherwise(flat)
+
+    pattern = r"(?is)<ol\b[^>]*>.*?(?:</ol\s*>|\z)"
+    return F.when(F.rlike(html, F.lit(r"(?i)<ol\b")), _rewrite(html, pattern, numbered)).otherwise(html)
+
+
+def _rule_header_rows(html: Column) -> Column:
+    """Table rows of header cells are followed by the rule markdown expects."""
+
+    def ruled(row: Column) -> Column:
+        cells = F.regexp_count(row, F.lit(r"(?i)<th\b"))
+        return F.concat(row, F.lit("<tr>"), F.repeat(F.lit("<td>---</td>"), cells), F.lit("</tr>"))
+
+    pattern = r"(?is)<tr\b[^>]*>\s*<th\b.*?(?:</tr\s*>|\z)"
+    return F.when(F.rlike(html, F.lit(r"(?i)<th\b")), _rewrite(html, pattern, ruled)).otherwise(html)
 
 
 def _emphasis(tags: str, mark: str) -> tuple[str, str]:
@@ -229,15 +263,17 @@ def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
     ]
     steps = [
         (_PLAIN_INLINE, ""),
+        (r" ?<br class=item>", "\n"),
         (r"(?i)<br\b[^>]*>", _MARKS["br"]),
         *inline, *inline,
         *headings,
-        (r"(?i)<li\b[^>]*>", f"\n{star} "),
+        (r"(?i) ?<li\b[^>]*>", f"\n{star} "),
         (r"(?i)</li *>", ""),
         (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
         (r"(?i)<blockquote\b[^>]*>(?: *<p>)?", f"\n\n{_MARKS['>']} "),
-        (r"(?i)<tr\b[^>]*>", "\n| "),
-        (r"(?i)</t[hd] *>", " | "),
+        (r"(?i) ?<tr\b[^>]*>", "\n|"),
+        (r"(?i)<t[hd]\b[^>]*>", " "),
+        (r"(?i)</t[hd] *>", " |"),
         (_BLOCK, "\n\n"),
         (r"</?[A-Za-z][^>]*>|<![^>]*>|</?[A-Za-z!][^>]*\z", ""),
     ]
@@ -257,7 +293,10 @@ def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
             "_region",
             F.coalesce(text.empty_to_null(region("article")), text.empty_to_null(region("main")), whole),
         )
-        .withColumn("_flat", F.regexp_replace(_protect_code(F.col("_region")), r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " "))
+        .withColumn("_coded", _protect_code(F.col("_region")))
+        .withColumn("_listed", _number_items(F.col("_coded")))
+        .withColumn("_tabled", _rule_header_rows(F.col("_listed")))
+        .withColumn("_flat", F.regexp_replace("_tabled", r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " "))
         .withColumn("_marked", text.chain(_blanks_outside(F.col("_flat")), steps))
     )
     body = text.chain(text.decode_entities(F.col("_marked")), finish)

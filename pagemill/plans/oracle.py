@@ -185,7 +185,7 @@ kept AS (SELECT * FROM clean WHERE document <> '')
 CLEAN_CHUNKS = f"WITH {_DOCS}, {_CHUNKS}, {_CLEANED} SELECT page_id, chunk_idx, document FROM kept"
 
 _WORD_LIST = r"regexp_extract_all(text, '[^ \t\n\r\x0b\x0c\x1c-\x1f\x{a0}\x{2028}\x{2029}]+')"
-MIN_WORDS = f"SELECT doc_id, len({_WORD_LIST}) AS n_words FROM documents WHERE len({_WORD_LIST}) >= 60"
+MIN_WORDS = f"SELECT doc_id, CAST(len({_WORD_LIST}) AS INTEGER) AS n_words FROM documents WHERE len({_WORD_LIST}) >= 60"
 
 # --- sources and stores ----------------------------------------------------
 

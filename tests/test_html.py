@@ -86,6 +86,10 @@ def test_main_content(spark):
     assert markdown(spark, '<article><ul><li>one</li><li><a href="/x">t<span>w</span>o</a></li></ul>a<br>b</article>') == "* one\n* [two](/x)\n\na  \nb"
     assert markdown(spark, '<article><script>var t="</p></article>";</script><p># not a header</p><p>cut &am') == "\\# not a header\n\ncut &am"
     assert markdown(spark, "<body><header>h</header><p>body <b>unclosed <p>text</p><footer>f</footer></body>") == "body unclosed\n\ntext"
+    listed = "<main><ol><li>one</li>\n  <li>two</li></ol><ol><li>a<ul><li>b</li></ul></li></ol><p>x</p></main>"
+    assert markdown(spark, listed) == "1. one\n2. two\n\n* a\n\n* b\n\nx"
+    table = "<main><table><tr><th>a</th><th>b</th></tr>\n<tr><td>1</td><td>2 <i>x</i></td></tr></table>end</main>"
+    assert markdown(spark, table) == "| a | b |\n| --- | --- |\n| 1 | 2 *x* |\n\nend"
     assert markdown(spark, "<body><nav>only</nav></body>") is None
 
 
