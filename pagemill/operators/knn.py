@@ -20,6 +20,7 @@ from pagemill.settings import DEFAULT_RESULTS
 
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_RESULT_ROWS = 500_000_000
 QUERY_BLOCK = 4096
 VECTOR_BLOCK = 100_000
 _MAX_LISTED = 1000
@@ -126,6 +127,13 @@ def _scan(v: DataFrame, q: DataFrame, by: Sequence[str], k: int, schema: T.Struc
         values = table.column(c).unique().to_pylist()
         if len(values) <= _MAX_LISTED:
             wanted = wanted.filter(F.col(c).isin(values))
+    # every task returns up to k rows per query; on a very wide scan fewer, longer tasks keep that sum in
+    # bounds, and merging splits within a task needs no shuffle
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    tasks = max(cores, MAX_RESULT_ROWS // max(1, len(blocks) * k))
+    wanted = wanted.select("_block", "chunk_id", "embedding")
+    if wanted.rdd.getNumPartitions() > tasks:
+        wanted = wanted.coalesce(tasks)
     arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +155,7 @@ def _scan(v: DataFrame, q: DataFrame, by: Sequence[str], k: int, schema: T.Struc
             query_ids, own_limits, _ = shipped.value[name]
             yield pa.RecordBatch.from_pydict(_rows(found, query_ids, own_limits, arrow), schema=arrow)
 
-    return wanted.select("_block", "chunk_id", "embedding").mapInArrow(scan, schema)
+    return wanted.mapInArrow(scan, schema)
 
 
 def _arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -18,10 +18,11 @@ def attach_documents(hits: DataFrame, vectors: DataFrame) -> DataFrame:
     """Add the stored (cleaned) document and its source to hits of a target.
 
     Ranking carries ids only, so texts are read for the hits alone.  Every hit
-    is a stored vector, hence the inner join, in which the few hits can be the
-    broadcast side.
+    is a stored vector, hence the inner join, in which the hits are the side
+    that is broadcast when measured small.
     """
-    return hits.join(vectors.select("target", "chunk_id", "document", "source_url"), ["target", "chunk_id"])
+    stored = vectors.select("target", "chunk_id", "document", "source_url")
+    return join_dimension(stored, hits, ["target", "chunk_id"]).select(*hits.columns, "document", "source_url")
 
 
 def attach_raw_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def attach_raw_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     The store is first cut down to the chunks hit, then joined outer.
     """
     keys = ["target", "chunk_id"]
-    needed = chunks.select(*keys, "text", "header").join(hits.select(*keys), keys, "left_semi")
+    needed = join_dimension(chunks.select(*keys, "text", "header"), hits.select(*keys).distinct(), keys, "left_semi")
     return hits.join(needed, keys, "left")
 
 

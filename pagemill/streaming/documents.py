@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import chunking, encode
-from pagemill.operators.scale import dedupe_last, stage
+from pagemill.operators.scale import keep_last, stage
 from pagemill.plans.build import build_vectors
 from pagemill.sources import packs
 from pagemill.sources.cache import write_by_target
@@ -37,4 +37,4 @@ def stream_documents(
 
 def read_log(spark: SparkSession, path: str, table: str = "vectors") -> DataFrame:
     """Current state of a streamed table: the last batch of each id."""
-    return dedupe_last(spark.read.parquet(f"{path}/{table}"), ["target", "chunk_id"], ["batch"]).drop("batch")
+    return keep_last(spark.read.parquet(f"{path}/{table}"), ["target", "chunk_id"], ["batch"]).drop("batch")

@@ -34,6 +34,14 @@ def test_exact_search_matches_brute_force(spark, options):
     assert sorted((r.query_id, r.rank, r.chunk_id, round(r.distance, 9)) for r in got) == sorted(want)
 
 
+def test_wide_scans_run_in_fewer_tasks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MAX_RESULT_ROWS", 1)
+    stored, queries, want = made(spark, 300, 10)
+    found = knn.knn(stored.repartition(40), queries)
+    assert "Coalesce 8" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in found.collect()) == sorted(w[:3] for w in want)
+
+
 def test_fewer_vectors_than_asked_and_bad_rows(spark):
     stored = spark.createDataFrame([("t", "a", [0.0, 1.0]), ("t", "b", [1.0, 0.0]), ("t", "n", None)], "target string, chunk_id string, embedding array<float>")
     queries = spark.createDataFrame([(1, "t", [0.0, 0.9]), (2, "t", None), (3, "x", [1.0, 1.0])], "query_id int, target string, embedding array<float>")
