@@ -39,7 +39,7 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     listed = patterns.select("target", "label", "pattern").limit(_MAX_LITERAL_PATTERNS + 1).collect()
     if not listed:
-        return _mentions(chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label")).limit(0), RULE)
+        return _mentions(chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label")).filter(F.lit(False)), RULE)
     if len(listed) <= _MAX_LITERAL_PATTERNS:
         found = F.concat(*[
             F.when(F.col("target") == p.target, _matches(F.col("text"), F.lit(p.pattern), F.lit(p.label)))

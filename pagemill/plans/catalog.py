@@ -17,6 +17,7 @@ from pagemill.functions import hashing, text, urls, vectors
 from pagemill.operators import chunking, encode, graph, html, knn, retrieve, scale, triples
 from pagemill.operators.crawl import crawl_order
 from pagemill.plans import answer, build
+from pagemill.settings import Settings
 from pagemill.sources import cache, packs, pages as landed, targets
 from pagemill.streaming import documents as doc_stream
 from pagemill.streaming import triggers
@@ -543,6 +544,24 @@ def crawl_ranks(spark, sf_dir):
     return crawl_order(seeds, pages.select("url", "ok", "has_content"), links)
 
 
+@query
+def full_run(spark, sf_dir):
+    """Crawl, cache, build and publish the sites; the stored vectors' ids."""
+    seeds, pages, links = _site(spark, sf_dir)
+    anchors = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href"))), lambda a: F.concat(
+        F.lit('<a href="'), a["href"], F.lit('">to</a> '))), "")
+    menus = links.groupBy(F.col("src_url").alias("url")).agg(anchors.alias("menu"))
+    body = F.concat(F.lit("<main><h1>Text</h1><p>"), F.col("text"), F.lit("</p></main>"))
+    site = pages.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(menus, "url").select(
+        "url",
+        F.concat(F.lit("<html><body><nav>"), "menu", F.lit("</nav>"), F.when(F.col("has_content"), body).otherwise("")).alias("html"),
+        F.when(F.col("ok"), 200).otherwise(500).alias("status"),
+    )
+    root = _scratch(spark, "run")
+    build.run(spark, seeds, scale.stage(site, "site"), Settings(f"{root}/packs", f"{root}/cache"), version="2024.01.31")
+    return packs.load_packs(spark, f"{root}/packs").select("target", "chunk_id", "source_url", F.size("embedding").alias("width"))
+
+
 # --- streaming -------------------------------------------------------------
 
 @query

@@ -470,6 +470,9 @@ ranked AS (
 SELECT source AS target, 'https://' || source || '.example.org/p/' || n AS url, CAST(depth AS INTEGER) AS depth, doc_ord
 FROM ranked WHERE doc_ord <= total // 3
 """
+FULL_RUN = f"""
+SELECT target, sha256(url || '-0') AS chunk_id, url AS source_url, 64 AS width FROM ({CRAWL_RANKS})
+"""
 STREAM_TRIGGERS = """
 SELECT event_type AS target, CAST(count(*) AS INTEGER) AS page_limit FROM events
 WHERE event_type NOT IN ('error', 'view') GROUP BY 1
@@ -514,6 +517,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_provenance": GRAPH_PROVENANCE,
         "graph_build": GRAPH_BUILD,
         "crawl_ranks": CRAWL_RANKS,
+        "full_run": FULL_RUN,
         "stream_documents": STREAM_DOCUMENTS,
         "stream_triggers": STREAM_TRIGGERS,
     }

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import encode, retrieve
+from pagemill.functions import hashing
+from pagemill.operators import chunking, encode, retrieve
 from pagemill.operators.html import METADATA_FIELDS, METADATA_TYPE
 from pagemill.plans import answer, build
 from pagemill.settings import Settings
@@ -98,6 +99,23 @@ def test_pack_counts_publish_and_load(spark, tmp_path):
         packs.publish_pack({"vectors": built["vectors"]}, root, "1")
 
 
+def test_writers_and_version_stamp(spark, tmp_path):
+    docs = spark.createDataFrame([doc("a", 1, "# X\nhello"), doc("a", 2, "# Y\nworld"), doc("b", 1, "z")], DOC)
+    chunks = chunking.retrieval_chunks(docs)
+    packs.write_chunks(chunks, str(tmp_path / "parquet"))
+    packs.write_chunks(chunks, str(tmp_path / "json"), json=True)
+    for stored in (spark.read.parquet(str(tmp_path / "parquet")), spark.read.json(str(tmp_path / "json"))):
+        assert sorted((r.target, r.text) for r in stored.collect()) == [("a", "world"), ("b", "z")]
+    packs.write_pack_metadata(packs.pack_metadata(docs, chunks, "m", "1"), str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).count() == 2
+    nodes = spark.createDataFrame([("a", "n", "L", 1)], "target string, text string, label string, n_chunks long")
+    edges = spark.createDataFrame([("a", "n", "n", "self")], "target string, src string, dst string, label string")
+    packs.write_graph(nodes, edges, str(tmp_path / "graph"))
+    assert spark.read.parquet(str(tmp_path / "graph/edges")).first().label == "self"
+    late = spark.createDataFrame([("2024-03-01 23:30:00-05:00",)], "t string").select(F.to_timestamp("t").alias("t"))
+    assert late.select(hashing.version_stamp(F.col("t"))).first()[0] == "2024.03.02"
+
+
 def test_only_the_targets_partition_is_read(spark, tmp_path):
     built = build.build_pack(spark.createDataFrame([doc(t, 1, "text here", t) for t in "abc"], DOC), encode.hashing_encoder(), version="1")
     packs.publish_pack(built, str(tmp_path), "1")
