@@ -25,9 +25,18 @@ _MAX_LITERAL_PATTERNS = 128
 _POSITION = ["target", "doc_ord", "chunk_idx", "chunk_id"]
 
 
-def _matches(body: Column, pattern: Column, label: Column) -> Column:
-    found = F.regexp_extract_all(body, pattern, F.lit(1))
-    return F.transform(found, lambda m: F.struct(text.strip(m).alias("entity"), label.alias("label")))
+def _labelled(texts: Column, label: Column) -> Column:
+    """Distinct non-blank texts of a row as (entity, label).
+
+    Distinct over strings, which are hashed; over structs Spark would compare
+    all pairs.
+    """
+    kept = F.filter(F.transform(texts, text.strip), lambda m: m != "")
+    return F.transform(F.array_distinct(kept), lambda m: F.struct(m.alias("entity"), label.alias("label")))
+
+
+def _matches(pattern: Column) -> Column:
+    return F.regexp_extract_all(F.col("text"), pattern, F.lit(1))
 
 
 def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -39,22 +48,27 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     listed = patterns.select("target", "label", "pattern").limit(_MAX_LITERAL_PATTERNS + 1).collect()
     if not listed:
-        return _mentions(chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label")).filter(F.lit(False)), RULE)
+        none = chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label"))
+        return _mentions(none.filter(F.lit(False)), RULE)
     if len(listed) <= _MAX_LITERAL_PATTERNS:
+        rules: dict[tuple[str, str], list[str]] = {}
+        for p in listed:
+            rules.setdefault((p.target, p.label), []).append(p.pattern)
         found = F.concat(*[
-            F.when(F.col("target") == p.target, _matches(F.col("text"), F.lit(p.pattern), F.lit(p.label)))
-            .otherwise(F.array().cast("array<struct<entity:string,label:string>>"))
-            for p in sorted(listed)
+            F.when(
+                F.col("target") == target, _labelled(F.concat(*[_matches(F.lit(p)) for p in of_label]), F.lit(label))
+            ).otherwise(F.array().cast("array<struct<entity:string,label:string>>"))
+            for (target, label), of_label in rules.items()
         ])
-        hits = compute_once(chunks, "_all", F.array_distinct(found)).select(*_POSITION, F.explode("_all").alias("_m"))
+        hits = compute_once(chunks, "_all", found)
     else:
-        rules = patterns.groupBy("target").agg(F.collect_list(F.struct("label", "pattern")).alias("_rules"))
-        per_rule = F.flatten(
-            F.transform(F.col("_rules"), lambda r: _matches(F.col("text"), r["pattern"], r["label"]))
-        )
-        joined = compute_once(join_dimension(chunks, rules, ["target"]), "_all", F.array_distinct(per_rule))
-        hits = joined.select(*_POSITION, F.explode("_all").alias("_m"))
-    return _mentions(hits.select(*_POSITION, "_m.entity", "_m.label"), RULE)
+        by_label = patterns.groupBy("target", "label").agg(F.collect_list("pattern").alias("patterns"))
+        rules = by_label.groupBy("target").agg(F.collect_list(F.struct("label", "patterns")).alias("_rules"))
+        found = F.flatten(F.transform(
+            "_rules", lambda r: _labelled(F.flatten(F.transform(r["patterns"], _matches)), r["label"])
+        ))
+        hits = compute_once(join_dimension(chunks, rules, ["target"]), "_all", found)
+    return _mentions(hits.select(*_POSITION, F.explode("_all").alias("_m")).select(*_POSITION, "_m.*"), RULE)
 
 
 def _mentions(hits: DataFrame, priority: int) -> DataFrame:
@@ -78,12 +92,17 @@ def recognize_entities(
 
     marked = chunks.select(*_POSITION, text.strip_markup(F.col("text")).alias("_plain"))
     found = compute_once(marked, "_found", recognize(F.col("_plain")))
-    stripped = F.transform(
-        "_found", lambda m: F.struct(text.strip(m["entity"]).alias("entity"), m["label"].alias("label"))
-    )
-    found = compute_once(found, "_all", F.array_distinct(stripped))
-    hits = found.select(*_POSITION, F.explode("_all").alias("_m"))
-    return _mentions(allow_labels(hits.select(*_POSITION, "_m.entity", "_m.label"), labels), MODEL)
+
+    def named(label: str) -> Column:
+        of_label = F.filter("_found", lambda m: m["label"] == label)
+        return _labelled(F.transform(of_label, lambda m: m["entity"]), F.lit(label))
+
+    if not labels:
+        return _mentions(
+            chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label")).filter(F.lit(False)), MODEL
+        )
+    hits = compute_once(found, "_all", F.concat(*[named(label) for label in dict.fromkeys(labels)]))
+    return _mentions(hits.select(*_POSITION, F.explode("_all").alias("_m")).select(*_POSITION, "_m.*"), MODEL)
 
 
 def allow_labels(df: DataFrame, labels: Sequence[str]) -> DataFrame:
