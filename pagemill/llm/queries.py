@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import simhash
+from pagemill.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +23,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Encode and decode every text; ``path`` is the rank file, by default the public multilingual one."""
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_simhash,)}
+    return {f.__name__: f for f in (op5_simhash, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
