@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, simhash
+from pagemill.llm import bpe, langid, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents of the other two folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id"), 3) == 1
+    model = langid.train(docs.filter(~held_out).select("text", "lang"))
+    answer = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return answer.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_simhash, op8_bpe)}
+    return {f.__name__: f for f in (op4_language_id, op5_simhash, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -124,21 +124,16 @@ def _block(parts: list[tuple[int, int, str]]) -> Words:
     return Words(np.array([n for n, _, _ in parts], np.int64)[part], hashes, start + shift[part], end + shift[part])
 
 
-def whole_texts(texts: Iterable[str | None], size: int = BLOCK) -> Iterator[Words]:
-    """As ``blocks``, but all words of a text come in one block, of hashes and positions only."""
-    held: list[Words] = []
+def overlapping(texts: Iterable[str | None], keep: int, size: int = BLOCK) -> Iterator[Words]:
+    """As ``blocks``, each block beginning with the last ``keep`` words of a text that it continues."""
+    tail: Words | None = None
     for block in blocks(texts, size):
-        held.append(block)
-        joined = held[0] if len(held) == 1 else Words(*map(np.concatenate, zip(*held)))
-        if not len(joined.text):
-            held = []
-            continue
-        cut = int(np.searchsorted(joined.text, joined.text[-1]))
-        if cut:
-            yield Words(*[x[:cut] for x in joined])
-        held = [Words(*[x[cut:] for x in joined])]
-    if held and len(held[0].text):
-        yield held[0]
+        if tail is not None and len(block.text) and block.text[0] == tail.text[0]:
+            block = Words(*map(np.concatenate, zip(tail, block)))
+        if len(block.text):
+            same = block.text[-keep:] == block.text[-1]
+            tail = Words(*[x[-keep:][same] for x in block])
+            yield block
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
