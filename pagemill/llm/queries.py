@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, langid, simhash
+from pagemill.llm import bpe, decontaminate, langid, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,8 +45,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id, op5_simhash, op8_bpe)}
+    return {f.__name__: f for f in (op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
