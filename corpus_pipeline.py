@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import simhash
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
+from pagemill.llm.queries import table
 from pagemill.operators.scale import stage
 
+LEAST_LANGUAGE_SCORE = 0.5
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group."""
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language; the model learns from the labelled ones among them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return langid.keep_identified(docs, langid.train(docs.select("text", "lang")), LEAST_LANGUAGE_SCORE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates)]
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the passages that stand elsewhere; ``n_chars`` follows."""
+    return paragraphs.remove(docs)
+
+
+def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token ids, with their count and whether they decode to the text."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    made = bpe.decode(bpe.encode(docs, path), path)
+    whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("simhash_near_dedup", one_of_each_group),
+    ("substring_dedup", without_repeated_passages),
+    ("benchmark_decontamination", without_benchmark_items),
+    ("byte_level_bpe", token_ids),
+]
 
-# XXH64 fingerprints and byte-pair merges have no SQL form; tests/llm holds the stages against plain versions.
+# XXH64 fingerprints, learned models and byte-pair merges have no SQL form; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 

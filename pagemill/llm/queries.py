@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, simhash
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +50,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All occurrences of repeated passages, and which of them stays."""
+    return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("doc")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -166,8 +166,8 @@ def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -
     """The rows of ``docs`` less all but one document of each near-duplicate group.
 
     The document named by ``component_id`` stays, with all its columns.  Of
-    repeated rows with that id, and of rows in a group without any id, one row
-    stays: the one with the smallest content hash, then the first of equals.
+    several rows with that id, and of rows in a group without any id, one
+    stays, whichever Spark meets first.
     """
     answer = near_duplicates(docs, text=text, doc_id=doc_id)
     ids = answer.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
