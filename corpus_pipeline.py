@@ -10,7 +10,7 @@ from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
 from pagemill.llm.queries import table
 from pagemill.operators.scale import stage
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.4  # a single ambiguous word stays; texts without letters go
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
