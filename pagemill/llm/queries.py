@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,9 +55,27 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated(table(spark, sf_dir, "documents")).drop("doc")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to archives and back."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    told = warc.summary(warc.read(warc.archive(spark, pages), data=False))
+    return told.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT h, max(page_id) AS stored FROM p WHERE strlen(h) >= 1000 GROUP BY h HAVING count(*) > 1)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN stored > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored > page_id THEN stored END AS refers_to
+FROM p LEFT JOIN r ON p.h = r.h
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL}
