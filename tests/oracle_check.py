@@ -26,7 +26,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     """Rows with columns in name order, comparable whatever the engine."""
 
     def cell(value):
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return ""
         if isinstance(value, float):
             return repr(value + 0.0)
