@@ -160,7 +160,7 @@ def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFram
     wanted = wanted.groupBy("content").agg(one).select("content", "at.*")
     sets = stage(_shingle_sets(docs, wanted, text, doc_id), "shingle-sets")
     size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = shared.join(size, "key")
+    sized = stage(shared.join(size, "key"), "sized-bands")
     crowded = sized.filter(F.col("n") > BUCKET).select("content", "key").join(sets, "content")
     finer = [
         F.xxhash64("key", F.lit(b), *[F.array_min(F.transform("shingles", lambda x, s=b * 3 + r: F.xxhash64(x, F.lit(s)))) for r in range(3)])
@@ -168,13 +168,13 @@ def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFram
     ]
     split = stage(crowded.select("content", F.explode(F.array(*finer)).alias("key")).distinct(), "finer-bands")
     split_size = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"))
-    split = split.join(split_size.filter("n > 1"), "key")
+    split = stage(split.join(split_size.filter("n > 1"), "key"), "sized-finer-bands")
     few = sized.filter((F.col("n") <= BUCKET) & (F.col("n") > 1)).select("content", "key").union(
         split.filter(F.col("n") <= BUCKET).select("content", "key")
     )
     pairs = few.select(F.col("content").alias("a"), "key").join(few.select(F.col("content").alias("b"), "key"), "key").filter("a < b")
     starred = split.filter(F.col("n") > BUCKET).select(F.col("least").alias("a"), F.col("content").alias("b")).filter("a != b")
-    pairs = pairs.select("a", "b").union(starred).distinct()
+    pairs = stage(pairs.select("a", "b").union(starred).distinct(), "passage-pairs")
     left, right = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     whole = F.size("sa") + F.size("sb") - both
@@ -192,13 +192,14 @@ def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     found.  Null and empty texts, and lines and texts of fewer than 24 words, have no
     paragraphs.  Rows equal in id and text are one document.
     """
-    found = stage(paragraphs(docs, text, doc_id), "paragraphs").distinct()
+    found = stage(paragraphs(docs, text, doc_id), "paragraphs")
     links = stage(_near(docs, found, text, doc_id), "passage-links")
     roots = stage(connected_components(links).select(F.col("node").alias("content"), "root"), "passage-roots")
     kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "start", "end"))
-    alike = found.groupBy("content").agg(F.count(F.lit(1)).alias("n"), kept.alias("kept"))
+    place = F.struct("doc", "start", "end")
+    alike = found.groupBy("content").agg(kept.alias("kept"), (F.min(place) != F.max(place)).alias("again"))
     classes = stage(
-        join_dimension(alike, roots, ["content"], "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "content")),
+        join_dimension(alike, roots, ["content"], "left").filter("again or root is not null").withColumn("root", F.coalesce("root", "content")),
         "passage-classes",
     )
     keepers = classes.groupBy("root").agg(F.min("kept").alias("kept"))
@@ -208,7 +209,7 @@ def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     return rows.select(
         "doc", "doc_id", "start", "end", F.col("root").alias("component_id"),
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"),
-    )
+    ).distinct()
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:

@@ -48,7 +48,7 @@ def test_similar_lines_against_all_pairs(spark):
             lines.append(" ".join(changed))
     rng.shuffle(lines)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    found = P.stage(P.paragraphs(docs), "t").distinct()
+    found = P.stage(P.paragraphs(docs), "t")
     whole = {r.content: r.doc_id for r in found.filter(P.F.size("keys") == P.BANDS).collect()}
     got = {tuple(sorted((whole[r.a], whole[r.b]))) for r in P._near(docs, found, "text", "doc_id").collect() if r.a in whole and r.b in whole}
     sets = {i: plain_shingles(t)[0] for i, t in enumerate(lines)}
