@@ -27,7 +27,6 @@ LENGTH = 24  # words of a paragraph inside a line, and the fewest of a line
 GAP = 27
 BANDS, ROWS = 6, 2  # of lines: two with Jaccard 0.8 meet with probability 0.998
 BUCKET = 16  # contents under a band beyond which the band is split by further hashes
-_OVERLAP = 8192
 _ODD = [int(x) | 1 for x in W.mix(np.arange(1, 65, dtype=np.uint64))]
 
 
@@ -40,22 +39,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
-    """(text number, offset, piece) in blocks; pieces of one long text overlap."""
-    held, size = [], 0
-    for number, text in enumerate(texts):
-        for offset, piece in W.pieces(text or ""):
-            back = max(0, offset - _OVERLAP)
-            piece = text[back:offset] + piece if offset else piece
-            if held and size + len(piece) > W.BLOCK:
-                yield held
-                held, size = [], 0
-            held.append((number, back if offset else 0, piece))
-            size += len(piece) + 1
-    if held:
-        yield held
-
-
 def _anchors(text: np.ndarray, values: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Word places at which paragraphs inside lines begin: content-defined ones, each text's first and its last."""
     usable = sizes >= LENGTH
@@ -119,7 +102,7 @@ def paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for parts in _parts(list(batch["text"])):
+            for parts in W.parts(list(batch["text"])):
                 found = _block(parts)
                 if len(found):
                     found = found.drop_duplicates(["text", "start", "end"])

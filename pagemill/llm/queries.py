@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, warc
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,8 +63,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector."""
+    rows = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(rows, rows.filter(F.pmod("vec_id", F.lit(50)) == 0), 5)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe, op10_topk)}
 
 
 OP3_SQL = """
@@ -77,5 +83,17 @@ FROM p LEFT JOIN r ON p.h = r.h
 """
 
 
+OP10_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda t: t[1] * t[2])) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE k <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL}
+    return {"op3_warc": OP3_SQL, "op10_topk": OP10_SQL}

@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 
 POINTS = 0x110000
+OVERLAP = 8192  # code points that pieces of a long text share in ``parts``
 BLOCK = 1 << 20  # code points handled at once; only a longer single word exceeds it
 
 
@@ -136,6 +137,22 @@ def overlapping(texts: Iterable[str | None], keep: int, size: int = BLOCK) -> It
             yield block
 
 
+def parts(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
+    """(text number, offset, piece) in blocks of bounded size; pieces of one long text overlap, and each holds whole words."""
+    held, size = [], 0
+    for number, text in enumerate(texts):
+        for offset, piece in pieces(text or ""):
+            back = max(0, offset - OVERLAP)
+            piece = text[back:offset] + piece if offset else piece
+            if held and size + len(piece) > BLOCK:
+                yield held
+                held, size = [], 0
+            held.append((number, back if offset else 0, piece))
+            size += len(piece) + 1
+    if held:
+        yield held
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every run of ``size`` words within a text, and the place of its first word in ``words``."""
     n = len(words.hash) - size + 1

@@ -77,8 +77,8 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = P._block([(0, 0, text)])
     monkeypatch.setattr(P.W, "BLOCK", 9000)
     monkeypatch.setattr(P.W.pieces, "__defaults__", (9000,))
-    monkeypatch.setattr(P, "_OVERLAP", 2000)
-    cut = P.pd.concat([P._block(parts) for parts in P._parts([text, None, text])])
+    monkeypatch.setattr(P.W, "OVERLAP", 2000)
+    cut = P.pd.concat([P._block(parts) for parts in P.W.parts([text, None, text])])
     for n in (0, 2):
         mine = cut[cut["text"] == n]
         assert set(zip(whole["start"], whole["end"], whole["content"])) <= set(zip(mine["start"], mine["end"], mine["content"]))
