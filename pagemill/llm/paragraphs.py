@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
 from pagemill.llm.components import connected_components
-from pagemill.operators.scale import join_dimension, stage
+from pagemill.operators.scale import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -117,7 +117,7 @@ def paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(content, shingles): the distinct shingle hashes of one occurrence of each wanted content."""
     places = wanted.groupBy("doc").agg(F.collect_list(F.struct("content", "start", "end")).alias("places"))
-    rows = join_dimension(docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")), stage(places, "passages-read"), ["doc"])
+    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places, "passages-read"), "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -134,12 +134,13 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
 
 def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Verified links (a, b) between different contents that share a band."""
-    banded = found.select("content", F.explode("keys").alias("key"))
+    lines = found.filter(F.size("keys") > 0)
+    banded = lines.select("content", F.explode("keys").alias("key"))
     mixed = banded.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low != high")
     mixed = stage(mixed.select("key"), "bands")
-    shared = stage(join_dimension(banded, mixed, ["key"], "left_semi").distinct(), "banded")
+    shared = stage(banded.join(mixed, "key", "left_semi").distinct(), "banded")
     one = F.min(F.struct("doc", "start", "end")).alias("at")
-    wanted = join_dimension(found, stage(shared.select("content").distinct(), "contents"), ["content"], "left_semi")
+    wanted = lines.join(stage(shared.select("content").distinct(), "contents"), "content", "left_semi")
     wanted = wanted.groupBy("content").agg(one).select("content", "at.*")
     sets = stage(_shingle_sets(docs, wanted, text, doc_id), "shingle-sets")
     size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -173,7 +174,8 @@ def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     the one occurrence that stays, that of the smallest (doc_id, doc, start),
     null ids last; all others are ``removed``.  A passage of 50 words is always
     found.  Null and empty texts, and lines and texts of fewer than 24 words, have no
-    paragraphs.  Rows equal in id and text are one document.
+    paragraphs.  Rows equal in id and text are copies of one document: they repeat
+    nothing of each other, and each has its rows.
     """
     found = stage(paragraphs(docs, text, doc_id), "paragraphs")
     links = stage(_near(docs, found, text, doc_id), "passage-links")
@@ -182,17 +184,17 @@ def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     place = F.struct("doc", "start", "end")
     alike = found.groupBy("content").agg(kept.alias("kept"), (F.min(place) != F.max(place)).alias("again"))
     classes = stage(
-        join_dimension(alike, roots, ["content"], "left").filter("again or root is not null").withColumn("root", F.coalesce("root", "content")),
+        alike.join(roots, "content", "left").filter("again or root is not null").withColumn("root", F.coalesce("root", "content")),
         "passage-classes",
     )
     keepers = classes.groupBy("root").agg(F.min("kept").alias("kept"))
     answer = classes.select("content", "root").join(keepers, "root")
-    rows = join_dimension(found.drop("keys"), stage(answer, "passage-keepers"), ["content"])
+    rows = found.drop("keys").join(stage(answer, "passage-keepers"), "content")
     stays = (F.col("doc") == F.col("kept.doc")) & (F.col("start") == F.col("kept.start")) & (F.col("end") == F.col("kept.end"))
     return rows.select(
         "doc", "doc_id", "start", "end", F.col("root").alias("component_id"),
         F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start"), (~stays).alias("removed"),
-    ).distinct()
+    )
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -224,7 +226,7 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lengt
         for texts, lists in batches:
             yield pd.Series([t if s is None else _cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, lists)])
 
-    marked = join_dimension(docs.withColumn("_doc", F.xxhash64(doc_id, text)), spans, ["_doc"], "left", max_rows=50_000)
+    marked = docs.withColumn("_doc", F.xxhash64(doc_id, text)).join(spans, "_doc", "left")
     made = marked.withColumn(text, cut(F.col(text), F.col("_spans")))
     if length in docs.columns:
         made = made.withColumn(length, F.when(F.col("_spans").isNull(), F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType))
