@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, topk, warc
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +69,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows, rows.filter(F.pmod("vec_id", F.lit(50)) == 0), 5)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of the other four folds."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs.filter(~held_out), labels.filter(~held_out))
+    answer = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return answer.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
 
 
 OP3_SQL = """
