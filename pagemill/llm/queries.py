@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, topk, toxicity, warc
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, templates, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +78,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
 
 
 OP3_SQL = """
