@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.words import BLOCK, POINTS, codepoints
 
-CACHED = 400_000  # pre-tokens whose ids a Python worker remembers
+CACHED = 150_000  # pre-tokens whose ids a Python worker remembers
 _SHORT = 48  # bytes up to which merges scan the piece instead of keeping a heap
 
 # Classes of code points.

@@ -16,22 +16,23 @@ from pagemill.operators.scale import join_dimension, stage
 
 SAMPLE_DOCS = 1500  # labelled documents per language that the model is fitted on
 SAMPLE_CHARS = 6_000_000  # and their characters, over all of a language's documents
-WORDS = 150_000  # words in the model, over all languages
-GRAMS = 100_000  # n-grams in the model
+WORDS = 100_000  # words in the model, over all languages
+GRAMS = 60_000  # n-grams in the model
 MAX_N = 4
 ENOUGH = 20  # words of evidence beyond which a score gains no more
-REMEMBERED = 200_000
+REMEMBERED = 100_000  # unseen words whose score a Python worker keeps
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language: of words and of n-grams (with ``<`` and ``>`` as word ends)."""
+    """Log frequencies by language: a table, and the rows in it of words and of n-grams (with ``<`` and ``>`` as word ends)."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
 
 
 def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -48,16 +49,12 @@ def sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int
     return join_dimension(rows.select("text", "lang", draw), share, ["lang"]).filter("draw <= share").select("text", "lang")
 
 
-def _logs(counts: pd.DataFrame, key: str, languages: list[str]) -> dict[str, np.ndarray]:
-    """Smoothed log frequency of each key by language, each key's languages against a common floor."""
-    index = {lang: i for i, lang in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    for k, lang, n in zip(counts[key], counts["lang"], counts["n"]):
-        if k not in table:
-            table[k] = np.full(len(languages), 0.1)
-        table[k][index[lang]] += n
-    totals = np.sum(list(table.values()), 0) if table else np.ones(len(languages))
-    return {k: np.log(v / totals) for k, v in table.items()}
+def _logs(counts: pd.DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """Keys and the smoothed log frequency of each by language."""
+    row, keys = pd.factorize(counts[key])
+    table = np.full((len(keys), len(languages)), 0.1)
+    np.add.at(table, (row, pd.Index(languages).get_indexer(counts["lang"])), counts["n"].to_numpy())
+    return list(keys), np.log(table / np.maximum(table.sum(0), 1e-9))
 
 
 def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS, **bounds: int) -> Model:
@@ -86,52 +83,56 @@ def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS, **boun
         .toPandas()
     )
     languages = sorted(set(top["lang"]) | set(short["lang"]))
-    by_order = [_logs(g, "gram", languages) for _, g in short.groupby(short["gram"].str.len())]
-    return Model(languages, _logs(top, "word", languages), {k: v for part in by_order for k, v in part.items()})
+    logs = [_logs(top, "word", languages), *[_logs(g, "gram", languages) for _, g in short.groupby(short["gram"].str.len())]]
+    keys = [k for part, _ in logs for k in part]
+    n = len(logs[0][0])
+    table = np.concatenate([t for _, t in logs]).astype(np.float32)
+    return Model(languages, {k: i for i, k in enumerate(keys[:n])}, {k: i for i, k in enumerate(keys[n:], n)}, table)
 
 
 class Scorer:
+    """Scores texts; unseen words met are remembered up to a bound."""
+
     def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, np.ndarray] = dict(model.words)
-        self.zero = np.zeros(len(model.languages))
+        self.model, n = model, len(model.table)
+        self.table = np.concatenate([model.table, np.zeros((REMEMBERED, len(model.languages)), np.float32)])
+        self.first = self.free = n
+        self.known = dict(model.words)
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> np.ndarray | float:
         """Mean log frequency of the longest n-grams known at all, from four letters down to one."""
         edged, grams = f"<{word}>", self.model.grams
         for k in range(MAX_N, 0, -1):
-            found = [v for i in range(len(edged) - k + 1) if (v := grams.get(edged[i : i + k])) is not None]
+            found = [r for i in range(len(edged) - k + 1) if (r := grams.get(edged[i : i + k])) is not None]
             if found:
-                return np.mean(found, 0)
-        return self.zero
+                return self.model.table[found].mean(0)
+        return 0.0
+
+    def _row(self, word: str) -> int:
+        row = self.known[word] = self.free
+        self.table[row] = self.unseen(word)
+        self.free += 1
+        return row
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         counts = Counter(_WORD.findall((text or "").lower()))
         if not counts or not self.model.languages:
             return UNKNOWN, 0.0
-        known, rows = self.known, []
-        for word in counts:
-            value = known.get(word)
-            if value is None:
-                value = self.unseen(word)
-                if len(known) > len(self.model.words) + REMEMBERED:
-                    self.known = known = dict(self.model.words)
-                known[word] = value
-            rows.append(value)
-        n = np.fromiter(counts.values(), float, len(counts))
-        total = n @ np.array(rows) * min(1.0, ENOUGH / n.sum())
+        total, words = np.zeros(len(self.model.languages)), list(counts)
+        for at in range(0, len(words), REMEMBERED):
+            part = words[at : at + REMEMBERED]
+            if self.free + len(part) > len(self.table):
+                self.known, self.free = dict(self.model.words), self.first
+            known = self.known
+            rows = [r if (r := known.get(w)) is not None else self._row(w) for w in part]
+            total += np.fromiter((counts[w] for w in part), float, len(part)) @ self.table[rows]
+        total *= min(1.0, ENOUGH / sum(counts.values()))
         odds = np.exp(total - total.max())
         best = int(odds.argmax())
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the winner's posterior, 0 to 1), from the whole text only.
-
-    A text that is null or has no letter is ``und`` with score 0, and so is any
-    text if nothing was learned.  Equal scores go to the first language A-Z.
-    Columns of the two names are replaced; rows are neither added nor lost.
-    """
+def _judged(docs: DataFrame, model: Model, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -140,15 +141,24 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([scorer(t) for t in batch], columns=["lang_pred", "score"])
 
-    marked = docs.drop("lang_pred", "score").withColumn("_language", run(F.col(text)))
+    return docs.withColumn("_language", run(F.col(text)))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (the winner's posterior, 0 to 1), from the whole text only.
+
+    A text that is null or has no letter is ``und`` with score 0, and so is any
+    text if nothing was learned.  Equal scores go to the first language A-Z.
+    Columns of the two names are replaced; rows are neither added nor lost.
+    """
+    marked = _judged(docs.drop("lang_pred", "score"), model, text)
     return marked.select("*", "_language.lang_pred", "_language.score").drop("_language")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more, columns as they were."""
-    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
-    kept = predict(judged, model, "_text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return kept.select("_row.*")
+    known = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)
+    return _judged(docs, model, "text").filter(known).drop("_language")
 
 
 def fold(doc_id: Column, parts: int) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 
 POINTS = 0x110000
 OVERLAP = 8192  # code points that pieces of a long text share in ``parts``
-BLOCK = 1 << 20  # code points handled at once; only a longer single word exceeds it
+BLOCK = 1 << 18  # code points handled at once; only a longer single word exceeds it
 
 
 class Words(NamedTuple):
@@ -78,7 +78,7 @@ def hashed_words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     inside[1:-1] = word_table()[points]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    power, inverse = _powers(1 << max(20, int(len(points)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(points)).bit_length()))
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(_value_table()[points] * power[: len(points)], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start]), start, end

@@ -26,16 +26,23 @@ def test_held_out_accuracy(spark, answers):
 def test_backoff_to_shorter_grams():
     import numpy as np
 
-    model = langid.Model(
-        ["a", "b"],
-        {"known": np.log([0.9, 0.1])},
-        {"xyz>": np.log([0.1, 0.9]), "x": np.log([0.8, 0.2]), "q": np.log([0.3, 0.7])},
-    )
+    table = np.log(np.array([[0.9, 0.1], [0.1, 0.9], [0.8, 0.2], [0.3, 0.7]], np.float32))
+    model = langid.Model(["a", "b"], {"known": 0}, {"xyz>": 1, "x": 2, "q": 3}, table)
     scorer = langid.Scorer(model)
     assert scorer("known")[0] == "a" and scorer("qxyz")[0] == "b" and scorer("mx")[0] == "a" and scorer("Q")[0] == "b"
     assert scorer("known")[1] == pytest.approx(0.9)
     assert scorer(None) == scorer("12 !") == ("und", 0.0)
-    assert scorer("ww") == ("a", 0.5)
+    assert scorer("ww") == ("a", 0.5) and scorer("qxyz qxyz mx")[0] == "b"
+
+
+def test_remembered_words_have_a_bound(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(langid, "REMEMBERED", 3)
+    model = langid.Model(["a", "b"], {"w": 0}, {"x": 1, "y": 2}, np.log(np.array([[0.5, 0.5], [0.9, 0.1], [0.2, 0.8]], np.float32)))
+    scorer = langid.Scorer(model)
+    want = [langid.Scorer(model)(t) for t in ("xa xb xc xd ya w", "ya yb", "xa")]
+    assert [scorer(t) for t in ("xa xb xc xd ya w", "ya yb", "xa")] == want and len(scorer.table) == 6
 
 
 def test_odd_rows(spark):
