@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, templates, topk, toxicity, warc
+from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, templates, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,8 +83,29 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+# Edits of the token count query: what a cleaning step replaces.
+CLEANING = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]"),
+    (r"\d{4,}", "0"),
+    (r"[#$%&*]{3,}", ""),
+    (r"Licensed under [^\n]*", ""),
+]
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Tokens of every document before and after its cleaning edits, and how much was encoded again for them."""
+    path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count(docs, path).withColumns({"n_tokens": F.col("sums")[1], "edits": token_counts.replacements(F.col("text"), CLEANING)})
+    after = token_counts.apply_edits(counted, path)
+    return after.select(
+        "doc_id", "n_tokens", F.size("edits").cast("long").alias("n_edits"), F.col("sums")[1].alias("n_tokens_edited"),
+        F.length("text").cast("long").alias("n_chars_edited"), "n_encoded",
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
 
 
 OP3_SQL = """

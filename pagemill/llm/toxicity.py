@@ -20,7 +20,7 @@ from pagemill.llm import words as W
 from pagemill.operators.scale import join_dimension, stage
 
 SAMPLE_DOCS = 2000  # labelled documents of each class that the model is fitted on
-SAMPLE_CHARS = 8_000_000  # characters of all of them together
+SAMPLE_CHARS = 5_000_000  # characters of all of them together
 BITS = 17  # of the table of subword vectors
 WIDTH = 8
 PASSAGE = 6  # words averaged
