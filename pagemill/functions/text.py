@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ BOILERPLATE = [
     r"© \d{4}.* All rights reserved.",
 ]
 
-# Named character references that are decoded.
+# Frequent character references, looked up before the whole public table.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0",
     "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
@@ -103,28 +104,33 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
 
 
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|" + "|".join(ENTITIES) + ");"
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def _code_point(digits: Column, base: int) -> Column:
     """Character for a numeric reference; unusable numbers become U+FFFD."""
-    number = F.conv(digits, base, 10).cast("long")
-    usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    shown = F.ltrim(digits, F.lit("0"))
+    number = F.when(F.length(shown).between(1, 7), F.conv(shown, base, 10)).cast("long")
+    usable = F.coalesce(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.lit(False))
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     return F.when(usable, char).otherwise(F.lit("\ufffd"))
 
 
 def decode_entities(col: Column) -> Column:
-    """Decode numeric and common named character references; others stay as text."""
-    # one literal that folds to a constant map
-    table = json.dumps({f"&{name};": char for name, char in ENTITIES.items()})
-    named = F.from_json(F.lit(table), "map<string,string>")
+    """Decode numeric and all named character references; unknown names stay as text."""
+
+    def table(entries: dict[str, str]) -> Column:
+        # one literal that folds to a constant map
+        return F.from_json(F.lit(json.dumps({f"&{name};": char for name, char in entries.items()})), "map<string,string>")
+
+    frequent = table(ENTITIES)
+    every = table({name[:-1]: char for name, char in html5.items() if name.endswith(";")})
 
     def character(ref: Column) -> Column:
         return (
             F.when(F.rlike(ref, F.lit("^&#[xX]")), _code_point(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16))
             .when(F.startswith(ref, F.lit("&#")), _code_point(F.regexp_extract(ref, "([0-9]+)", 1), 10))
-            .otherwise(F.element_at(named, ref))
+            .otherwise(F.coalesce(F.element_at(frequent, ref), F.element_at(every, ref), ref))
         )
 
     def decoded(c: Column) -> Column:
@@ -153,7 +159,7 @@ def _park_escapes(col: Column) -> Column:
     return reduce(lambda acc, p: F.replace(acc, F.lit("\\" + p[0]), F.lit(p[1])), pairs, col)
 
 
-# Markup rules applied line-wise, then inline.
+# Markup rules applied line-wise, then inline.
 _RAW_HTML = [
     (r"(?s)<!--.*?-->", ""),
     (r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>", ""),
@@ -169,10 +175,11 @@ _BLOCKS = [
     (r"(?md)^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+", ""),
     (r"(?md)^ {0,3}#{1,6}(?:[ \t]+|$)", ""),
 ]
-_STAR = (rf"\*([^\s*{_PARAGRAPH}](?:[^*{_PARAGRAPH}]*[^\s*{_PARAGRAPH}])?)\*", "$1")
+# Runs of marks of any length around their text.
+_STAR = (rf"(\*+)([^\s*{_PARAGRAPH}](?:[^*{_PARAGRAPH}]*[^\s*{_PARAGRAPH}])?)\1", "$2")
 _UNDERSCORE = (
-    rf"(^|[^\p{{L}}\p{{N}}_])_([^\s_{_PARAGRAPH}](?:[^_{_PARAGRAPH}]*[^\s_{_PARAGRAPH}])?)_($|[^\p{{L}}\p{{N}}_])",
-    "$1$2$3",
+    rf"(^|[^\p{{L}}\p{{N}}_])(_+)([^\s_{_PARAGRAPH}](?:[^_{_PARAGRAPH}]*[^\s_{_PARAGRAPH}])?)\2($|[^\p{{L}}\p{{N}}_])",
+    "$1$3$4",
 )
 
 

@@ -44,8 +44,9 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
 
     A chunk is one row, so its set is made within the row, without a shuffle.
     A pattern list of ordinary size becomes literal expressions, compiled once
-    per task; a longer one is joined by target.
+    per task; a longer one is joined by target.  Patterns with a null part match nothing.
     """
+    patterns = patterns.filter("target is not null and label is not null and pattern is not null")
     listed = patterns.select("target", "label", "pattern").limit(_MAX_LITERAL_PATTERNS + 1).collect()
     if not listed:
         none = chunks.select(*_POSITION, F.lit("").alias("entity"), F.lit("").alias("label"))

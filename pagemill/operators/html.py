@@ -21,13 +21,23 @@ METADATA_TYPE = "struct<" + ",".join(f"{f}:string" for f in METADATA_FIELDS) + "
 UNWANTED = ["script", "style", "noscript", "iframe", "svg", "canvas", "picture"]
 FURNITURE = ["head", "nav", "header", "footer", "aside", "form"]
 
-_TAG_BODY = r"""(?:[^>"']++|"[^"]*"|'[^']*'){0,200}+"""
+# possessive, so Java repeats the group in a loop and not on the stack
+_TAG_BODY = r"""(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+"""
+_NAME_END = r"(?=[\s/>])"
+# Elements whose content is not markup: without an end tag they reach to the end of the page.
+_RAW = ("script", "style", "noscript", "iframe", "head")
 _ATTRIBUTE = r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def _element(names: list[str]) -> str:
-    """Whole elements, a missing end tag reaching to the end of the page."""
-    return "(?is)" + "|".join(rf"<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)" for n in names)
+    """Whole elements; of others than raw ones without an end tag, and of self-closed ones, the tag alone."""
+    parts = []
+    for n in names:
+        start = rf"<{n}{_NAME_END}"
+        missing = rf"(?:</{n}\s*>|\z)" if n in _RAW else rf"</{n}\s*>"
+        parts += [rf"{start}[^>]*/>", rf"{start}[^>]*>.*?{missing}"]
+        parts += [] if n in _RAW else [rf"{start}[^>]*>"]
+    return "(?is)" + "|".join(parts)
 
 
 def visible_html(html: Column) -> Column:
@@ -42,7 +52,7 @@ def with_visible(pages: DataFrame) -> DataFrame:
 
 def _tags(html: Column, name: str) -> Column:
     """Start tags of one element as structs of lower-cased attribute names and raw values."""
-    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b{_TAG_BODY}>"), F.lit(0))
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{name}{_NAME_END}{_TAG_BODY}>"), F.lit(0))
     return F.transform(
         found,
         lambda t: F.struct(
@@ -243,11 +253,16 @@ def _blanks_outside(col: Column) -> Column:
 def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
     """Add the page's main content as markdown; null when there is none.
 
-    Content is the first ``article``, else ``main``, else the page without its
-    furniture.  Missing end tags reach to the end of the page.
+    Content is what lies from the first ``article`` to the end of the last, else
+    ``main`` likewise, else the page without its furniture.  Without an end tag they
+    reach to the end of the page.
     """
     star, head = _MARKS["*"], _MARKS["#"]
-    region = lambda name: F.regexp_extract("_bare", rf"(?is)<{name}\b[^>]*>(.*?)(?:</{name}\s*>|\z)", 1)
+
+    def region(name: str) -> Column:
+        closed, open_ = (F.regexp_extract("_bare", rf"(?is)<{name}{_NAME_END}[^>]*>(.*){end}", 1) for end in (rf"</{name}\s*>", r"\z"))
+        return F.coalesce(text.empty_to_null(closed), open_)
+
     whole = F.regexp_replace("_bare", _element(FURNITURE), "")
     inline = [
         _emphasis("em|i", star),

@@ -85,7 +85,12 @@ def _objects(column) -> np.ndarray:
 def _prepared(vectors: DataFrame, queries: DataFrame, by: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
     block = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
     limit = F.coalesce(F.col("n_results"), F.lit(k)) if "n_results" in queries.columns else F.lit(k)
-    present = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    present = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & sound
+    for c in by:  # a null key equals nothing
+        present = present & F.col(c).isNotNull()
+    width = F.size("embedding").cast("string")
+    block = F.concat_ws("\x1f", block, width)  # vectors are compared with those of their own width only
     v = vectors.filter(present).select(*by, block.alias("_block"), "chunk_id", "embedding")
     q = queries.filter(present).select(
         "query_id", *by, block.alias("_block"), limit.cast("int").alias("n_results"),
@@ -117,10 +122,10 @@ def _scan(v: DataFrame, q: DataFrame, by: Sequence[str], k: int, schema: T.Struc
     table = q.toArrow()
     blocks = np.array(table.column("_block").to_pylist(), object)
     ids, limits = _objects(table.column("query_id")), table.column("n_results").to_numpy()
-    matrix = _matrix(table.column("_vector")) if len(blocks) else np.empty((0, 0))
+    held = table.column("_vector").combine_chunks()
     per_block = {b: np.flatnonzero(blocks == b) for b in set(blocks.tolist())}
     shipped = v.sparkSession.sparkContext.broadcast(
-        {b: (ids[rows], limits[rows], matrix[rows]) for b, rows in per_block.items()}
+        {b: (ids[rows], limits[rows], _matrix(held.take(pa.array(rows)))) for b, rows in per_block.items()}
     )
     wanted = v
     for c in by:
@@ -143,14 +148,13 @@ def _scan(v: DataFrame, q: DataFrame, by: Sequence[str], k: int, schema: T.Struc
                 continue
             coded = batch.column("_block").dictionary_encode()
             codes, chunk_ids = coded.indices.to_numpy(), _objects(batch.column("chunk_id"))
-            vectors = _matrix(batch.column("embedding"))
             for code, name in enumerate(coded.dictionary.to_pylist()):
                 if name not in shipped.value:
                     continue
                 if name not in best:
                     best[name] = _Best(shipped.value[name][2], k)
                 rows = np.flatnonzero(codes == code)
-                best[name].add(vectors[rows], chunk_ids[rows])
+                best[name].add(_matrix(batch.column("embedding").take(pa.array(rows))), chunk_ids[rows])
         for name, found in best.items():
             query_ids, own_limits, _ = shipped.value[name]
             yield pa.RecordBatch.from_pydict(_rows(found, query_ids, own_limits, arrow), schema=arrow)
@@ -219,7 +223,8 @@ def knn(
 
     ``vectors(target, chunk_id, embedding)``, ``queries(query_id, target,
     embedding[, n_results])``.  A query's own ``n_results`` overrides ``k``.
-    Ties are ranked by ``chunk_id``.
+    Ties are ranked by ``chunk_id``.  Rows with a null key, without an embedding, or
+    with a null or NaN component take no part; a query meets vectors of its own width only.
     """
     v, q = _prepared(vectors, queries, by, k)
     schema = _result_type(vectors, queries)

@@ -17,11 +17,14 @@ BROADCAST_BYTES = 64 << 20
 def staging_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, a laptop) a local one is set.
+    Where the session names none, a local master gets a folder of its own; on a
+    cluster that is an error, since executors do not share their disks.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pagemill-"))
         root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -135,22 +138,26 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key of a table in which few keys repeat and ``order`` is unique within a key.
+    """Exactly one row per key, the last in ``order``, of a table in which few keys repeat.
 
+    Of rows equal in ``order``, the one with the largest content hash is last.
     Wide rows are not shuffled: a first pass over keys and order alone finds
-    the repeated keys, and the others pass through.  Meant for staged or stored
-    tables, where that pass reads only those columns.
+    the repeated keys, the others pass through, and only rows of repeated keys
+    are grouped.  Meant for staged or stored tables, where that pass reads only
+    those columns.
     """
-    repeated = stage(
-        df.groupBy(*keys)
-        .agg(F.max(F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1)
-        .select(*keys, "_last"),
-        "repeated",
+    repeated = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*keys), "repeated")
+    marked = join_dimension(df, repeated.withColumn("_again", F.lit(True)), keys, "left")
+    rest = [c for c in df.columns if c not in keys]
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    last = (
+        marked.filter("_again")
+        .groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), F.struct(*order, whole)).alias("_last"))
+        .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
     )
-    marked = join_dimension(df, repeated, keys, "left")
-    latest = F.col("_last").isNull() | (F.struct(*order) == F.col("_last"))
-    return marked.filter(latest).select(*df.columns)
+    return marked.filter("_again is null").select(*df.columns).unionByName(last)
 
 
 def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions import hashing
 from pagemill.operators.scale import dedupe_last, join_dimension, keep_last
@@ -90,16 +91,22 @@ def publish_pack(tables: dict[str, DataFrame], root: str, version: str) -> None:
         write_by_target(table.drop("version").withColumn("version", F.lit(version)), f"{root}/{name}", "version")
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table with its target and version as the texts they were written as, not as numbers or dates."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name in ("target", "version") else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def load_pack(spark: SparkSession, root: str, target: str, version: str | None = None, table: str = "vectors") -> DataFrame:
     """A pack's table for one target, its latest version by default; only its partition is read."""
     check_name(target)
     try:
-        of_target = spark.read.parquet(f"{root}/{table}").filter(F.col("target") == target)
+        versioned = _table(spark, f"{root}/{table}").filter(F.col("target") == target)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         raise PackNotFound(target) from None
-    versioned = of_target.withColumn("version", F.col("version").cast("string"))
     wanted = version or versioned.agg(F.max("version")).first()[0]
     pack = versioned.filter(F.col("version") == wanted)
     if wanted is None or pack.isEmpty():
@@ -113,7 +120,7 @@ def load_packs(spark: SparkSession, root: str, table: str = "vectors") -> DataFr
     An ordinary number of packs is listed in the filter, which prunes the
     partitions of older versions; beyond that they are dropped by a join.
     """
-    everything = spark.read.parquet(f"{root}/{table}").withColumn("version", F.col("version").cast("string"))
+    everything = _table(spark, f"{root}/{table}")
     latest = everything.groupBy("target").agg(F.max("version").alias("version"))
     listed = latest.limit(_MAX_LISTED + 1).collect()
     if len(listed) > _MAX_LISTED:
@@ -121,6 +128,9 @@ def load_packs(spark: SparkSession, root: str, table: str = "vectors") -> DataFr
     return everything.filter(F.concat_ws("/", "target", "version").isin([f"{p.target}/{p.version}" for p in listed]))
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, node_pages: DataFrame | None = None) -> None:
+    """Write nodes and edges by target, and the paged chunk lists of the nodes where given."""
     write_by_target(nodes, f"{path}/nodes")
     write_by_target(edges, f"{path}/edges")
+    if node_pages is not None:
+        write_by_target(node_pages, f"{path}/node_pages")

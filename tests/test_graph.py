@@ -116,3 +116,12 @@ def test_graph_build(spark):
     assert stats == {"t": (3, 1, 1), "v": (1, 0, 1)}
     origin = graph.node_provenance(built["mentions"], built["chunks"]).filter("entity = 'Foo'").collect()
     assert [(r.source_url, r.header) for r in origin] == [("u1", "H")]
+
+
+def test_null_patterns_change_nothing_on_either_side_of_the_bound(spark, monkeypatch):
+    chunks = spark.createDataFrame([("t", 1, 0, "c", "see Alpha and Beta")], "target string, doc_ord long, chunk_idx int, chunk_id string, text string")
+    rows = [("t", "N", r"\b(Alpha|Beta)\b"), ("t", "N", None), (None, "N", "(see)"), ("t", None, "(see)")]
+    patterns = spark.createDataFrame(rows, "target string, label string, pattern string")
+    for bound in (128, 0):
+        monkeypatch.setattr(graph, "_MAX_LITERAL_PATTERNS", bound)
+        assert sorted(r.entity for r in graph.rule_entities(chunks, patterns).collect()) == ["Alpha", "Beta"]

@@ -97,3 +97,21 @@ def test_documents_drop_failed_and_empty_pages(spark):
     rows = [("http://a/1", "<main>x</main>", 200), ("http://a/2", "<main>y</main>", 404), ("http://a/3", "<nav>z</nav>", 200)]
     docs = html.pages_to_documents(spark.createDataFrame(rows, "url string, html string, status int"))
     assert [(r.url, r.markdown) for r in docs.collect()] == [("http://a/1", "x")] and "html" not in docs.columns
+
+
+def test_unusual_markup_loses_nothing(spark):
+    cases = {
+        "many": "<a " + " ".join(f"d{i}='>'" for i in range(5000)) + " href='/far'>x</a><a href=/ok>y</a>",
+        "articles": "<body>out<article>one<article>inner</article>tail</article><article>two</article>out</body>",
+        "names": "<nav-menu>menu</nav-menu><p>kept</p><form-field>f</form-field>",
+        "selfclosed": "<p>a</p><svg/><p>b</p><noscript/>c",
+        "unclosed": "<p>before</p><form action='/x'><p>after</p>",
+        "raw": "<p>seen</p><script>never closed <p>no</p>",
+    }
+    pages = spark.createDataFrame([(f"http://h/{k}", v) for k, v in cases.items()], "url string, html string")
+    got = {r.url[9:]: r.markdown for r in html.main_content_markdown(pages).collect()}
+    for name, words in {"articles": ["one", "inner", "tail", "two"], "names": ["menu", "kept", "f"], "selfclosed": ["a", "b", "c"], "unclosed": ["before", "after"], "raw": ["seen"]}.items():
+        assert all(w in got[name] for w in words), (name, got[name])
+    assert got["articles"].count("out") == 0 and "no" not in got["raw"]
+    links = [r.href for r in html.extract_links(pages.filter("url = 'http://h/many'")).orderBy("pos").collect()]
+    assert links == ["/far", "/ok"]

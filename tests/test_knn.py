@@ -67,3 +67,14 @@ def test_encoder_and_vector_functions(spark):
         vectors.unit(F.col("a")).alias("u"), vectors.unit(F.col("b")).alias("z"), vectors.squared_l2(F.col("a"), F.col("b")).alias("d")
     ).first()
     assert row.u == [0.6, 0.8] and row.z == [0.0, 0.0] and row.d == 25.0
+
+
+def test_keys_widths_and_components_that_take_no_part(spark):
+    vectors = [("a", "1", [1.0, 0.0]), ("a", "2", [1.0, 0.0, 5.0]), ("a", "3", [7.0]), (None, "4", [1.0, 0.0]), ("a", "5", [1.0, None]),
+               ("a", "6", [float("nan"), 0.0]), ("a", "7", []), ("a", "8", None), ("a", "9", [0.0, 0.0])]
+    queries = [(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "a", [7.0]), (4, "a", [None, 1.0])]
+    v = spark.createDataFrame(vectors, "target string, chunk_id string, embedding array<double>")
+    q = spark.createDataFrame(queries, "query_id int, target string, embedding array<double>")
+    for bound in (100, 0):  # scanned, and paired in blocks
+        got = [tuple(r) for r in knn.knn(v, q, 3, max_queries=bound).orderBy("query_id", "rank").collect()]
+        assert got == [(1, 1, "1", 0.0), (1, 2, "9", 1.0), (3, 1, "3", 0.0)]

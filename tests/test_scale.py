@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import scale
@@ -48,3 +49,25 @@ def test_stage_uses_the_shared_folder(spark):
     root = scale.staging_root(spark)
     assert all(f.startswith(root if "://" in root or root.startswith("file:") else "file:") for f in staged.inputFiles())
     assert staged.count() == 5 and scale.stage(spark.range(0), "none").count() == 0
+
+
+def test_keep_last_keeps_one_row_per_key(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 0, "z"), ("b", 1, "x"), ("b", 1, "x"), ("c", None, None), (None, 1, "n")]
+    df = scale.stage(spark.createDataFrame(rows, "k string, o int, v string"), "unit")
+    got = sorted(map(tuple, scale.keep_last(df.filter("k is not null"), ["k"], ["o"]).collect()))
+    assert [r[0] for r in got] == ["a", "b", "c"] and got[0][1] == 1 and got[1:] == [("b", 1, "x"), ("c", None, None)]
+    assert sorted(map(tuple, scale.keep_last(df.filter("k is not null"), ["k"], ["o"]).collect())) == got
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scale.staging_root(Session)

@@ -151,3 +151,13 @@ def test_full_run_and_answers(spark, tmp_path):
     raw = packs.load_packs(spark, settings.output_dir, "chunks")
     hits = stored.filter("target = 'a'").select("target", "chunk_id")
     assert {r.header for r in retrieve.attach_raw_text(hits, raw).collect()} == {"Alpha", "Beta"}
+
+
+def test_names_that_look_like_numbers(spark, tmp_path):
+    for version in ("2024.9", "2024.10"):
+        rows = spark.createDataFrame([("007", f"c{version}", [1.0], "d", "u")], "target string, chunk_id string, embedding array<float>, document string, source_url string")
+        meta = spark.createDataFrame([("007", version, 1, 1, "m")], "framework string, version string, documents_scraped long, chunks_embedded long, embedding_model string")
+        packs.publish_pack({"vectors": rows, "chunks": rows.drop("embedding"), "metadata": meta}, str(tmp_path), version)
+    got = packs.load_pack(spark, str(tmp_path), "007", "2024.10").collect()
+    assert [(r.target, r.version, r.chunk_id) for r in got] == [("007", "2024.10", "c2024.10")]
+    assert {(r.target, r.version) for r in packs.load_packs(spark, str(tmp_path)).collect()} == {("007", "2024.9")}  # versions are texts
