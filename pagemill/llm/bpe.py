@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.words import BLOCK, POINTS, codepoints
 
-CACHED = 150_000  # pre-tokens whose ids a Python worker remembers
+CACHED = 220_000  # pre-tokens whose ids a Python worker remembers, twice over
 _SHORT = 48  # bytes up to which merges scan the piece instead of keeping a heap
 
 # Classes of code points.
@@ -204,6 +204,7 @@ class Codec:
     def __init__(self, path: str):
         self.ranks = ranks_of(path)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         size = max(self.ranks.values()) + 1
         lengths = np.zeros(size, np.int64)
         for token, rank in self.ranks.items():
@@ -239,15 +240,13 @@ class Codec:
             at = end
 
     def _ids(self, tokens: list[str]) -> list[tuple[int, ...]]:
-        known, ranks = self.known, self.ranks
-        if len(known) > CACHED:
-            known.clear()
-        try:
-            return [known[t] for t in tokens]
-        except KeyError:
-            for t in set(tokens).difference(known):
-                known[t] = merge(t.encode("utf-8"), ranks)
-            return [known[t] for t in tokens]
+        """Ids by pre-token, from two generations of memory, so that frequent ones outlive a change."""
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        known, older, ranks = self.known, self.older, self.ranks
+        for t in set(tokens).difference(known):
+            known[t] = older.get(t) or merge(t.encode("utf-8"), ranks)
+        return [known[t] for t in tokens]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]

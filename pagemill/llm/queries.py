@@ -85,7 +85,7 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Edits of the token count query: what a cleaning step replaces.
 CLEANING = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[email]"),
     (r"\d{4,}", "0"),
     (r"[#$%&*]{3,}", ""),
     (r"Licensed under [^\n]*", ""),
