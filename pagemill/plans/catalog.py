@@ -6,6 +6,7 @@ Every query reads whole tables; inputs an operator needs and the tables lack
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -313,10 +314,9 @@ def attach_raw(spark, sf_dir):
     hits, _, _ = _hits(spark, sf_dir)
     raw = (
         table(spark, sf_dir, "documents")
-        .join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-        .join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+        .join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left")
         .select(
-            F.concat(F.lit("label_"), "label").alias("target"), F.col("doc_id").cast("string").alias("chunk_id"),
+            F.concat(F.lit("label_"), F.coalesce("label", F.lit(-1))).alias("target"), F.col("doc_id").cast("string").alias("chunk_id"),
             "text", F.col("source").alias("header"),
         )
     )
@@ -386,17 +386,15 @@ def _rule_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_triples(chunks: DataFrame) -> DataFrame:
-    """Words two to four of every chunk as a triple, then five to seven, where present."""
+    """The words of every chunk but the first, three by three, as triples."""
     found = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    parts = [
-        F.struct(*[F.try_element_at(F.col("_w"), F.lit(i + j)).alias(n) for j, n in enumerate(("subject", "predicate", "object"))])
-        for i in (2, 5)
-    ]
+    n = F.floor((F.size("_w") - 1) / 3).cast("int")
+    triple = lambda i: F.struct(*[F.element_at("_w", i * 3 + j).alias(c) for j, c in enumerate(("subject", "predicate", "object"), 2)])
     return (
         chunks.withColumn("_w", found)
-        .select("target", "doc_ord", "chunk_idx", "chunk_id", F.posexplode(F.array(*parts)).alias("pos", "_t"))
+        .filter(F.size("_w") >= 4)
+        .select("target", "doc_ord", "chunk_idx", "chunk_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), triple)).alias("pos", "_t"))
         .select("target", "doc_ord", "chunk_idx", "chunk_id", "pos", "_t.*")
-        .filter(F.col("object").isNotNull())
     )
 
 
@@ -412,12 +410,18 @@ def recognized_entities(spark, sf_dir):
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model replies made of conversation turns: system turns malformed, user turns without marker."""
-    word = lambda i: F.coalesce(F.try_element_at(F.col("_w"), F.lit(i)), F.lit("none"))
+    """Model replies made of all words of a turn: system turns malformed, user turns without marker."""
+    word = lambda i: F.coalesce(F.try_element_at(F.col("_w"), i), F.lit("none"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.size("_w") / 2).cast("int")) - 1),
+        lambda k: F.concat(
+            F.lit('{"subject": "'), word(k * 2 + 2), F.lit('", "predicate": 7, "object": "'), word(k * 2 + 3), F.lit('"}')
+        ),
+    )
     body = F.concat(
-        F.lit('{"triples": [{"subject": " '), F.col("role"), F.lit('", "predicate": "says", "object": "'), word(1),
-        F.lit('"}, {"subject": "incomplete"}, {"subject": "'), word(2), F.lit('", "predicate": 7, "object": "'), word(3),
-        F.when(F.col("role") == "system", F.lit('"} }')).otherwise(F.lit('"}]}')),
+        F.lit('{"triples": [{"subject": " '), F.col("role"), F.lit('", "predicate": "says", "object": "'), word(F.lit(1)),
+        F.lit('"}, {"subject": "incomplete"}, '), F.array_join(pairs, ", "),
+        F.when(F.col("role") == "system", F.lit(" }")).otherwise(F.lit("]}")),
     )
     lead = F.when(F.col("role") == "user", F.lit("no marker ")).otherwise(F.lit("prompt<|assistant|> reply "))
     turns = table(spark, sf_dir, "conversations").withColumn("_w", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
@@ -487,13 +491,13 @@ def graph_provenance(spark, sf_dir):
 
 def _reply_model() -> Callable[[list[str]], list[str]]:
     def run(prompts: list[str]) -> list[str]:
-        words = [re.findall("[A-Za-z]+", p.rsplit("**Text:**\n", 1)[1]) for p in prompts]
-        return [
-            "echo<|assistant|>\n```json\n"
-            + '{"triples": [{"subject": "%s", "predicate": "%s", "object": "%s"}]}' % tuple((w + ["a", "b", "c"])[:3])
-            + "\n```"
-            for w in words
-        ]
+        out = []
+        for prompt in prompts:
+            words = re.findall("[A-Za-z]+", prompt.rsplit("**Text:**\n", 1)[1])
+            threes = [(words[i : i + 3] + ["a", "b", "c"])[:3] for i in range(0, max(1, len(words)), 3)]
+            said = [dict(zip(("subject", "predicate", "object"), t)) for t in threes]
+            out.append("echo<|assistant|>\n```json\n" + json.dumps({"triples": said}) + "\n```")
+        return out
 
     return run
 
@@ -511,9 +515,11 @@ def graph_build(spark, sf_dir):
 
 # --- crawl -----------------------------------------------------------------
 
-def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _site(spark: SparkSession, sf_dir: str, share: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One site per document source: page n links to 2n and 2n+1, back to n/2, and off-site.
 
+    The page limit is the ``share``-th part of a site.
+
     Toxic documents fail to load; low-quality ones load without content.
     """
     marks = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
@@ -533,7 +539,7 @@ def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
         "abs_url", urls.resolve_url(F.col("src_url"), F.col("href"))
     )
     seeds = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("source").alias("target"), at(F.lit(1)).alias("url"), F.floor(F.col("n") / 3).cast("int").alias("page_limit")
+        F.col("source").alias("target"), at(F.lit(1)).alias("url"), F.floor(F.col("n") / share).cast("int").alias("page_limit")
     )
     return seeds, pages, links
 
@@ -546,8 +552,8 @@ def crawl_ranks(spark, sf_dir):
 
 @query
 def full_run(spark, sf_dir):
-    """Crawl, cache, build and publish the sites; the stored vectors' ids."""
-    seeds, pages, links = _site(spark, sf_dir)
+    """Crawl, cache, build and publish whole sites; the stored vectors' ids."""
+    seeds, pages, links = _site(spark, sf_dir, share=1)
     anchors = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href"))), lambda a: F.concat(
         F.lit('<a href="'), a["href"], F.lit('">to</a> '))), "")
     menus = links.groupBy(F.col("src_url").alias("url")).agg(anchors.alias("menu"))

@@ -310,7 +310,7 @@ FROM v LEFT JOIN found ON found.query_id = v.vec_id
 ATTACH_RAW = f"""
 WITH {_nearest(0)}
 SELECT h.query_id, h.rank, h.chunk_id, d.source AS header, md5(d.text) AS text_md5
-FROM hits h LEFT JOIN (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) d
+FROM hits h LEFT JOIN documents d
   ON CAST(d.doc_id AS VARCHAR) = h.chunk_id
 """
 
@@ -374,8 +374,8 @@ rules AS (
 _FACTS = """
 word AS (SELECT target, doc_id, chunk_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM gchunk),
 facts AS (
-  SELECT target, doc_id, chunk_id, 0 AS pos, w[2] AS subject, w[3] AS predicate, w[4] AS object FROM word WHERE len(w) >= 4
-  UNION ALL SELECT target, doc_id, chunk_id, 1, w[5], w[6], w[7] FROM word WHERE len(w) >= 7
+  SELECT target, doc_id, chunk_id, pos, w[2 + 3 * pos] AS subject, w[3 + 3 * pos] AS predicate, w[4 + 3 * pos] AS object
+  FROM (SELECT *, unnest(range(0, (len(w) - 1) // 3)) AS pos FROM word WHERE len(w) >= 4)
 ),
 mentions AS (
   SELECT target, doc_id, chunk_id, entity, label, 0 AS priority FROM rules
@@ -404,7 +404,8 @@ def _parsed(where: str) -> str:
     return f"""
 WITH {_TURNS}
 SELECT conv_id, turn, 0 AS pos, ' ' || role AS subject, 'says' AS predicate, coalesce(w[1], 'none') AS object FROM turns WHERE {where}
-UNION ALL SELECT conv_id, turn, 2, coalesce(w[2], 'none'), '7', coalesce(w[3], 'none') FROM turns WHERE {where}
+UNION ALL SELECT conv_id, turn, CAST(2 + k AS INTEGER), coalesce(w[2 + 2 * k], 'none'), '7', coalesce(w[3 + 2 * k], 'none')
+FROM (SELECT *, unnest(range(0, greatest(1, len(w) // 2))) AS k FROM turns WHERE {where})
 """
 
 
@@ -440,11 +441,12 @@ FROM mentions m JOIN gchunk g USING (target, chunk_id) GROUP BY 1, 2
 GRAPH_BUILD = f"""
 WITH {_GCHUNK}, word AS (SELECT target, doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM gchunk),
 facts AS (
-  SELECT target, doc_id, coalesce(w[1], 'a') AS src, coalesce(w[2], CASE len(w) WHEN 1 THEN 'a' ELSE 'b' END) AS label,
-    coalesce(w[3], CASE len(w) WHEN 2 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END) AS dst FROM word
+  SELECT target, doc_id, k, coalesce(w[1 + 3 * k], 'a') AS src, coalesce(w[2 + 3 * k], CASE len(w) - 3 * k WHEN 1 THEN 'a' ELSE 'b' END) AS label,
+    coalesce(w[3 + 3 * k], CASE len(w) - 3 * k WHEN 2 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END) AS dst
+  FROM (SELECT *, unnest(range(0, greatest(1, (len(w) + 2) // 3))) AS k FROM word)
 )
 SELECT target, src, dst, label FROM facts
-QUALIFY row_number() OVER (PARTITION BY target, src, dst ORDER BY doc_id DESC) = 1
+QUALIFY row_number() OVER (PARTITION BY target, src, dst ORDER BY doc_id DESC, k DESC) = 1
 """
 
 # --- crawl and streaming ---------------------------------------------------
@@ -471,7 +473,7 @@ SELECT source AS target, 'https://' || source || '.example.org/p/' || n AS url,
 FROM ranked WHERE doc_ord <= total // 3
 """
 FULL_RUN = f"""
-SELECT target, sha256(url || '-0') AS chunk_id, url AS source_url, 64 AS width FROM ({CRAWL_RANKS})
+SELECT target, sha256(url || '-0') AS chunk_id, url AS source_url, 64 AS width FROM ({CRAWL_RANKS.replace("total // 3", "total")})
 """
 STREAM_TRIGGERS = """
 SELECT event_type AS target, CAST(count(*) AS INTEGER) AS page_limit FROM events
