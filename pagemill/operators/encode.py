@@ -50,6 +50,7 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
 
         return encode
 
+    factory.model_name = f"hashing-{dim}"
     return factory
 
 

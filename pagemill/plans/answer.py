@@ -30,7 +30,7 @@ def search(
     asked = text.clean_text(F.col("query_text")) if clean_query else F.col("query_text")
     encoded = stage(encode.embed(queries.withColumn("_asked", asked), encoder, "_asked").drop("_asked"), "queries")
     found = (knn_approx if approximate else knn)(vectors, encoded, k, **options)
-    hits = stage(found.join(queries.select("query_id", "target"), "query_id"), "hits")
+    hits = stage(found.join(encoded.select("query_id", "target"), "query_id"), "hits")
     return attach_documents(hits, vectors)
 
 

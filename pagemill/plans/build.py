@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import chunking, encode, graph, triples
 from pagemill.operators.crawl import crawl_order
@@ -15,6 +17,7 @@ from pagemill.settings import Settings
 from pagemill.sources import cache, packs
 from pagemill.sources.pages import with_fallback
 from pagemill.sources.targets import of_targets, select_targets
+from pagemill.streaming.triggers import stream_triggers
 
 
 def build_vectors(chunks: DataFrame, encoder: encode.EncoderFactory) -> DataFrame:
@@ -98,7 +101,7 @@ def scrape_and_cache(
         return
     docs = stage(crawl_documents(targets, pages), "documents")
     if fallback is not None:
-        docs = with_fallback(docs, of_targets(fallback, targets).select(*docs.columns))
+        docs = with_fallback(docs, of_targets(fallback, targets).select(*docs.columns), targets=targets)
     cache.write_scrape_cache(docs, settings.cache_dir, force)
 
 
@@ -107,7 +110,26 @@ def process_cached(
 ) -> dict[str, DataFrame]:
     """Packs of the cached documents of the given targets."""
     docs = of_targets(cache.read_scrape_cache(spark, settings.cache_dir), targets)
-    return build_pack(docs, encoder, settings.embedding_model, version)
+    if docs.isEmpty():
+        raise LookupError("no cached documents for the chosen targets")
+    return build_pack(docs, encoder, getattr(encoder, "model_name", settings.embedding_model), version)
+
+
+def onto_last(spark: SparkSession, built: dict[str, DataFrame], targets: DataFrame, root: str, prune: bool = False) -> dict[str, DataFrame]:
+    """``built`` with vectors and chunks upserted into the targets' last published version.
+
+    Ids that the build did not produce stay, unless ``prune``.
+    """
+    out = dict(built)
+    for name, columns in (("vectors", packs.VECTOR_COLUMNS), ("chunks", packs.CHUNK_COLUMNS)):
+        try:
+            last = of_targets(packs.load_packs(spark, root, name), targets).select(*columns)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return built
+        out[name] = stage(packs.upsert_vectors(last, built[name], prune), f"upserted-{name}")
+    return out
 
 
 def run(
@@ -121,10 +143,27 @@ def run(
     encoder: encode.EncoderFactory | None = None,
     fallback: DataFrame | None = None,
     force: bool = False,
+    prune: bool = False,
 ) -> DataFrame:
-    """Full run for one target or all: crawl if needed, build, publish; returns the pack metadata."""
+    """Full run for one target or all: crawl if needed, build, upsert, publish; returns the pack metadata.
+
+    An unknown name and targets without any document are errors.
+    """
     chosen = select_targets(targets, name)
+    if chosen.isEmpty():
+        raise LookupError(f"unknown target: {name}")
     scrape_and_cache(chosen, pages, settings, force, fallback)
     built = process_cached(spark, chosen, settings, encoder or encode.hashing_encoder(), version)
-    packs.publish_pack(built, settings.output_dir, version)
+    packs.publish_pack(onto_last(spark, built, chosen, settings.output_dir, prune), settings.output_dir, version)
     return built["metadata"]
+
+
+def run_on_triggers(
+    spark: SparkSession, events: DataFrame, targets: DataFrame, pages: DataFrame, settings: Settings, checkpoint: str, version: str, **options
+) -> StreamingQuery:
+    """Run the pipeline for the targets that each micro-batch of events names; a batch repeated writes its version anew."""
+
+    def act(chosen: DataFrame, batch_id: int) -> None:
+        run(spark, chosen, pages, settings, version=f"{version}.{batch_id:06d}", force=True, **options)
+
+    return stream_triggers(events, targets, act, checkpoint)

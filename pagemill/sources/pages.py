@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.html import METADATA_FIELDS
-from pagemill.operators.scale import join_dimension
+from pagemill.operators.scale import join_dimension, number_rows
+from pagemill.sources.targets import with_default_limit
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -23,11 +24,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def with_fallback(primary: DataFrame, fallback: DataFrame, enabled: bool = True) -> DataFrame:
-    """Primary documents, plus the fallback's for targets without any."""
+def with_fallback(primary: DataFrame, fallback: DataFrame, enabled: bool = True, targets: DataFrame | None = None) -> DataFrame:
+    """Primary documents, plus the fallback's for targets without any.
+
+    With ``targets`` a target's ``page_limit`` holds for the fallback too: its
+    first documents by ``doc_ord``, which must be unique within a target.
+    """
     if not enabled:
         return primary
     covered = primary.select("target").distinct()
+    if targets is not None:
+        numbered = number_rows(fallback, ["target"], ["doc_ord"], "_n")
+        limits = with_default_limit(targets).select("target", "page_limit")
+        fallback = join_dimension(numbered, limits, ["target"]).filter(F.col("_n") <= F.col("page_limit")).select(*fallback.columns)
     return primary.unionByName(join_dimension(fallback, covered, ["target"], "left_anti"))
 
 

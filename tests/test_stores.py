@@ -161,3 +161,47 @@ def test_names_that_look_like_numbers(spark, tmp_path):
     got = packs.load_pack(spark, str(tmp_path), "007", "2024.10").collect()
     assert [(r.target, r.version, r.chunk_id) for r in got] == [("007", "2024.10", "c2024.10")]
     assert {(r.target, r.version) for r in packs.load_packs(spark, str(tmp_path)).collect()} == {("007", "2024.9")}  # versions are texts
+
+
+def _landed(spark, bodies):
+    rows = [(f"http://h/{n}", f"<main><h1>T</h1><p>{b}</p></main>" + "".join(f'<a href="/{m}">l</a>' for m in bodies), 200) for n, b in bodies.items()]
+    return spark.createDataFrame(rows, "url string, html string, status int")
+
+
+def test_a_second_run_upserts_prunes_and_names_its_encoder(spark, tmp_path):
+    chosen = targets.targets_df(spark, {"targets": {"t": {"url": "http://h/1", "page_limit": 9}}})
+    words = "one two three four five six seven eight"
+    settings = Settings(str(tmp_path / "packs"), str(tmp_path / "cache"), "some-other-model")
+
+    def texts(version, bodies, **options):
+        meta = build.run(spark, chosen, _landed(spark, bodies), settings, version=version, force=True, **options)
+        assert [r.embedding_model for r in meta.collect()] == ["hashing-64"]
+        stored = packs.load_pack(spark, settings.output_dir, "t", version)
+        return sorted(r.document.split()[-1] for r in stored.collect())
+
+    assert texts("2024.01.01", {"1": f"{words} a", "2": f"{words} b"}) == ["a", "b"]
+    assert texts("2024.01.02", {"1": f"{words} c", "3": f"{words} d"}) == ["b", "c", "d"]
+    assert texts("2024.01.03", {"1": f"{words} e"}, prune=True) == ["e"]
+    with pytest.raises(LookupError, match="unknown target"):
+        build.run(spark, chosen, _landed(spark, {"1": words}), settings, name="nope", version="2024.01.04")
+    empty = targets.targets_df(spark, {"targets": {"u": {"url": "http://none/", "page_limit": 9}}})
+    with pytest.raises(LookupError, match="no cached documents"):
+        build.run(spark, empty, _landed(spark, {"1": words}), settings, version="2024.01.05")
+
+
+def test_the_page_limit_holds_for_the_fallback(spark):
+    primary = spark.createDataFrame([("a", 1)], "target string, doc_ord long")
+    other = spark.createDataFrame([(t, i) for t in "abc" for i in range(10, 15)], "target string, doc_ord long")
+    limits = spark.createDataFrame([("a", 2), ("b", 2), ("c", None)], "target string, page_limit int")
+    got = sorted(map(tuple, pages.with_fallback(primary, other, targets=limits).collect()))
+    assert got == [("a", 1), ("b", 10), ("b", 11)] + [("c", i) for i in range(10, 15)]
+
+
+def test_events_run_the_pipeline(spark, tmp_path):
+    chosen = targets.targets_df(spark, {"targets": {t: {"url": f"http://h/{t}", "page_limit": 9} for t in "12"}})
+    landed = _landed(spark, {"1": "one two three four five six seven", "2": "eight nine ten eleven twelve thirteen"})
+    spark.createDataFrame([({"target": "2"},), ({"other": "1"},)], "attributes map<string,string>").write.parquet(str(tmp_path / "events"))
+    events = spark.readStream.schema("attributes map<string,string>").parquet(str(tmp_path / "events"))
+    settings = Settings(str(tmp_path / "packs"), str(tmp_path / "cache"))
+    build.run_on_triggers(spark, events, chosen, landed, settings, str(tmp_path / "checkpoint"), "2024.01.01").awaitTermination()
+    assert {(r.target, r.version) for r in packs.load_packs(spark, settings.output_dir).collect()} == {("2", "2024.01.01.000000")}
