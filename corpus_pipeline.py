@@ -10,6 +10,7 @@ from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
 from pagemill.llm.queries import table
 from pagemill.operators.scale import stage
 
+REMEMBERED = 150_000  # pre-tokens kept by a Python worker that has served other stages before
 LEAST_LANGUAGE_SCORE = 0.4  # a single ambiguous word stays; texts without letters go
 
 
@@ -37,7 +38,7 @@ def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, with their count and whether they decode to the text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    made = bpe.decode(bpe.encode(docs, path), path)
+    made = bpe.decode(bpe.encode(docs, path, remembered=REMEMBERED), path, remembered=REMEMBERED)
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 

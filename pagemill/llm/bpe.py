@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagemill.llm.words import BLOCK, POINTS, codepoints
 
-CACHED = 220_000  # pre-tokens whose ids a Python worker remembers, twice over
+REMEMBERED = 600_000  # pre-tokens whose ids a Python worker keeps, in each of two generations; some 150 MB
 _SHORT = 48  # bytes up to which merges scan the piece instead of keeping a heap
 
 # Classes of code points.
@@ -155,21 +155,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         return (ranks[piece],)
     if len(piece) > _SHORT:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    none = len(ranks) + (1 << 40)
-    pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    rank, none = ranks.get, 1 << 60
+    cuts = list(range(len(piece) + 1))
+    pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
     while pairs:
         low = min(pairs)
         if low == none:
             break
         i = pairs.index(low)
-        parts[i] += parts.pop(i + 1)
-        pairs.pop(i)
+        del cuts[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], none)
         if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
-    return tuple(ranks[p] for p in parts)
+            pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return tuple([ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])])
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -201,7 +200,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 class Codec:
     """Encoder and decoder over one rank file; ids of pre-tokens met are remembered up to a bound."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = ranks_of(path)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -241,7 +241,7 @@ class Codec:
 
     def _ids(self, tokens: list[str]) -> list[tuple[int, ...]]:
         """Ids by pre-token, from two generations of memory, so that frequent ones outlive a change."""
-        if len(self.known) > CACHED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known, older, ranks = self.known, self.older, self.ranks
         for t in set(tokens).difference(known):
@@ -269,9 +269,9 @@ class Codec:
 
 
 @cache
-def codec(path: str) -> Codec:
+def codec(path: str, remembered: int = REMEMBERED) -> Codec:
     """One codec per rank file and Python worker."""
-    return Codec(path)
+    return Codec(path, remembered)
 
 
 def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -291,7 +291,7 @@ def _lists(values: Iterable[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``ids`` (token ids of the whole text) and ``ends`` (byte offset where each token ends).
 
     No special tokens are made: their names are ordinary text.  Null and empty
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, remembered)
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(text).to_pylist()])
             ends = [own.offsets(x) for x in ids]
@@ -310,11 +310,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, _schema(docs, new))
 
 
-def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, path: str, out: str = "decoded", remembered: int = REMEMBERED) -> DataFrame:
     """``encoded`` with the bytes of its ``ids`` in column ``out``, placed by ``ends``; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, remembered)
         for batch in batches:
             made = []
             for ids, ends in zip(batch.column("ids"), batch.column("ends")):
