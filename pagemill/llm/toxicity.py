@@ -59,12 +59,22 @@ def subwords(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: each bucket's share in the log odds, the bias, and the calibration of a text's highest log odds."""
+    """What scoring needs: each bucket's share in the log odds, the bias, the calibration of a text's highest log odds, the log odds of a label."""
 
     table: np.ndarray
     bias: float
     slope: float
     offset: float
+    prior: float
+
+    def odds(self, texts: list[str | None]) -> np.ndarray:
+        """Calibrated log odds; those of any label for a text without words."""
+        top = highest(texts, self.table, self.bias)
+        return np.where(np.isnan(top), self.prior, np.nan_to_num(top) * self.slope + self.offset)
+
+
+def _constant(odds: float) -> Model:
+    return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, odds, odds)
 
 
 def _passage_means(word_scores: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +90,7 @@ def _passage_means(word_scores: np.ndarray, text: np.ndarray) -> tuple[np.ndarra
 
 
 def highest(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
-    """Log odds of each text's most toxic passage; of a text without words, the bias."""
+    """Log odds of each text's most toxic passage; NaN for a text without words."""
     out = np.full(len(texts), -np.inf)
     for parts in W.parts(texts):
         points = W.codepoints("\n".join([p for _, _, p in parts]))
@@ -94,7 +104,7 @@ def highest(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarr
         part = np.searchsorted(first, start, "right") - 1
         where, means = _passage_means(scores, part)
         np.maximum.at(out, np.array([t for t, _, _ in parts])[where], means)
-    return np.where(np.isinf(out), 0.0, out) + bias
+    return np.where(np.isinf(out), np.nan, out + bias)
 
 
 class _Adam:
@@ -139,7 +149,10 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, epochs: in
         gram_bucket.append(bucket[new])
         owner.append(np.array([t for t, _, _ in parts])[part])
         words.append(ids[back])
+    prior = float(np.log(max(weights[labels == 1].sum(), 0.5) / max(weights[labels == 0].sum(), 0.5)))
     owner, words = np.concatenate(owner), np.concatenate(words)
+    if not len(owner):
+        return _constant(prior)
     gram_word, gram_bucket = np.concatenate(gram_word), np.concatenate(gram_bucket)
     used, gram_bucket = np.unique(gram_bucket, return_inverse=True)
     n_words = len(known)
@@ -179,8 +192,10 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, *, epochs: in
     table = np.zeros(1 << BITS)
     table[used] = values["E"] @ direction
     bias = float(values["b"][1] - values["b"][0])
-    slope, offset = _calibrate(highest(texts, table, bias), labels, weights)
-    return Model(table.astype(np.float32), bias, slope, offset)
+    top = highest(texts, table, bias)
+    told = ~np.isnan(top)
+    slope, offset = _calibrate(top[told], labels[told], weights[told])
+    return Model(table.astype(np.float32), bias, slope, offset, prior)
 
 
 def _calibrate(odds: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -211,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, *, docs_per_class: int = SAMPLE_DO
     )
     totals = {r["toxic"]: r["n"] for r in told.filter("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 20.0 if 1 in totals else -20.0)
+        return _constant(20.0 if 1 in totals else -20.0)
     draw = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     share = F.when(F.col("toxic") == 1, min(1.0, docs_per_class / totals[1])).otherwise(min(1.0, docs_per_class / totals[0]))
     picked = stage(told.filter("toxic in (0, 1)").filter(draw <= share), "labels-drawn")
@@ -221,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, *, docs_per_class: int = SAMPLE_DO
     thin = F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     rows = drawn.filter(thin <= min(1.0, chars / max(1, held))).orderBy("doc_id", F.xxhash64("text")).toPandas()
     if rows["toxic"].nunique() < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 0.0, 0.0, 20.0 if (rows["toxic"] == 1).any() else -20.0)
+        return _constant(20.0 if (rows["toxic"] == 1).any() else -20.0)
     y = rows["toxic"].to_numpy()
     weights = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
     return fit(list(rows["text"]), y, weights)
@@ -230,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, *, docs_per_class: int = SAMPLE_DO
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 from 0.5 on), from the whole text only.
 
-    A null, empty or wordless text has the score of the bias alone.  Columns of
+    A null, empty or wordless text scores as often as labels are toxic.  Columns of
     the two names are replaced; rows are neither added nor lost.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -239,8 +254,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for batch in batches:
-            odds = highest(list(batch), own.table, own.bias) * own.slope + own.offset
-            yield pd.Series(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(own.odds(list(batch)), -30, 30))))
 
     marked = docs.drop("score", "predicted").withColumn("score", run(F.col(text)))
     return marked.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -49,8 +49,8 @@ def test_unseen_misspellings():
         texts[i] = " ".join(at)
     model = toxicity.fit(texts, labels, np.ones(400))
     clean = " ".join(rng.choices(words, k=200))
-    odds = toxicity.highest([f"{clean} wortthless {clean} wortthless pathetiic", clean, None], model.table, model.bias) * model.slope + model.offset
-    assert odds[0] > 0 > odds[1] and odds[0] > odds[2]
+    odds = model.odds([f"{clean} wortthless {clean} wortthless pathetiic", clean, None, "!?"])
+    assert odds[0] > 0 > odds[1] and odds[2] == odds[3] == 0 and (model.prior == 0)
 
 
 def test_odd_rows(spark):
@@ -62,3 +62,8 @@ def test_odd_rows(spark):
     for none in (labels.limit(0), labels.filter("toxic = 0")):
         assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0}
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+def test_nothing_to_learn_from():
+    model = toxicity.fit(["", "!?", ""], np.array([0, 1, 0]), np.ones(3))
+    assert np.allclose(model.odds(["anything", None]), np.log(0.5))
