@@ -118,6 +118,14 @@ FROM p LEFT JOIN r ON p.h = r.h
 """
 
 
+# The given pages have one article each, of paragraphs, a heading, bold text and five kinds of references.
+OP6_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS h FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS h FROM a),
+d AS (SELECT page_id, url, replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM t),
+c AS (SELECT page_id, url, trim(regexp_replace(h, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
 OP10_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
@@ -131,4 +139,4 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS sc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op10_topk": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op6_templates": OP6_SQL, "op10_topk": OP10_SQL}
