@@ -175,7 +175,7 @@ _MARKS = {"*": "﷐", "#": "﷑", "[": "﷒", "](": "﷓", ")": "﷔", "br": "
 _KEEP = "﷠﷡﷢﷣﷤﷥"
 _KEPT = "\n \t*_#"
 
-# Inline elements dropped around their text, and block elements.
+# Inline elements dropped around their text, and block elements.
 _PLAIN_INLINE = (
     r"(?i)</?(?:span|small|font|u|mark|abbr|cite|time|label|kbd|samp|var|sub|sup|q|s|del|ins|big|tt|wbr|button|input|i?dfn)\b[^>]*>"
 )
