@@ -26,7 +26,8 @@ SIMILARITY = 0.8
 LENGTH = 24  # words of a paragraph inside a line, and the fewest of a line
 GAP = 27
 BANDS, ROWS = 6, 2  # of lines: two with Jaccard 0.8 meet with probability 0.998
-BUCKET = 16  # contents under a band beyond which the band is split by further hashes
+BUCKET = 16  # contents under a band beyond which its pairs are not written out
+BLOCK = 1 << 18  # shingles of a crowded band that are searched at once; larger bands are split first
 _ODD = [int(x) | 1 for x in W.mix(np.arange(1, 65, dtype=np.uint64))]
 
 
@@ -132,6 +133,68 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) ->
     return rows.mapInPandas(run, "content long, shingles array<long>").dropDuplicates(["content"])
 
 
+def _forest(names: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all members whose Jaccard similarity is SIMILARITY or more, directly or over others.
+
+    Every member is compared with all that are not yet joined to it.  Two sets
+    that are similar share one of the rarest members of each (prefix filter), so
+    only sets with such a one in common are counted through.
+    """
+    sizes = np.array([len(x) for x in sets])
+    heads = np.r_[0, np.cumsum(sizes)]
+    _, flat, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((flat, df[flat], owner))
+    place = np.arange(len(flat)) - heads[owner]  # in the order of rarity, within the set
+    rare = order[place < (sizes - np.ceil(SIMILARITY * sizes - 1e-9) + 1)[owner]]
+    prefix, of = flat[rare], owner[rare]
+    starts = np.searchsorted(of, np.arange(len(sets) + 1))
+    by = np.argsort(prefix, kind="stable")
+    posted, bounds = of[by], np.searchsorted(prefix[by], np.arange(len(df) + 1))
+    free, marked, out = np.ones(len(sets), bool), np.zeros(len(df), bool), []
+    for first in range(len(sets)):
+        if not free[first]:
+            continue
+        free[first], waiting = False, [first]
+        while waiting and free.any():
+            one = waiting.pop()
+            near = np.unique(np.concatenate([posted[bounds[t] : bounds[t + 1]] for t in prefix[starts[one] : starts[one + 1]]]))
+            near = near[free[near]]
+            near = near[np.minimum(sizes[near], sizes[one]) >= SIMILARITY * np.maximum(sizes[near], sizes[one]) - 1e-9]
+            if not len(near):
+                continue
+            mine = flat[heads[one] : heads[one + 1]]
+            marked[mine] = True
+            both = np.array([np.count_nonzero(marked[flat[heads[i] : heads[i + 1]]]) for i in near])
+            marked[mine] = False
+            met = near[both >= SIMILARITY * (sizes[near] + sizes[one] - both)]
+            free[met] = False
+            waiting.extend(met.tolist())
+            out.extend((int(names[one]), int(names[i])) for i in met)
+    return out
+
+
+def _crowded(bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (a, b) that join all similar contents of each band (content, key, n, weight), in pairs of blocks."""
+    n = F.ceil(F.col("weight") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("content"), n).cast("int")
+    dealt = bands.select("content", "key", n.alias("blocks"), own.alias("own"))
+    # a band of one block meets itself; with more, any two blocks meet, and so the contents of each
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
+        F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own"))
+    ))
+    dealt = dealt.withColumn("other", other).select(
+        "content", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("content")
+        found = _forest(group["content"].to_numpy(), list(group["shingles"]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.join(sets, "content").groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+
+
 def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Verified links (a, b) between different contents that share a band."""
     lines = found.filter(F.size("keys") > 0)
@@ -143,26 +206,29 @@ def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFram
     wanted = lines.join(stage(shared.select("content").distinct(), "contents"), "content", "left_semi")
     wanted = wanted.groupBy("content").agg(one).select("content", "at.*")
     sets = stage(_shingle_sets(docs, wanted, text, doc_id), "shingle-sets")
-    size = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    held = shared.join(sets.select("content", F.size("shingles").alias("size")), "content")
+    size = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
     sized = stage(shared.join(size, "key"), "sized-bands")
-    crowded = sized.filter(F.col("n") > BUCKET).select("content", "key").join(sets, "content")
-    finer = [
-        F.xxhash64("key", F.lit(b), *[F.array_min(F.transform("shingles", lambda x, s=b * 3 + r: F.xxhash64(x, F.lit(s)))) for r in range(3)])
-        for b in range(2 * BANDS)
-    ]
-    split = stage(crowded.select("content", F.explode(F.array(*finer)).alias("key")).distinct(), "finer-bands")
-    split_size = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"))
-    split = stage(split.join(split_size.filter("n > 1"), "key"), "sized-finer-bands")
-    few = sized.filter((F.col("n") <= BUCKET) & (F.col("n") > 1)).select("content", "key").union(
-        split.filter(F.col("n") <= BUCKET).select("content", "key")
-    )
+    wide = sized.filter((F.col("n") > BUCKET) & (F.col("weight") > BLOCK)).select("content", "key").join(sets, "content")
+
+    def lowest(seed: int):
+        # the seed is no parameter of the lambda: as a second one it would be given the place in the array
+        return F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(seed))))
+
+    finer = [F.xxhash64("key", F.lit(b), *[lowest(b * 3 + r) for r in range(3)]) for b in range(2 * BANDS)]
+    split = wide.select("content", F.size("shingles").alias("size"), F.explode(F.array(*finer)).alias("key")).distinct()
+    split = stage(split, "finer-bands")
+    split_size = split.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    split = stage(split.drop("size").join(split_size.filter("n > 1"), "key"), "sized-finer-bands")
+    every = sized.filter((F.col("n") <= BUCKET) | (F.col("weight") <= BLOCK)).unionByName(split)
+    few = every.filter((F.col("n") <= BUCKET) & (F.col("n") > 1)).select("content", "key")
     pairs = few.select(F.col("content").alias("a"), "key").join(few.select(F.col("content").alias("b"), "key"), "key").filter("a < b")
-    starred = split.filter(F.col("n") > BUCKET).select(F.col("least").alias("a"), F.col("content").alias("b")).filter("a != b")
-    pairs = stage(pairs.select("a", "b").union(starred).distinct(), "passage-pairs")
+    pairs = stage(pairs.select("a", "b").distinct(), "passage-pairs")
     left, right = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     whole = F.size("sa") + F.size("sb") - both
-    return pairs.join(left, "a").join(right, "b").filter(both >= SIMILARITY * whole).select("a", "b")
+    linked = pairs.join(left, "a").join(right, "b").filter(both >= SIMILARITY * whole).select("a", "b")
+    return linked.union(_crowded(every.filter(F.col("n") > BUCKET), sets))
 
 
 def repeated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from pagemill.llm import paragraphs as P
 from pagemill.llm import queries
 
@@ -95,3 +97,61 @@ def test_query_catches_shared_passages(spark):
         for k in range(len(w) - 49):
             runs.setdefault(tuple(w[k : k + 50]), set()).add(i)
     assert {i for s in runs.values() if len(s) > 1 for i in s} <= flagged
+
+
+def joined(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    classes = {}
+    for x in list(root):
+        classes.setdefault(find(x), set()).add(x)
+    return {frozenset(c) for c in classes.values()}
+
+
+@pytest.mark.parametrize("block", [1 << 18, 20_000])
+def test_crowds_that_resemble_only_their_original(spark, monkeypatch, block):
+    """A line and 600 copies of it, each with its own changes: links go through the original, in one block or many."""
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(200)]
+    lines = [" ".join(words)]
+    for i in range(600):
+        changed = list(words)
+        for j in rng.sample(range(200), 4):
+            changed[j] = f"x{i}y{j}"
+        lines.append(" ".join(changed))
+    rng.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = P.stage(P.paragraphs(docs), "t")
+    whole = {r.content: r.doc_id for r in found.filter(P.F.size("keys") == P.BANDS).collect()}
+    got = [(whole[r.a], whole[r.b]) for r in P._near(docs, found, "text", "doc_id").collect()]
+    sets = [plain_shingles(t)[0] for t in lines]
+    want = [(i, j) for i in range(601) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert {tuple(sorted(p)) for p in got} <= {tuple(sorted(p)) for p in want}
+    big = max(joined(want), key=len)
+    assert len(big) > 500 and len(max(joined(got), key=len)) >= 0.99 * len(big)
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = random.Random(12)
+    for _ in range(30):
+        base = rng.sample(range(10**6), rng.randrange(5, 60))
+        sets = []
+        for _ in range(rng.randrange(2, 80)):
+            one = set(base if rng.random() < 0.8 else rng.sample(range(10**6), 20))
+            for x in rng.sample(sorted(one), rng.randrange(0, 1 + len(one) // 4)):
+                one.remove(x)
+                if rng.random() < 0.7:
+                    one.add(rng.randrange(10**6))
+            sets.append(one)
+        n = range(len(sets))
+        want = [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        got = P._forest(P.np.arange(len(sets)), [P.np.array(sorted(x)) for x in sets])
+        assert {tuple(sorted(p)) for p in got} <= set(want) and joined(got) == joined(want)
