@@ -25,6 +25,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 LENGTH = 24  # words of a paragraph inside a line, and the fewest of a line
 GAP = 27
+REACH = GAP - 1  # words of a copied passage that can lie beyond its first or last run
 BANDS, ROWS = 6, 2  # of lines: two with Jaccard 0.8 meet with probability 0.998
 BUCKET = 16  # contents under a band beyond which its pairs are not written out
 BLOCK = 1 << 18  # shingles of a crowded band that are searched at once; larger bands are split first
@@ -278,19 +279,67 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+def _around(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per span up to REACH words before and after it, nearest first: hashes and starts, hashes and ends."""
+    whole = W.hashed_words(W.codepoints(text)) if len(text) <= W.BLOCK else None
+    for start, end in spans:
+        low, high = (0, len(text)) if whole else (max(0, start - W.OVERLAP), min(len(text), end + W.OVERLAP))
+        hashes, first, last = whole or W.hashed_words(W.codepoints(text[low:high]))
+        short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        i, j = np.searchsorted(first, [start - low, end - low])
+        # a word cut by the window's edge is left out
+        before = slice(max(int(low > 0), i - REACH), i)
+        after = slice(j, min(j + REACH, len(first) - int(high < len(text))))
+        yield short[before][::-1], first[before][::-1] + low, short[after], last[after] + low
+
+
+def _edges(docs: DataFrame, stays: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(component_id, before, after): hashes of the words around the occurrence of each class that stays."""
+    places = stays.groupBy("doc").agg(F.collect_list(F.struct("component_id", "start", "end")).alias("places"))
+    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places, "passages-kept"), "doc")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for whole, places in zip(batch["text"], batch["places"]):
+                around = _around(whole, [(p["start"], p["end"]) for p in places])
+                out.extend((p["component_id"], before, after) for p, (before, _, after, _) in zip(places, around))
+            yield pd.DataFrame(out, columns=["component_id", "before", "after"])
+
+    return rows.mapInPandas(run, "component_id long, before array<int>, after array<int>").dropDuplicates(["component_id"])
+
+
+def _extended(text: str, spans: list) -> list[tuple[int, int]]:
+    """The spans with the words on either side that equal those beside the occurrence that stays."""
+
+    def same(a: np.ndarray, b: np.ndarray) -> int:
+        n = min(len(a), len(b))
+        return int(np.argmin(np.r_[a[:n] == b[:n], False]))
+
+    out = []
+    for x, (before, starts, after, ends) in zip(spans, _around(text, [(x["start"], x["end"]) for x in spans])):
+        left, right = same(before, np.asarray(x["before"])), same(after, np.asarray(x["after"]))
+        out.append((int(starts[left - 1]) if left else x["start"], int(ends[right - 1]) if right else x["end"]))
+    return out
+
+
 def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with repeated passages cut from their texts, save the occurrence that stays.
 
+    A cut reaches as far as the words on either side equal those beside the occurrence that stays.
     No row is lost, though a text may become empty; columns are as they were,
     but for ``length``, where there is such a column, which is set to the new length of a cut text.
     """
-    spans = repeated(docs, text=text, doc_id=doc_id).filter("removed").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    rows = stage(repeated(docs, text=text, doc_id=doc_id).select("doc", "start", "end", "component_id", "removed").distinct(), "passages")
+    edges = stage(_edges(docs, rows.filter("not removed"), text, doc_id), "passage-edges")
+    spans = rows.filter("removed").join(edges, "component_id")
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("_spans"))
     spans = stage(spans.withColumnRenamed("doc", "_doc"), "passage-cuts")
 
     @F.pandas_udf("string")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, lists in batches:
-            yield pd.Series([t if s is None else _cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, lists)])
+            yield pd.Series([t if s is None else _cut(t, _extended(t, s)) for t, s in zip(texts, lists)])
 
     marked = docs.withColumn("_doc", F.xxhash64(doc_id, text)).join(spans, "_doc", "left")
     made = marked.withColumn(text, cut(F.col(text), F.col("_spans")))

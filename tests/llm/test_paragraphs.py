@@ -155,3 +155,17 @@ def test_forest_joins_what_all_pairs_join():
         want = [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
         got = P._forest(P.np.arange(len(sets)), [P.np.array(sorted(x)) for x in sets])
         assert {tuple(sorted(p)) for p in got} <= set(want) and joined(got) == joined(want)
+
+
+def test_copied_passages_go_whole(spark):
+    """Nothing of a passage of 52 words and more stays in a copy, neither at its edges nor between runs."""
+    rng = random.Random(13)
+    rows = []
+    for k, n in enumerate((52, 75, 120, 300)):
+        passage = prose(rng, n, "p")
+        rows += [(10 * k + i, f"{prose(rng, 40 + i, 'f')} {passage} {prose(rng, 60, 'f')}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut, texts = {r.doc_id: r.text for r in P.remove(docs).collect()}, dict(rows)
+    for i, t in cut.items():
+        kept = t if i % 10 == 0 else " ".join(re.findall("f[0-9]+", texts[i]))
+        assert re.findall("[pf][0-9]+", t) == re.findall("[pf][0-9]+", kept)
