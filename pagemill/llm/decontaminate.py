@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,14 +25,11 @@ K1, B = 1.2, 0.75
 _FILTER = 1 << 22
 
 
-def _answer_start(text: str) -> int:
-    """Code point where the answer begins: after the last question mark, else with the last sentence."""
+def _answer_start(text: str) -> int | None:
+    """Code point where the answer begins, after the last question mark; None for items that are not question and answer."""
     body = text.rstrip()
     asked = body.rfind("?") + 1
-    if 0 < asked < len(body):
-        return asked
-    stops = [m.end() for m in re.finditer(r"[.!?]\s+|\n+", body)]
-    return stops[-1] if stops else 0
+    return asked if 0 < asked < len(body) else None
 
 
 def entries(benchmark: DataFrame) -> DataFrame:
@@ -41,6 +37,7 @@ def entries(benchmark: DataFrame) -> DataFrame:
 
     Rows (item_id, part, n_words, terms, counts, shingles, answer_terms): hashes of the
     distinct words and how often they occur, of the word shingles, and of the words of the answer.  An item
+    without question and answer has the shingles of the whole and no answer.  An item
     with fewer words than a shingle has one shingle of all; a null, empty or
     wordless item has no entry.
     """
@@ -51,8 +48,8 @@ def entries(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(batch["item_id"], batch["text"]):
                 hashes, first, _ = W.hashed_words(W.codepoints(text or ""))
                 n = len(hashes)
-                answer = int(np.searchsorted(first, _answer_start(text or "")))
-                answer = max(0, min(answer, n - SHINGLE))
+                begins = _answer_start(text or "")
+                answer = n if begins is None else max(0, min(int(np.searchsorted(first, begins)), n - SHINGLE))
                 for part, at in enumerate(range(0, n, PART)):
                     own = hashes[at : at + PART]
                     run_on = W.Words(np.zeros(len(hashes[at : at + PART + SHINGLE - 1]), np.int64), hashes[at : at + PART + SHINGLE - 1], first, first)
@@ -190,7 +187,9 @@ def _overlaps(texts: list[str | None], index: Index, threshold: float) -> Iterat
     """Per text and entry: score, shingles and answer words found, and where, in the best passage."""
     for block in W.overlapping(texts, PASSAGE):
         for _, entry, score, first, end in search(block, index, threshold):
-            seen = W.Words(*[x[first:end] for x in block])
+            # an entry's last shingles run on into the next entry, so its passage does too
+            stop = first + np.count_nonzero(block.text[first : end + SHINGLE - 1] == block.text[first])
+            seen = W.Words(*[x[first:stop] for x in block])
             asked, said = index.shingles[entry], index.answers[entry]
             grams, place = W.shingles(seen, SHINGLE)
             size = SHINGLE
@@ -234,7 +233,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: s
     of the matching words in the document).  Every passage of every text is a
     query; all entries that reach ``threshold`` are retrieved, and a pair counts
     if ``overlap`` of the question's five-word shingles and of the answer's words
-    are in it.  Null, empty and wordless texts and items match nothing; equal
+    are in it, or of the five-word shingles of an item that is not question and answer.  Null, empty and wordless texts and items match nothing; equal
     items each have their row; repeated documents give one row per id.
     """
     kind = dict(docs.dtypes)[doc_id]

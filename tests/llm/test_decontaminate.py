@@ -84,3 +84,22 @@ def test_long_items_shards_and_odd_rows(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 6]
     assert D.find(docs, bench.limit(0)).count() == 0 and D.find(docs.limit(0), bench).count() == 0
     assert D.remove(docs, bench.limit(0)).count() == 8
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Items without a question: every copy with 0.8 or more of the item's shingles counts, and none with less."""
+    items = [(r.item_id, plain_words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if "?" not in r.text]
+    items.append((1000, [f"n{i}" for i in range(29)]))  # 25 shingles: 20 are exactly 0.8
+    copies = []
+    for item, words in items:
+        copies += [(item, words[:n]) for n in range(len(words) * 7 // 10, len(words))]
+        copies += [(item, words[:i] + ["otherword"] + words[i + 1 :]) for i in range(len(words))]
+    docs = spark.createDataFrame([(i, "fresh words stand here . " + " ".join(w) + " . and some here") for i, (_, w) in enumerate(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w[:-9]) + ". " + " ".join(w[-9:]) + ".") for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find(docs, bench).collect()}
+    wanted = dict(items)
+    share = {(i, item): len(grams(w) & grams(wanted[item])) / len(grams(wanted[item])) for i, (item, w) in enumerate(copies)}
+    missed = [p for p, x in share.items() if x >= 0.8 and p not in got]
+    print(f"{sum(x >= 0.8 for x in share.values())} copies at 0.8 or more, {len(missed)} missed")
+    assert any(x == 0.8 for x in share.values())
+    assert not missed and not [p for p, x in share.items() if x < 0.8 and p in got]
