@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash, templates, token_counts, topk, toxicity, warc
+from pagemill.llm import bpe, collocations, decontaminate, langid, paragraphs, simhash, templates, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,8 +104,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, first=2000)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe, op9_toxicity, op10_topk)}
+    return {f.__name__: f for f in (
+        op1_substring_dedup, op2_token_counts, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe,
+        op9_toxicity, op10_topk, op13_collocations,
+    )}
 
 
 OP3_SQL = """
@@ -138,5 +146,36 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS sc
 """
 
 
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 100),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM c),
+scored AS (
+  SELECT u.lang, u.k, u.g, u.a, u.cut, x.a AS l, y.a AS r, n.n,
+    (1000::HUGEINT * u.a * n.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts u JOIN n USING (lang) JOIN f x ON x.lang = u.lang AND x.g = u.g[1:u.cut] JOIN f y ON y.lang = u.lang AND y.g = u.g[u.cut + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, a, k, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])))) AS g
+  FROM c WHERE k > 2),
+around AS (SELECT lang, g, max(a) AS a FROM inner_ GROUP BY lang, g),
+kept AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.g = b.g
+  WHERE o.a IS NULL OR 100 * o.a < 100 * b.a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM r WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_templates": OP6_SQL, "op10_topk": OP10_SQL}
+    return {"op13_collocations": OP13_SQL, "op3_warc": OP3_SQL, "op6_templates": OP6_SQL, "op10_topk": OP10_SQL}

@@ -55,7 +55,7 @@ def _value_table() -> np.ndarray:
 
 
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2^64, and of its inverse."""
     base = 0x9E3779B97F4A7C15
     out = np.empty((2, size), np.uint64)
@@ -78,7 +78,7 @@ def hashed_words(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     inside[1:-1] = word_table()[points]
     step = np.diff(inside)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    power, inverse = _powers(1 << max(18, int(len(points)).bit_length()))
+    power, inverse = powers(1 << max(18, int(len(points)).bit_length()))
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(_value_table()[points] * power[: len(points)], out=sums[1:])
     return mix((sums[end] - sums[start]) * inverse[start]), start, end
