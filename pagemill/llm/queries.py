@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, collocations, decontaminate, langid, paragraphs, simhash, templates, token_counts, topk, toxicity, warc
+from pagemill.llm import bpe, collocations, decontaminate, langid, paragraphs, prefixes, simhash, templates, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations."""
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of each language."""
     return collocations.mine(table(spark, sf_dir, "documents"), least=100, longest=5, share=100, first=2000)
@@ -112,7 +117,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe,
-        op9_toxicity, op10_topk, op13_collocations,
+        op9_toxicity, op10_topk, op12_prefix_trie, op13_collocations,
     )}
 
 
@@ -146,6 +151,38 @@ SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS sc
 """
 
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': r, 'x': x} ORDER BY j) AS s FROM t GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, s, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+    lambda u, v: list_reduce([xor(u, v)] || [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))) AS v
+  FROM own),
+h AS (SELECT conv_id, s, xor(v, 4294967295) % 4 AS h FROM crc),
+b AS (
+  SELECT h.conv_id, coalesce(o.s[1:h.h], []) || h.s[h.h + 1:] AS s
+  FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, len(s) AS n, s, unnest(range(0, len(s) + 1)) AS d FROM b),
+p AS (SELECT conv_id, d, n = d AS last, s[1:d] AS p FROM m),
+v AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM p GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM v WHERE d > 0 GROUP BY ALL),
+w AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN v.d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(v.p[v.d].x, '[^\x20\x09-\x0D]+')) END AS own
+  FROM v LEFT JOIN k ON k.d = v.d AND k.p = v.p),
+up AS (SELECT w.p AS path, w.own, w.n_children, unnest(range(0, w.d + 1)) AS d FROM w),
+sums AS (
+  SELECT path[1:d] AS p, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved_tokens FROM up GROUP BY ALL)
+SELECT w.conv_id, w.d AS depth, a.conv_id AS parent_conv_id, w.n_convs, w.n_children, sums.n_leaves,
+  CAST(sums.saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM w JOIN sums ON sums.d = w.d AND sums.p = w.p LEFT JOIN v a ON a.d = w.d - 1 AND w.d > 0 AND a.p = w.p[1:w.d - 1]
+"""
 OP13_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
@@ -178,4 +215,4 @@ FROM r WHERE rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_collocations": OP13_SQL, "op3_warc": OP3_SQL, "op6_templates": OP6_SQL, "op10_topk": OP10_SQL}
+    return {"op12_prefix_trie": OP12_SQL, "op13_collocations": OP13_SQL, "op3_warc": OP3_SQL, "op6_templates": OP6_SQL, "op10_topk": OP10_SQL}
