@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, collocations, decontaminate, langid, paragraphs, prefixes, simhash, templates, token_counts, topk, toxicity, warc
+from pagemill.llm import bpe, collocations, decontaminate, langid, paragraphs, prefixes, quality, simhash, templates, token_counts, topk, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -104,6 +104,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the other four folds."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    model = quality.train(docs.filter(~held_out), labels.filter(~held_out))
+    answer = quality.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return answer.select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of the rebuilt conversations."""
     return prefixes.trie(table(spark, sf_dir, "conversations"))
@@ -117,7 +126,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_substring_dedup, op2_token_counts, op3_warc, op4_language_id, op5_simhash, op6_templates, op7_decontaminate, op8_bpe,
-        op9_toxicity, op10_topk, op12_prefix_trie, op13_collocations,
+        op9_toxicity, op10_topk, op11_quality, op12_prefix_trie, op13_collocations,
     )}
 
 
