@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.functions import text, urls
+from pagemill.operators import scan
 from pagemill.operators.scale import compute_once
 
 # Page metadata fields.
@@ -17,32 +18,22 @@ METADATA_FIELDS = [
 ]
 METADATA_TYPE = "struct<" + ",".join(f"{f}:string" for f in METADATA_FIELDS) + ">"
 
-# Elements whose content never reaches the markdown.
-UNWANTED = ["script", "style", "noscript", "iframe", "svg", "canvas", "picture"]
-FURNITURE = ["head", "nav", "header", "footer", "aside", "form"]
-
 # possessive, so Java repeats the group in a loop and not on the stack
 _TAG_BODY = r"""(?:[^>"']++|"[^"]*"|'[^']*'|["'])*+"""
 _NAME_END = r"(?=[\s/>])"
 # Elements whose content is not markup: without an end tag they reach to the end of the page.
-_RAW = ("script", "style", "noscript", "iframe", "head")
+_RAW = ("script", "style")
 _ATTRIBUTE = r"""([^\s"'>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def _element(names: list[str]) -> str:
-    """Whole elements; of others than raw ones without an end tag, and of self-closed ones, the tag alone."""
-    parts = []
-    for n in names:
-        start = rf"<{n}{_NAME_END}"
-        missing = rf"(?:</{n}\s*>|\z)" if n in _RAW else rf"</{n}\s*>"
-        parts += [rf"{start}[^>]*/>", rf"{start}[^>]*>.*?{missing}"]
-        parts += [] if n in _RAW else [rf"{start}[^>]*>"]
+def _raw_elements() -> str:
+    parts = [rf"<{n}{_NAME_END}[^>]*/>|<{n}{_NAME_END}[^>]*>.*?(?:</{n}\s*>|\z)" for n in _RAW]
     return "(?is)" + "|".join(parts)
 
 
 def visible_html(html: Column) -> Column:
     """Page without comments, scripts and styles, whose text can look like tags."""
-    return text.chain(html, [(r"(?s)<!--.*?(?:-->|\z)", ""), (_element(["script", "style"]), "")])
+    return text.chain(html, [(r"(?s)<!--.*?(?:-->|\z)", ""), (_raw_elements(), "")])
 
 
 def with_visible(pages: DataFrame) -> DataFrame:
@@ -168,163 +159,38 @@ def ok_pages(pages: DataFrame) -> DataFrame:
     return pages.filter(F.col("status") < 400) if "status" in pages.columns else pages
 
 
-# Placeholders for markdown marks and protected characters while page text is
-# decoded and escaped; all are Unicode noncharacters.
-_MARKS = {"*": "﷐", "#": "﷑", "[": "﷒", "](": "﷓", ")": "﷔", "br": "﷕", "nl": "﷘",
-          "`": "﷖", ">": "﷗"}
-_KEEP = "﷠﷡﷢﷣﷤﷥"
-_KEPT = "\n \t*_#"
-
-# Inline elements dropped around their text, and block elements.
-_PLAIN_INLINE = (
-    r"(?i)</?(?:span|small|font|u|mark|abbr|cite|time|label|kbd|samp|var|sub|sup|q|s|del|ins|big|tt|wbr|button|input|i?dfn)\b[^>]*>"
-)
-_BLOCK = (
-    r"(?i)</?(?:p|div|section|article|main|body|html|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|caption|"
-    r"blockquote|header|footer|nav|aside|form|figure|figcaption|address|fieldset|details|summary|h[1-6])\b[^>]*>"
-)
-
-
-def _rewrite(html: Column, pattern: str, rewritten: Callable[[Column], Column]) -> Column:
-    """Pass every match of ``pattern`` through ``rewritten``; the text between stays."""
-    # split yields exactly one part more than there are matches
-    parts = F.split(html, pattern, -1)
-    matches = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), rewritten)
-    rest = F.zip_with(matches, F.slice(parts, F.lit(2), F.size(parts)), lambda m, p: F.concat(m, p))
-    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
-
-
-def _protect_code(html: Column) -> Column:
-    """Keep line ends, blanks and marks of ``pre`` and ``code`` content from later steps."""
-    pattern = r"(?is)<pre\b[^>]*>.*?(?:</pre\s*>|\z)|<code\b[^>]*>.*?(?:</code\s*>|\z)"
-    mark = _MARKS["`"]
-
-    def guarded(element: Column) -> Column:
-        inner = F.translate(F.regexp_replace(element, r"</?[A-Za-z][^>]*>", ""), _KEPT, _KEEP)
-        fenced = F.concat(
-            F.lit(f"<p>{mark * 3}{_MARKS['nl']}"), inner, F.lit(f"{_MARKS['nl']}{mark * 3}<p>")
-        )
-        return F.when(F.rlike(element, F.lit("(?i)^<pre")), fenced).otherwise(
-            F.concat(F.lit(mark), inner, F.lit(mark))
-        )
-
-    return F.when(F.rlike(html, F.lit(r"(?i)<(?:pre|code)\b")), _rewrite(html, pattern, guarded)).otherwise(html)
-
-
-def _number_items(html: Column) -> Column:
-    """Items of ordered lists without inner lists get their numbers."""
-
-    def numbered(element: Column) -> Column:
-        items = F.split(element, r"(?i)<li\b[^>]*>", -1)
-        lines = F.transform(
-            F.slice(items, F.lit(2), F.size(items)),
-            lambda item, i: F.concat(F.lit("<br class=item>"), (i + 1).cast("string"), F.lit(". "), item),
-        )
-        flat = F.concat(F.element_at(items, 1), F.array_join(lines, ""))
-        return F.when(F.rlike(element, F.lit(r"(?is)<ol\b.*<[uo]l\b")), element).otherwise(flat)
-
-    pattern = r"(?is)<ol\b[^>]*>.*?(?:</ol\s*>|\z)"
-    return F.when(F.rlike(html, F.lit(r"(?i)<ol\b")), _rewrite(html, pattern, numbered)).otherwise(html)
-
-
-def _rule_header_rows(html: Column) -> Column:
-    """Table rows of header cells are followed by the rule markdown expects."""
-
-    def ruled(row: Column) -> Column:
-        cells = F.regexp_count(row, F.lit(r"(?i)<th\b"))
-        return F.concat(row, F.lit("<tr>"), F.repeat(F.lit("<td>---</td>"), cells), F.lit("</tr>"))
-
-    pattern = r"(?is)<tr\b[^>]*>\s*<th\b.*?(?:</tr\s*>|\z)"
-    return F.when(F.rlike(html, F.lit(r"(?i)<th\b")), _rewrite(html, pattern, ruled)).otherwise(html)
-
-
-def _emphasis(tags: str, mark: str) -> tuple[str, str]:
-    """Closed pairs around text only; an unclosed tag is dropped later."""
-    return (rf"(?i)<(?:{tags})(?: [^>]*)?>( *+)([^<]++)</(?:{tags}) *>", f"$1{mark}$2{mark}")
+_FINISH = [
+    (r"([*_])", r"\\$1"),
+    (r" *\n[ \n]*\n *", "\n\n"),
+    (r"(?md)^( *)#", r"$1\\#"),
+]
 
 
-def _blanks_outside(col: Column) -> Column:
-    """Move a blank before an end tag behind it, since marks must touch their text."""
-    for tag in ("em", "i", "strong", "b"):
-        col = F.replace(col, F.lit(f" </{tag}>"), F.lit(f"</{tag}> "))
-    return col
+@F.pandas_udf(T.StringType())
+def _marked(pages: pd.Series) -> pd.Series:
+    return pd.Series([scan.marked_content(page) for page in pages])
 
 
 def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
     """Add the page's main content as markdown; null when there is none.
 
     Content is what lies from the first ``article`` to the end of the last, else
-    ``main`` likewise, else the page without its furniture.  Without an end tag they
-    reach to the end of the page.
+    ``main`` likewise, else the page; in each case without menus, asides, footers,
+    forms and unseen elements, and outside articles without headers and containers
+    that are mostly links.  An element without an end tag is no such part.
     """
-    star, head = _MARKS["*"], _MARKS["#"]
-
-    def region(name: str) -> Column:
-        closed, open_ = (F.regexp_extract("_bare", rf"(?is)<{name}{_NAME_END}[^>]*>(.*){end}", 1) for end in (rf"</{name}\s*>", r"\z"))
-        return F.coalesce(text.empty_to_null(closed), open_)
-
-    whole = F.regexp_replace("_bare", _element(FURNITURE), "")
-    inline = [
-        _emphasis("em|i", star),
-        _emphasis("strong|b", star * 2),
-        (
-            r"""(?i)<a\b[^>]*?\bhref *= *(?:"([^"]*)"|'([^']*)'|([^ "'>]+))[^>]*>([^<]*)</a *>""",
-            f"{_MARKS['[']}$4{_MARKS['](']}$1$2$3{_MARKS[')']}",
-        ),
-    ]
-    headings = [
-        (r"(?i)<h([1-6])\b[^>]*>", f"\n\n{head}$1 "),
-        *[(f"{head}{n}", head * n) for n in range(1, 7)],
-    ]
-    steps = [
-        (_PLAIN_INLINE, ""),
-        (r" ?<br class=item>", "\n"),
-        (r"(?i)<br\b[^>]*>", _MARKS["br"]),
-        *inline, *inline,
-        *headings,
-        (r"(?i) ?<li\b[^>]*>", f"\n{star} "),
-        (r"(?i)</li *>", ""),
-        (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-        (r"(?i)<blockquote\b[^>]*>(?: *<p>)?", f"\n\n{_MARKS['>']} "),
-        (r"(?i) ?<tr\b[^>]*>", "\n|"),
-        (r"(?i)<t[hd]\b[^>]*>", " "),
-        (r"(?i)</t[hd] *>", " |"),
-        (_BLOCK, "\n\n"),
-        (r"</?[A-Za-z][^>]*>|<![^>]*>|</?[A-Za-z!][^>]*\z", ""),
-    ]
-    finish = [
-        (r"([*_])", r"\\$1"),
-        (r" *\n[ \n]*\n *", "\n\n"),
-        (r"(?md)^( *)#", r"$1\\#"),
-    ]
-    bare = text.chain(F.col("_seen"), [
-        (_element([u for u in UNWANTED if u not in ("script", "style")]), ""),
-        (r"(?i)<(?:img|source)\b[^>]*>", ""),
-    ])
-    marked = (
-        with_visible(pages)
-        .withColumn("_bare", bare)
-        .withColumn(
-            "_region",
-            F.coalesce(text.empty_to_null(region("article")), text.empty_to_null(region("main")), whole),
-        )
-        .withColumn("_coded", _protect_code(F.col("_region")))
-        .withColumn("_listed", _number_items(F.col("_coded")))
-        .withColumn("_tabled", _rule_header_rows(F.col("_listed")))
-        .withColumn("_flat", F.regexp_replace("_tabled", r"[ \t\r\n\f]{2,}|[\t\r\n\f]", " "))
-        .withColumn("_marked", text.chain(_blanks_outside(F.col("_flat")), steps))
-    )
-    body = text.chain(text.decode_entities(F.col("_marked")), finish)
-    final = text.strip(_restore(body))
-    return compute_once(marked, out, text.empty_to_null(final)).select(*pages.columns, out)
+    body = text.chain(text.decode_entities(F.col("_marked")), _FINISH)
+    marked = pages.withColumn("_marked", _marked("html"))
+    return compute_once(marked, out, text.empty_to_null(text.strip(_restore(body)))).select(*pages.columns, out)
 
 
 def _restore(col: Column) -> Column:
     """Marks and protected characters back to what they stand for."""
-    col = F.replace(col, F.lit(_MARKS["br"]), F.lit("  \n"))
-    col = F.replace(col, F.lit(_MARKS["]("]), F.lit("]("))
-    singles = [(k if k != "nl" else "\n", v) for k, v in _MARKS.items() if k not in ("br", "](")]
-    return F.translate(col, "".join(v for _, v in singles) + _KEEP, "".join(k for k, _ in singles) + _KEPT)
+    marks = scan.MARKS
+    col = F.replace(col, F.lit(marks["br"]), F.lit("  \n"))
+    col = F.replace(col, F.lit(marks["]("]), F.lit("]("))
+    singles = [({"nl": "\n", "lead": " "}.get(k, k), v) for k, v in marks.items() if k not in ("br", "](")]
+    return F.translate(col, "".join(v for _, v in singles) + scan.KEEP, "".join(k for k, _ in singles) + scan.KEPT)
 
 
 def pages_to_documents(pages: DataFrame) -> DataFrame:

@@ -61,11 +61,14 @@ def _scratch(spark: SparkSession, label: str) -> str:
 
 # --- pages -----------------------------------------------------------------
 
+_MANY = " ".join(f"d{i}='>'" for i in range(300))  # attributes of one tag
+
+
 def _with_head_tags(pages: DataFrame) -> DataFrame:
     """Pages with meta and icon tags; every fourth loses its title, whose text the og tag then supplies."""
     extra = F.concat(
         F.lit('<meta charset="utf-8"><meta name="description" content="superseded">'),
-        F.lit('<meta name="description" content="Page '), F.col("page_id"), F.lit(' &gt; &amp;amp; more">'),
+        F.lit(f'<meta {_MANY} name="description" content="Page '), F.col("page_id"), F.lit(' &gt; &amp;amp; &#00000065; more">'),
         F.lit("<META property='og:title' content='OG "), F.col("page_id"), F.lit("'>"),
         F.lit('<meta name="keywords"><link rel="stylesheet" href="a.css">'),
         F.lit('<link href="/icons/'), F.col("page_id"), F.lit('.png" rel="shortcut icon">'),
@@ -85,6 +88,7 @@ def _with_anchors(pages: DataFrame) -> DataFrame:
     anchors = (
         '<body><a href="?q=1&amp;r=2">q</a><a class=x href=\'//cdn.example.org/a#b\'>c</a>'
         '<a name="n">n</a><a href="mailto:x@y.z">m</a><A HREF="../up/./x#f">u</A>'
+        f'<a {_MANY} href="/many">d</a>'
     )
     return pages.withColumn("html", F.replace(F.col("html"), F.lit("<body>"), F.lit(anchors)))
 
@@ -101,9 +105,21 @@ def same_host_links(spark, sf_dir):
     return kept.groupBy(urls.netloc(F.col("src_url")).alias("host")).agg(F.count(F.lit(1)).alias("links"))
 
 
+def _with_first_article(pages: DataFrame) -> DataFrame:
+    """Pages with a further article, a menu and an advert before their own; a third of them without an end of the head."""
+    first = (
+        f"<article {_MANY}><h2>First &#00000065;</h2><p>Some <b>bold <i>text</i></b> and <a href='/x_y'>a link</a>.<p>No end tag"
+        "<table><tr><th>a<th>b</tr>\n<tr><td>1</td><td>2</td></tr></table><pre><code>def f(a):\n    return a*2  # c &lt; d</code></pre>"
+        "<blockquote><p>Quoted</p></blockquote><ol><li>one\n<li>two <code>x_y</code></ol><form><input><button>Send</button></form></article>"
+        "<nav><ul><li><a href='/m'>MENU</a></ul></nav><aside><p>ADVERT<div>nested</div></aside><p>Between"
+    )
+    page = F.replace(F.col("html"), F.lit("<article>"), F.concat(F.lit(first), F.lit("<article>")))
+    return pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.replace(page, F.lit("</head>"), F.lit(""))).otherwise(page))
+
+
 @query
 def main_content(spark, sf_dir):
-    return html.main_content_markdown(_pages(spark, sf_dir)).select("page_id", "markdown")
+    return html.main_content_markdown(_with_first_article(_pages(spark, sf_dir))).select("page_id", "markdown")
 
 
 def _page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ WITH p AS (
 )
 SELECT page_id, url AS source_url,
   CASE WHEN page_id % 4 = 0 OR t = '' THEN 'OG ' || page_id ELSE t END AS title,
-  'Page ' || page_id || ' > &amp; more' AS description,
+  'Page ' || page_id || ' > &amp; A more' AS description,
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS language,
   CAST(NULL AS VARCHAR) AS keywords,
   'OG ' || page_id AS og_title,
@@ -71,11 +71,12 @@ raw AS (
     regexp_extract_all({_subs('html', _VISIBLE)}, '<a href="([^"]*)">', 1) AS found
   FROM pages
 ), hrefs AS (
-  SELECT page_id, url, origin, path, scheme, unnest(found) AS href, generate_subscripts(found, 1) + 3 AS pos FROM raw
+  SELECT page_id, url, origin, path, scheme, unnest(found) AS href, generate_subscripts(found, 1) + 4 AS pos FROM raw
   UNION ALL SELECT page_id, url, origin, path, scheme, '?q=1&r=2', 0 FROM raw
   UNION ALL SELECT page_id, url, origin, path, scheme, '//cdn.example.org/a#b', 1 FROM raw
   UNION ALL SELECT page_id, url, origin, path, scheme, 'mailto:x@y.z', 2 FROM raw
   UNION ALL SELECT page_id, url, origin, path, scheme, '../up/./x#f', 3 FROM raw
+  UNION ALL SELECT page_id, url, origin, path, scheme, '/many', 4 FROM raw
 ), links AS (
   SELECT page_id, url, CAST(pos AS INTEGER) AS pos, href,
     CASE WHEN href LIKE '?%' THEN origin || path || href
@@ -107,7 +108,11 @@ _REGION = (
     + r", '(?is)<article\b[^>]*>(.*?)(</article\s*>|\z)', 1)"
 )
 _MARKDOWN = _strip(_replaces(_subs(_decode(_subs(_REGION, _TO_MARKDOWN)), _ESCAPE), _MARKS))
-MAIN_CONTENT = f"SELECT page_id, nullif({_MARKDOWN}, '') AS markdown FROM pages"
+_FIRST_ARTICLE = (
+    "## First A\n\nSome **bold *text*** and [a link](/x_y).\n\nNo end tag\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n"
+    "```\ndef f(a):\n    return a*2  # c < d\n```\n\n> Quoted\n\n1. one\n2. two `x_y`\n\nBetween\n\n"
+)
+MAIN_CONTENT = f"SELECT page_id, {_strip(f'{_q(_FIRST_ARTICLE)} || {_MARKDOWN}')} AS markdown FROM pages"
 
 _SECTIONS = (
     "\n## Details \nOn this page see [the *page*](", ") and `code` now.\n\n\n\n- item\t one\n- item two\nEdit this page on GitHub\n"
