@@ -3,28 +3,31 @@
 Places where a pre-token begins are found for a million code points at once:
 code points become symbols, symbols become transitions of a small automaton,
 and transitions are composed by an associative scan.  The pre-tokens are those
-of the public pattern
-
-    's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+of ``PATTERN``, under the Unicode version that the tokenizer library knows.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from pagemill.llm.words import BLOCK, POINTS, codepoints
 
 REMEMBERED = 600_000  # pre-tokens whose ids a Python worker keeps, in each of two generations; some 150 MB
+# The public pattern of pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHORT = 48  # bytes up to which merges scan the piece instead of keeping a heap
 
 # Classes of code points.
@@ -35,15 +38,52 @@ _L, _N, _O, _QUOTE1, _QUOTE2, _BLANK, _LAST_SPACE, _LAST_BLANK, _RESET = range(9
 _CLOSED, _IN_L, _IN_N, _IN_O, _IN_BLANK, _PREFIX, _ONE_MORE, _TWO_MORE = range(8)
 
 
-@cache
+_shared: list[np.ndarray] = []  # the driver's table, in its tasks
+
+
 def class_table() -> np.ndarray:
+    """Class of every code point: in a task, as the driver told."""
+    return _shared[0] if _shared else own_classes()
+
+
+@cache
+def own_classes() -> np.ndarray:
+    """Classes by the Unicode version of the tokenizer library, or of Python where that is not installed."""
+    try:
+        import tiktoken
+    except ImportError:
+        table = _python_classes()
+    else:
+        table = _library_classes(tiktoken)
+    table[ord(" ")] = SPACE
+    return table
+
+
+def _python_classes() -> np.ndarray:
     table = np.zeros(POINTS, np.uint8)
     for i in range(POINTS):
         c = chr(i)
         kind = unicodedata.category(c)[0]
         table[i] = LETTER if kind == "L" else NUMBER if kind == "N" else BLANK if c.isspace() else OTHER
     table[0x1C:0x20] = OTHER  # separators that Python, but not Unicode, counts as white space
-    table[ord(" ")] = SPACE
+    return table
+
+
+def _library_classes(tiktoken) -> np.ndarray:
+    """What the library joins to a letter, a digit or a full stop: ranks in which those merge with any byte show it."""
+    heads = b"a1."
+    ranks = {bytes([i]): i for i in range(256)} | {bytes([h, i]): 256 * (n + 1) + i for n, h in enumerate(heads) for i in range(256)}
+    probe = tiktoken.Encoding("classes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    points = np.r_[0:0xD800, 0xE000:POINTS]
+    sizes = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    text = "".join([f"\na{c}\n1{c}\n.{c}" for c in map(chr, points.tolist())])
+    lengths = 1 + (np.array(probe.encode_ordinary(text)) >= 256)
+    joined = np.zeros(int(lengths.sum()) + 1, bool)
+    joined[np.cumsum(lengths) - lengths] = lengths == 2
+    first = np.cumsum(3 * (2 + sizes)) - 3 * (2 + sizes) + 1
+    letter, number, other = (joined[first + n * (2 + sizes)] for n in range(3))
+    table = np.zeros(POINTS, np.uint8)
+    table[points] = np.select([letter, number, other], [LETTER, NUMBER, OTHER], BLANK)
     return table
 
 
@@ -143,10 +183,22 @@ def starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return joined, first, bounds[np.searchsorted(bounds, first, "right")]
 
 
+@dataclass(frozen=True)
+class Rules:
+    """What tasks need of a tokenizer: the lines of its rank file, and the classes of code points."""
+
+    lines: bytes
+    classes: np.ndarray
+
+    def ranks(self) -> dict[bytes, int]:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, self.lines.splitlines()))}
+
+
 @cache
-def ranks_of(path: str) -> dict[bytes, int]:
+def rules(path: str) -> Rules:
+    """Read on the driver, whose files executors need not have."""
     with open(path, "rb") as file:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, file))}
+        return Rules(file.read(), own_classes())
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -200,9 +252,9 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 class Codec:
     """Encoder and decoder over one rank file; ids of pre-tokens met are remembered up to a bound."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, own: Rules, remembered: int = REMEMBERED):
         self.remembered = remembered
-        self.ranks = ranks_of(path)
+        self.ranks = own.ranks()
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         size = max(self.ranks.values()) + 1
@@ -268,10 +320,17 @@ class Codec:
         return self.bytes[np.arange(len(shift)) + shift].tobytes()
 
 
-@cache
-def codec(path: str, remembered: int = REMEMBERED) -> Codec:
+_codecs: dict[tuple[bytes, int], Codec] = {}
+
+
+def codec(shared: Broadcast, remembered: int = REMEMBERED) -> Codec:
     """One codec per rank file and Python worker."""
-    return Codec(path, remembered)
+    own = shared.value
+    key = hashlib.sha256(own.lines).digest(), remembered
+    if key not in _codecs:
+        _codecs[key] = Codec(own, remembered)
+    _shared[:] = [own.classes]
+    return _codecs[key]
 
 
 def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -299,8 +358,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REM
     kept; rows are neither added nor lost.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(rules(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, remembered)
+        own = codec(shared, remembered)
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(text).to_pylist()])
             ends = [own.offsets(x) for x in ids]
@@ -313,8 +374,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REM
 def decode(encoded: DataFrame, path: str, out: str = "decoded", remembered: int = REMEMBERED) -> DataFrame:
     """``encoded`` with the bytes of its ``ids`` in column ``out``, placed by ``ends``; null ids give null."""
 
+    shared = encoded.sparkSession.sparkContext.broadcast(rules(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, remembered)
+        own = codec(shared, remembered)
         for batch in batches:
             made = []
             for ids, ends in zip(batch.column("ids"), batch.column("ends")):

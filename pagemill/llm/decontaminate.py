@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
-from pagemill.operators.scale import join_dimension, stage
+from pagemill.operators.scale import join_dimension, stage, unused
 
 SHINGLE = 5
 OVERLAP = 0.8
@@ -283,5 +283,6 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: s
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, columns as they were; judged by text, so null ids too."""
-    hits = stage(find(docs, benchmark, text=text, doc_id=doc_id).select(F.col("text_hash").alias("_text_hash")).distinct(), "leaks")
-    return join_dimension(docs.withColumn("_text_hash", F.xxhash64(text)), hits, ["_text_hash"], "left_anti").drop("_text_hash")
+    name = unused(docs, "_text_hash")
+    hits = stage(find(docs, benchmark, text=text, doc_id=doc_id).select(F.col("text_hash").alias(name)).distinct(), "leaks")
+    return join_dimension(docs.withColumn(name, F.xxhash64(text)), hits, [name], "left_anti").drop(name)

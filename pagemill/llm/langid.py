@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.scale import join_dimension, stage
+from pagemill.operators.scale import join_dimension, stage, unused
 
 SAMPLE_DOCS = 1500  # labelled documents per language that the model is fitted on
 SAMPLE_CHARS = 6_000_000  # and their characters, over all of a language's documents
@@ -22,7 +23,8 @@ MAX_N = 4
 ENOUGH = 20  # words of evidence beyond which a score gains no more
 REMEMBERED = 100_000  # unseen words whose score a Python worker keeps
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NO_LETTERS)}]+")  # \w is also digits and numbers like ² and Ⅷ
 
 
 @dataclass(frozen=True)
@@ -132,7 +134,7 @@ class Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def _judged(docs: DataFrame, model: Model, text: str) -> DataFrame:
+def _judged(docs: DataFrame, model: Model, text: str, out: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -141,7 +143,7 @@ def _judged(docs: DataFrame, model: Model, text: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([scorer(t) for t in batch], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_language", run(F.col(text)))
+    return docs.withColumn(out, run(F.col(text)))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -151,14 +153,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     text if nothing was learned.  Equal scores go to the first language A-Z.
     Columns of the two names are replaced; rows are neither added nor lost.
     """
-    marked = _judged(docs.drop("lang_pred", "score"), model, text)
-    return marked.select("*", "_language.lang_pred", "_language.score").drop("_language")
+    rest = docs.drop("lang_pred", "score")
+    out = unused(rest, "_language")
+    return _judged(rest, model, text, out).select(*[f"`{c}`" for c in rest.columns], f"{out}.lang_pred", f"{out}.score")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``least`` or more, columns as they were."""
-    known = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)
-    return _judged(docs, model, "text").filter(known).drop("_language")
+    out = unused(docs, "_language")
+    known = (F.col(f"{out}.lang_pred") != UNKNOWN) & (F.col(f"{out}.score") >= least)
+    return _judged(docs, model, "text", out).filter(known).drop(out)
 
 
 def fold(doc_id: Column, parts: int) -> Column:

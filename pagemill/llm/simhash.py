@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
-from pagemill.operators.scale import stage
+from pagemill.operators.scale import join_dimension, stage, unused
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -154,27 +154,42 @@ def near_duplicates(
     """
     marked = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp")), "fingerprints")
     groups = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stage(connected_components(links(groups.select("fp"), bits)).select(F.col("node").alias("fp"), "root"), "roots")
-    rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(groups, bits)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     answer = rooted.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(answer, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` less all but one document of each near-duplicate group.
+def _rooted(groups: DataFrame, bits: int) -> DataFrame:
+    """Distinct fingerprints ``fp`` with the ``root`` of their component."""
+    roots = stage(connected_components(links(groups.select("fp"), bits)).select(F.col("node").alias("fp"), "root"), "roots")
+    return groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def keep_first(
+    docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, bits: int = MAX_BITS
+) -> DataFrame:
+    """The rows of ``docs`` less all but one row of each near-duplicate group.
 
-    The document named by ``component_id`` stays, with all its columns.  Of
-    several rows with that id, and of rows in a group without any id, one
-    stays, whichever Spark meets first.
+    The row of the smallest id stays, with all its columns, in any group; a null
+    id comes after all others, and of several rows with that id in one group, the one
+    of the smallest fingerprint and content hash stays.  An id that stands in several groups
+    is judged in each.  Texts of groups of one row are not shuffled.
     """
-    answer = near_duplicates(docs, text=text, doc_id=doc_id)
-    ids = answer.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs[doc_id] == ids["_kept"], "left_semi")
-    nameless = answer.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-    stray = docs.filter(F.col(doc_id).isNull()).withColumn(
-        "_fp", F.lower(F.lpad(F.hex(fingerprints(F.col(text))), 16, "0"))
+    key = [F.xxhash64(F.lit(i), doc_id, text).alias(f"k{i}") for i in (1, 2)]
+    marked = stage(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text), shingle).alias("fp"), *key), "fingerprints")
+    rooted = marked.join(_rooted(marked.groupBy("fp").agg(F.lit(1)).select("fp"), bits), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "k1", "k2")
+    groups = stage(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1").drop("n"), "groups")
+    stays = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    told = rooted.join(groups, "root").groupBy("k1", "k2", stays.alias("stays")).agg(F.count(F.lit(1)).alias("n"))
+    told = stage(told.filter("not stays or n > 1").drop("n"), "duplicates")
+    names = {c: unused(docs, f"_{c}") for c in ("k1", "k2", "stays")}
+    judged = join_dimension(
+        docs.withColumns({names["k1"]: key[0], names["k2"]: key[1]}), told.withColumnsRenamed(names), [names["k1"], names["k2"]], "left"
     )
-    stray = stray.join(nameless, F.col("_fp") == F.col("fingerprint"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return kept.dropDuplicates([doc_id]).unionByName(stray)
+    kept = judged.filter(F.col(names["stays"]).isNull())
+    if told.filter("stays").limit(1).count():  # rows alike in id and text
+        kept = kept.unionByName(judged.filter(F.col(names["stays"])).dropDuplicates([names["k1"], names["k2"]]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -167,8 +167,10 @@ def count(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     replaced; rows are neither added nor lost.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.rules(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec(path)
+        codec = bpe.codec(shared)
         for batch in batches:
             trees = grow(codec, [t or "" for t in batch.column(text).to_pylist()])
             yield bpe._with(batch, _columns(trees))
@@ -190,8 +192,10 @@ def apply_edits(counted: DataFrame, path: str, edits: str = "edits", text: str =
     nothing.  Null documents are edited as empty ones.
     """
 
+    shared = counted.sparkSession.sparkContext.broadcast(bpe.rules(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec(path)
+        codec = bpe.codec(shared)
         for batch in batches:
             held = [batch.column(f.name) for f in _TREE]
             texts, trees, read = [], [], []

@@ -21,7 +21,7 @@ def truth():
     return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-CODEC = bpe.Codec(PATH)
+CODEC = bpe.Codec(bpe.rules(PATH))
 ODD = [
     "", " ", "  ", "\n", "don't we'll they've I'm he'd 's' ''s x!'s 're'r'rx  's \n's", "a\n\n b  \n", "  x", "  y  z",
     "\x1c\x1d a\x85b", "'", "' s", "it's1'd2", "日本語 テスト １２", "é ́", "😀😀 😀", "<|endoftext|>", " '", "a  ", "'llama 'l 'v",
@@ -47,6 +47,21 @@ def test_every_code_point(truth):
     assert [x.tolist() for x in CODEC.encode(texts)] == truth.encode_ordinary_batch(texts, num_threads=4)
 
 
+def test_every_code_point_beside_each_class(truth):
+    # short texts, so that one class that differs does not hide behind the merges around it
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["\n".join(f"a{c}a 1{c}1 .{c}. {c}?" for c in points[i : i + 1024]) for i in range(0, len(points), 1024)]
+    assert [x.tolist() for x in CODEC.encode(texts)] == truth.encode_ordinary_batch(texts, num_threads=4)
+
+
+def test_classes_without_the_library():
+    own, python = bpe.own_classes(), bpe._python_classes()
+    python[ord(" ")] = bpe.SPACE
+    # a younger Unicode version only assigns code points that had no class
+    differ = [i for i in (own != python).nonzero()[0].tolist() if bpe.unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    assert differ == []
+
+
 def test_cuts_of_long_texts(truth, monkeypatch):
     rng = random.Random(3)
     text = "".join(rng.choice(["ab", " ", "\n", "'s", "!", "é", "12"]) for _ in range(4000))
@@ -71,5 +86,6 @@ def test_odd_rows(spark):
     rows = [(1, None, "x"), (1, "", "y"), (None, "a b", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+    assert bpe.PATTERN == public.PATTERN
     assert sorted(bytes(r.decoded) for r in got) == [b"", b"", b"a b"]
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0

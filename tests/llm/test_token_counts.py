@@ -9,7 +9,7 @@ import public_tokenizers as public
 from pagemill.llm import bpe, queries, token_counts as C
 
 PATH = public.path("byte_bpe_multi_50k.tiktoken")
-CODEC = bpe.Codec(PATH)
+CODEC = bpe.Codec(bpe.rules(PATH))
 PIECES = ["word", " the", "  ", "\n\n", "'s", "'", "é", "12", "!?", " ", "don't", "\t", "日本", "aaaa"]
 
 
