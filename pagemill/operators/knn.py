@@ -2,12 +2,15 @@
 
 Distance is squared L2.  Tasks keep the best ``k`` per query while they stream
 over their vectors, so neither query-vector pairs nor a whole target are ever
-gathered; what is shuffled is ``k`` rows per query and task.
+gathered; what is shuffled is ``k`` rows per query and task.  Vectors are never
+shuffled, however many queries there are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.operators.scale import join_dimension, stage, top_per_key
+from pagemill.operators.ivf import OUT_OF_BOUNDS, SAMPLE, Index, assign, build, matrix, needed
+from pagemill.operators.scale import number_rows, stage, staging_root, top_per_key
 from pagemill.settings import DEFAULT_RESULTS
 
 MAX_BROADCAST_QUERIES = 8192
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_RESULT_ROWS = 500_000_000
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 100_000
 _MAX_LISTED = 1000
 
 
@@ -37,15 +40,18 @@ class _Best:
         self.ids = np.empty(0, object)
         self.worst = np.full(len(queries), np.inf)
 
-    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, vectors: np.ndarray, ids: np.ndarray, some: np.ndarray | None = None) -> None:
+        """Let all queries, or those numbered in ``some``, meet the vectors."""
+        some = np.arange(len(self.queries)) if some is None else some
         norms = np.einsum("ij,ij->i", vectors, vectors)
         slack = 1e-9 * (1.0 + norms.max() + self.norms.max())
         found_q, found_d, found_i = [self.q], [self.dist], [self.ids]
         step = max(1, (1 << 21) // len(vectors))
-        for start in range(0, len(self.queries), step):
-            block = self.queries[start : start + step]
-            rough = norms[None, :] + self.norms[start : start + step, None] - 2.0 * (block @ vectors.T)
-            bar = self.worst[start : start + step]
+        for start in range(0, len(some), step):
+            rows = some[start : start + step]
+            block = self.queries[rows]
+            rough = norms[None, :] + self.norms[rows, None] - 2.0 * (block @ vectors.T)
+            bar = self.worst[rows]
             if len(vectors) > self.k:
                 bar = np.minimum(bar, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
             # the product is only a sieve: candidates within rounding of the bar are measured exactly,
@@ -53,7 +59,7 @@ class _Best:
             qi, vi = np.nonzero(rough <= bar[:, None] + slack)
             for at in range(0, len(qi), 1 << 16):
                 a, b = qi[at : at + (1 << 16)], vi[at : at + (1 << 16)]
-                found_q.append(a + start)
+                found_q.append(rows[a])
                 found_d.append(np.square(vectors[b] - block[a]).sum(axis=1))
                 found_i.append(ids[b])
         self._keep(np.concatenate(found_q), np.concatenate(found_d), np.concatenate(found_i))
@@ -69,34 +75,32 @@ class _Best:
         self.worst[self.q[last]] = self.dist[last]
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
-
-
 def _objects(column) -> np.ndarray:
     out = np.empty(len(column), object)
     out[:] = column.to_pylist()
     return out
 
 
-def _prepared(vectors: DataFrame, queries: DataFrame, by: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
-    block = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by])
-    limit = F.coalesce(F.col("n_results"), F.lit(k)) if "n_results" in queries.columns else F.lit(k)
-    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+def _present(by: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a row takes part, and its block: the key values and the width, as vectors meet only those of their own width."""
+    sound = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     present = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & sound
     for c in by:  # a null key equals nothing
         present = present & F.col(c).isNotNull()
-    width = F.size("embedding").cast("string")
-    block = F.concat_ws("\x1f", block, width)  # vectors are compared with those of their own width only
-    v = vectors.filter(present).select(*by, block.alias("_block"), "chunk_id", "embedding")
-    q = queries.filter(present).select(
-        "query_id", *by, block.alias("_block"), limit.cast("int").alias("n_results"),
-        F.col("embedding").cast("array<double>").alias("_vector"),
+    return present, F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by], F.size("embedding").cast("string")).alias("_block")
+
+
+def _sound(vectors: DataFrame, by: Sequence[str]) -> DataFrame:
+    present, block = _present(by)
+    return vectors.filter(present).select(*by, block, "chunk_id", "embedding")
+
+
+def _asked(queries: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    present, block = _present(by)
+    limit = F.coalesce(F.col("n_results"), F.lit(k)) if "n_results" in queries.columns else F.lit(k)
+    return queries.filter(present).select(
+        "query_id", *by, block, limit.cast("int").alias("n_results"), F.col("embedding").cast("array<double>").alias("_vector")
     )
-    return v, q
 
 
 def _result_type(vectors: DataFrame, queries: DataFrame) -> T.StructType:
@@ -117,47 +121,69 @@ def _rows(best: _Best, query_ids: np.ndarray, limits: np.ndarray, arrow: pa.Sche
     }
 
 
-def _scan(v: DataFrame, q: DataFrame, by: Sequence[str], k: int, schema: T.StructType) -> DataFrame:
-    """Few queries: ship them to the vectors, which stay where they are."""
-    table = q.toArrow()
+class _Asked(NamedTuple):
+    """Queries of one target and width: ids, own limits, vectors, and the lists each must visit (all, if not told)."""
+
+    ids: np.ndarray
+    limits: np.ndarray
+    vectors: np.ndarray
+    wanted: np.ndarray | None = None
+    column: dict[int, int] | None = None  # of a list in ``wanted``
+
+
+def _grouped(table: pa.Table) -> dict[str, _Asked]:
     blocks = np.array(table.column("_block").to_pylist(), object)
     ids, limits = _objects(table.column("query_id")), table.column("n_results").to_numpy()
     held = table.column("_vector").combine_chunks()
     per_block = {b: np.flatnonzero(blocks == b) for b in set(blocks.tolist())}
-    shipped = v.sparkSession.sparkContext.broadcast(
-        {b: (ids[rows], limits[rows], _matrix(held.take(pa.array(rows)))) for b, rows in per_block.items()}
-    )
+    return {b: _Asked(ids[rows], limits[rows], matrix(held.take(pa.array(rows)))) for b, rows in per_block.items()}
+
+
+def _scan(v: DataFrame, asked: dict[str, _Asked], k: int, schema: T.StructType, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Ship queries to the vectors, which stay where they are; with lists, each meets only the queries that want it."""
+    shipped = v.sparkSession.sparkContext.broadcast(asked)
+    lists = [set(a.column) for a in asked.values() if a.column is not None]
     wanted = v
-    for c in by:
-        values = table.column(c).unique().to_pylist()
-        if len(values) <= _MAX_LISTED:
-            wanted = wanted.filter(F.col(c).isin(values))
+    if lists and len(lists) == len(asked) and len(every := set.union(*lists)) <= _MAX_LISTED:
+        wanted = wanted.filter(F.col("_list").isin(sorted(every)))
     # every task returns up to k rows per query; on a very wide scan fewer, longer tasks keep that sum in
     # bounds, and merging splits within a task needs no shuffle
     cores = v.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, MAX_RESULT_ROWS // max(1, len(blocks) * k))
-    wanted = wanted.select("_block", "chunk_id", "embedding")
+    tasks = max(cores, MAX_RESULT_ROWS // max(1, sum(len(a.ids) for a in asked.values()) * k))
+    listed = "_list" if "_list" in v.columns else F.lit(0).alias("_list")
+    wanted = wanted.select("_block", listed, "chunk_id", "embedding")
     if wanted.rdd.getNumPartitions() > tasks:
         wanted = wanted.coalesce(tasks)
     arrow = _arrow_schema(schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, _Best] = {}
+        best: dict[str, list[tuple[np.ndarray, _Best]]] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             coded = batch.column("_block").dictionary_encode()
-            codes, chunk_ids = coded.indices.to_numpy(), _objects(batch.column("chunk_id"))
+            codes, chunk_ids, own = coded.indices.to_numpy(), _objects(batch.column("chunk_id")), batch.column("_list").to_numpy()
             for code, name in enumerate(coded.dictionary.to_pylist()):
-                if name not in shipped.value:
+                asks = shipped.value.get(name)
+                if asks is None:
                     continue
                 if name not in best:
-                    best[name] = _Best(shipped.value[name][2], k)
-                rows = np.flatnonzero(codes == code)
-                best[name].add(_matrix(batch.column("embedding").take(pa.array(rows))), chunk_ids[rows])
-        for name, found in best.items():
-            query_ids, own_limits, _ = shipped.value[name]
-            yield pa.RecordBatch.from_pydict(_rows(found, query_ids, own_limits, arrow), schema=arrow)
+                    cuts = [np.arange(a, min(a + query_block, len(asks.ids))) for a in range(0, len(asks.ids), query_block)]
+                    best[name] = [(rows, _Best(asks.vectors[rows], k)) for rows in cuts]
+                mine = codes == code
+                for number in np.unique(own[mine]) if asks.column is not None else [None]:
+                    rows = np.flatnonzero(mine if number is None else mine & (own == number))
+                    if number is not None and number not in asks.column:
+                        continue
+                    vectors = matrix(batch.column("embedding").take(pa.array(rows)))
+                    for queries, found in best[name]:
+                        some = None if number is None else np.flatnonzero(asks.wanted[queries, asks.column[number]])
+                        if some is None or len(some):
+                            found.add(vectors, chunk_ids[rows], some)
+        for name, blocks in best.items():
+            asks = shipped.value[name]
+            for queries, found in blocks:
+                yield pa.RecordBatch.from_pydict(_rows(found, asks.ids[queries], asks.limits[queries], arrow), schema=arrow)
 
     return wanted.mapInArrow(scan, schema)
 
@@ -168,45 +194,48 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _blocked(v: DataFrame, q: DataFrame, k: int, schema: T.StructType, query_block: int, vector_block: int) -> DataFrame:
-    """Many queries: cut both sides into blocks of bounded size and pair the blocks.
-
-    Each target is cut by its own counts, so small ones are not repeated, and a
-    target of any size is spread over as many groups as it needs.
-    """
-
-    def cuts(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+def _with_lists(asked: dict[str, _Asked], index: Index, k: int, reach: float) -> dict[str, _Asked]:
+    """Queries with the lists that they must visit; without bounds, where the driver would read too many, all of them."""
+    bounds = index.lists.filter(F.col("_block").isin(list(asked))) if len(asked) <= _MAX_LISTED else index.lists
+    if bounds.count() > OUT_OF_BOUNDS:
+        return asked
+    told = bounds.toPandas()
+    out = {}
+    for name, rows in told.groupby("_block"):
+        if name not in asked:
+            continue
+        asks, own = asked[name], rows["_list"].to_numpy()
+        centres = index.centres.get(asks.vectors.shape[1])
+        if centres is not None:
+            most = int(np.max(asks.limits, initial=1))
+            wanted = needed(asks.vectors, max(1, min(k, most)), centres, own, *[rows[c].to_numpy() for c in ("n", "near", "far")], reach)
+            seen = wanted.any(0)
+            asks = asks._replace(wanted=wanted[:, seen], column={int(c): i for i, c in enumerate(own[seen])})
+        out[name] = asks
+    return out
 
-    sizes = stage(cuts(v, vector_block, "_nv").join(cuts(q, query_block, "_nq"), "_block"), "blocks")
 
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+def _stationary(index: Index, q: DataFrame, k: int, schema: T.StructType, max_queries: int, query_block: int, reach: float) -> DataFrame:
+    """Many queries: batch after batch goes to the vectors, which never move.
 
-    left = (
-        join_dimension(v.select("_block", "chunk_id", "embedding"), sizes, ["_block"])
-        .withColumn("_vb", F.pmod(F.xxhash64("chunk_id"), F.col("_nv")).cast("int"))
-        .withColumn("_qb", every("_nq"))
-        .select("_block", "_vb", "_qb", "chunk_id", "embedding")
-    )
-    right = (
-        join_dimension(q.select("query_id", "n_results", "_block", "_vector"), sizes, ["_block"])
-        .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")).cast("int"))
-        .withColumn("_vb", every("_nv"))
-        .select("_block", "_vb", "_qb", "query_id", "n_results", "_vector")
-    )
-    arrow = _arrow_schema(schema)
-
-    def pair(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if vectors.num_rows == 0 or queries.num_rows == 0:
-            return arrow.empty_table()
-        best = _Best(_matrix(queries.column("_vector")), k)
-        best.add(_matrix(vectors.column("embedding")), _objects(vectors.column("chunk_id")))
-        limits = queries.column("n_results").to_numpy()
-        return pa.Table.from_pydict(_rows(best, _objects(queries.column("query_id")), limits, arrow), schema=arrow)
-
-    keys = ["_block", "_vb", "_qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
+    Queries are ordered by their own lists, so that a batch wants few of them.
+    The vectors of a batch's lists are read once per batch; only the best ``k``
+    of each task are written.
+    """
+    listed = stage(assign(q, index.centres, "_vector").drop("_away"), "query-lists")
+    order = ["_block", "_list", "_key"]
+    placed = number_rows(listed.withColumn("_key", F.xxhash64("query_id", "_vector")), [], order, "_at")
+    whole = placed.withColumn("_batch", F.floor((F.col("_at") - 1) / max_queries)).drop("_list", "_key", "_at")
+    whole = stage(whole.repartitionByRange("_batch").sortWithinPartitions("_batch"), "query-batches")
+    batches = whole.agg(F.max("_batch")).first()[0]
+    spark = q.sparkSession
+    if batches is None:
+        return spark.createDataFrame([], schema)
+    path = f"{staging_root(spark)}/pagemill-stage/nearest-{uuid.uuid4().hex}"
+    for batch in range(batches + 1):
+        asked = _with_lists(_grouped(whole.filter(F.col("_batch") == batch).toArrow()), index, k, reach)
+        _scan(index.rows, asked, k, schema, query_block).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def knn(
@@ -217,61 +246,66 @@ def knn(
     by: Sequence[str] = ("target",),
     max_queries: int = MAX_BROADCAST_QUERIES,
     query_block: int = QUERY_BLOCK,
-    vector_block: int = VECTOR_BLOCK,
+    batch: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
     """Nearest vectors per query: (query_id, rank, chunk_id, distance).
 
     ``vectors(target, chunk_id, embedding)``, ``queries(query_id, target,
     embedding[, n_results])``.  A query's own ``n_results`` overrides ``k``.
     Ties are ranked by ``chunk_id``.  Rows with a null key, without an embedding, or
-    with a null or NaN component take no part; a query meets vectors of its own width only.
+    with a null, NaN or infinite component take no part; a query meets vectors of its own width only.
+
+    Up to ``max_queries`` queries of bounded size are searched at once.  More
+    are searched in batches over an inverted file of the vectors, which are
+    written once and never shuffled; the bounds of its lists lose nothing.
     """
-    v, q = _prepared(vectors, queries, by, k)
+    v, q = _sound(vectors, by), _asked(queries, by, k)
     schema = _result_type(vectors, queries)
-    count, most, width = q.agg(
-        F.count(F.lit(1)), F.coalesce(F.max("n_results"), F.lit(k)), F.coalesce(F.sum(F.size("_vector") * 8), F.lit(0))
-    ).first()
-    most = max(int(most), 1)
+    count, most, width = _measure(q, k)
     if count <= max_queries and width <= MAX_BROADCAST_BYTES:
-        found = _scan(v, q, by, most, schema)
+        table = q.toArrow()
+        for c in by:  # partitions of other keys are not read
+            values = table.column(c).unique().to_pylist()
+            if len(values) <= _MAX_LISTED:
+                v = v.filter(F.col(c).isin(values))
+        found = _scan(v, _grouped(table), most, schema, query_block)
     else:
-        found = _blocked(v, q, most, schema, query_block, vector_block)
-    ranked = top_per_key(found, ["query_id"], ["distance", "chunk_id"], most)
-    return ranked.filter(F.col("rank") <= F.col("n_results")).select("query_id", "rank", "chunk_id", "distance")
+        found = _stationary(build(v), q, most, schema, _batch_size(count, width, batch), query_block, 1.0)
+    return _ranked(found, most)
 
 
-def bucket(embedding: Column, bits: int, dim: int) -> Column:
-    """Locality bucket: bit ``j`` tells whether coordinate ``j`` exceeds coordinate ``j + dim/2``.
+def _measure(q: DataFrame, k: int) -> tuple[int, int, int]:
+    count, most, width = q.agg(
+        F.count(F.lit(1)), F.coalesce(F.max("n_results"), F.lit(k)), F.coalesce(F.sum(F.size("_vector") * 8), F.lit(0))
+    ).first()
+    return count, max(int(most), 1), width
 
-    Each comparison is a random-hyperplane hash with a two-term plane, and the
-    planes are orthogonal; unlike a dense plane it needs no arithmetic.
-    """
-    half = dim // 2
-    if bits > half:
-        raise ValueError(f"at most {half} bits for vectors of width {dim}")
-    bit = lambda j: F.when(F.element_at(embedding, j + 1) > F.element_at(embedding, j + half + 1), F.lit(1 << j)).otherwise(F.lit(0))
-    total = bit(0)
-    for j in range(1, bits):
-        total = total + bit(j)
-    return total.cast("int")
 
+def _batch_size(count: int, width: int, batch: int) -> int:
+    """Queries of a batch: ``batch``, or as many as the bound on bytes allows of the average width."""
+    return max(1, min(batch, MAX_BROADCAST_BYTES * max(1, count) // max(1, width)))
 
-def with_bucket(vectors: DataFrame, bits: int = 8, dim: int = 64) -> DataFrame:
-    """Add ``bucket``; write the table partitioned by it and a probe reads only its buckets."""
-    return vectors.withColumn("bucket", bucket(F.col("embedding"), bits, dim))
+
+def _ranked(found: DataFrame, most: int) -> DataFrame:
+    ranked = top_per_key(found, ["query_id"], ["distance", "chunk_id"], most)
+    return ranked.filter(F.col("rank") <= F.col("n_results")).select("query_id", "rank", "chunk_id", "distance")
 
 
-def probes(queries: DataFrame, bits: int = 8, dim: int = 64, radius: int = 1) -> DataFrame:
-    """One row per query and bucket within ``radius`` differing bits of its own."""
-    masks = [m for m in range(1 << bits) if bin(m).count("1") <= radius]
-    own = bucket(F.col("embedding"), bits, dim)
-    return queries.withColumn("_mask", F.explode(F.lit(masks))).withColumn(
-        "bucket", own.bitwiseXOR(F.col("_mask")).cast("int")
-    ).drop("_mask")
+def index(vectors: DataFrame, *, by: Sequence[str] = ("target",), sample: int = SAMPLE) -> Index:
+    """Inverted file of ``vectors(target, chunk_id, embedding)``, to be searched by ``knn_approx``."""
+    return build(_sound(vectors, by), sample=sample)
 
 
 def knn_approx(
-    index: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS, *, bits: int = 8, dim: int = 64, radius: int = 1, **options
+    stored: Index, queries: DataFrame, k: int = DEFAULT_RESULTS, *, by: Sequence[str] = ("target",), reach: float = 1.0,
+    query_block: int = QUERY_BLOCK, batch: int = MAX_BROADCAST_QUERIES,
 ) -> DataFrame:
-    """Approximate neighbours: exact ranking of the vectors in the probed buckets."""
-    return knn(index, probes(queries, bits, dim, radius), k, by=("target", "bucket"), **options)
+    """Neighbours by the index: lists are visited until no other can hold a vector nearer than ``reach`` times the k-th.
+
+    With ``reach`` 1 that is proved, and the result exact; with less, fewer lists are visited and
+    some neighbours may be missed.  A query always has its ``k`` rows where the target has them.
+    """
+    q = _asked(queries, by, k)
+    schema = _result_type(stored.rows, queries)
+    count, most, width = _measure(q, k)
+    return _ranked(_stationary(stored, q, most, schema, _batch_size(count, width, batch), query_block, reach), most)

@@ -279,16 +279,17 @@ def knn_exact(spark, sf_dir):
 
 @query
 def knn_blocked(spark, sf_dir):
-    """The same search by blocks of both sides, as for query sets too large to broadcast."""
-    found = knn.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), max_queries=0, query_block=64, vector_block=32)
+    """The same search batch by batch over vectors that stay, as for query sets too large to broadcast."""
+    found = knn.knn(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), max_queries=0, query_block=64)
     return found.withColumn("distance", F.round("distance", 6))
 
 
 @query
 def knn_approx(spark, sf_dir):
-    stored = knn.with_bucket(_vectors(spark, sf_dir, F.lit("all")), bits=6)
+    """Search over all vectors by an inverted file that is widened until no other list can matter."""
+    stored = knn.index(_vectors(spark, sf_dir, F.lit("all")))
     asked = _vector_queries(spark, sf_dir).withColumn("target", F.lit("all"))
-    found = knn.knn_approx(stored, asked, bits=6, radius=1)
+    found = knn.knn_approx(stored, asked)
     return found.withColumn("distance", F.round("distance", 6))
 
 

@@ -271,15 +271,13 @@ v AS (
 
 
 KNN_EXACT = f"WITH {_nearest(0)} SELECT query_id, rank, chunk_id, round(d, 6) AS distance FROM hits"
-_CODE = " + ".join(f"CASE WHEN embedding[{j + 1}] > embedding[{j + 33}] THEN {1 << j} ELSE 0 END" for j in range(6))
-KNN_APPROX = f"""
+KNN_APPROX = """
 WITH v AS (
-  SELECT vec_id, CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, {_CODE} AS code, 2 + vec_id % 4 AS n_results
-  FROM embeddings
+  SELECT vec_id, CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, 2 + vec_id % 4 AS n_results FROM embeddings
 ), pairs AS (
   SELECT q.vec_id AS query_id, q.n_results, v.chunk_id,
     list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i]))) AS d
-  FROM v q JOIN v ON bit_count(xor(q.code, v.code)) <= 1
+  FROM v q, v
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS INTEGER) AS rank, chunk_id, round(d, 6) AS distance
 FROM pairs QUALIFY rank <= n_results

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import vectors
-from pagemill.operators import encode, knn
+from pagemill.operators import encode, ivf, knn
 
 
 def made(spark, n: int, nq: int, dim: int = 8, seed: int = 0):
@@ -27,7 +27,7 @@ def made(spark, n: int, nq: int, dim: int = 8, seed: int = 0):
     return stored, queries, want
 
 
-@pytest.mark.parametrize("options", [{}, {"max_queries": 0, "query_block": 7, "vector_block": 50}])
+@pytest.mark.parametrize("options", [{}, {"query_block": 7}, {"max_queries": 0, "query_block": 7, "batch": 11}, {"max_queries": 0}])
 def test_exact_search_matches_brute_force(spark, options):
     stored, queries, want = made(spark, 900, 40)
     got = knn.knn(stored, queries, **options).collect()
@@ -48,14 +48,66 @@ def test_fewer_vectors_than_asked_and_bad_rows(spark):
     assert [(r.query_id, r.rank, r.chunk_id) for r in knn.knn(stored, queries, 5).orderBy("rank").collect()] == [(1, 1, "a"), (1, 2, "b")]
 
 
-def test_approximate_search_is_exact_within_its_buckets(spark):
-    stored, queries, want = made(spark, 600, 30)
-    everything = knn.knn_approx(knn.with_bucket(stored, 4, 8), queries, bits=4, dim=8, radius=4)
-    assert sorted((r.query_id, r.rank, r.chunk_id) for r in everything.collect()) == sorted(w[:3] for w in want)
-    some = knn.knn_approx(knn.with_bucket(stored, 4, 8), queries, bits=4, dim=8, radius=1).collect()
-    hits = {(r.query_id, r.chunk_id) for r in some}
-    recall = sum((w[0], w[2]) in hits for w in want) / len(want)
-    assert recall > 0.6
+def test_index_search_is_exact_at_full_reach(spark):
+    stored, queries, want = made(spark, 900, 40)
+    for options in ({}, {"query_block": 5, "batch": 13}):
+        got = knn.knn_approx(knn.index(stored, sample=200), queries, **options).collect()
+        assert sorted((r.query_id, r.rank, r.chunk_id, round(r.distance, 9)) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_a_shorter_reach(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    stored = rows.select(F.lit("all").alias("target"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
+    asked = rows.select(F.col("vec_id").alias("query_id"), F.lit("all").alias("target"), "embedding")
+    vectors = {r.chunk_id: np.array(r.embedding, float) for r in stored.collect()}
+    ids = np.array(sorted(vectors))
+    every = np.stack([vectors[i] for i in ids])
+    recall = {}
+    for reach in (1.0, 0.6, 0.0):
+        got = {}
+        for r in knn.knn_approx(knn.index(stored), asked, 10, reach=reach).collect():
+            got.setdefault(str(r.query_id), set()).add(r.chunk_id)
+        assert all(len(hits) == 10 for hits in got.values()) and len(got) == len(ids)
+        met = []
+        for i, v in vectors.items():
+            d = np.square(every - v).sum(1)
+            met.append(len(got[i] & set(ids[np.lexsort((ids, d))[:10]].tolist())) / 10)
+        recall[reach] = np.mean(met)
+    print("recall by reach", sf, recall)
+    assert recall[1.0] == 1.0 and recall[0.6] >= 0.9
+
+
+def test_lists_needed_lose_nothing():
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 3)) * 5
+    points = np.concatenate([c + rng.normal(size=(rng.integers(1, 40), 3)) for c in centres])
+    own, away = ivf.nearest(points, centres)
+    lists = np.unique(own)
+    n = np.array([(own == c).sum() for c in lists])
+    near, far = (np.array([f(away[own == c]) for c in lists]) for f in (np.min, np.max))
+    queries = rng.normal(size=(60, 3)) * 6
+    for k in (1, 5, 50, 10_000):
+        wanted = ivf.needed(queries, k, centres, lists, n, near, far)
+        for q, row in zip(queries, wanted):
+            best = np.argsort(np.square(points - q).sum(1), kind="stable")[:k]
+            assert set(own[best]) <= set(lists[row])
+        assert k > 5 or wanted.mean() < 0.9
+
+
+def test_vectors_are_not_shuffled(spark, tmp_path):
+    stored, queries, _ = made(spark, 300, 30)
+    stored.write.partitionBy("target").parquet(str(tmp_path / "v"))
+    kept = spark.read.parquet(str(tmp_path / "v"))
+    index = knn.index(kept)
+    assert sorted(index.rows.columns) == sorted(["target", "_block", "chunk_id", "embedding", "_list"])
+    assigned = ivf.assign(knn._sound(kept, ["target"]), index.centres).sortWithinPartitions("_list")
+    asks = knn._with_lists(knn._grouped(knn._asked(queries, ["target"], 5).toArrow()), index, 5, 1.0)
+    scanned = knn._scan(index.rows, asks, 5, knn._result_type(kept, queries))
+    for plan in (assigned, scanned):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    pruned = knn.knn(kept, queries.filter("target = 'cold'"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [target" in pruned or "target#" in pruned.split("PartitionFilters:")[1][:60]
 
 
 def test_encoder_and_vector_functions(spark):
@@ -71,10 +123,12 @@ def test_encoder_and_vector_functions(spark):
 
 def test_keys_widths_and_components_that_take_no_part(spark):
     vectors = [("a", "1", [1.0, 0.0]), ("a", "2", [1.0, 0.0, 5.0]), ("a", "3", [7.0]), (None, "4", [1.0, 0.0]), ("a", "5", [1.0, None]),
-               ("a", "6", [float("nan"), 0.0]), ("a", "7", []), ("a", "8", None), ("a", "9", [0.0, 0.0])]
-    queries = [(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "a", [7.0]), (4, "a", [None, 1.0])]
+               ("a", "6", [float("nan"), 0.0]), ("a", "10", [float("inf"), 0.0]), ("a", "11", [0.0, float("-inf")]), ("a", "7", []), ("a", "8", None), ("a", "9", [0.0, 0.0])]
+    queries = [(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0]), (3, "a", [7.0]), (4, "a", [None, 1.0]), (5, "a", [float("inf"), 1.0])]
     v = spark.createDataFrame(vectors, "target string, chunk_id string, embedding array<double>")
     q = spark.createDataFrame(queries, "query_id int, target string, embedding array<double>")
     for bound in (100, 0):  # scanned, and paired in blocks
         got = [tuple(r) for r in knn.knn(v, q, 3, max_queries=bound).orderBy("query_id", "rank").collect()]
         assert got == [(1, 1, "1", 0.0), (1, 2, "9", 1.0), (3, 1, "3", 0.0)]
+    for rows, asked in ((v.limit(0), q), (v, q.limit(0)), (v.limit(0), q.limit(0))):
+        assert knn.knn(rows, asked, 3, max_queries=0).count() == knn.knn(rows, asked, 3).count() == 0
