@@ -350,12 +350,13 @@ def _lists(values: Iterable[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REMEMBERED, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``ids`` (token ids of the whole text) and ``ends`` (byte offset where each token ends).
 
     No special tokens are made: their names are ordinary text.  Null and empty
     texts have empty lists.  Columns of these two names are replaced, others
-    kept; rows are neither added nor lost.
+    kept; rows are neither added nor lost.  With ``decoded`` the ids are also
+    decoded, into a column of that name, by the same worker.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(rules(path))
@@ -365,9 +366,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", remembered: int = REM
         for batch in batches:
             ids = own.encode([t or "" for t in batch.column(text).to_pylist()])
             ends = [own.offsets(x) for x in ids]
-            yield _with(batch, {"ids": _lists(ids, pa.int32()), "ends": _lists(ends, pa.int64())})
+            made = {"ids": _lists(ids, pa.int32()), "ends": _lists(ends, pa.int64())}
+            if decoded:
+                made[decoded] = pa.array([own.decode(x, e) for x, e in zip(ids, ends)], pa.binary())
+            yield _with(batch, made)
 
     new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.LongType()))]
+    new += [T.StructField(decoded, T.BinaryType())] if decoded else []
     return docs.mapInArrow(run, _schema(docs, new))
 
 

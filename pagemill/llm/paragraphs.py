@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
 from pagemill.llm.components import connected_components
-from pagemill.operators.scale import stage
+from pagemill.operators.scale import join_dimension, stage, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -294,22 +294,22 @@ def _around(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarra
 
 
 def _edges(docs: DataFrame, stays: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(component_id, before, after): hashes of the words around the occurrence of each class that stays."""
+    """(component_id, before, after): hashes of the words around the occurrence of each class that stays, as 32-bit numbers in bytes."""
     places = stays.groupBy("doc").agg(F.collect_list(F.struct("component_id", "start", "end")).alias("places"))
-    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places, "passages-kept"), "doc")
+    flat = [F.col(f"places.{c}").alias(c) for c in ("component_id", "start", "end")]
+    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places.select("doc", *flat), "passages-kept"), "doc")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for whole, places in zip(batch["text"], batch["places"]):
-                around = _around(whole, [(p["start"], p["end"]) for p in places])
-                out.extend((p["component_id"], before, after) for p, (before, _, after, _) in zip(places, around))
-            yield pd.DataFrame(out, columns=["component_id", "before", "after"])
+            for whole, names, starts, ends in zip(batch["text"], batch["component_id"], batch["start"], batch["end"]):
+                around = _around(whole, list(zip(starts.tolist(), ends.tolist())))
+                out = [(name, before.tobytes(), after.tobytes()) for name, (before, _, after, _) in zip(names, around)]
+                yield pd.DataFrame(out, columns=["component_id", "before", "after"])
 
-    return rows.mapInPandas(run, "component_id long, before array<int>, after array<int>").dropDuplicates(["component_id"])
+    return rows.mapInPandas(run, "component_id long, before binary, after binary").dropDuplicates(["component_id"])
 
 
-def _extended(text: str, spans: list) -> list[tuple[int, int]]:
+def _extended(text: str, spans: list[tuple[int, int]], before: list[bytes], after: list[bytes]) -> list[tuple[int, int]]:
     """The spans with the words on either side that equal those beside the occurrence that stays."""
 
     def same(a: np.ndarray, b: np.ndarray) -> int:
@@ -317,9 +317,9 @@ def _extended(text: str, spans: list) -> list[tuple[int, int]]:
         return int(np.argmin(np.r_[a[:n] == b[:n], False]))
 
     out = []
-    for x, (before, starts, after, ends) in zip(spans, _around(text, [(x["start"], x["end"]) for x in spans])):
-        left, right = same(before, np.asarray(x["before"])), same(after, np.asarray(x["after"]))
-        out.append((int(starts[left - 1]) if left else x["start"], int(ends[right - 1]) if right else x["end"]))
+    for (start, end), kept_before, kept_after, (own_before, starts, own_after, ends) in zip(spans, before, after, _around(text, spans)):
+        left, right = same(own_before, np.frombuffer(kept_before, np.int32)), same(own_after, np.frombuffer(kept_after, np.int32))
+        out.append((int(starts[left - 1]) if left else start, int(ends[right - 1]) if right else end))
     return out
 
 
@@ -333,16 +333,25 @@ def remove(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", lengt
     rows = stage(repeated(docs, text=text, doc_id=doc_id).select("doc", "start", "end", "component_id", "removed").distinct(), "passages")
     edges = stage(_edges(docs, rows.filter("not removed"), text, doc_id), "passage-edges")
     spans = rows.filter("removed").join(edges, "component_id")
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("_spans"))
-    spans = stage(spans.withColumnRenamed("doc", "_doc"), "passage-cuts")
+    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "before", "after")).alias("spans"))
+    fields = ("start", "end", "before", "after")
+    names = {c: unused(docs, f"_{c}") for c in ("doc", "cut", *fields)}
+    cuts = stage(spans.select(F.col("doc").alias(names["doc"]), *[F.col(f"spans.{c}").alias(names[c]) for c in fields]), "passage-cuts")
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, lists in batches:
-            yield pd.Series([t if s is None else _cut(t, _extended(t, s)) for t, s in zip(texts, lists)])
-
-    marked = docs.withColumn("_doc", F.xxhash64(doc_id, text)).join(spans, "_doc", "left")
-    made = marked.withColumn(text, cut(F.col(text), F.col("_spans")))
+    def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, starts, ends, before, after in batches:
+            made = []
+            for whole, a, b, *around in zip(texts, starts, ends, before, after):
+                made.append(_cut(whole, _extended(whole, list(zip(a.tolist(), b.tolist())), *around)))
+            yield pd.Series(made)
+
+    # texts without a cut are not shuffled, as long as the names of those with one are few enough to be told
+    marked = docs.withColumn(names["doc"], F.xxhash64(doc_id, text))
+    marked = join_dimension(marked, cuts.select(names["doc"], F.lit(True).alias(names["cut"])), [names["doc"]], "left")
+    touched = marked.filter(names["cut"]).join(cuts, names["doc"])
+    touched = touched.withColumn(text, cut(F.col(text), *[F.col(names[c]) for c in fields]))
     if length in docs.columns:
-        made = made.withColumn(length, F.when(F.col("_spans").isNull(), F.col(length)).otherwise(F.length(text)).cast(docs.schema[length].dataType))
-    return made.select(*docs.columns)
+        touched = touched.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    columns = [f"`{c}`" for c in docs.columns]
+    return marked.filter(F.col(names["cut"]).isNull()).select(*columns).unionByName(touched.select(*columns))

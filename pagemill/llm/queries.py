@@ -27,7 +27,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     """Encode and decode every text; ``path`` is the rank file, by default the public multilingual one."""
     path = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    done = bpe.encode(docs, path, decoded="decoded")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -87,5 +87,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert bpe.PATTERN == public.PATTERN
+    at_once = bpe.encode(docs, PATH, decoded="decoded")
+    assert sorted(bytes(r.decoded) for r in at_once.collect()) == [b"", b"", b"a b"] and at_once.columns == ["doc_id", "text", "ids", "ends", "decoded"]
     assert sorted(bytes(r.decoded) for r in got) == [b"", b"", b"a b"]
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
