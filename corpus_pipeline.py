@@ -37,8 +37,9 @@ def without_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids, with their count and whether they decode to the text."""
+    # decoded by the worker that encodes: a second one in the same task would double the memory of Python
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    made = bpe.decode(bpe.encode(docs, path, remembered=REMEMBERED), path, remembered=REMEMBERED)
+    made = bpe.encode(docs, path, remembered=REMEMBERED, decoded="decoded")
     whole = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return made.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
