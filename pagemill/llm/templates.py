@@ -14,18 +14,19 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import NamedTuple
-from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.scale import join_dimension, stage
+from pagemill.operators.scale import join_dimension, stage, unused
 
 MIN_PAGES = 3  # pages that a class must span to be a template of its host
+EVERY = 6  # pages of a host from which wording that all have is no page's own, wherever it stands
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,14 +39,20 @@ CLOSED_BY = {
 } | {b: {"p"} for b in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 
 # What a part of a page is, by element, role, class and id.
-APART = frozenset("head nav header footer aside form script style noscript template iframe object svg canvas select button textarea dialog menu".split())
+APART = frozenset("head nav footer aside script style noscript template iframe object svg canvas select button textarea dialog menu".split())
+WRAPPERS = frozenset(("form", "header"))  # set apart, unless what they hold says otherwise
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+# Whole class names, or ids, of furniture; a part of a longer name says nothing.
 _APART_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|sidebar\w*|side|widget\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|foot|site-header|page-header|masthead|"
-    r"cookie\w*|consent\w*|notice\w*|gdpr|popup|modal|newsletter\w*|subscribe\w*|signup|comment\w*|disqus\w*|respond|replies|share|sharing|social\w*|related\w*|"
-    r"recommend\w*|pagination|pager|toolbar|skip\w*|login|search\w*|legal|copyright)(?:$|[-_\s\d])",
+    r"ads?|advert(?:s|isement|isements|ising)?|adsense|ad[-_]?(?:box|banner|unit|slot|container|wrapper|block)|(?:top|site|page)?[-_]?banner|sponsor(?:ed|s)?|"
+    r"promos?|promotion|side[-_]?bars?(?:[-_](?:left|right|\d+))?|widgets?|widget[-_]area|nav|nav[-_]?bar|navigation|(?:main|top|site|side)[-_]?(?:nav|menu)|menus?|"
+    r"breadcrumbs?|(?:site|page)?[-_]?footer|(?:site|page)[-_]?header|masthead|cookies?(?:[-_](?:banner|notice|consent|bar|law))?|consent|notices?|gdpr|popup|modal|"
+    r"newsletter(?:[-_](?:form|box|signup))?|subscribe|sign[-_]?up|comments?(?:[-_](?:list|area|section|form|thread))?|disqus(?:_thread)?|respond|replies|"
+    r"share|sharing|(?:share|social)[-_](?:bar|box|buttons?|links?|icons?|media|share)|social|related(?:[-_](?:posts|articles|links|content))?|recommend(?:ed|ations?)|"
+    r"pagination|pager|toolbar|skip(?:[-_]?(?:link|nav|to[-_]content))?|login|search(?:[-_]?(?:form|box|bar))?|legal|copyright",
     re.I,
 )
+_NEVER_NAMED = INLINE | frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<(?:!--|!|\?|(/?)([a-zA-Z][^\s/>]*))")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>/"'][^\s=>/]*)?(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?|\s*["'/=]""")
 _SPACE = re.compile(r"\s+")
@@ -60,6 +67,16 @@ class Block(NamedTuple):
     text: str
 
 
+@dataclass(slots=True)
+class _Part:
+    """A part that may be set apart: unless it holds an article or, if a form, most of the page's text."""
+
+    name: str
+    always: bool
+    holds: bool = False
+    chars: int = 0
+
+
 def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
     """Attributes of a tag from ``at``, the place after its end, and whether it closes itself."""
     out: dict[str, str] = {}
@@ -74,14 +91,18 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], int, bool]:
     return out, min(at + 1, len(page)), page[at - 1 : at] == "/"
 
 
-def _is_apart(name: str, attributes: dict[str, str]) -> bool:
+def _part(name: str, attributes: dict[str, str], inside: bool) -> _Part | None:
+    """The part that an element makes, if it is of a kind that pages set apart."""
+    if name in WRAPPERS:
+        return None if name == "header" and inside else _Part(name, False)
     if name in APART or attributes.get("role", "").lower() in ROLES:
-        return True
+        return _Part(name, True)
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
-    if name in ("html", "body", "main", "article"):
-        return False
-    return any(_APART_NAMES.search(attributes.get(a, "")) for a in ("class", "id"))
+        return _Part(name, True)
+    if name in _NEVER_NAMED or name == "section" and inside or not ("class" in attributes or "id" in attributes):
+        return None
+    named = (*attributes.get("class", "").split(), attributes.get("id", "").strip())
+    return _Part(name, False) if any(_APART_NAMES.fullmatch(n) for n in named) else None
 
 
 def parse(page: str) -> list[str | Block]:
@@ -89,12 +110,16 @@ def parse(page: str) -> list[str | Block]:
 
     One pass with a stack of open elements: an element ends at its end tag, at
     that of an element about it, at a sibling that closes it (as ``p`` or ``li``), or with the page.
-    A header inside an article or main part belongs to it.
+    A header inside an article or main part belongs to it.  Whether a part is set
+    apart is known when the page has been read: a form, a header and an element of
+    a telling name are not, if they hold an article or main part, nor is a form
+    that holds most of the text outside other such parts.
     """
     out: list[str | Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, path, set apart, inside an article
+    stack: list[tuple[str, str, tuple[int, ...], bool]] = []  # name, path, parts about it, inside an article
+    parts: list[_Part] = []
     said: list[str] = []
-    where = ("", False, False)
+    where: tuple[str, tuple[int, ...], bool] = ("", (), False)
 
     def flush() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(said))).strip()
@@ -102,8 +127,8 @@ def parse(page: str) -> list[str | Block]:
         if text:
             out.append(Block(*where, text))
 
-    def now() -> tuple[str, bool, bool]:
-        return stack[-1][1:] if stack else ("", False, False)
+    def now() -> tuple[str, tuple[int, ...], bool]:
+        return stack[-1][1:] if stack else ("", (), False)
 
     def text(part: str) -> None:
         nonlocal where
@@ -151,10 +176,9 @@ def parse(page: str) -> list[str | Block]:
                 break
             if stack[depth][0] not in INLINE and stack[depth][0] != "p":
                 break
-        path, apart, inside = now()
+        path, within, inside = now()
         label = name + "".join(f".{c}" for c in sorted(attributes.get("class", "").split())) + (f"#{i}" if (i := attributes.get("id", "")) and not re.search(r"\d", i) else "")
         path = f"{path}/{label}" if name not in INLINE else path
-        own = _is_apart(name, attributes) and not (name == "header" and inside and not apart)
         if name not in INLINE:
             out.append(path)
         if name in RAW:
@@ -166,16 +190,33 @@ def parse(page: str) -> list[str | Block]:
             continue
         if name in VOID or empty and name not in ("p", "div", "span", "a"):
             continue
-        stack.append((name, path, apart or own, inside or name in ("article", "main") or attributes.get("role") == "main"))
+        main = name in ("article", "main") or attributes.get("role") == "main"
+        if main:
+            for i in within:
+                parts[i].holds = True
+        elif (own := _part(name, attributes, inside)) is not None:
+            within = (*within, len(parts))
+            parts.append(own)
+        stack.append((name, path, within, inside or main))
     flush()
-    return out
+    return _judged(out, parts)
+
+
+def _judged(events: list, parts: list[_Part]) -> list[str | Block]:
+    """The events, blocks knowing whether they are set apart."""
+    total = 0
+    for e in events:
+        if not isinstance(e, str) and all(parts[i].name == "form" for i in e.apart):
+            total += len(e.text)
+            for i in e.apart:
+                parts[i].chars += len(e.text)
+    gone = [p.always or not p.holds and not (p.name == "form" and 2 * p.chars > total) for p in parts]
+    return [e if isinstance(e, str) else e._replace(apart=any(gone[i] for i in e.apart)) for e in events]
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """Host that a URL names, lower-cased; empty for a null or bad one."""
+    return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]*)", 1)), F.lit(""))
 
 
 def _hash(kind: str, *parts: str) -> int:
@@ -195,15 +236,17 @@ def classes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     equal vectors; a class is the tokens of a host that share all three.  Only
     tokens on MIN_PAGES pages and more than half of the host's are kept, so a
     host has at most twice as many as a page has on average.  ``place`` is the mean
-    place of the first occurrence.  Copies of a page are one page.
+    place of the first occurrence, ``everywhere`` whether all of EVERY or more pages have
+    the token.  Pages of a host with one html are one page.
     """
-    rows = pages.select(F.col(url).cast("string").alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    rows = _distinct_pages(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             held: dict[tuple[str, int], list[int]] = {}
-            for u, h in zip(batch["url"], batch["html"]):
-                host, page = host_of(u), _hash("page", u or "", h)
+            for host, u, h in zip(batch["host"], batch["url"], batch["html"]):
+                page = _hash("page", u, h)
                 ids, first, n = np.unique(np.array(tokens(parse(h)), np.int64), return_index=True, return_counts=True)
                 for token, place, times in [(0, 0, 1), *zip(ids.tolist(), first.tolist(), n.tolist())]:
                     mark = _hash("seen", str(page), str(times))
@@ -219,14 +262,24 @@ def classes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     hosts = vectors.filter("token = 0").select("host", F.col("pages").alias("host_pages"))
     often = join_dimension(vectors.filter("token != 0"), hosts, ["host"]).filter(2 * F.col("pages") > F.col("host_pages"))
     signature = F.xxhash64("pages", "low", "high")
-    return often.select("host", "token", signature.alias("class"), (F.col("places") / F.col("pages")).alias("place"))
+    everywhere = (F.col("pages") == F.col("host_pages")) & (F.col("pages") >= EVERY)
+    return often.select("host", "token", signature.alias("class"), (F.col("places") / F.col("pages")).alias("place"), everywhere.alias("everywhere"))
+
+
+def _distinct_pages(rows: DataFrame) -> DataFrame:
+    """(host, url, html) less pages whose html another url of the host has; only hashes are shuffled."""
+    keyed = rows.withColumn("key", F.xxhash64("html"))
+    again = keyed.groupBy("host", "key").agg(F.min("url").alias("first"), F.max("url").alias("last")).filter("first <> last").drop("last")
+    met = join_dimension(keyed, stage(again, "copied-pages"), ["host", "key"], "left")
+    return met.filter(F.col("first").isNull() | (F.col("first") == F.col("url"))).select("host", "url", "html")
 
 
 class Template:
     """Classes of one host: tokens in order of place, and for each class the one it is nested in."""
 
-    def __init__(self, token: np.ndarray, kind: np.ndarray, place: np.ndarray):
+    def __init__(self, token: np.ndarray, kind: np.ndarray, place: np.ndarray, everywhere: np.ndarray):
         order = np.lexsort((token, place))
+        self.everywhere = set(np.asarray(token)[np.asarray(everywhere, bool)].tolist())
         self.members: dict[int, list[int]] = {}
         self.spans: dict[int, tuple[float, float]] = {}
         for t, k, p in zip(token[order].tolist(), kind[order].tolist(), place[order].tolist()):
@@ -251,32 +304,45 @@ class Template:
         return {t for k, ok in valid.items() if ok and k is not None for t in self.members[k]}
 
 
-def slots(page: str, template: Template) -> list[tuple[int, Block, bool]]:
-    """Blocks of a page with their slot (how many template tokens precede them) and whether they are template wording."""
+class Slot(NamedTuple):
+    """A block with its slot (how many template tokens precede it), and how common its wording is at its place."""
+
+    number: int
+    block: Block
+    fixed: bool  # wording of the template
+    everywhere: bool  # that all pages of the host have
+
+
+def slots(page: str, template: Template) -> list[Slot]:
+    """Blocks of a page in the slots that the tokens of the host's template leave."""
     events = parse(page)
     listed = tokens(events)
     fixed = template.on(listed)
-    out, slot = [], 0
+    out, number = [], 0
     for event, token in zip(events, listed):
         if isinstance(event, Block):
-            out.append((slot, event, token in fixed))
-        slot += token in fixed
+            out.append(Slot(number, event, token in fixed, token in fixed and token in template.everywhere))
+        number += token in fixed
     return out
 
 
 def main_text(page: str, template: Template) -> str:
     """Text of the slots of a page that are its main part, block by block.
 
-    Blocks in parts set apart are dropped.  If the page has an article or main
-    part, its blocks are kept, also those that other pages word alike; if not,
-    all blocks but the template's wording are.
+    Blocks in parts set apart fill no slot.  A page without an article or main
+    part gives all slots, less the template's wording.  Otherwise an article or main part tells
+    which slots are meant: those that it fills.  What it says in the very words,
+    at the very place, that all other pages of the host have is not the page's own and goes;
+    a line that only many of them share stays.
     """
-    placed = [(b, fixed) for _, b, fixed in slots(page, template) if not b.apart]
-    articles = any(b.inside for b, _ in placed)
-    return " ".join(b.text for b, fixed in placed if (b.inside if articles else not fixed))
+    own = [s for s in slots(page, template) if not s.block.apart]
+    told = {s.number for s in own if s.block.inside}
+    if told:
+        return " ".join(s.block.text for s in own if s.number in told and s.block.inside and not s.everywhere)
+    return " ".join(s.block.text for s in own if not s.fixed)
 
 
-_EMPTY = Template(*[np.zeros(0, np.int64)] * 3)
+_EMPTY = Template(*[np.zeros(0, np.int64)] * 4)
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
@@ -289,25 +355,25 @@ def extract(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFr
     their parts alone.  Columns of the two names are replaced; rows are neither
     added nor lost.
     """
-    listed = classes(pages, url, html).groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_list(F.struct("token", "class", "place"))).alias("_t"))
-    parts = [F.col(f"_t.{c}").alias(f"_{c}") for c in ("token", "class", "place")]
-    named = F.udf(host_of, "string")
-    rest = [f"`{c}`" for c in pages.columns if c not in ("text", "n_chars")]
-    rows = pages.select(*rest, named(F.col(url).cast("string")).alias("_host"))
-    rows = join_dimension(rows, stage(listed.select("_host", *parts), "templates"), ["_host"], "left")
+    columns = ("token", "class", "place", "everywhere")
+    listed = classes(pages, url, html).groupBy("host").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("t"))
+    rest = pages.drop("text", "n_chars")
+    names = {c: unused(rest, f"_{c}") for c in ("host", *columns)}
+    told = listed.select(F.col("host").alias(names["host"]), *[F.col(f"t.{c}").alias(names[c]) for c in columns])
+    rows = join_dimension(rest.withColumn(names["host"], host_of(F.col(url))), stage(told, "templates"), [names["host"]], "left")
 
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         known: dict[str, Template] = {}
-        for host, page, token, kind, place in batches:
+        for host, page, *lists in batches:
             if len(known) > 1000:
                 known.clear()
             out = []
             for i, h in enumerate(host):
                 if h not in known:
-                    known[h] = _EMPTY if token.iat[i] is None else Template(token.iat[i], kind.iat[i], place.iat[i])
+                    known[h] = _EMPTY if lists[0].iat[i] is None else Template(*[x.iat[i] for x in lists])
                 out.append(main_text(page.iat[i] or "", known[h]))
             yield pd.Series(out)
 
-    found = rows.withColumn("text", run("_host", F.col(html), "_token", "_class", "_place"))
-    return found.select(*rest, "text", F.length("text").cast("long").alias("n_chars"))
+    found = rows.withColumn("text", run(names["host"], F.col(html), *[names[c] for c in columns]))
+    return found.select(*[f"`{c}`" for c in rest.columns], "text", F.length("text").cast("long").alias("n_chars"))

@@ -44,10 +44,10 @@ def test_classes_share_vectors_and_nest(spark):
     names = {templates._hash("tag", t): t for t in ("/div", "//div", "/div/p", "//div/p", "/div/ul", "//div/ul", "/div/ul/li")}
     groups = {frozenset(names[t] for t in g["token"] if t in names) for _, g in told.groupby("class")}
     assert frozenset({"/div/ul", "//div/ul", "/div/ul/li"}) in groups and {frozenset({"/div/p", "//div/p"}), frozenset({"/div", "//div"})} < groups
-    template = templates.Template(*[told[c].to_numpy() for c in ("token", "class", "place")])
+    template = templates.Template(*[told[c].to_numpy() for c in ("token", "class", "place", "everywhere")])
     roots = [k for k, p in template.parent.items() if p is None]
     assert len(roots) == 1 and templates._hash("tag", "/div") in template.members[roots[0]]
-    flagged = [(b.text, fixed) for _, b, fixed in templates.slots(rows[1][2], template)]
+    flagged = [(s.block.text, s.fixed) for s in templates.slots(rows[1][2], template)]
     assert flagged == [("a", True), ("b", True), ("x", True), ("1", False)]
 
 
@@ -67,6 +67,37 @@ def test_parts_and_broken_markup():
     assert text_of("") == text_of("<a") == text_of("<!--") == "" and text_of("<") == "<"
 
 
+def test_wrappers_and_names():
+    assert text_of("<form id=aspnetForm><nav>m</nav><article>kept</article><input></form>") == "kept"
+    assert text_of("<div class='layout has-sidebar'><article>kept</article></div>") == "kept"
+    assert text_of("<div class=sidebar><div>x</div><article>kept</article></div>") == "kept"
+    assert text_of("<form><h1>t</h1><p>all of the page stands in one form</p></form>") == "t all of the page stands in one form"
+    assert text_of("<p>a page with text of its own</p><form>name <input></form>") == "a page with text of its own"
+    assert text_of("<aside><article>teaser</article></aside><article>kept</article>") == "kept"
+    inside = "<h2 id=legal-status>Legal</h2><section id=side-effects>side</section><p class=comment>said</p><p>see <a class=share>this</a> too</p><p id=copyright>c</p>"
+    assert text_of(f"<article>{inside}</article>") == "Legal side said see this too c"
+    apart = "<div class='share'>s</div><ul class='related-posts'><li>r</ul><div id=comments>c</div><div class='post ad'>a</div><div class='adapted'>kept</div>"
+    assert text_of(f"<article>{apart}</article>") == "kept"
+
+
+def test_unnamed_notice_in_articles_goes(spark):
+    notice = "<div>Please share this article</div>"
+    same = "<p>A line that many pages share.</p>"
+    rows = [(i, f"http://h/{i}", f"<body><article>{notice if i < 9 else ''}<h1>T{i}</h1>{same if i % 4 else ''}<p>own {i}</p>{notice}</article></body>") for i in range(10)]
+    few = [(100 + i, f"http://few/{i}", f"<article><p>all alike</p><p>{i}</p></article>") for i in range(5)]
+    copies = [(200 + i, f"http://copies/{i}", "<article><p>one page under many names</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in templates.extract(spark.createDataFrame(rows + few + copies, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(9)] == [f"T{i} " + ("A line that many pages share. " if i % 4 else "") + f"own {i}" for i in range(9)]
+    assert got[9] == "T9 A line that many pages share. own 9"
+    assert all(got[100 + i] == f"all alike {i}" for i in range(5))
+    assert {got[200 + i] for i in range(30)} == {"one page under many names"}
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a/1", "<p>x</p>", 5, 6, 7, 8, 9)], "page_id long, url string, html string, _host int, _token int, host int, key int, `n.a` int")
+    assert templates.extract(pages).first().text == "x" and templates.extract(pages).columns == [*pages.columns, "text", "n_chars"]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "not a url ::", "<p>x"), (None, "http://[bad", ""), (3, "http://a/", "<p>x" * 5000), (3, "http://a/", "<p>x" * 5000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_host_", templates.F.lit(1))
