@@ -133,39 +133,27 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
 
 
 def dedupe_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key in the given order.
+    """Exactly one row per key, the last in ``order``; of rows equal in it, the one with the largest content hash.
 
-    An aggregate, not a window: copies of a hot key collapse in the map tasks
-    and never meet in one reducer as a whole group.
+    Winners are chosen first, on keys, order and hashes alone: copies of a hot
+    key collapse in the map tasks.  Only keys that repeat are told to the second
+    pass over ``df``, in which rows of other keys go through as they are.  Null
+    keys are one key.
     """
-    rest = [c for c in df.columns if c not in keys]
-    last = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
-    )
-    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
-
-
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Exactly one row per key, the last in ``order``, of a table in which few keys repeat.
-
-    Of rows equal in ``order``, the one with the largest content hash is last.
-    Wide rows are not shuffled: a first pass over keys and order alone finds
-    the repeated keys, the others pass through, and only rows of repeated keys
-    are grouped.  Meant for staged or stored tables, where that pass reads only
-    those columns.
-    """
-    repeated = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*keys), "repeated")
-    marked = join_dimension(df, repeated.withColumn("_again", F.lit(True)), keys, "left")
-    rest = [c for c in df.columns if c not in keys]
+    names = {c: unused(df, f"_{c}") for c in ("key", "hash", "last")}
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
-    last = (
-        marked.filter("_again")
-        .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), F.struct(*order, whole)).alias("_last"))
-        .select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
-    )
-    return marked.filter("_again is null").select(*df.columns).unionByName(last)
+    key, place = F.struct(*[F.col(f"`{c}`") for c in keys]), F.struct(*[F.col(f"`{c}`") for c in order], names["hash"])
+    marked = df.withColumns({names["hash"]: F.xxhash64(*[F.col(f"`{c}`") for c in plain]), names["key"]: key})
+    winners = marked.groupBy(names["key"]).agg(F.count(F.lit(1)).alias("n"), F.max(place).alias(names["last"]))
+    winners = stage(winners.filter("n > 1").drop("n"), "repeated")
+    judged = join_dimension(marked, winners, [names["key"]], "left")
+    rest = judged.filter(F.col(names["last"]).isNull())
+    last = judged.filter(F.col(names["last"]) == place).dropDuplicates([names["key"]])  # rows equal in all columns
+    columns = [f"`{c}`" for c in df.columns]
+    return rest.select(*columns).unionByName(last.select(*columns))
+
+
+keep_last = dedupe_last
 
 
 def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:

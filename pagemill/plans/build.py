@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pagemill.operators import chunking, encode, graph, triples
 from pagemill.operators.crawl import crawl_order
 from pagemill.operators.html import links_of, ok_pages, parse_pages
-from pagemill.operators.scale import stage
+from pagemill.operators.scale import dedupe_last, stage
 from pagemill.settings import Settings
 from pagemill.sources import cache, packs
 from pagemill.sources.pages import with_fallback
@@ -84,9 +83,9 @@ def crawl_documents(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """
     parsed = stage(parse_pages(ok_pages(pages).select("url", "html")), "parsed")
     landed = parsed.select("url", F.lit(True).alias("ok"), F.col("markdown").isNotNull().alias("has_content"))
-    order = crawl_order(targets, landed, links_of(parsed))
-    latest = parsed.groupBy("url").agg(F.max_by(F.struct("markdown", "metadata"), F.length("markdown")).alias("_d"))
-    return order.join(latest, "url").select("target", "doc_ord", "_d.markdown", "_d.metadata")
+    order = stage(crawl_order(targets, landed, links_of(parsed)), "crawl-order")
+    wanted = parsed.select("url", "markdown", "metadata", F.length("markdown").alias("chars")).join(order.select("url").distinct(), "url", "left_semi")
+    return order.join(dedupe_last(wanted, ["url"], ["chars"]), "url").select("target", "doc_ord", "markdown", "metadata")
 
 
 def scrape_and_cache(
@@ -115,23 +114,6 @@ def process_cached(
     return build_pack(docs, encoder, getattr(encoder, "model_name", settings.embedding_model), version)
 
 
-def onto_last(spark: SparkSession, built: dict[str, DataFrame], targets: DataFrame, root: str, prune: bool = False) -> dict[str, DataFrame]:
-    """``built`` with vectors and chunks upserted into the targets' last published version.
-
-    Ids that the build did not produce stay, unless ``prune``.
-    """
-    out = dict(built)
-    for name, columns in (("vectors", packs.VECTOR_COLUMNS), ("chunks", packs.CHUNK_COLUMNS)):
-        try:
-            last = of_targets(packs.load_packs(spark, root, name), targets).select(*columns)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return built
-        out[name] = stage(packs.upsert_vectors(last, built[name], prune), f"upserted-{name}")
-    return out
-
-
 def run(
     spark: SparkSession,
     targets: DataFrame,
@@ -144,26 +126,35 @@ def run(
     fallback: DataFrame | None = None,
     force: bool = False,
     prune: bool = False,
+    run_name: str | None = None,
 ) -> DataFrame:
     """Full run for one target or all: crawl if needed, build, upsert, publish; returns the pack metadata.
 
-    An unknown name and targets without any document are errors.
+    An unknown name and targets without any document are errors.  ``run_name``
+    is noted in the commit.
     """
     chosen = select_targets(targets, name)
     if chosen.isEmpty():
         raise LookupError(f"unknown target: {name}")
     scrape_and_cache(chosen, pages, settings, force, fallback)
     built = process_cached(spark, chosen, settings, encoder or encode.hashing_encoder(), version)
-    packs.publish_pack(onto_last(spark, built, chosen, settings.output_dir, prune), settings.output_dir, version)
+    packs.upsert_pack(built, settings.output_dir, version, prune, run_name)
     return built["metadata"]
 
 
 def run_on_triggers(
     spark: SparkSession, events: DataFrame, targets: DataFrame, pages: DataFrame, settings: Settings, checkpoint: str, version: str, **options
 ) -> StreamingQuery:
-    """Run the pipeline for the targets that each micro-batch of events names; a batch repeated writes its version anew."""
+    """Run the pipeline for the targets that each micro-batch of events names.
+
+    The commits are the ledger: targets that a batch has published already are
+    neither crawled nor published when the batch comes again.
+    """
 
     def act(chosen: DataFrame, batch_id: int) -> None:
-        run(spark, chosen, pages, settings, version=f"{version}.{batch_id:06d}", force=True, **options)
+        name = f"{version}.{batch_id:06d}"
+        left = chosen.join(packs.handled(spark, settings.output_dir, name), "target", "left_anti")
+        if not left.isEmpty():
+            run(spark, left, pages, settings, version=name, force=True, run_name=name, **options)
 
     return stream_triggers(events, targets, act, checkpoint)

@@ -13,12 +13,16 @@ _DOCUMENT = f"markdown string, metadata {METADATA_TYPE}"
 _CACHED = f"target string, doc_ord bigint, {_DOCUMENT}"
 
 
+def no_such_path(error: Exception) -> bool:
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet table, or an empty one where nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not no_such_path(error):
             raise
         return spark.createDataFrame([], schema)
 
@@ -38,7 +42,7 @@ def read_json_cache(spark: SparkSession, path: str, target: str) -> DataFrame:
             .json(path)
         )
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if not no_such_path(error):
             raise
         return spark.createDataFrame([], _CACHED)
     # reading a data column besides keeps Spark from refusing a scan of the corrupt column alone
