@@ -7,25 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.operators import chunking, encode
-from pagemill.operators.scale import keep_last, stage
+from pagemill.operators.scale import dedupe_last, stage
 from pagemill.plans.build import build_vectors
-from pagemill.sources import packs
+from pagemill.sources import manifest, packs
 from pagemill.sources.cache import write_by_target
 from pagemill.sources.pages import spread
 
+TABLES = ("vectors", "chunks")
+_RUN = "low long, high long"
+
+
 def stream_documents(
-    docs: DataFrame, path: str, checkpoint: str, encoder: encode.EncoderFactory, **trigger
+    docs: DataFrame, path: str, checkpoint: str, encoder: encode.EncoderFactory, *, fanout: int | None = None, **trigger
 ) -> StreamingQuery:
     """Chunk, clean and encode a stream of documents into a log of vectors and chunks.
 
-    Every micro-batch replaces its own ``batch`` partition, so a repeated batch
-    changes nothing; the latest batch of an id wins on reading.
+    Every micro-batch replaces its own folder and is recorded when both of its
+    tables are written, so a repeated batch changes nothing and a half-written
+    one is not read; the latest batch of an id wins on reading.  With ``fanout``
+    the log is compacted after every batch.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         chunks = packs.last_chunks(stage(chunking.retrieval_chunks(spread(batch)), "stream-chunks"))
         for name, table in (("vectors", build_vectors(chunks, encoder)), ("chunks", packs.chunk_store(chunks))):
-            write_by_target(table.withColumn("batch", F.lit(batch_id).cast("long")), f"{path}/{name}", "batch")
+            write_by_target(table.withColumn("run", F.lit(_name(batch_id, batch_id))), f"{path}/{name}", "run")
+        _record(batch.sparkSession, path, batch_id, batch_id)
+        if fanout:
+            compact(batch.sparkSession, path, fanout)
 
     return (
         docs.writeStream.foreachBatch(append)
@@ -35,6 +44,64 @@ def stream_documents(
     )
 
 
+def _name(low: int, high: int) -> str:
+    return f"b{low}-{high}"
+
+
+def _record(spark: SparkSession, path: str, low: int, high: int) -> None:
+    manifest.append(spark.createDataFrame([(low, high)], _RUN), f"{path}/runs")
+
+
+def live_runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """First and last batch of the runs that make up the log, in order; a run that a wider one covers is not among them."""
+    told = sorted({(r.low, -r.high) for r in manifest.read(spark, f"{path}/runs", _RUN).collect()})
+    out: list[tuple[int, int]] = []
+    for low, high in told:
+        if not out or -high > out[-1][1]:
+            out.append((low, -high))
+    return out
+
+
 def read_log(spark: SparkSession, path: str, table: str = "vectors") -> DataFrame:
     """Current state of a streamed table: the last batch of each id."""
-    return keep_last(spark.read.parquet(f"{path}/{table}"), ["target", "chunk_id"], ["batch"]).drop("batch")
+    return _merged(spark, path, table, live_runs(spark, path))
+
+
+def _merged(spark: SparkSession, path: str, table: str, runs: list[tuple[int, int]]) -> DataFrame:
+    order = F.create_map(*[F.lit(x) for low, high in runs for x in (_name(low, high), high)])
+    rows = spark.read.parquet(f"{path}/{table}").filter(F.col("run").isin([_name(*r) for r in runs]))
+    rows = rows.withColumns({"target": F.col("target").cast("string"), "age": F.try_element_at(order, F.col("run"))}).drop("run")
+    return dedupe_last(rows, ["target", "chunk_id"], ["age"]).drop("age")
+
+
+def compact(spark: SparkSession, path: str, fanout: int = 4) -> list[tuple[int, int]]:
+    """Merge neighbouring runs of one level, ``fanout`` at a time, into one of the next; the live runs after it.
+
+    A run is of level n if it spans at least ``fanout`` ** n batches, so a row is
+    written again once per level, and a merge reads only the runs that it joins.  The
+    merged run counts from its record on, which comes after both tables; what
+    it replaces stays in place for readers that began before.
+    """
+    if fanout < 2:
+        raise ValueError("a merge joins two runs or more")
+    while (group := _mergeable(live_runs(spark, path), fanout)) is not None:
+        low, high = group[0][0], group[-1][1]
+        for table in TABLES:
+            rows = _merged(spark, path, table, group).withColumn("run", F.lit(_name(low, high)))
+            write_by_target(rows, f"{path}/{table}", "run")
+        _record(spark, path, low, high)
+    return live_runs(spark, path)
+
+
+def _mergeable(runs: list[tuple[int, int]], fanout: int) -> list[tuple[int, int]] | None:
+    def level(run: tuple[int, int]) -> int:
+        n = 0
+        while fanout ** (n + 1) <= run[1] - run[0] + 1:
+            n += 1
+        return n
+
+    for at in range(len(runs) - fanout + 1):
+        group = runs[at : at + fanout]
+        if len({level(r) for r in group}) == 1:
+            return group
+    return None

@@ -25,7 +25,7 @@ def test_batches_add_up_to_the_batch_result(spark, tmp_path):
     ids = {r.chunk_id for r in batch.select("chunk_id").collect()}
     state = documents.read_log(spark, out)
     assert {r.chunk_id for r in state.collect()} == ids and state.count() == len(ids)
-    assert spark.read.parquet(f"{out}/vectors").select("batch").distinct().count() == 5
+    assert spark.read.parquet(f"{out}/vectors").select("run").distinct().count() == len(documents.live_runs(spark, out)) == 5
 
     spark.createDataFrame([("t", 99, "# H\nrewritten", ("u0",))], DOC).coalesce(1).write.mode("append").parquet(source)
     drain()
@@ -35,6 +35,38 @@ def test_batches_add_up_to_the_batch_result(spark, tmp_path):
     assert raw.count() == len(ids) and raw.filter(F.col("text") == "rewritten").count() == 1
 
 
+def test_compaction_merges_level_by_level(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(9):
+        rows = [("7", i, f"# H\nfirst {i}", (f"u{i % 4}",)), ("7", i, f"# H\nagain {i}", (f"u{i % 4}",)), ("7", 50 + i, f"# H\nonly {i}", (f"v{i}",))]
+        spark.createDataFrame(rows, DOC).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(source)
+    documents.stream_documents(stream, out, str(tmp_path / "cp"), encode.hashing_encoder()).awaitTermination()
+
+    def state(table):
+        return sorted((r.target, r.chunk_id, r[3 if table == "vectors" else 3]) for r in documents.read_log(spark, out, table).collect())
+
+    before = {t: state(t) for t in documents.TABLES}
+    assert len(before["chunks"]) == 13 and {x[0] for x in before["chunks"]} == {"7"}
+    assert documents.compact(spark, out, 3) == [(0, 8)]
+    assert {t: state(t) for t in documents.TABLES} == before
+    runs = {r.run for r in spark.read.parquet(f"{out}/vectors").select("run").distinct().collect()}
+    assert {"b0-2", "b3-5", "b6-8", "b0-8"} <= runs
+    # a merge whose record is missing does not count, nor does a batch without one
+    documents.write_by_target(documents.read_log(spark, out).limit(1).withColumn("run", F.lit("b9-9")), f"{out}/vectors", "run")
+    assert {t: state(t) for t in documents.TABLES} == before
+
+
+def test_compaction_while_streaming(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(5):
+        spark.createDataFrame([("t", i, f"# H\ntext {i}", ("u",))], DOC).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(source)
+    documents.stream_documents(stream, out, str(tmp_path / "cp"), encode.hashing_encoder(), fanout=2).awaitTermination()
+    assert documents.live_runs(spark, out) == [(0, 3), (4, 4)]
+    assert documents.read_log(spark, out).count() == 1
+
+
 def test_triggers_resolve_targets(spark, tmp_path):
     schema = "attributes map<string,string>"
     source = str(tmp_path / "events")
