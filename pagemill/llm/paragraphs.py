@@ -116,10 +116,16 @@ def paragraphs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return rows.mapInPandas(run, f"doc long, doc_id {kind}, start long, end long, content long, keys array<long>")
 
 
+def _texts_of(docs: DataFrame, places: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc, text, ...): the texts of the documents that ``places`` names, the only ones that are shuffled."""
+    named = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text"))
+    return join_dimension(named, places.select("doc"), ["doc"], "left_semi").join(places, "doc")
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(content, shingles): the distinct shingle hashes of one occurrence of each wanted content."""
     places = wanted.groupBy("doc").agg(F.collect_list(F.struct("content", "start", "end")).alias("places"))
-    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places, "passages-read"), "doc")
+    rows = _texts_of(docs, stage(places, "passages-read"), text, doc_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -297,7 +303,7 @@ def _edges(docs: DataFrame, stays: DataFrame, text: str, doc_id: str) -> DataFra
     """(component_id, before, after): hashes of the words around the occurrence of each class that stays, as 32-bit numbers in bytes."""
     places = stays.groupBy("doc").agg(F.collect_list(F.struct("component_id", "start", "end")).alias("places"))
     flat = [F.col(f"places.{c}").alias(c) for c in ("component_id", "start", "end")]
-    rows = docs.select(F.xxhash64(doc_id, text).alias("doc"), F.col(text).alias("text")).join(stage(places.select("doc", *flat), "passages-kept"), "doc")
+    rows = _texts_of(docs, stage(places.select("doc", *flat), "passages-kept"), text, doc_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
