@@ -25,8 +25,15 @@ _PROMPT = (
 )
 
 
+def _escaped(json: Column) -> Column:
+    """JSON text with all but ASCII characters as escapes, code unit by code unit."""
+    units = F.regexp_extract_all(F.hex(F.encode(json, "UTF-16BE")), F.lit("(.{4})"))
+    spelled = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("int"))).otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(F.octet_length(json) == F.length(json), json).otherwise(F.array_join(spelled, ""))
+
+
 def _json_list(name: str, items: Column) -> Column:
-    quoted = F.transform(items, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+    quoted = F.transform(items, lambda x: _escaped(F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")))
     return F.concat(F.lit('{"' + name + '": ['), F.array_join(quoted, ", "), F.lit("]}"))
 
 

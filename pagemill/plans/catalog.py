@@ -252,6 +252,81 @@ def pack_roundtrip(spark, sf_dir):
     return stored.join(raw, ["target", "chunk_id"])
 
 
+@query
+def page_documents(spark, sf_dir):
+    docs = html.pages_to_documents(_with_head_tags(_pages(spark, sf_dir)))
+    return docs.select("page_id", F.md5("markdown").alias("markdown_md5"), "metadata.source_url", "metadata.title")
+
+
+@query
+def json_cache(spark, sf_dir):
+    """Documents as JSON arrays, a hundred to a file, and a file that breaks off."""
+    path = _scratch(spark, "json")
+    docs = _documents(spark, sf_dir).withColumn("file", F.floor(F.col("doc_ord") / 100))
+    arrays = docs.groupBy("file").agg(F.to_json(F.array_sort(F.collect_list(F.struct("markdown", "metadata")))).alias("value"))
+    broken = arrays.agg(F.min("file").alias("file")).select(F.lit(-1).cast("long").alias("file"), F.lit('[{"markdown": "lost"').alias("value"))
+    arrays.unionByName(broken).repartition("file").write.partitionBy("file").text(path)
+    return cache.read_json_cache(spark, f"{path}/*", "all").select("target", F.md5("markdown").alias("markdown_md5"), "metadata.source_url")
+
+
+@query
+def unknown_source(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    some = F.when(F.col("doc_ord") % 3 != 0, F.col("metadata.source_url"))
+    return chunking.source_url(docs.withColumn("metadata", F.struct(some.alias("source_url")))).select("doc_ord", "source_url")
+
+
+@query
+def version_stamps(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(hashing.version_stamp(F.col("ts").cast("timestamp")).alias("version")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def metadata_sink(spark, sf_dir):
+    path = _scratch(spark, "metadata")
+    packs.write_pack_metadata(pack_metadata(spark, sf_dir), path)
+    columns = ["framework", "version", "documents_scraped", "chunks_embedded", "embedding_model"]
+    return spark.read.json(path).select(*columns)
+
+
+def _label_pack(rows: DataFrame, document: Column) -> dict[str, DataFrame]:
+    """Tables of packs that hold the given vectors, one target per label, named by three digits."""
+    named = rows.select(
+        F.lpad(F.col("label").cast("string"), 3, "0").alias("target"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding",
+        document.alias("document"), F.lit("s").alias("source_url"), F.lit(0).alias("chunk_idx"), document.alias("text"), F.lit("h").alias("header"),
+    )
+    counted = named.groupBy(F.col("target").alias("framework")).agg(F.count(F.lit(1)).alias("documents_scraped"))
+    meta = counted.select("framework", F.lit("-").alias("version"), "documents_scraped", F.col("documents_scraped").alias("chunks_embedded"), F.lit("m").alias("embedding_model"))
+    return {"vectors": named.select(*packs.VECTOR_COLUMNS), "chunks": named.select(*packs.CHUNK_COLUMNS), "metadata": meta}
+
+
+@query
+def rebuild_pack(spark, sf_dir):
+    """Packs of all vectors, then new texts for some of them upserted: kept beside the old ones, and in their place."""
+    rows = table(spark, sf_dir, "embeddings")
+    new = rows.filter((F.col("label") % 2 == 0) & (F.col("vec_id") % 3 == 0))
+    out = None
+    for prune in (False, True):
+        root = _scratch(spark, "rebuilt")
+        packs.publish_pack(_label_pack(rows, F.concat(F.lit("old "), "vec_id")), root, "2024.9")
+        packs.upsert_pack(_label_pack(new, F.concat(F.lit("new "), "vec_id")), root, "2024.10", prune)
+        raw = packs.load_packs(spark, root, "chunks").select("target", "chunk_id", "text")
+        got = packs.load_packs(spark, root).join(raw, ["target", "chunk_id"])
+        got = got.select(F.lit(prune).alias("pruned"), "target", "version", "chunk_id", "document", "text", F.size("embedding").alias("width"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query
+def load_numeric_names(spark, sf_dir):
+    """Targets and versions that look like numbers: the latest by its numbers, one target with an older pack only."""
+    rows, root = table(spark, sf_dir, "embeddings"), _scratch(spark, "numeric")
+    for version, some in (("2024.9", rows), ("2024.10", rows.filter("label <> 7"))):
+        packs.publish_pack(_label_pack(some, F.lit(version)), root, version)
+    return packs.load_packs(spark, root).select("target", "version", "chunk_id", "document")
+
+
 # --- vectors and retrieval -------------------------------------------------
 
 def _vectors(spark: SparkSession, sf_dir: str, target: Column | None = None) -> DataFrame:
@@ -363,6 +438,21 @@ def pack_search(spark, sf_dir):
     return hits.select("query_id", "rank", F.round("distance", 4).alias("distance"))
 
 
+@query
+def query_packs(spark, sf_dir):
+    """Response lists for every page title against published packs of the same encoder."""
+    encoder, root = encode.hashing_encoder(), _scratch(spark, "queried")
+    packs.publish_pack(build.build_pack(_page_documents(spark, sf_dir), encoder, encoder.model_name, "1"), root, "1")
+    titled = html.extract_metadata(_pages(spark, sf_dir)).select(
+        F.col("page_id").alias("query_id"), urls.netloc(F.col("url")).alias("target"), F.col("metadata.title").alias("query_text"),
+    )
+    found = answer.query_packs(
+        packs.load_packs(spark, root), titled, encoder, 3, clean_query=True, metadata=packs.load_packs(spark, root, "metadata")
+    )
+    each = found.select("query_id", F.posexplode(F.arrays_zip("documents", "distances")).alias("pos", "hit"))
+    return each.select("query_id", (F.col("pos") + 1).alias("rank"), F.round("hit.distances", 4).alias("distance"))
+
+
 @query
 def pack_context(spark, sf_dir):
     """Answer context for every page title against the packs; rows only, ties depend on rounding."""
@@ -459,7 +549,7 @@ def parse_marked_triples(spark, sf_dir):
 def extraction_prompt(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumnRenamed("lang", "target")
     ontology = docs.groupBy("target").agg(
-        F.array(F.min("source"), F.max("source")).alias("entity_types"),
+        F.array(F.min("source"), F.concat(F.max("source"), F.lit(" é😀"))).alias("entity_types"),
         F.when(F.col("target") == "de", F.array().cast("array<string>")).otherwise(F.array(F.lit("says"), F.lit('is "a"'))).alias("predicates"),
     )
     ready = triples.with_ontology(docs.select("doc_id", "target", "text"), ontology)
@@ -493,6 +583,18 @@ def graph_edges(spark, sf_dir):
     return graph.valid_edges(graph.merge_edges(facts), graph.merge_nodes(mentions))
 
 
+@query
+def graph_roundtrip(spark, sf_dir):
+    """Nodes and edges, written by target and read back."""
+    mentions, facts, _ = _all_mentions(spark, sf_dir)
+    path = _scratch(spark, "graph")
+    packs.write_graph(graph.merge_nodes(mentions), graph.merge_edges(facts), path)
+    nodes, edges = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges"))
+    return nodes.select("target", F.col("text").alias("src"), F.lit(None).cast("string").alias("dst"), "label").unionByName(
+        edges.select("target", "src", "dst", "label")
+    )
+
+
 @query
 def graph_stats(spark, sf_dir):
     mentions, facts, chunks = _all_mentions(spark, sf_dir)
@@ -589,14 +691,26 @@ def full_run(spark, sf_dir):
 
 @query
 def stream_documents(spark, sf_dir):
+    """Three micro-batches, each with ids of the ones before and some twice, compacted on the way."""
     path = _scratch(spark, "stream")
-    schema = table(spark, sf_dir, "documents").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet").select(
+    docs = table(spark, sf_dir, "documents")
+    spelled = docs.select(
         F.col("lang").alias("target"), F.col("doc_id").alias("doc_ord"), F.col("text").alias("markdown"),
         F.struct(F.concat_ws("/", "source", "doc_id").alias("source_url")).alias("metadata"),
     )
-    doc_stream.stream_documents(arriving, path, f"{path}/checkpoint", encode.hashing_encoder()).awaitTermination()
-    return doc_stream.read_log(spark, path).select("target", "chunk_id", "source_url", F.size("embedding").alias("width"))
+    older = spelled.withColumns({"markdown": F.concat(F.lit("older "), "markdown"), "doc_ord": F.col("doc_ord") - 1})
+    batches = [
+        spelled.withColumn("markdown", F.concat(F.lit("first "), "markdown")),
+        spelled.filter("doc_ord % 2 = 0").unionByName(older.filter("doc_ord % 4 = 0")),
+        spelled.filter("doc_ord % 3 = 0").withColumn("markdown", F.concat(F.lit("third "), "markdown")).unionByName(older.filter("doc_ord % 9 = 5")),
+    ]
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{path}/arriving")
+    arriving = spark.readStream.schema(spelled.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
+    doc_stream.stream_documents(arriving, path, f"{path}/checkpoint", encode.hashing_encoder(), fanout=2).awaitTermination()
+    raw = doc_stream.read_log(spark, path, "chunks").select("target", "chunk_id", F.md5("text").alias("text_md5"))
+    vectors = doc_stream.read_log(spark, path).select("target", "chunk_id", "source_url", F.size("embedding").alias("width"))
+    return vectors.join(raw, ["target", "chunk_id"])
 
 
 @query
@@ -616,3 +730,28 @@ def stream_triggers(spark, sf_dir):
 
     triggers.stream_triggers(arriving, known, act, f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/runs").select("target", "page_limit").distinct()
+
+
+@query
+def trigger_run(spark, sf_dir):
+    """Sites named by events are built and published; the same events, come again, publish nothing."""
+    path = _scratch(spark, "events")
+    docs = table(spark, sf_dir, "documents")
+    at = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/"))
+    known = docs.groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).cast("int").alias("page_limit")).select(
+        F.col("source").alias("target"), at.alias("url"), "page_limit"
+    )
+    first = docs.join(docs.groupBy("source").agg(F.min("doc_id").alias("doc_id")), ["source", "doc_id"])
+    landed_pages = first.select(at.alias("url"), F.concat(F.lit("<main><h1>T</h1><p>"), "text", F.lit("</p></main>")).alias("html"), F.lit(200).alias("status"))
+    named = docs.filter(F.col("source").rlike("[02468]$")).select(F.create_map(F.lit("target"), F.col("source")).alias("attributes"))
+    named.coalesce(1).write.parquet(f"{path}/named")
+    settings = Settings(f"{path}/packs", f"{path}/cache")
+    for turn in ("once", "again"):
+        events = spark.readStream.schema("attributes map<string,string>").parquet(f"{path}/named")
+        build.run_on_triggers(
+            spark, events, scale.stage(known, "known"), scale.stage(landed_pages, "landed"), settings, f"{path}/{turn}", "2024.01"
+        ).awaitTermination()
+    told = packs.manifest.read(spark, f"{settings.output_dir}/commits", packs._COMMIT).filter("table = 'vectors'")
+    published = told.groupBy("target").agg(F.countDistinct("commit").alias("commits"))
+    stored = packs.load_packs(spark, settings.output_dir).groupBy("target", "version").agg(F.count(F.lit(1)).alias("chunks"))
+    return stored.join(published, "target")

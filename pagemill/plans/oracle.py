@@ -237,17 +237,45 @@ SELECT d.target AS framework, '2024.01.31' AS version, count(*) AS documents_scr
   coalesce(any_value(n.chunks), 0) AS chunks_embedded, 'hashing-64' AS embedding_model
 FROM docs d LEFT JOIN n ON n.target = d.target GROUP BY d.target
 """
-_DOC_CHUNK = f"""
-WITH kept AS (
+def _doc_chunk(text: str = "text") -> str:
+    return f"""
+WITH told AS (SELECT doc_id, lang, source, {text} AS text FROM documents),
+kept AS (
   SELECT lang AS target, sha256(source || '/' || doc_id || '-0') AS chunk_id, source || '/' || doc_id AS source_url, text,
     {_cleaned('text')} AS document
-  FROM documents WHERE text <> ''
+  FROM told WHERE text <> ''
 )
 """
-PACK_ROUNDTRIP = f"""{_DOC_CHUNK}
+
+
+PACK_ROUNDTRIP = f"""{_doc_chunk()}
 SELECT target, chunk_id, source_url, 64 AS width, md5(text) AS text_md5, 'General' AS header FROM kept WHERE document <> ''
 """
-STREAM_DOCUMENTS = f"{_DOC_CHUNK} SELECT target, chunk_id, source_url, 64 AS width FROM kept WHERE document <> ''"
+# the third batch has the last word, then the second; of an id that a batch has twice, the later document; one that stands there only as older is that
+_STREAMED = """CASE WHEN doc_id % 3 = 0 THEN 'third ' || text WHEN (doc_id - 1) % 9 = 5 THEN 'older ' || text
+  WHEN doc_id % 2 = 0 THEN text WHEN (doc_id - 1) % 4 = 0 THEN 'older ' || text ELSE 'first ' || text END"""
+STREAM_DOCUMENTS = f"{_doc_chunk(_STREAMED)} SELECT target, chunk_id, source_url, 64 AS width, md5(text) AS text_md5 FROM kept WHERE document <> ''"
+PAGE_DOCUMENTS = f"""
+SELECT m.page_id, md5(d.markdown) AS markdown_md5, m.source_url, m.title
+FROM ({PAGE_METADATA}) m JOIN (SELECT page_id, {_MARKDOWN} AS markdown FROM pages) d USING (page_id) WHERE d.markdown <> ''
+"""
+JSON_CACHE = "SELECT 'all' AS target, md5(text) AS markdown_md5, source || '/' || doc_id AS source_url FROM documents"
+UNKNOWN_SOURCE = "SELECT doc_id AS doc_ord, CASE WHEN doc_id % 3 <> 0 THEN source || '/' || doc_id ELSE 'unknown' END AS source_url FROM documents"
+VERSION_STAMPS = "SELECT strftime(ts, '%Y.%m.%d') AS version, count(*) AS events FROM events GROUP BY 1"
+_PACKED = "SELECT lpad(CAST(label AS VARCHAR), 3, '0') AS target, CAST(vec_id AS VARCHAR) AS chunk_id, label, vec_id FROM embeddings"
+REBUILD_PACK = f"""
+WITH p AS (SELECT *, label % 2 = 0 AND vec_id % 3 = 0 AS new, label % 2 = 0 AS built FROM ({_PACKED}))
+SELECT pruned, target, CASE WHEN built THEN '2024.10' ELSE '2024.9' END AS version, chunk_id,
+  CASE WHEN new THEN 'new ' ELSE 'old ' END || vec_id AS document, CASE WHEN new THEN 'new ' ELSE 'old ' END || vec_id AS text, 64 AS width
+FROM p, (VALUES (FALSE), (TRUE)) AS t(pruned) WHERE NOT (pruned AND built AND NOT new)
+"""
+LOAD_NUMERIC_NAMES = f"""
+SELECT target, v AS version, chunk_id, v AS document FROM (SELECT *, CASE WHEN label = 7 THEN '2024.9' ELSE '2024.10' END AS v FROM ({_PACKED}))
+"""
+TRIGGER_RUN = """
+SELECT source AS target, '2024.01.000000' AS version, CAST(1 AS BIGINT) AS chunks, CAST(1 AS BIGINT) AS commits
+FROM documents WHERE regexp_matches(source, '[02468]$') GROUP BY 1
+"""
 
 # --- vectors and retrieval -------------------------------------------------
 
@@ -413,7 +441,7 @@ FROM (SELECT *, unnest(range(0, greatest(1, len(w) // 2))) AS k FROM turns WHERE
 
 
 EXTRACTION_PROMPT = """
-WITH o AS (SELECT lang, [min(source), max(source)] AS s FROM documents WHERE lang <> 'de' GROUP BY 1)
+WITH o AS (SELECT lang, [min(source), max(source) || ' \\u00e9\\ud83d\\ude00'] AS s FROM documents WHERE lang <> 'de' GROUP BY 1)
 SELECT doc_id, md5(
   'Perform Named Entity Recognition (NER) and extract knowledge graph triplets from the text. NER identifies named entities of given entity types, and triple extraction identifies relationships between entities using specified predicates.'
   || chr(10) || chr(10) || '**Entity Types:**' || chr(10) || '{"entity_types": ["' || array_to_string(s, '", "') || '"]}'
@@ -432,6 +460,10 @@ SELECT target, entity AS text, doc_id // 100 AS page, CAST(count(*) AS INTEGER)
 FROM once GROUP BY 1, 2, 3
 """
 GRAPH_EDGES = f"{_MENTIONED}, {_EDGES} SELECT target, src, dst, label FROM edges"
+GRAPH_ROUNDTRIP = f"""{_MENTIONED}, {_EDGES}
+SELECT target, entity AS src, CAST(NULL AS VARCHAR) AS dst, arg_min(label, (doc_id, priority, label)) AS label FROM mentions GROUP BY 1, 2
+UNION ALL SELECT target, src, dst, label FROM edges
+"""
 GRAPH_STATS = f"""{_MENTIONED}, {_EDGES}
 SELECT g.target, (SELECT count(DISTINCT entity) FROM mentions m WHERE m.target = g.target) AS nodes,
   (SELECT count(*) FROM edges e WHERE e.target = g.target) AS edges, count(DISTINCT chunk_id) AS chunks
@@ -501,6 +533,16 @@ def oracle_sql() -> dict[str, str]:
         "upsert_vectors": UPSERT_VECTORS,
         "pack_metadata": PACK_METADATA,
         "pack_roundtrip": PACK_ROUNDTRIP,
+        "page_documents": PAGE_DOCUMENTS,
+        "json_cache": JSON_CACHE,
+        "unknown_source": UNKNOWN_SOURCE,
+        "version_stamps": VERSION_STAMPS,
+        "metadata_sink": PACK_METADATA,
+        "rebuild_pack": REBUILD_PACK,
+        "load_numeric_names": LOAD_NUMERIC_NAMES,
+        "query_packs": PACK_SEARCH,
+        "graph_roundtrip": GRAPH_ROUNDTRIP,
+        "trigger_run": TRIGGER_RUN,
         "knn_exact": KNN_EXACT,
         "knn_blocked": KNN_EXACT,
         "knn_approx": KNN_APPROX,

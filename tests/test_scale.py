@@ -59,6 +59,14 @@ def test_keep_last_keeps_one_row_per_key(spark):
     assert sorted(map(tuple, scale.keep_last(df.filter("k is not null"), ["k"], ["o"]).collect())) == got
 
 
+def test_null_keys_are_one_key_and_names_may_clash(spark):
+    rows = [(None, 1, "a", 1), (None, 2, "b", 1), (None, 2, "b", 1), (None, 2, "c", 1), ("k", 1, "x", 1)]
+    df = spark.createDataFrame(rows, "k string, o int, v string, _key int").withColumnsRenamed({"_key": "_hash"}).withColumn("_last", F.lit(1))
+    got = [sorted(map(str, scale.dedupe_last(df.repartition(n), ["k"], ["o"]).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 2 and "o=2" in got[0][1] + got[0][0]
+    assert scale.unused(df, "_HASH") == "_HASH_"
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error():
     class Conf:
         get = staticmethod(lambda key, default=None: default)

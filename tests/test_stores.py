@@ -205,3 +205,80 @@ def test_events_run_the_pipeline(spark, tmp_path):
     settings = Settings(str(tmp_path / "packs"), str(tmp_path / "cache"))
     build.run_on_triggers(spark, events, chosen, landed, settings, str(tmp_path / "checkpoint"), "2024.01.01").awaitTermination()
     assert {(r.target, r.version) for r in packs.load_packs(spark, settings.output_dir).collect()} == {("2", "2024.01.01.000000")}
+
+
+def _tables(spark, rows, version):
+    """Pack tables of (target, chunk_id, text) rows."""
+    df = spark.createDataFrame(rows, "target string, chunk_id string, document string")
+    vectors = df.select("target", "chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding"), "document", F.lit("u").alias("source_url"))
+    chunks = df.select("target", "chunk_id", F.lit(0).alias("chunk_idx"), F.col("document").alias("text"), F.lit("u").alias("source_url"), F.lit("h").alias("header"))
+    meta = df.groupBy(F.col("target").alias("framework")).agg(F.count(F.lit(1)).alias("documents_scraped")).selectExpr(
+        "framework", f"'{version}' AS version", "documents_scraped", "documents_scraped AS chunks_embedded", "'m' AS embedding_model")
+    return {"vectors": vectors, "chunks": chunks, "metadata": meta}
+
+
+def test_a_publish_that_stops_between_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    packs.publish_pack(_tables(spark, [("a", "1", "old"), ("b", "1", "old")], "1"), root, "1")
+    real = packs._write
+
+    def stops(rows, root, name, publication):
+        if name == "chunks":
+            raise OSError("lost")
+        return real(rows, root, name, publication)
+
+    monkeypatch.setattr(packs, "_write", stops)
+    for publish in (packs.publish_pack, packs.upsert_pack):
+        with pytest.raises(OSError):
+            publish(_tables(spark, [("a", "1", "new"), ("c", "1", "new")], "2"), root, "2")
+    monkeypatch.undo()
+    for table, column in (("vectors", "document"), ("chunks", "text")):
+        assert {(r.target, r.version, r[column]) for r in packs.load_packs(spark, root, table).collect()} == {("a", "1", "old"), ("b", "1", "old")}
+    with pytest.raises(packs.PackNotFound):
+        packs.load_pack(spark, root, "c")
+    # the same version again, whole: its last commit counts
+    packs.publish_pack(_tables(spark, [("a", "1", "mid"), ("a", "2", "mid")], "2"), root, "2")
+    packs.publish_pack(_tables(spark, [("a", "1", "end")], "2"), root, "2")
+    assert [(r.chunk_id, r.document) for r in packs.load_pack(spark, root, "a").collect()] == [("1", "end")]
+
+
+def test_upserts_rewrite_touched_parts_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packs, "PART_ROWS", 10)
+    root = str(tmp_path)
+    old = [(t, str(i), "old") for t, n in (("big", 95), ("small", 3), ("rest", 20)) for i in range(n)]
+    packs.publish_pack(_tables(spark, old, "1"), root, "1")
+    first = {(r.target, r.table, r.part): r.publication for r in packs.latest(spark, root).collect()}
+    assert len({k for k in first if k[:2] == ("big", "chunks")}) > 5
+    packs.upsert_pack(_tables(spark, [("big", "7", "new"), ("big", "7x", "new"), ("fresh", "1", "new")], "2"), root, "2")
+    entries = {(r.target, r.table, r.part): (r.version, r.publication) for r in packs.latest(spark, root).collect()}
+    moved = {k for k, (_, p) in entries.items() if first.get(k) != p}
+    assert {k[0] for k in moved} == {"big", "fresh"} and len({k for k in moved if k[:2] == ("big", "vectors")}) <= 2
+    assert {v for (t, _, _), (v, _) in entries.items() if t in ("small", "rest")} == {"1"}
+    got = {(r.target, r.chunk_id): r.document for r in packs.load_packs(spark, root).collect()}
+    want = {(t, i): d for t, i, d in old} | {("big", "7"): "new", ("big", "7x"): "new", ("fresh", "1"): "new"}
+    assert got == want and {(r.target, r.chunk_id): r.text for r in packs.load_packs(spark, root, "chunks").collect()} == want
+    touched = packs.latest(spark, root).filter("target = 'big' and table = 'vectors' and part = 3")
+    plan = packs._rows_of(packs._table(spark, f"{root}/vectors"), touched)._jdf.queryExecution().executedPlan().toString()
+    assert "target" in plan.split("PartitionFilters: [")[1] and packs._rows_of(packs._table(spark, f"{root}/vectors"), touched).inputFiles()
+    # many more rows than before are dealt over more parts, the old ones with them
+    packs.upsert_pack(_tables(spark, [("small", f"n{i}", "new") for i in range(70)], "3"), root, "3")
+    assert packs.load_pack(spark, root, "small").count() == 73
+    packs.upsert_pack(_tables(spark, [("small", "only", "new")], "4"), root, "4", prune=True)
+    assert [r.chunk_id for r in packs.load_pack(spark, root, "small").collect()] == ["only"]
+
+
+def test_queries_must_be_encoded_as_the_packs(spark):
+    meta = spark.createDataFrame([("a", "hashing-64"), ("b", "other")], "framework string, embedding_model string")
+    asked = spark.createDataFrame([(1, "a", "x")], "query_id long, target string, query_text string")
+    answer.check_encoder(meta, asked, encode.hashing_encoder())
+    with pytest.raises(ValueError, match="b \\(other\\)"):
+        answer.check_encoder(meta, asked.withColumn("target", F.lit("b")), encode.hashing_encoder())
+
+
+def test_rows_equal_in_order_have_one_winner(spark):
+    page = "<main><h1>T</h1><p>{}</p></main>"
+    rows = [("http://h/1", page.format(b), 200) for b in ("aaaa", "bbbb")] * 2
+    chosen = targets.targets_df(spark, {"targets": {"t": {"url": "http://h/1", "page_limit": 9}}})
+    landed = spark.createDataFrame(rows, "url string, html string, status int")
+    found = {build.crawl_documents(chosen, landed.repartition(n, "html" if n > 1 else "url")).first().markdown for n in (1, 3, 7)}
+    assert len(found) == 1 and build.crawl_documents(chosen, landed).count() == 1
