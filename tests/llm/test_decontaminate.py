@@ -103,3 +103,11 @@ def test_near_copies_at_the_threshold(spark):
     print(f"{sum(x >= 0.8 for x in share.values())} copies at 0.8 or more, {len(missed)} missed")
     assert any(x == 0.8 for x in share.values())
     assert not missed and not [p for p, x in share.items() if x < 0.8 and p in got]
+
+
+def test_clashing_columns(spark):
+    item = "What is the name of the river that flows through the old town of Prague? The river is called the Vltava by all."
+    docs = spark.createDataFrame([(1, f"x {item} y", 7), (2, "a clean text of some words about rivers", 7)], "doc_id long, text string, _text_hash int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = D.remove(docs, bench)
+    assert kept.columns == docs.columns and [(r.doc_id, r._text_hash) for r in kept.collect()] == [(2, 7)]

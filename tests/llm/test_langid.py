@@ -56,3 +56,70 @@ def test_odd_rows(spark):
     empty = langid.train(docs.limit(0))
     assert [r.lang_pred for r in langid.predict(docs, empty).collect()] == ["und"] * 4
     assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_texts_without_letters():
+    import numpy as np
+
+    model = langid.Model(["a"], {"x": 0}, {}, np.zeros((1, 1), np.float32))
+    scorer = langid.Scorer(model)
+    for text in ("½ ²", "Ⅷ", "① 2 ¾", "_ 12 ٣", "", "  "):
+        assert scorer(text) == ("und", 0.0)
+    assert scorer("x²")[0] == "a" and langid._WORD.findall("ab²c_d9é") == ["ab", "c", "d", "é"]
+
+
+def test_against_plain_counts(spark):
+    """The model counted and the texts scored letter by letter, without the operator's tables."""
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    words, grams = {}, {}
+    for r in rows:
+        for w in "".join(c if c.isalpha() else " " for c in r.text.lower()).split():
+            if len(w) <= 100:
+                words.setdefault(r.lang, Counter())[w] += 1
+    for lang, counted in words.items():
+        for w, n in counted.items():
+            e = f"<{w}>"
+            for k in (1, 2, 3, 4):
+                for i in range(len(e) - k + 1):
+                    grams.setdefault((lang, k), Counter())[e[i : i + k]] += n
+    languages = sorted(words)
+
+    def logs(counted):
+        keys = set().union(*counted)
+        totals = [sum(c.values()) + 0.1 * len(keys) for c in counted]
+        return lambda key: [math.log((c[key] + 0.1) / t) for c, t in zip(counted, totals)] if key in keys else None
+
+    word = logs([words[x] for x in languages])
+    gram = {k: logs([grams[x, k] for x in languages]) for k in (1, 2, 3, 4)}
+
+    def odds(w):
+        if word(w):
+            return word(w)
+        for k in (4, 3, 2, 1):
+            e = f"<{w}>"
+            found = [g for i in range(len(e) - k + 1) if (g := gram[k](e[i : i + k]))]
+            if found:
+                return [sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * len(languages)
+
+    model = langid.train(docs, words=10**6, grams=10**6)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.unionByName(spark.createDataFrame([(-1, "zzyq ünheard wordle", "en")], docs.schema)), model).collect()}
+    for doc_id, text in [(r.doc_id, r.text) for r in rows] + [(-1, "zzyq ünheard wordle")]:
+        told = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        if not told:
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        total = [sum(x) for x in zip(*map(odds, told))]
+        total = [x * min(1.0, langid.ENOUGH / len(told)) for x in total]
+        shares = [math.exp(x - max(total)) for x in total]
+        assert got[doc_id][0] == languages[shares.index(1.0)] and got[doc_id][1] == pytest.approx(1 / sum(shares), rel=1e-3)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en", 1, 2)], "doc_id long, text string, lang string, _language int, _LANGUAGE_ int")
+    model = langid.train(docs)
+    assert langid.predict(docs, model).columns == [*docs.columns, "lang_pred", "score"] and langid.keep_identified(docs, model).columns == docs.columns

@@ -169,3 +169,11 @@ def test_copied_passages_go_whole(spark):
     for i, t in cut.items():
         kept = t if i % 10 == 0 else " ".join(re.findall("f[0-9]+", texts[i]))
         assert re.findall("[pf][0-9]+", t) == re.findall("[pf][0-9]+", kept)
+
+
+def test_clashing_columns(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    head, tail = (" ".join(f"{c}{i}" for i in range(50)) for c in "ht")
+    docs = spark.createDataFrame([(1, long, 5, 6, 7, 8), (2, f"{head} {long} {tail}", 5, 6, 7, 8)], "doc_id long, text string, _doc int, _spans int, _start int, `_cut` int")
+    got = {r.doc_id: r for r in P.remove(docs).collect()}
+    assert P.remove(docs).columns == docs.columns and got[1].text == long and got[2].text == f"{head} {tail}" and (got[2]._doc, got[2]._cut) == (5, 8)

@@ -78,3 +78,17 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(docs).collect()))
     assert got == [(-1, 9), (1, 1), (2, 1), (2, 1), (9, 9)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    other = "quite another text with words of its own that nothing here resembles at all"
+    base = "one two three four five six seven eight nine ten"
+    rows = [(5, base), (3, base.upper()), (5, other), (7, other), (5, "third text here, with nothing in common with those before it"),
+            (None, base), (None, "nobody named this text, which nevertheless is a text like others"), (None, "nobody named this text, which nevertheless is a text like others"),
+            (9, None), (4, ""), (4, ""), (11, "written twice in full, and so twice the same row of the table"), (11, "written twice in full, and so twice the same row of the table")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, fingerprint int, _fp int, _k1 int, `_stays` int")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([
+        (3, base.upper()), (5, other), (5, rows[4][1]), (-1, rows[6][1]), (4, ""), (11, rows[11][1])])
+    assert simhash.keep_first(docs.limit(0)).count() == 0

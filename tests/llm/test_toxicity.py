@@ -67,3 +67,30 @@ def test_odd_rows(spark):
 def test_nothing_to_learn_from():
     model = toxicity.fit(["", "!?", ""], np.array([0, 1, 0]), np.ones(3))
     assert np.allclose(model.odds(["anything", None]), np.log(0.5))
+
+
+def test_scores_against_a_plain_scorer(spark):
+    """Every text of a table scored word by word, n-gram by n-gram, from the model's table."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    W, known = toxicity.W, {}
+
+    def word_score(word):
+        if word not in known:
+            _, bucket, _, _ = toxicity.subwords(W.codepoints(word))
+            padded = f"\0{word}\0"
+            assert len(bucket) == 1 + sum(max(0, len(padded) - k + 1) for k in toxicity.GRAMS)
+            known[word] = sum(float(model.table[b]) for b in bucket) / len(bucket)
+        return known[word]
+
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        words = "".join(c if c.isalnum() else " " for c in r.text).split()
+        if not words:
+            odds = model.prior
+        else:
+            size = min(toxicity.PASSAGE, len(words))
+            scores = [word_score(w) for w in words]
+            top = max(sum(scores[i : i + size]) / size for i in range(len(words) - size + 1))
+            odds = (top + model.bias) * model.slope + model.offset
+        assert got[r.doc_id][0] == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-4)
