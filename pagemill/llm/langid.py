@@ -23,8 +23,12 @@ MAX_N = 4
 ENOUGH = 20  # words of evidence beyond which a score gains no more
 REMEMBERED = 100_000  # unseen words whose score a Python worker keeps
 UNKNOWN = "und"
-_NO_LETTERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NO_LETTERS)}]+")  # \w is also digits and numbers like ² and Ⅷ
+_WORD = re.compile(r"[^\W\d_]+")
+# what that takes for letters though it is none, as ² and Ⅷ: numbers without being digits
+_NOT_LETTERS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+_NUMBERS = re.compile("[" + "".join(_NOT_LETTERS) + "]")
+_SUSPECTS = re.compile("[" + "".join(c for c in _NOT_LETTERS if c < "\U00010000") + "]")  # quick to search for, unlike sets that reach
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")  # beyond the first plane
 
 
 @dataclass(frozen=True)
@@ -92,6 +96,13 @@ def train(labelled: DataFrame, *, words: int = WORDS, grams: int = GRAMS, **boun
     return Model(languages, {k: i for i, k in enumerate(keys[:n])}, {k: i for i, k in enumerate(keys[n:], n)}, table)
 
 
+def _letters(text: str) -> list[str]:
+    """Runs of letters."""
+    if not text.isascii() and (_SUSPECTS.search(text) or _BEYOND.search(text)):
+        text = _NUMBERS.sub(" ", text)
+    return _WORD.findall(text)
+
+
 class Scorer:
     """Scores texts; unseen words met are remembered up to a bound."""
 
@@ -117,7 +128,7 @@ class Scorer:
         return row
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_WORD.findall((text or "").lower()))
+        counts = Counter(_letters((text or "").lower()))
         if not counts or not self.model.languages:
             return UNKNOWN, 0.0
         total, words = np.zeros(len(self.model.languages)), list(counts)
