@@ -7,6 +7,7 @@ is paged by document order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text
-from pagemill.operators.scale import compute_once, join_dimension
+from pagemill.operators.scale import compute_once, join_dimension, measured_small
 
 MENTION = ["target", "doc_ord", "chunk_idx", "chunk_id", "entity", "label", "priority"]
 # Order in which sources name a node first seen in the same chunk.
@@ -39,12 +40,19 @@ def _matches(pattern: Column) -> Column:
     return F.regexp_extract_all(F.col("text"), pattern, F.lit(1))
 
 
+def _by_rules() -> Column:
+    """Matches of the row's own ``_rules``, patterns by label."""
+    return F.flatten(F.transform("_rules", lambda r: _labelled(F.flatten(F.transform(r["patterns"], _matches)), r["label"])))
+
+
 def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """First-group matches of each target's patterns, once per chunk, text and label.
 
     A chunk is one row, so its set is made within the row, without a shuffle.
     A pattern list of ordinary size becomes literal expressions, compiled once
-    per task; a longer one is joined by target.  Patterns with a null part match nothing.
+    per task.  Of a longer one each text meets only the patterns whose required
+    literal it holds; one too long to be told to all tasks is joined by target.
+    Patterns with a null part match nothing.
     """
     patterns = patterns.filter("target is not null and label is not null and pattern is not null")
     listed = patterns.select("target", "label", "pattern").limit(_MAX_LITERAL_PATTERNS + 1).collect()
@@ -62,16 +70,126 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
             for (target, label), of_label in rules.items()
         ])
         hits = compute_once(chunks, "_all", found)
+    elif measured_small(patterns):
+        listed = patterns.select("target", "label", "pattern").distinct().toPandas()
+        met = compute_once(chunks, "_rules", _possible(listed, F.col("target"), F.col("text")))
+        hits = compute_once(met, "_all", _by_rules())
     else:
         by_label = patterns.groupBy("target", "label").agg(F.collect_list("pattern").alias("patterns"))
         rules = by_label.groupBy("target").agg(F.collect_list(F.struct("label", "patterns")).alias("_rules"))
-        found = F.flatten(F.transform(
-            "_rules", lambda r: _labelled(F.flatten(F.transform(r["patterns"], _matches)), r["label"])
-        ))
-        hits = compute_once(join_dimension(chunks, rules, ["target"]), "_all", found)
+        hits = compute_once(join_dimension(chunks, rules, ["target"]), "_all", _by_rules())
     return _mentions(hits.select(*_POSITION, F.explode("_all").alias("_m")).select(*_POSITION, "_m.*"), RULE)
 
 
+def required_literal(pattern: str) -> str:
+    """The longest text that every match of a pattern is certain to contain; empty where none is certain.
+
+    Careful rather than clever: it knows literals, classes, groups and
+    quantifiers, and is silent on flags, quotations and nested classes.
+    """
+    if re.search(r"\(\?[a-zA-Z-]|\\Q|\\[0-9xuUcNpPk]", pattern):
+        return ""
+    best, run, at = "", "", 0
+
+    def end_run() -> None:
+        nonlocal best, run
+        best, run = max(best, run, key=len), ""
+
+    while at < len(pattern):
+        c = pattern[at]
+        size, literal, inner = 1, None, ""
+        if c == "|":
+            return ""
+        if c == "\\":
+            size = 2
+            literal = pattern[at + 1 : at + 2] if not pattern[at + 1 : at + 2].isalnum() else None
+        elif c == "[":
+            found = re.match(r"\[\^?\]?(?:[^\]\[\\]|\\.)*\]", pattern[at:])
+            if not found:
+                return ""
+            size = found.end()
+        elif c == "(":
+            size = _group_end(pattern, at) - at
+            if size <= 0:
+                return ""
+            body = pattern[at + 1 : at + size - 1]
+            if not body.startswith("?") or body.startswith("?:"):
+                inner = required_literal(body.removeprefix("?:"))
+        elif c in "^$.":
+            pass
+        elif c in ")]{}?*+":
+            return ""
+        else:
+            literal = c
+        at += size
+        count = re.match(r"[?*+]|\{(\d+)[^}]*\}", pattern[at:])
+        needed = not count or count[0] == "+" or (count[1] or "0") != "0"
+        if literal and needed:
+            run += literal
+        if count or not literal:
+            end_run()
+        if inner and needed:
+            best = max(best, inner, key=len)
+        if count:
+            at += count.end()
+            at += pattern[at : at + 1] in ("?", "+") and len(pattern[at : at + 1])
+    end_run()
+    return best
+
+
+def _group_end(pattern: str, at: int) -> int:
+    """Place after the bracket that closes the group opened at ``at``; 0 if none does."""
+    depth, classed = 0, False
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            at += 1
+        elif classed:
+            classed = c != "]"
+        elif c == "[":
+            classed = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if not depth:
+                return at + 1
+        at += 1
+    return 0
+
+
+def _possible(patterns: pd.DataFrame, target: Column, texts: Column) -> Column:
+    """The patterns of the row's target that its text can match: those whose required literal is in it, and those without one."""
+
+    @F.pandas_udf("array<struct<label:string,patterns:array<string>>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        known: dict[str, tuple[list[int], ahocorasick.Automaton, list[list[int]], list[tuple[str, str]]]] = {}
+        for name, rows in patterns.groupby("target"):
+            rules, always, by_literal = list(zip(rows["label"], rows["pattern"])), [], {}
+            for i, (_, pattern) in enumerate(rules):
+                literal = required_literal(pattern)
+                (by_literal.setdefault(literal, []) if literal else always).append(i)
+            machine = ahocorasick.Automaton()
+            for i, literal in enumerate(by_literal):
+                machine.add_word(literal, i)
+            machine.make_automaton()
+            known[name] = always, machine, list(by_literal.values()), rules
+        for names, batch in batches:
+            out = []
+            for name, whole in zip(names, batch):
+                always, machine, held, rules = known.get(name, ([], None, [], []))
+                met = {i for _, i in machine.iter(whole)} if held and whole else ()
+                by_label: dict[str, list[str]] = {}
+                for i in always + [r for m in sorted(met) for r in held[m]]:
+                    by_label.setdefault(rules[i][0], []).append(rules[i][1])
+                out.append([{"label": label, "patterns": found} for label, found in by_label.items()])
+            yield pd.Series(out)
+
+    return run(target, texts)
+
+
 def _mentions(hits: DataFrame, priority: int) -> DataFrame:
     named = hits.filter(F.coalesce(F.col("entity"), F.lit("")) != "")
     return named.withColumn("priority", F.lit(priority)).select(*MENTION)

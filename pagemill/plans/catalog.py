@@ -510,6 +510,18 @@ def rule_entities(spark, sf_dir):
     return _rule_mentions(spark, sf_dir).select("target", "doc_ord", "chunk_id", "entity", "label")
 
 
+@query
+def rule_entities_many(spark, sf_dir):
+    """Five thousand patterns, one for each of the most frequent words of a length, on every text of their language."""
+    chunks = _graph_chunks(spark, sf_dir)
+    words = chunks.select("target", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("word"))
+    often = words.groupBy("target", "word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target", "word").limit(5000)
+    pattern = F.concat(F.lit("(?:^|[^A-Za-z])("), "word", F.lit(")(?![A-Za-z])"))
+    label = F.when(F.length("word") % 2 == 0, "EVEN").otherwise("ODD")
+    patterns = scale.stage(often.select("target", label.alias("label"), pattern.alias("pattern")), "patterns")
+    return graph.rule_entities(chunks, patterns).select("target", "doc_ord", "entity", "label")
+
+
 @query
 def recognized_entities(spark, sf_dir):
     found = graph.recognize_entities(_graph_chunks(spark, sf_dir), _capitalised, _LABELS)

@@ -421,6 +421,12 @@ edges AS (
 )
 """
 RULE_ENTITIES = f"WITH {_GCHUNK}, {_RULES} SELECT target, doc_id AS doc_ord, chunk_id, entity, label FROM rules"
+RULE_ENTITIES_MANY = f"""
+WITH {_GCHUNK}, w AS (SELECT target, doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM gchunk),
+often AS (SELECT target, word FROM w WHERE length(word) >= 6 GROUP BY ALL ORDER BY count(*) DESC, target, word LIMIT 5000)
+SELECT DISTINCT target, doc_id AS doc_ord, word AS entity, CASE WHEN length(word) % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS label
+FROM w JOIN often USING (target, word)
+"""
 RECOGNIZED_ENTITIES = f"""
 WITH {_GCHUNK}
 SELECT DISTINCT target, doc_id AS doc_ord, unnest(regexp_extract_all(text, '([A-Z][a-z]{{2,}})[,.]', 1)) AS entity, 'NAME' AS label
@@ -553,6 +559,7 @@ def oracle_sql() -> dict[str, str]:
         "embed_hash": EMBED_HASH,
         "pack_search": PACK_SEARCH,
         "rule_entities": RULE_ENTITIES,
+        "rule_entities_many": RULE_ENTITIES_MANY,
         "recognized_entities": RECOGNIZED_ENTITIES,
         "parse_triples": _parsed("TRUE"),
         "parse_marked_triples": _parsed("role <> 'user'"),

@@ -125,3 +125,44 @@ def test_null_patterns_change_nothing_on_either_side_of_the_bound(spark, monkeyp
     for bound in (128, 0):
         monkeypatch.setattr(graph, "_MAX_LITERAL_PATTERNS", bound)
         assert sorted(r.entity for r in graph.rule_entities(chunks, patterns).collect()) == ["Alpha", "Beta"]
+
+
+def test_required_literals():
+    cases = {
+        "abc": "abc", "a(bcd)e": "bcd", "ab?cde": "cde", "ab+cd": "ab", "x(?:long|er)yz": "yz", "(a|b)": "", "a|b": "", "[a-z]+ing": "ing", "foo\\.bar": "foo.bar",
+        "foo\\dbarbar": "barbar", "(?i)abc": "", "abc{0,3}de": "ab", "abcd{2}e": "abcd", "(word)?rest": "rest", "(word)+r": "word", "(?=look)ahead": "ahead",
+        "(?<!no)yes": "yes", "[]x]abc": "abc", "[^\\]]abc": "abc", "\\Qa.b\\E": "", "a.*?bcd": "bcd", "^start$": "start", "(unclosed": "", "é日本 x": "é日本 x", "": "",
+        "(?:^|[^A-Za-z])(word)(?![A-Za-z])": "word", "ab??cd": "cd", "\\u0041bc": "", "[a&&[b]]c": "",
+    }
+    assert {p: graph.required_literal(p) for p in cases} == cases
+
+
+def test_matches_hold_the_required_literal():
+    import random
+    import re
+
+    rng = random.Random(6)
+    parts = ["a", "b", "c", "ab", "x?", "b+", "[ab]", "(ab)", "(?:a|b)", "(c)?", ".", "\\\\.", "a{2}", "b{0,1}", "(a(b)c)", "^", "c*?"]
+    seen = 0
+    for _ in range(3000):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))
+        literal = graph.required_literal(pattern)
+        for _ in range(10):
+            found = re.search(pattern, "".join(rng.choice("abcx.") for _ in range(12)))
+            if found:
+                assert literal in found[0], pattern
+                seen += bool(literal)
+    assert seen > 1000
+
+
+def test_many_patterns_by_each_way(spark, monkeypatch):
+    texts = [("t", i, 0, f"c{i}", f"word{i} other{i % 7} Zeta.{i} plain") for i in range(60)] + [("u", 99, 0, "u", "word1 Zeta.1"), ("none", 1, 0, "n", "word1"), ("t", 98, 0, "e", "")]
+    chunks = spark.createDataFrame(texts, "target string, doc_ord long, chunk_idx int, chunk_id string, text string")
+    rules = [("t", "W", f"\\b(word{i})\\b") for i in range(0, 60, 2)] + [("t", "O", "(other\\d)"), ("t", "O", "(other[0-3])"), ("t", "Z", "(?i)(zeta\\.\\d+)"), ("u", "Z", "(Zeta)"), ("u", None, "x"), ("t", "P", "(p)lain|(q)")]
+    patterns = spark.createDataFrame(rules, "target string, label string, pattern string")
+    answers = []
+    for limit, small in ((1000, True), (3, True), (3, False)):
+        monkeypatch.setattr(graph, "_MAX_LITERAL_PATTERNS", limit)
+        monkeypatch.setattr(graph, "measured_small", lambda df, small=small: small)
+        answers.append(sorted(map(tuple, graph.rule_entities(chunks, patterns).collect())))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 30 + 60 + 60 + 1 + 60
