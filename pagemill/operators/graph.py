@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text
-from pagemill.operators.scale import compute_once, join_dimension, measured_small
+from pagemill.operators.scale import compute_once, join_dimension, measured_small, stage
 
 MENTION = ["target", "doc_ord", "chunk_idx", "chunk_id", "entity", "label", "priority"]
 # Order in which sources name a node first seen in the same chunk.
@@ -300,8 +300,11 @@ def merge_edges(triples: DataFrame) -> DataFrame:
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose two ends are nodes; a hub's edges are spread, not gathered."""
-    ends = nodes.select("target", "text")
+    """Edges whose two ends are nodes; a hub's edges are spread, not gathered.
+
+    The nodes are made once, for both ends.
+    """
+    ends = stage(nodes.select("target", "text"), "edge-ends")
     with_src = join_dimension(edges, ends.withColumnRenamed("text", "src"), ["target", "src"], "left_semi")
     return join_dimension(with_src, ends.withColumnRenamed("text", "dst"), ["target", "dst"], "left_semi").select(
         *edges.columns

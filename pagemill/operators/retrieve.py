@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.scale import join_dimension
+from pagemill.operators.scale import join_dimension, stage
 
 # Texts of the answer format.
 SEPARATOR = "\n\n---\n\n"
@@ -28,11 +28,12 @@ def attach_documents(hits: DataFrame, vectors: DataFrame) -> DataFrame:
 def attach_raw_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Add the raw chunk behind each hit, null when the store no longer holds it.
 
-    The store is first cut down to the chunks hit, then joined outer.
+    The store is first cut down to the chunks hit, then joined outer; a chunk
+    that a third of the hits share is spread like any dimension.
     """
     keys = ["target", "chunk_id"]
     needed = join_dimension(chunks.select(*keys, "text", "header"), hits.select(*keys).distinct(), keys, "left_semi")
-    return hits.join(needed, keys, "left")
+    return join_dimension(hits, stage(needed, "chunks-hit"), keys, "left")
 
 
 def _in_rank_order(*fields: str) -> Column:

@@ -238,7 +238,7 @@ def upsert_vectors(spark, sf_dir):
 
 @query
 def pack_metadata(spark, sf_dir):
-    docs = _page_documents(spark, sf_dir)
+    docs = scale.stage(_page_documents(spark, sf_dir), "documents")
     return packs.pack_metadata(docs, chunking.retrieval_chunks(docs), "hashing-64", "2024.01.31")
 
 
