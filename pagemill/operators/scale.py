@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
+HEAVY = 64  # a key with more than this part of the facts is spread
+SPREAD = 256  # over this many tasks if it holds all of them
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -76,21 +78,36 @@ def _scatter(df: DataFrame, on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.xxhash64(F.lit(0))
 
 
+def heavy_keys(facts: DataFrame, on: Sequence[str]) -> dict[str, int]:
+    """Keys that hold more than a HEAVY-th of the facts, as JSON, with the number of salts that spread them.
+
+    A sketch of bounded size over one pass of the key columns; salts are in
+    proportion to a key's share.  Nulls count as keys: an outer join keeps them.
+    """
+    top = F.call_function("approx_top_k", "key", F.lit(4 * HEAVY))
+    n, found = facts.select(_key_text(on).alias("key")).agg(F.count(F.lit(1)), top).first()
+    return {row["item"]: max(2, -(-row["count"] * SPREAD // n)) for row in found or [] if row["count"] * HEAVY > n}
+
+
+def _key_text(on: Sequence[str], kinds: Sequence[T.DataType] | None = None) -> Column:
+    columns = [F.col(f"`{c}`") if kinds is None else F.col(f"`{c}`").try_cast(kind) for c, kind in zip(on, kinds or on)]
+    return F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)]))
+
+
 def join_dimension(
     facts: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     *,
-    salts: int = 16,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a large, possibly skewed side with a side that is usually small.
 
-    A dimension measured small is broadcast.  Beyond the bound the facts are
-    salted and the dimension repeated once per salt, so that a key holding a
-    third of the facts is spread over ``salts`` tasks.  ``how`` may be inner,
+    A dimension measured small is broadcast.  Beyond the bound the facts of
+    heavy keys, found by a sketch, are salted in proportion to their number, and
+    only the dimension's rows of those keys are repeated, once per salt.  ``how`` may be inner,
     left, left_semi or left_anti, for which salting changes no result.
     """
     on = list(on)
@@ -98,9 +115,16 @@ def join_dimension(
         return facts.join(dim, on, how)
     if measured_small(dim, max_rows, max_bytes):
         return facts.join(F.broadcast(dim), on, how)
-    salted = facts.withColumn("_salt", F.pmod(_scatter(facts, on), F.lit(salts)).cast("int"))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    heavy = heavy_keys(facts, on)
+    if not heavy:
+        return facts.join(dim, on, how)
+    salt = unused(facts, unused(dim, "_salt"))
+    table = F.create_map(*[F.lit(x) for item in heavy.items() for x in item])
+    spread = F.pmod(_scatter(facts, on), F.try_element_at(table, _key_text(on)))
+    salted = facts.withColumn(salt, F.coalesce(spread, F.lit(0)).cast("int"))
+    copies = F.coalesce(F.try_element_at(table, _key_text(on, [facts.schema[c].dataType for c in on])), F.lit(1))
+    repeated = dim.withColumn(salt, F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
+    return salted.join(repeated, [*on, salt], how).drop(salt)
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

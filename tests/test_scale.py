@@ -34,6 +34,30 @@ def test_salted_join_equals_broadcast_join(spark):
         assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, large.collect()), key=str), how
 
 
+def test_heavy_keys_are_spread_in_proportion(spark):
+    rows = [("hot", i) for i in range(4000)] + [(None, i) for i in range(2000)] + [(f"k{i}", i) for i in range(6000)]
+    facts = spark.createDataFrame(rows, "k string, n long").withColumn("_salt", F.lit("own"))
+    heavy = scale.heavy_keys(facts, ["k"])
+    assert set(heavy) == {'{"k0":"hot"}', "{}"} and 80 <= heavy['{"k0":"hot"}'] <= 90 and 40 <= heavy["{}"] <= 46
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("hot", 3)], "k string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = scale.join_dimension(facts, dim, ["k"], how, max_rows=0)
+        want = facts.join(dim, ["k"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = scale.join_dimension(facts, dim.hint("merge"), ["k"], "inner", max_rows=0).filter("v = 1").groupBy(F.spark_partition_id().alias("p")).count()
+        counts = [r["count"] for r in parts.collect()]
+        assert len(counts) == 8 and max(counts) < 4000 / 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # keys of two types, and without a heavy one
+    whole = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1)], "k int, n long")
+    other = spark.createDataFrame([(1, "x"), (2, "y"), (3_000_000_000, "z")], "k long, v string")
+    assert scale.join_dimension(whole, other, ["k"], max_rows=0).count() == 501
+    assert scale.heavy_keys(spark.range(5000).withColumnRenamed("id", "k"), ["k"]) == {} == scale.heavy_keys(whole.limit(0), ["k"])
+
+
 def test_dedupe_last_and_compute_once(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, o int, v string")
     got = sorted(map(tuple, scale.dedupe_last(df, ["k"], ["o"]).collect()))
