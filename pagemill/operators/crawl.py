@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
@@ -48,14 +48,21 @@ def linked_urls(frontier: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` and the number of its rows, known when a job has written it."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
 def next_frontier(frontier: DataFrame, pages: DataFrame, links: DataFrame, visited: DataFrame) -> DataFrame:
     """Next level, ranked: landed pages among the linked URLs that were not visited yet.
 
     URLs that never landed yield neither documents nor links and drop out.
     """
-    found = stage(linked_urls(frontier, links), "found")
+    found, seen = _counted(linked_urls(frontier, links), "found")
+    found = stage(found, "found")
     fresh = _unvisited(found, visited).join(pages, "url")
-    if found.count() <= _WINDOW_ROWS:
+    if seen.get["n"] <= _WINDOW_ROWS:
         order = Window.partitionBy("target").orderBy("parent_rank", "pos")
         return fresh.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return number_rows(fresh, ["target"], ["parent_rank", "pos"], "rank")
@@ -68,7 +75,9 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     ``links(src_url, pos, abs_url)``.  Only pages with content count towards
     ``page_limit``; failed ones are visited and yield nothing.  The driver loops
     over levels; each level is a table in the shared folder, so lineage stays
-    short and joins are planned by real sizes.
+    short and joins are planned by real sizes.  A level takes three writes: the
+    links that it finds, the pages among them that are new, and how many
+    documents each target has by then.  Of earlier levels only the keys are read, to tell what is new.
     """
     spark = targets.sparkSession
     landed = stage(
@@ -80,25 +89,33 @@ def crawl_order(targets: DataFrame, pages: DataFrame, links: DataFrame, max_dept
     edges = stage(links.select("src_url", "pos", "abs_url").filter(urls.netloc(F.col("abs_url")) != ""), "links")
     root = f"{staging_root(spark)}/pagemill-stage/crawl-{uuid.uuid4().hex}"
 
-    def level_at(depth: int) -> str:
-        return f"{root}/depth={depth}"
+    def visit(level: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        """Write a level; its table and size."""
+        path = f"{root}/depth={depth}"
+        counted, seen = _counted(level.select(*_LEVEL), "level")
+        counted.write.parquet(path)
+        return spark.read.schema(counted.schema).parquet(path), seen.get["n"]
 
-    def visit(level: DataFrame, depth: int) -> DataFrame:
-        level.select(*_LEVEL).write.parquet(level_at(depth))
+    def visited() -> DataFrame:
         return spark.read.schema(_VISITED).parquet(root)
 
+    def emitted(level: DataFrame, before: DataFrame | None) -> DataFrame:
+        """Documents of each target so far."""
+        own = level.filter("emits").groupBy("target", "page_limit").agg(F.count(F.lit(1)).alias("n"))
+        every = own if before is None else before.unionByName(own).groupBy("target", "page_limit").agg(F.sum("n").alias("n"))
+        return stage(every, "emitted")
+
     seeds = targets.select(
         "target", "url", "page_limit", urls.netloc(F.col("url")).alias("host"), F.lit(1).cast("bigint").alias("rank")
     )
-    visited, depth = visit(seeds.join(landed, "url"), 0), 0
-    while max_depth is None or depth < max_depth:
-        full = visited.filter("emits").groupBy("target", "page_limit").count().filter("count >= page_limit")
-        frontier = visited.filter(F.col("depth") == depth).join(full.select("target"), "target", "left_anti")
+    (level, size), depth = visit(seeds.join(landed, "url"), 0), 0
+    counts = None
+    while size and (max_depth is None or depth < max_depth):
+        counts = emitted(level, counts)
+        frontier = level.join(counts.filter("n >= page_limit").select("target"), "target", "left_anti")
         depth += 1
-        visited = visit(next_frontier(frontier, landed, edges, visited), depth)
-        if visited.filter(F.col("depth") == depth).isEmpty():
-            break
-    return limit_emitted(number_rows(visited.filter("emits"), ["target"], ["depth", "rank"], "doc_ord")).select(
+        level, size = visit(next_frontier(frontier, landed, edges, visited()), depth)
+    return limit_emitted(number_rows(visited().filter("emits"), ["target"], ["depth", "rank"], "doc_ord")).select(
         "target", "url", "depth", "doc_ord"
     )
 

@@ -63,3 +63,22 @@ def test_random_sites_keep_the_rules(spark):
         fit = {n for n in out if far[n] < 99 and n not in failed and n not in empty}
         assert len(got) == len(set(got)) == min(limit, len(fit)) and set(got) <= fit
         assert [far[n] for n in got] == sorted(far[n] for n in fit)[: len(got)]
+
+
+def test_levels_cost_the_same(spark):
+    """Jobs grow by as many with each level, however many levels came before."""
+    links = spark.createDataFrame([(f"http://h/{i}", 0, f"http://h/{i + 1}") for i in range(9)], "src_url string, pos int, abs_url string")
+    pages = spark.createDataFrame([(f"http://h/{i}", True, True) for i in range(10)], "url string, ok boolean, has_content boolean")
+    seeds = spark.createDataFrame([("t", "http://h/0", 99)], "target string, url string, page_limit int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else each shuffle and broadcast is a job of its own
+    try:
+        jobs = {}
+        for depth in (1, 2, 4, 7):
+            group = f"crawl-{depth}"
+            spark.sparkContext.setJobGroup(group, group)
+            assert crawl.crawl_order(seeds, pages, links, depth).count() == depth + 1
+            jobs[depth] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[2] - jobs[1] == (jobs[7] - jobs[4]) // 3 == (jobs[4] - jobs[2]) // 2
