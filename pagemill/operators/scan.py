@@ -9,6 +9,7 @@ element, from its name, what it holds and how much of its text is links.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Placeholders for markdown marks and protected characters while page text is
@@ -48,6 +49,7 @@ _TAG = re.compile(
 )
 _HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*RAW, "title")}
+_BESIDES_P = (BLOCKS - {"p"}) | CELLS | {"li"}
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -83,16 +85,20 @@ def elements(html: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
     found = [Element("", -1, 0)]
     parts: list[tuple[int, str | None]] = []
     stack = [0]
+    open_now: Counter[str] = Counter()  # names of the elements in the stack
 
     def close(to: int, own: bool) -> None:
         """End the open elements from the top of the stack down to place ``to``."""
         while len(stack) > to:
             number = stack.pop()
+            open_now[found[number].name] -= 1
             found[number].last, found[number].ended = len(parts), own and len(stack) == to
             parts.append((number, None))
 
     def topmost(names: tuple[str, ...] | frozenset[str], until: tuple[str, ...] | frozenset[str]) -> int:
-        """Place in the stack of the innermost open element of these names; 0 if one of ``until`` comes first."""
+        """Place in the stack of the innermost open element of these names; 0 if none is open or one of ``until`` comes first."""
+        if not any(open_now[n] for n in names):
+            return 0
         for place in range(len(stack) - 1, 0, -1):
             name = found[stack[place]].name
             if name in names:
@@ -123,7 +129,7 @@ def elements(html: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             if place:
                 close(place, False)
         if name in BLOCKS:
-            place = topmost(("p",), CELLS | LISTS)
+            place = topmost(("p",), _BESIDES_P)  # a paragraph holds no block
             if place:
                 close(place, False)
             if name in HEADINGS and found[stack[-1]].name in HEADINGS:
@@ -147,6 +153,7 @@ def elements(html: str) -> tuple[list[Element], list[tuple[int, str | None]]]:
             parts.append((number, None))
         else:
             stack.append(number)
+            open_now[name] += 1
     close(1, False)
     found[0].last = len(parts)
     _measure(found, parts)
