@@ -41,8 +41,9 @@ def _matches(pattern: Column) -> Column:
 
 
 def _by_rules() -> Column:
-    """Matches of the row's own ``_rules``, patterns by label."""
-    return F.flatten(F.transform("_rules", lambda r: _labelled(F.flatten(F.transform(r["patterns"], _matches)), r["label"])))
+    """Matches of the row's own ``_rules``, by label: texts found already, and patterns to be searched for."""
+    texts = lambda r: F.concat(r["texts"], F.flatten(F.transform(r["patterns"], _matches)))
+    return F.flatten(F.transform("_rules", lambda r: _labelled(texts(r), r["label"])))
 
 
 def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     A chunk is one row, so its set is made within the row, without a shuffle.
     A pattern list of ordinary size becomes literal expressions, compiled once
     per task.  Of a longer one each text meets only the patterns whose required
-    literal it holds; one too long to be told to all tasks is joined by target.
+    literal it holds, and those that extract a fixed text are judged where it
+    stands; one too long to be told to all tasks is joined by target.
     Patterns with a null part match nothing.
     """
     patterns = patterns.filter("target is not null and label is not null and pattern is not null")
@@ -76,7 +78,7 @@ def rule_entities(chunks: DataFrame, patterns: DataFrame) -> DataFrame:
         hits = compute_once(met, "_all", _by_rules())
     else:
         by_label = patterns.groupBy("target", "label").agg(F.collect_list("pattern").alias("patterns"))
-        rules = by_label.groupBy("target").agg(F.collect_list(F.struct("label", "patterns")).alias("_rules"))
+        rules = by_label.groupBy("target").agg(F.collect_list(F.struct("label", "patterns", F.array().cast("array<string>").alias("texts"))).alias("_rules"))
         hits = compute_once(join_dimension(chunks, rules, ["target"]), "_all", _by_rules())
     return _mentions(hits.select(*_POSITION, F.explode("_all").alias("_m")).select(*_POSITION, "_m.*"), RULE)
 
@@ -158,34 +160,81 @@ def _group_end(pattern: str, at: int) -> int:
     return 0
 
 
-def _possible(patterns: pd.DataFrame, target: Column, texts: Column) -> Column:
-    """The patterns of the row's target that its text can match: those whose required literal is in it, and those without one."""
+# Parts around the group of a pattern that extracts a fixed text: they have no
+# quantifiers and mean the same to Java and Python, where ``pos`` is no start of the text.
+_ONE = r"(?:[^\\\[\](){}.^$|?*+]|\[\^?(?:[A-Za-z0-9](?:-[A-Za-z0-9])?|[ _,;:!'\"/@#%=<>])+\])"
+_SOME = rf"(?:{_ONE}|\^|\(\?:(?:{_ONE}|\^)+(?:\|(?:{_ONE}|\^)+)*\))"
+_FIXED = re.compile(rf"((?:{_SOME}|\(\?<[=!]{_ONE}\))*)\(([^\\\[\](){{}}.^$|?*+]+)\)((?:{_SOME}|\(\?[=!]{_ONE}\))*)")
 
-    @F.pandas_udf("array<struct<label:string,patterns:array<string>>>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+
+def fixed_text(pattern: str) -> tuple[str, str, str] | None:
+    """What stands before, in and after the only group of a pattern that extracts one fixed text; null for any other.
+
+    Such a pattern matches if its text stands somewhere between the two, and
+    then extracts just that text.
+    """
+    found = _FIXED.fullmatch(pattern)
+    try:
+        return found and re.compile(found[1]) and re.compile(found[3]) and found.groups()
+    except re.error:
+        return None
+
+
+class _Rules:
+    """Patterns of a target by the literals that their matches hold."""
+
+    def __init__(self, rules: list[tuple[str, str]]):
         import ahocorasick
 
-        known: dict[str, tuple[list[int], ahocorasick.Automaton, list[list[int]], list[tuple[str, str]]]] = {}
-        for name, rows in patterns.groupby("target"):
-            rules, always, by_literal = list(zip(rows["label"], rows["pattern"])), [], {}
-            for i, (_, pattern) in enumerate(rules):
-                literal = required_literal(pattern)
-                (by_literal.setdefault(literal, []) if literal else always).append(i)
-            machine = ahocorasick.Automaton()
-            for i, literal in enumerate(by_literal):
-                machine.add_word(literal, i)
-            machine.make_automaton()
-            known[name] = always, machine, list(by_literal.values()), rules
+        self.rules, self.always = rules, []
+        by_literal: dict[str, tuple[list[int], dict]] = {}  # patterns to be searched for; those of a fixed text, by what stands around it
+        for i, (label, pattern) in enumerate(rules):
+            fixed = fixed_text(pattern)
+            literal = fixed[1] if fixed else required_literal(pattern)
+            if not literal:
+                self.always.append(i)
+                continue
+            searched, judged = by_literal.setdefault(literal, ([], {}))
+            if fixed:
+                judged.setdefault((fixed[0], fixed[2]), []).append(label)
+            else:
+                searched.append(i)
+        self.machine = ahocorasick.Automaton()
+        around = {}
+        for literal, (searched, judged) in by_literal.items():
+            tests = [(around.setdefault(p, (re.compile(p[0]), len(re.findall(_ONE, p[0])), re.compile(p[1]))), labels) for p, labels in judged.items()]
+            self.machine.add_word(literal, (literal, searched, tests))
+        self.machine.make_automaton()
+        self.known = bool(by_literal)
+
+    def met(self, whole: str | None) -> list[dict]:
+        """By label: fixed texts found in a text, and patterns that it may match."""
+        searched, left, texts = set(self.always), {}, {}
+        for end, (literal, patterns, tests) in self.machine.iter(whole) if self.known and whole else ():
+            tests = left.setdefault(literal, tests)
+            if patterns:
+                searched.update(patterns)
+            for test in tests:
+                (before, most, after), labels = test
+                first = end + 1 - len(literal)
+                if after.match(whole, end + 1) and any(before.fullmatch(whole, at, first) for at in range(max(0, first - most), first + 1)):
+                    for label in labels:
+                        texts.setdefault(label, set()).add(literal)
+                    left[literal] = [t for t in left[literal] if t is not test]
+        by_label: dict[str, list[str]] = {}
+        for i in sorted(searched):
+            by_label.setdefault(self.rules[i][0], []).append(self.rules[i][1])
+        return [{"label": n, "patterns": by_label.get(n, []), "texts": sorted(texts.get(n, ()))} for n in {**by_label, **texts}]
+
+
+def _possible(patterns: pd.DataFrame, target: Column, texts: Column) -> Column:
+    """Of the row's target: fixed texts found in its text, and the patterns that it can match, by a required literal or for want of one."""
+
+    @F.pandas_udf("array<struct<label:string,patterns:array<string>,texts:array<string>>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = {name: _Rules(list(zip(rows["label"], rows["pattern"]))) for name, rows in patterns.groupby("target")}
         for names, batch in batches:
-            out = []
-            for name, whole in zip(names, batch):
-                always, machine, held, rules = known.get(name, ([], None, [], []))
-                met = {i for _, i in machine.iter(whole)} if held and whole else ()
-                by_label: dict[str, list[str]] = {}
-                for i in always + [r for m in sorted(met) for r in held[m]]:
-                    by_label.setdefault(rules[i][0], []).append(rules[i][1])
-                out.append([{"label": label, "patterns": found} for label, found in by_label.items()])
-            yield pd.Series(out)
+            yield pd.Series([known[name].met(whole) if name in known else [] for name, whole in zip(names, batch)])
 
     return run(target, texts)
 

@@ -166,3 +166,20 @@ def test_many_patterns_by_each_way(spark, monkeypatch):
         monkeypatch.setattr(graph, "measured_small", lambda df, small=small: small)
         answers.append(sorted(map(tuple, graph.rule_entities(chunks, patterns).collect())))
     assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 30 + 60 + 60 + 1 + 60
+
+
+def test_fixed_texts_are_judged_where_they_stand(spark, monkeypatch):
+    texts = ["foo", "xfoo foo", "foofoo,foo1", "-foo bar-foobar", "a foo bar", "fooo ofoo", "", " foo\nbar", "aaaa", "baaa aaab", "é😀foo😀", "o.o foo.", None]
+    around = ["(?:^|[^A-Za-z])({})(?![A-Za-z])", "^({})", "({})", "[a-z ]({})", "({})[^a-z]", "(?<![A-Za-z])({})(?= )", "x({})", "(?:a|^b| )({})(?:,|f)", "(?<=[^a])({})"]
+    rules = [("t", "AB"[i % 2], p.replace("{}", w)) for i, p in enumerate(around) for w in ("foo", "foobar", "aa", "bar", "o foo", " ")]
+    chunks = spark.createDataFrame([("t", i, 0, f"c{i}", x) for i, x in enumerate(texts)], CHUNK)
+    patterns = spark.createDataFrame([*rules, ("t", "A", r"\b(fo+)"), ("t", "C", "(b)|foo")], "target string, label string, pattern string")
+    answers = []
+    for limit in (1000, 3):
+        monkeypatch.setattr(graph, "_MAX_LITERAL_PATTERNS", limit)
+        answers.append(sorted(map(tuple, graph.rule_entities(chunks, patterns).collect())))
+    assert answers[0] == answers[1] and len(answers[0]) > 30
+    met = graph._Rules([(n, p) for _, n, p in rules]).met("a foo bar")
+    assert not any(m["patterns"] for m in met) and {"foo", "bar", "o foo"} <= {x for m in met for x in m["texts"]}
+    assert graph.fixed_text(r"\b(word)") is None and graph.fixed_text("(a)|b") is None and graph.fixed_text("(a)+") is None
+    assert graph.fixed_text("(a+)") is None and graph.fixed_text("(a)(b)") is None and graph.fixed_text("(a)$") is None
