@@ -23,6 +23,7 @@ MENTION = ["target", "doc_ord", "chunk_idx", "chunk_id", "entity", "label", "pri
 RULE, MODEL, ENDPOINT = 0, 1, 2
 ENDPOINT_LABEL = "ENTITY"
 _MAX_LITERAL_PATTERNS = 128
+_PARTS = 4
 _POSITION = ["target", "doc_ord", "chunk_idx", "chunk_id"]
 
 
@@ -284,11 +285,22 @@ def triple_endpoints(triples: DataFrame) -> DataFrame:
     return _mentions(hits, ENDPOINT)
 
 
+def _beside(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal ``keys`` moved to the same few tasks, side by side, so that long ids are packed with their repeats.
+
+    ``_part`` deals a key's entities over _PARTS tasks, for a key may be hot.
+    An aggregate whose keys include these needs no further shuffle.  The number
+    of tasks is fixed: sizes after compression say little of the rows.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("entity"), F.lit(_PARTS))).repartition(tasks, *keys, "_part")
+
+
 def union_entities(*mentions: DataFrame) -> DataFrame:
     """All mentions, once per chunk, text and label, the earliest source kept."""
     everything = reduce(DataFrame.unionByName, mentions)
     return (
-        everything.groupBy("target", "chunk_id", "entity", "label")
+        _beside(everything, "target", "chunk_id").groupBy("chunk_id", "target", "_part", "entity", "label")
         .agg(F.min(F.struct("doc_ord", "chunk_idx", "priority")).alias("_first"))
         .select("target", "_first.doc_ord", "_first.chunk_idx", "chunk_id", "entity", "label", "_first.priority")
     )
@@ -300,7 +312,7 @@ def node_chunks(mentions: DataFrame) -> DataFrame:
     (doc_ord, chunk_idx) is the first-seen order.
     """
     return (
-        mentions.groupBy("target", "entity", "chunk_id")
+        _beside(mentions, "target", "chunk_id").groupBy("chunk_id", "target", "_part", "entity")
         .agg(F.min(F.struct("doc_ord", "chunk_idx", "priority", "label")).alias("_first"))
         .select("target", "entity", "chunk_id", "_first.*")
     )
@@ -326,12 +338,12 @@ def node_pages(mentions: DataFrame, docs_per_page: int = 1000) -> DataFrame:
     node in order are its whole list.
     """
     ordered = F.array_sort(F.collect_list(F.struct("doc_ord", "chunk_idx", "chunk_id")))
+    paged = node_chunks(mentions).withColumn("page", F.floor(F.col("doc_ord") / F.lit(docs_per_page)))
     return (
-        node_chunks(mentions)
-        .withColumn("page", F.floor(F.col("doc_ord") / F.lit(docs_per_page)))
-        .groupBy("target", "entity", "page")
+        _beside(paged.select("target", "entity", "page", "doc_ord", "chunk_idx", "chunk_id"), "target", "page")
+        .groupBy("page", "target", "_part", "entity")
         .agg(F.transform(ordered, lambda c: c["chunk_id"]).alias("chunk_ids"))
-        .withColumnRenamed("entity", "text")
+        .select("target", F.col("entity").alias("text"), "page", "chunk_ids")
     )
 
 
