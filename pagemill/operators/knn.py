@@ -27,6 +27,17 @@ MAX_BROADCAST_BYTES = 64 << 20
 MAX_RESULT_ROWS = 500_000_000
 QUERY_BLOCK = 4096
 _MAX_LISTED = 1000
+_MAX_HELD = 1 << 20  # candidates that wait to be ranked
+MOST_WANTED = 0.5  # part of the vectors, from which on all are met
+
+
+class _Met:
+    """Vectors that queries meet, with a column of their squared lengths, so that one product gives distances."""
+
+    def __init__(self, vectors: np.ndarray):
+        norms = np.einsum("ij,ij->i", vectors, vectors)
+        self.vectors, self.longest = vectors, norms.max()
+        self.extended = np.ascontiguousarray(np.column_stack([vectors, norms]).T)
 
 
 class _Best:
@@ -35,44 +46,82 @@ class _Best:
     def __init__(self, queries: np.ndarray, k: int):
         self.queries, self.k = queries, k
         self.norms = np.einsum("ij,ij->i", queries, queries)
+        self.extended = np.column_stack([-2.0 * queries, np.ones(len(queries))])
         self.q = np.empty(0, np.int64)
         self.dist = np.empty(0)
         self.ids = np.empty(0, object)
         self.worst = np.full(len(queries), np.inf)
 
-    def add(self, vectors: np.ndarray, ids: np.ndarray, some: np.ndarray | None = None) -> None:
+    def add(self, met: _Met, ids: np.ndarray, some: np.ndarray | None = None) -> None:
         """Let all queries, or those numbered in ``some``, meet the vectors."""
         some = np.arange(len(self.queries)) if some is None else some
-        norms = np.einsum("ij,ij->i", vectors, vectors)
-        slack = 1e-9 * (1.0 + norms.max() + self.norms.max())
-        found_q, found_d, found_i = [self.q], [self.dist], [self.ids]
-        step = max(1, (1 << 21) // len(vectors))
+        n = len(met.vectors)
+        slack = 1e-9 * (1.0 + met.longest + self.norms.max())
+        found_q, found_d, found_i, held = [], [], [], 0
+        step = max(1, (1 << 20) // n)
         for start in range(0, len(some), step):
             rows = some[start : start + step]
-            block = self.queries[rows]
-            rough = norms[None, :] + self.norms[rows, None] - 2.0 * (block @ vectors.T)
-            bar = self.worst[rows]
-            if len(vectors) > self.k:
-                bar = np.minimum(bar, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
+            rough = self.extended[rows] @ met.extended  # less the query's own squared length
+            bar = self.worst[rows] - self.norms[rows]
+            fresh = np.flatnonzero(np.isinf(bar))  # of the others, few vectors come below the bar
+            if n > self.k and len(fresh):
+                bar[fresh] = np.partition(rough[fresh], self.k - 1, axis=1)[:, self.k - 1]
             # the product is only a sieve: candidates within rounding of the bar are measured exactly,
             # so that equal vectors get equal distances and ties fall to the id
-            qi, vi = np.nonzero(rough <= bar[:, None] + slack)
+            qi, vi = np.divmod(np.flatnonzero((rough <= bar[:, None] + slack).ravel()), n)
+            if held > _MAX_HELD:
+                self._keep(*map(np.concatenate, (found_q, found_d, found_i)))
+                found_q, found_d, found_i, held = [], [], [], 0
             for at in range(0, len(qi), 1 << 16):
-                a, b = qi[at : at + (1 << 16)], vi[at : at + (1 << 16)]
-                found_q.append(rows[a])
-                found_d.append(np.square(vectors[b] - block[a]).sum(axis=1))
-                found_i.append(ids[b])
-        self._keep(np.concatenate(found_q), np.concatenate(found_d), np.concatenate(found_i))
+                a, b = rows[qi[at : at + (1 << 16)]], vi[at : at + (1 << 16)]
+                dist = np.square(met.vectors[b] - self.queries[a]).sum(axis=1)
+                near = dist <= self.worst[a]
+                held += int(near.sum())
+                found_q.append(a[near])
+                found_d.append(dist[near])
+                found_i.append(ids[b[near]])
+        if held:
+            self._keep(*map(np.concatenate, (found_q, found_d, found_i)))
 
     def _keep(self, q: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
-        by = np.lexsort((ids, dist, q))
+        """Let new rows compete with those held for the same queries; rows of other queries stay untouched."""
+        changed = np.zeros(len(self.queries), bool)
+        changed[q] = True
+        again = changed[self.q]
+        q, dist, ids = (np.concatenate([old[again], new]) for old, new in ((self.q, q), (self.dist, dist), (self.ids, ids)))
+        by = _in_order(q, dist, ids)
         q, dist, ids = q[by], dist[by], ids[by]
-        starts = np.searchsorted(q, np.arange(len(self.queries)))
-        place = np.arange(len(q)) - starts[q]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
         inside = place < self.k
-        self.q, self.dist, self.ids = q[inside], dist[inside], ids[inside]
-        last = place[inside] == self.k - 1
-        self.worst[self.q[last]] = self.dist[last]
+        last = place == self.k - 1
+        self.worst[q[last]] = dist[last]
+        self.q, self.dist, self.ids = (
+            np.concatenate([old[~again], new[inside]]) for old, new in ((self.q, q), (self.dist, dist), (self.ids, ids))
+        )
+
+
+def _in_order(q: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by query, distance and id; ids, which are objects, are compared only where distances are equal."""
+    by = np.lexsort((dist, q))
+    same = (q[by][1:] == q[by][:-1]) & (dist[by][1:] == dist[by][:-1])
+    tied = np.r_[same, False] | np.r_[False, same]
+    rows = by[tied]
+    by[tied] = rows[np.lexsort((ids[rows], dist[rows], q[rows]))] if len(rows) else rows
+    return by
+
+
+def _first_of_equal(vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal vectors those of the ``k`` smallest ids; no others can be among the best ``k`` of a query."""
+    whole = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+    _, code, count = np.unique(whole, return_inverse=True, return_counts=True)
+    if count.max() <= k:
+        return vectors, ids
+    crowded = np.flatnonzero(count[code] > k)
+    order = crowded[np.lexsort((ids[crowded], code[crowded]))]
+    place = np.arange(len(order)) - np.searchsorted(code[order], code[order])
+    kept = np.ones(len(vectors), bool)
+    kept[order[place >= k]] = False
+    return vectors[kept], ids[kept]
 
 
 def _objects(column) -> np.ndarray:
@@ -143,7 +192,7 @@ def _scan(v: DataFrame, asked: dict[str, _Asked], k: int, schema: T.StructType,
     """Ship queries to the vectors, which stay where they are; with lists, each meets only the queries that want it."""
     shipped = v.sparkSession.sparkContext.broadcast(asked)
     lists = [set(a.column) for a in asked.values() if a.column is not None]
-    wanted = v
+    wanted = v.filter(F.col("_block").isin(list(asked))) if len(asked) <= _MAX_LISTED else v
     if lists and len(lists) == len(asked) and len(every := set.union(*lists)) <= _MAX_LISTED:
         wanted = wanted.filter(F.col("_list").isin(sorted(every)))
     # every task returns up to k rows per query; on a very wide scan fewer, longer tasks keep that sum in
@@ -175,11 +224,12 @@ def _scan(v: DataFrame, asked: dict[str, _Asked], k: int, schema: T.StructType,
                     rows = np.flatnonzero(mine if number is None else mine & (own == number))
                     if number is not None and number not in asks.column:
                         continue
-                    vectors = matrix(batch.column("embedding").take(pa.array(rows)))
+                    vectors, ids = _first_of_equal(matrix(batch.column("embedding").take(pa.array(rows))), chunk_ids[rows], k)
+                    met = _Met(vectors)
                     for queries, found in best[name]:
                         some = None if number is None else np.flatnonzero(asks.wanted[queries, asks.column[number]])
                         if some is None or len(some):
-                            found.add(vectors, chunk_ids[rows], some)
+                            found.add(met, ids, some)
         for name, blocks in best.items():
             asks = shipped.value[name]
             for queries, found in blocks:
@@ -195,7 +245,11 @@ def _arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def _with_lists(asked: dict[str, _Asked], index: Index, k: int, reach: float) -> dict[str, _Asked]:
-    """Queries with the lists that they must visit; without bounds, where the driver would read too many, all of them."""
+    """Queries with the lists that they must visit.
+
+    Without bounds, where the driver would read too many, these are all of them; and also where
+    most vectors are wanted, which are met in larger numbers at once if their lists are not told apart.
+    """
     bounds = index.lists.filter(F.col("_block").isin(list(asked))) if len(asked) <= _MAX_LISTED else index.lists
     if bounds.count() > OUT_OF_BOUNDS:
         return asked
@@ -210,7 +264,8 @@ def _with_lists(asked: dict[str, _Asked], index: Index, k: int, reach: float) ->
             most = int(np.max(asks.limits, initial=1))
             wanted = needed(asks.vectors, max(1, min(k, most)), centres, own, *[rows[c].to_numpy() for c in ("n", "near", "far")], reach)
             seen = wanted.any(0)
-            asks = asks._replace(wanted=wanted[:, seen], column={int(c): i for i, c in enumerate(own[seen])})
+            if reach < 1 or np.average(wanted, weights=np.broadcast_to(rows["n"].to_numpy(), wanted.shape)) < MOST_WANTED:
+                asks = asks._replace(wanted=wanted[:, seen], column={int(c): i for i, c in enumerate(own[seen])})
         out[name] = asks
     return out
 

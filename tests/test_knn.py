@@ -132,3 +132,44 @@ def test_keys_widths_and_components_that_take_no_part(spark):
         assert got == [(1, 1, "1", 0.0), (1, 2, "9", 1.0), (3, 1, "3", 0.0)]
     for rows, asked in ((v.limit(0), q), (v, q.limit(0)), (v.limit(0), q.limit(0))):
         assert knn.knn(rows, asked, 3, max_queries=0).count() == knn.knn(rows, asked, 3).count() == 0
+
+
+def test_ids_are_compared_only_among_equal_distances_and_full_queries_meet_no_partition(monkeypatch):
+    import numpy as np
+
+    from pagemill.operators import knn as module
+
+    rng = np.random.default_rng(3)
+    points = rng.integers(-2, 3, (900, 4)).astype(float)
+    ids = np.array([f"v{i}" for i in rng.permutation(900)], object)
+    asked = np.vstack([points[:40], rng.normal(size=(20, 4))])
+    best, partitions = module._Best(asked, 5), []
+    partition = np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **o: partitions.append(len(a[0])) or partition(*a, **o))
+    for at in range(0, 900, 100):
+        best.add(module._Met(points[at : at + 100]), ids[at : at + 100])
+    best.add(module._Met(points[:3]), np.array(["z0", "z1", "z2"], object), np.array([7]))
+    assert partitions == [60]
+    for q, vector in enumerate(asked):
+        every = sorted(zip(np.square(points - vector).sum(1), ids))
+        more = [(d, n) for d, n in zip(np.square(points[:3] - vector).sum(1), ("z0", "z1", "z2")) if q == 7]
+        got = sorted(zip(best.dist[best.q == q], best.ids[best.q == q]))
+        assert [tuple(x) for x in got] == [tuple(x) for x in sorted(every + more)[:5]]
+
+
+def test_equal_vectors_leave_few_candidates(monkeypatch):
+    import numpy as np
+
+    from pagemill.operators import knn as module
+
+    points = np.repeat(np.array([[0.0, 1.0], [2.0, 3.0], [9.0, 9.0]]), [700, 3, 300], axis=0)
+    ids = np.array([f"v{i % 997:03}" for i in range(1003)], object)
+    vectors, names = module._first_of_equal(points, ids, 4)
+    assert len(vectors) == 4 + 3 + 4 and sorted(names[:4]) == ["v000", "v001", "v002", "v003"]
+    ranked = []
+    keep = module._Best._keep
+    monkeypatch.setattr(module._Best, "_keep", lambda self, q, d, i: ranked.append(len(q)) or keep(self, q, d, i))
+    monkeypatch.setattr(module, "_MAX_HELD", 10_000)
+    best = module._Best(np.zeros((3000, 2)), 4)
+    best.add(module._Met(points), ids)
+    assert max(ranked) < 1_500_000 and len(ranked) > 1 and sorted(best.ids[best.q == 2999].tolist()) == ["v000", "v001", "v002", "v003"]
