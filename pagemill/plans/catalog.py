@@ -569,11 +569,11 @@ def extraction_prompt(spark, sf_dir):
 
 
 def _all_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = scale.stage(_graph_chunks(spark, sf_dir), "graph-chunks")
-    facts = scale.stage(_word_triples(chunks), "triples")
+    """Mentions, which each query reads once, the triples and the chunks that they come from."""
+    chunks = scale.stage(_graph_chunks(spark, sf_dir), "graph-chunks", codec="zstd")
+    facts = _word_triples(chunks)
     rules = graph.rule_entities(chunks, targets.patterns_df(spark, _PATTERNS))
-    mentions = scale.stage(graph.union_entities(rules, graph.triple_endpoints(facts)), "mentions")
-    return mentions, facts, chunks
+    return graph.union_entities(rules, graph.triple_endpoints(facts)), facts, chunks
 
 
 @query
@@ -716,10 +716,10 @@ def stream_documents(spark, sf_dir):
         spelled.filter("doc_ord % 2 = 0").unionByName(older.filter("doc_ord % 4 = 0")),
         spelled.filter("doc_ord % 3 = 0").withColumn("markdown", F.concat(F.lit("third "), "markdown")).unionByName(older.filter("doc_ord % 9 = 5")),
     ]
-    for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(f"{path}/arriving")
-    arriving = spark.readStream.schema(spelled.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arriving")
-    doc_stream.stream_documents(arriving, path, f"{path}/checkpoint", encode.hashing_encoder(), fanout=2).awaitTermination()
+    for batch in batches:  # what has arrived since the run before is one micro-batch, of any number of files
+        batch.write.mode("append").parquet(f"{path}/arriving")
+        arriving = spark.readStream.schema(spelled.schema).parquet(f"{path}/arriving")
+        doc_stream.stream_documents(arriving, path, f"{path}/checkpoint", encode.hashing_encoder(), fanout=2).awaitTermination()
     raw = doc_stream.read_log(spark, path, "chunks").select("target", "chunk_id", F.md5("text").alias("text_md5"))
     vectors = doc_stream.read_log(spark, path).select("target", "chunk_id", "source_url", F.size("embedding").alias("width"))
     return vectors.join(raw, ["target", "chunk_id"])

@@ -78,3 +78,16 @@ def test_triggers_resolve_targets(spark, tmp_path):
         spark.readStream.schema(schema).parquet(source), known, lambda df, _: ran.extend(r.target for r in df.collect()), str(tmp_path / "cp")
     ).awaitTermination()
     assert ran == ["a"] and METADATA_TYPE.startswith("struct")
+
+
+def test_batches_of_the_query_arrive_in_many_files(spark, tmp_path, monkeypatch):
+    from pagemill.plans import catalog
+
+    rows = [(i, f"# H{i}\nsome words of text number {i}", "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.repartition(4).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, label: str(tmp_path / label))
+    found = catalog.queries()["stream_documents"](spark, str(tmp_path / "in"))
+    assert found.count() == 40
+    assert len(list((tmp_path / "stream" / "arriving").glob("*.parquet"))) > 3
+    assert len(list((tmp_path / "stream" / "checkpoint" / "commits").glob("[0-9]*"))) == 3
