@@ -16,6 +16,10 @@ from pagemill.operators.scale import compute_once
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
+REMEMBERED = 100_000  # words whose bucket a worker keeps
+TEXTS = 256  # encoded at once
+
+
 class _Slots(dict):
     """Signed bucket of a word, computed on first use: twice the bucket, plus one if negative."""
 
@@ -40,7 +44,7 @@ def hashing_encoder(dim: int = 64) -> EncoderFactory:
         slots = _Slots(dim)
 
         def encode(texts: list[str]) -> np.ndarray:
-            if len(slots) > 1_000_000:
+            if len(slots) > REMEMBERED:
                 slots.clear()
             coded = [np.fromiter(map(slots.__getitem__, t.split()), np.int64) for t in texts]
             flat = np.concatenate(coded) if coded else np.empty(0, np.int64)
@@ -71,7 +75,10 @@ def embed(df: DataFrame, encoder: EncoderFactory, col: str = "document", out: st
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder()
         for batch in batches:
-            matrix = _unit_rows(np.asarray(encode(batch.fillna("").tolist()), dtype=np.float64))
-            yield pd.Series(list(matrix.astype(np.float32)), index=batch.index)
+            rows: list[np.ndarray] = []
+            for at in range(0, len(batch), TEXTS):
+                texts = batch.iloc[at : at + TEXTS].fillna("").tolist()
+                rows.extend(_unit_rows(np.asarray(encode(texts), dtype=np.float64)).astype(np.float32))
+            yield pd.Series(rows, index=batch.index, dtype=object)
 
     return compute_once(df, out, vectors(F.col(col)))

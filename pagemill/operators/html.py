@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,9 +165,8 @@ _FINISH = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def _marked(pages: pd.Series) -> pd.Series:
-    return pd.Series([scan.marked_content(page) for page in pages])
+# Page by page: an Arrow batch would hold ten thousand pages of any size at once.
+_marked = F.udf(scan.marked_content, T.StringType(), useArrow=False)
 
 
 def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:
