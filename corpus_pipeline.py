@@ -10,7 +10,7 @@ from pagemill.llm import bpe, decontaminate, langid, paragraphs, simhash
 from pagemill.llm.queries import table
 from pagemill.operators.scale import stage
 
-REMEMBERED = 150_000  # pre-tokens kept by a Python worker that has served other stages before
+REMEMBERED = 40_000  # pre-tokens kept, in each of two generations, by a Python worker that serves other stages as well
 LEAST_LANGUAGE_SCORE = 0.4  # a single ambiguous word stays; texts without letters go
 
 
