@@ -15,7 +15,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,13 @@ from pyspark.sql import types as T
 
 from pagemill.llm.words import BLOCK, POINTS, codepoints
 
-REMEMBERED = 600_000  # pre-tokens whose ids a Python worker keeps, in each of two generations; some 150 MB
+REMEMBERED = 200_000  # pre-tokens that a Python worker keeps, in each of two generations; some 80 MB with their ids, 50 MB with their number
 # The public pattern of pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHORT = 48  # bytes up to which merges scan the piece instead of keeping a heap
+_FEW = 64  # pieces that are merged one by one
+_CELLS = 1 << 17  # bytes that are merged side by side, in pieces of about one length
+_NONE = np.iinfo(np.int32).max  # rank of a pair that has none
 
 # Classes of code points.
 OTHER, LETTER, NUMBER, BLANK, SPACE = range(5)
@@ -249,14 +252,102 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
+class Pairs:
+    """Merges of many short pieces side by side: each round joins one pair of every piece that still has one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        rank, found = ranks.get, {}
+        for token, made in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = rank(token[:cut]), rank(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = made
+        keys = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.made = np.append(np.fromiter(found.values(), np.int32, len(found))[order], np.int32(_NONE))
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.two = self.of(np.repeat(self.single, 256), np.tile(self.single, 256))
+        self.own = {i: i for i in ranks.values()}  # one object per id, for all tuples
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(_NONE))
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each piece, as ``merge`` tells them."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        for part, ids, alive in self._blocks(pieces):
+            flat = [self.own[i] for i in ids[alive].tolist()]
+            ends = np.cumsum(alive.sum(1)).tolist()
+            for i, a, b in zip(part, [0, *ends], ends):
+                out[i] = tuple(flat[a:b])
+        return out
+
+    def count(self, pieces: list[bytes]) -> np.ndarray:
+        """How many ids each piece has."""
+        out = np.zeros(len(pieces), np.int64)
+        for part, _, alive in self._blocks(pieces):
+            out[part] = alive.sum(1)
+        return out
+
+    def _blocks(self, pieces: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of pieces of about one length, what stands at each of their bytes, and where an id begins."""
+        alike: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            alike.setdefault(-(-len(p) // 8) * 8, []).append(i)
+        for width, places in alike.items():
+            rows = _CELLS // (width + 1) + 1
+            for at in range(0, len(places), rows):
+                part = places[at : at + rows]
+                yield part, *self._joined([pieces[i] for i in part])
+
+    def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array([len(p) for p in pieces])
+        n, width = len(pieces), int(lengths.max()) + 1  # the last column stands for both ends
+        raw = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), np.uint8).reshape(n, width)
+        place = np.arange(width)
+        alive = place < lengths[:, None]
+        ids = self.single[raw]
+        pair = np.full((n, width), _NONE, np.int32)
+        pair[:, :-1] = self.two[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]]
+        pair[place >= lengths[:, None] - 1] = _NONE
+        after, before = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+        rows = np.arange(n)
+        while len(rows):
+            best = pair[rows]
+            at = best.argmin(1)  # the leftmost of equals
+            low = best[np.arange(len(rows)), at]
+            if (low == _NONE).any():
+                left = low != _NONE
+                rows, at, low = rows[left], at[left], low[left]
+            gone = after[rows, at]
+            end = after[rows, gone]
+            ids[rows, at] = low
+            alive[rows, gone], pair[rows, gone] = False, _NONE
+            after[rows, at], before[rows, end] = end, at
+            inside = end < lengths[rows]
+            pair[rows, at] = np.where(inside, self.of(low.astype(np.int64), ids[rows, end]), _NONE)
+            front = before[rows, at]
+            some = np.flatnonzero(front >= 0)
+            own, front = rows[some], front[some]
+            pair[own, front] = self.of(ids[own, front], low[some].astype(np.int64))
+        return ids, alive
+
+
 class Codec:
     """Encoder and decoder over one rank file; ids of pre-tokens met are remembered up to a bound."""
 
     def __init__(self, own: Rules, remembered: int = REMEMBERED):
         self.remembered = remembered
         self.ranks = own.ranks()
+        self.pairs = Pairs(self.ranks) if all(bytes([i]) in self.ranks for i in range(256)) else None
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.counted: dict[str, int] = {}  # the same for those that are only counted
+        self.counted_before: dict[str, int] = {}
         size = max(self.ranks.values()) + 1
         lengths = np.zeros(size, np.int64)
         for token, rank in self.ranks.items():
@@ -270,36 +361,80 @@ class Codec:
 
     def pieces(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, ...]], np.ndarray]]:
         """Per text, perhaps in several parts: its number, ids of its pre-tokens, their code point lengths."""
+        for tokens, lengths, places in self._blocks(texts):
+            ids = self._ids(tokens)
+            for number, a, b in places:
+                yield number, ids[a:b], lengths[a:b]
+
+    def sizes(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As ``pieces``, with the number of ids of each pre-token in their place."""
+        for tokens, lengths, places in self._blocks(texts):
+            counts = self._counts(tokens)
+            for number, a, b in places:
+                yield number, counts[a:b], lengths[a:b]
+
+    def _blocks(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, list[tuple[int, int, int]]]]:
+        """Pre-tokens of some texts, their code point lengths, and which are those of each text."""
         part: list[tuple[int, str]] = []
         held = 0
         for number, text in enumerate(texts):
             for piece in safe_pieces(text) if len(text) > BLOCK else (text,):
                 if part and held + len(piece) > BLOCK:
-                    yield from self._part(part)
+                    yield self._part(part)
                     part, held = [], 0
                 part.append((number, piece))
                 held += len(piece) + 1
-        yield from self._part(part)
+        yield self._part(part)
 
-    def _part(self, part: list[tuple[int, str]]) -> Iterator[tuple[int, list[tuple[int, ...]], np.ndarray]]:
+    def _part(self, part: list[tuple[int, str]]) -> tuple[list[str], np.ndarray, list[tuple[int, int, int]]]:
         joined, first, last = starts([p for _, p in part])
-        ids = self._ids([joined[a:b] for a, b in zip(first.tolist(), last.tolist())])
-        lengths = last - first
-        ends = np.searchsorted(first, np.cumsum([len(p) + 1 for _, p in part]))
-        at = 0
-        for (number, _), end in zip(part, ends.tolist()):
-            yield number, ids[at:end], lengths[at:end]
-            at = end
+        tokens = [joined[a:b] for a, b in zip(first.tolist(), last.tolist())]
+        ends = np.searchsorted(first, np.cumsum([len(p) + 1 for _, p in part])).tolist()
+        return tokens, last - first, [(number, a, b) for (number, _), a, b in zip(part, [0, *ends], ends)]
 
     def _ids(self, tokens: list[str]) -> list[tuple[int, ...]]:
         """Ids by pre-token, from two generations of memory, so that frequent ones outlive a change."""
         if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
-        known, older, ranks = self.known, self.older, self.ranks
+        known, older, new = self.known, self.older, []
         for t in set(tokens).difference(known):
-            known[t] = older.get(t) or merge(t.encode("utf-8"), ranks)
+            if ids := older.get(t):
+                known[t] = ids
+            else:
+                new.append(t)
+        known.update(zip(new, self._merged([t.encode("utf-8") for t in new])))
         return [known[t] for t in tokens]
 
+    def _counts(self, tokens: list[str]) -> np.ndarray:
+        """Number of ids by pre-token, from two generations of memory as well."""
+        if len(self.counted) > self.remembered:
+            self.counted, self.counted_before = {}, self.counted
+        known, older, new = self.counted, self.counted_before, []
+        out = np.fromiter(map(known.get, tokens, repeat(0)), np.int64, len(tokens))
+        missed = np.flatnonzero(out == 0).tolist()
+        for t in dict.fromkeys([tokens[i] for i in missed]):
+            if n := older.get(t):
+                known[t] = n
+            else:
+                new.append(t)
+        pieces = [t.encode("utf-8") for t in new]
+        short = self._short(pieces)
+        made = dict(zip(short, self.pairs.count([pieces[i] for i in short]).tolist())) if short else {}
+        known.update((t, made[i] if i in made else len(merge(p, self.ranks))) for i, (t, p) in enumerate(zip(new, pieces)))
+        out[missed] = [known[tokens[i]] for i in missed]
+        return out
+
+    def _merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens that are not remembered."""
+        short = self._short(pieces)
+        made = dict(zip(short, self.pairs.merge([pieces[i] for i in short]))) if short else {}
+        return [made[i] if i in made else merge(p, self.ranks) for i, p in enumerate(pieces)]
+
+    def _short(self, pieces: list[bytes]) -> list[int]:
+        """Numbers of the pieces that are merged side by side: short ones without a rank, where they are many."""
+        short = [i for i, p in enumerate(pieces) if len(p) <= _SHORT and p not in self.ranks]
+        return short if self.pairs and len(short) >= _FEW else []
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for number, ids, _ in self.pieces(texts):

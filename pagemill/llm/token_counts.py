@@ -83,8 +83,8 @@ def _leaves(lengths: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> tupl
 def grow(codec: bpe.Codec, texts: list[str]) -> list[Tree]:
     """A tree for every text."""
     parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
-    for number, ids, lengths in codec.pieces(texts):
-        parts[number].append((lengths, np.fromiter(map(len, ids), np.int64, len(ids))))
+    for number, counts, lengths in codec.sizes(texts):
+        parts[number].append((lengths, counts))
     out = []
     for own in parts:
         lengths, counts = (np.concatenate(x) for x in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
@@ -109,11 +109,7 @@ def _pretokens(codec: bpe.Codec, region: str, after: str) -> tuple[np.ndarray, n
     whole = region + after
     if not whole:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lengths, counts = [], []
-    for _, ids, sizes in codec.pieces([whole]):
-        lengths.append(sizes)
-        counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-    lengths, counts = np.concatenate(lengths), np.concatenate(counts)
+    counts, lengths = (np.concatenate(x) for x in list(zip(*codec.sizes([whole])))[1:])
     ends = np.r_[0, np.cumsum(lengths)]
     stop = int(np.searchsorted(ends, len(region)))
     return (lengths[:stop], counts[:stop]) if ends[stop] == len(region) else None
@@ -219,12 +215,15 @@ def listed(edits: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def replacements(text: Column, rules: list[tuple[str, str]]) -> Column:
     """Edits that replace every match of the patterns, given as (pattern, replacement); earlier rules win."""
+    alone = [re.compile(p) for p, _ in rules]
     joined = re.compile("|".join(f"({p})" for p, _ in rules))
 
     @F.pandas_udf(f"array<{EDIT}>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = ([(m.start(), m.end(), rules[m.lastindex - 1][1]) for m in joined.finditer(t or "")] for t in batch)
+            # most texts match no rule, which each alone tells sooner than all at every place
+            some = (joined.finditer(t or "") if any(p.search(t or "") for p in alone) else () for t in batch)
+            found = ([(m.start(), m.end(), rules[m.lastindex - 1][1]) for m in matches] for matches in some)
             yield pd.Series([[dict(zip(("start", "end", "text"), e)) for e in es] for es in found])
 
     return run(text)

@@ -91,3 +91,31 @@ def test_odd_rows(spark):
     assert sorted(bytes(r.decoded) for r in at_once.collect()) == [b"", b"", b"a b"] and at_once.columns == ["doc_id", "text", "ids", "ends", "decoded"]
     assert sorted(bytes(r.decoded) for r in got) == [b"", b"", b"a b"]
     assert bpe.decode(bpe.encode(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_pieces_merged_side_by_side_equal_those_merged_alone():
+    rng = random.Random(5)
+    pieces = [bytes(rng.choices(b"aab t\xc3\xa9\x00\xff1", k=rng.randrange(1, 49))) for _ in range(5000)]
+    pieces += ["".join(rng.choices(["sch", "ei", "ung", "é", "日"], k=rng.randrange(1, 9))).encode() for _ in range(5000)]
+    pieces = [p for p in pieces if p not in CODEC.ranks]
+    want = [bpe.merge(p, CODEC.ranks) for p in pieces]
+    assert CODEC.pairs.merge(pieces) == want and CODEC.pairs.merge([]) == []
+    assert CODEC.pairs.count(pieces).tolist() == [len(ids) for ids in want]
+    assert CODEC._merged([b"the", b"x" * 100, *pieces]) == [bpe.merge(b"the", CODEC.ranks), bpe.merge(b"x" * 100, CODEC.ranks), *want]
+
+
+def test_rank_file_without_all_bytes():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"abab": 3}
+    own = bpe.Codec(bpe.Rules(b"\n".join(base64.b64encode(k) + b" %d" % v for k, v in ranks.items()), bpe.own_classes()))
+    texts = ["ab" * n + "a" for n in range(200)]
+    assert [x.tolist() for x in own.encode(texts)] == [[3] * (n // 2) + [2] * (n % 2) + [0] for n in range(200)]
+
+
+def test_remembered_pre_tokens_stay_few():
+    # a task of the token counts has three Python workers, each of which comes to keep as many
+    codec = bpe.Codec(bpe.rules(PATH))
+    for at in range(0, 600_000, 40_000):
+        text = " ".join([f"{i:05x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(at, at + 40_000)])
+        own = [n for _, counts, _ in codec.sizes([text]) for n in counts.tolist()]
+        assert own == [len(ids) for _, ids, _ in codec.pieces([text]) for ids in ids]
+    assert len(own) == 40_000 and len(codec.known) + len(codec.older) < 500_000 and len(codec.counted) + len(codec.counted_before) < 500_000

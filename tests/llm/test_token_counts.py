@@ -78,3 +78,12 @@ def test_query(spark):
         new = plain(t, edits)
         assert (got[i].n_edits, got[i].n_tokens, got[i].n_tokens_edited) == (len(edits), len(CODEC.encode([t])[0]), len(CODEC.encode([new])[0]))
         assert got[i].n_chars_edited == len(new)
+
+
+def test_rules_that_match_only_whole_or_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "a1 b22 @x"), (5, "zz")], "doc_id long, text string")
+    rules = [(r"\A\Z", "none"), (r"\d+", "0"), (r"[@\d]", "!")]
+    got = docs.select("doc_id", C.replacements(C.F.col("text"), rules).alias("edits")).collect()
+    assert {r.doc_id: [tuple(e) for e in r.edits] for r in got} == {
+        1: [], 2: [(0, 0, "none")], 3: [(0, 0, "none")], 4: [(1, 2, "0"), (4, 6, "0"), (7, 8, "!")], 5: [],
+    }
