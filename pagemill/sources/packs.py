@@ -105,6 +105,11 @@ def latest(spark: SparkSession, root: str) -> DataFrame:
     return every.join(newest.select("target", F.col("v.version").alias("version")), ["target", "version"])
 
 
+def _made(tables: dict[str, DataFrame], name: str) -> DataFrame:
+    """The rows of a table, made once: they are counted before they are dealt over parts."""
+    return stage(tables[name], f"new-{name}")
+
+
 def _placed(table: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows with their part: chunk ids dealt over as many parts as the target has."""
     rows = join_dimension(table.drop("version"), parts.select("target", "parts"), ["target"])
@@ -158,8 +163,9 @@ def publish_pack(tables: dict[str, DataFrame], root: str, version: str, run: str
     publication = uuid.uuid4().hex
     entries = _written_metadata(tables, root, publication)
     for name in ("vectors", "chunks"):
-        parts = _parts_of(tables[name])
-        written = _write(_placed(tables[name], parts), root, name, publication)
+        rows = _made(tables, name)
+        parts = _parts_of(rows)
+        written = _write(_placed(rows, parts), root, name, publication)
         entries = entries.unionByName(written.join(parts, "target").select(
             "target", F.lit(name).alias("table"), "part", "parts", F.lit(publication).alias("publication")))
     _commit(spark, entries, root, version, run)
@@ -182,12 +188,13 @@ def upsert_pack(tables: dict[str, DataFrame], root: str, version: str, prune: bo
     for name in ("vectors", "chunks"):
         mine = old.filter(F.col("table") == name)
         known = mine.groupBy("target").agg(F.max("parts").alias("parts"))
-        fresh = _parts_of(tables[name])
+        made = _made(tables, name)
+        fresh = _parts_of(made)
         # a target keeps its number of parts, unless the new rows alone ask for several times as many
         parts = fresh.join(known.withColumnRenamed("parts", "before"), "target", "full")
         keeps = F.col("before").isNotNull() & (F.coalesce("parts", F.lit(0)) <= 4 * F.col("before"))
         parts = stage(parts.select("target", F.when(keeps, F.col("before")).otherwise(F.col("parts")).alias("parts"), (F.col("before").isNotNull() & ~keeps).alias("dealt_anew")), "pack-parts")
-        new = stage(_placed(tables[name], parts), f"new-{name}")
+        new = _placed(made, parts)
         touched = new.select("target", "part").distinct()
         again = mine.join(parts.filter("dealt_anew").select("target"), "target", "left_semi")
         held = mine.join(parts.filter("dealt_anew").select("target"), "target", "left_anti")

@@ -282,3 +282,23 @@ def test_rows_equal_in_order_have_one_winner(spark):
     landed = spark.createDataFrame(rows, "url string, html string, status int")
     found = {build.crawl_documents(chosen, landed.repartition(n, "html" if n > 1 else "url")).first().markdown for n in (1, 3, 7)}
     assert len(found) == 1 and build.crawl_documents(chosen, landed).count() == 1
+
+
+def test_every_chunk_is_encoded_once(spark, tmp_path):
+    # counting the rows of a table must not make them
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def run(texts):
+            seen.add(len(texts))
+            return [[1.0, float(len(t))] for t in texts]
+
+        return run
+
+    for n, publish in enumerate((packs.publish_pack, packs.upsert_pack, packs.upsert_pack), 1):
+        tables = _tables(spark, [("a", str(i), "x" * i) for i in range(50 * n)], str(n))
+        vectors = encode.embed(tables["vectors"].drop("embedding"), factory)
+        publish({**tables, "vectors": vectors.select(*tables["vectors"].columns)}, str(tmp_path), str(n))
+        assert seen.value == 50 * n
+        assert packs.load_packs(spark, str(tmp_path)).count() == 50 * n
+        seen.value = 0
