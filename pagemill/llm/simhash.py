@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import connected_components
-from pagemill.operators.scale import join_dimension, stage, unused
+from pagemill.operators.scale import join_dimension, stage, unsized, unused
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     free = placed.join(crowded, "cell", "left_anti")
     pairs = (
         free.withColumnRenamed("fp", "a")
-        .join(free.withColumnRenamed("fp", "b"), "cell")
+        .join(unsized(free.withColumnRenamed("fp", "b")), "cell")
         .filter(F.col("a") < F.col("b"))
         .filter(_within_pivots(F.col("a"), F.col("b"), bits))
         .filter(_apart(F.col("a"), F.col("b")) <= bits)
@@ -136,7 +136,7 @@ def links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
         least = named.groupBy("value").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     else:
         least = members.select(F.col("fp").alias("value"), F.col("fp").alias("b"))
-    dense = named.join(least, "value").select(F.col("fp").alias("a"), "b").filter("a != b")
+    dense = named.join(unsized(least), "value").select(F.col("fp").alias("a"), "b").filter("a != b")
     return pairs.union(dense.filter(_apart(F.col("a"), F.col("b")) <= bits).distinct())
 
 

@@ -68,6 +68,15 @@ def measured_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
     return rows <= max_rows and width <= max_bytes
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that no estimate makes a broadcast.
+
+    The planner sizes what is not stored yet by its row's width: to it a row that an explode
+    repeats 33 times is still one row.  The other side is not broadcast either; skewed keys are still split.
+    """
+    return df.hint("merge")
+
+
 def _scatter(df: DataFrame, on: Sequence[str]) -> Column:
     """Deterministic spread of rows over salts, from the columns that are not join keys."""
     plain = [

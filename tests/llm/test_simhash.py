@@ -4,6 +4,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import simhash
 
@@ -92,3 +93,12 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == sorted([
         (3, base.upper()), (5, other), (5, rows[4][1]), (-1, rows[6][1]), (4, ""), (11, rows[11][1])])
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_no_side_that_an_explode_repeats_is_broadcast(spark):
+    distinct = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    for bits in (0, 2):
+        plan = simhash.links(distinct, bits)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [cell" in plan and "SortMergeJoin [value" in plan
+        # all that is broadcast is the stored list of crowded cells
+        assert plan.count("BroadcastHashJoin") == plan.count("LeftAnti") + plan.count("LeftSemi")
