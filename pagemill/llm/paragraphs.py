@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import words as W
 from pagemill.llm.components import connected_components
-from pagemill.operators.scale import join_dimension, stage, unused
+from pagemill.operators.scale import join_dimension, stage, unsized, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -199,7 +199,7 @@ def _crowded(bands: DataFrame, sets: DataFrame) -> DataFrame:
         found = _forest(group["content"].to_numpy(), list(group["shingles"]))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.join(sets, "content").groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    return unsized(dealt).join(sets, "content").groupBy("key", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
 def _near(docs: DataFrame, found: DataFrame, text: str, doc_id: str) -> DataFrame:

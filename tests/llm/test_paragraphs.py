@@ -177,3 +177,10 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, long, 5, 6, 7, 8), (2, f"{head} {long} {tail}", 5, 6, 7, 8)], "doc_id long, text string, _doc int, _spans int, _start int, `_cut` int")
     got = {r.doc_id: r for r in P.remove(docs).collect()}
     assert P.remove(docs).columns == docs.columns and got[1].text == long and got[2].text == f"{head} {tail}" and (got[2]._doc, got[2]._cut) == (5, 8)
+
+
+def test_bands_dealt_over_blocks_are_not_broadcast(spark):
+    bands = spark.createDataFrame([(1, 7, 20, 10 * P.BLOCK)], "content long, key long, n long, weight long")
+    sets = spark.createDataFrame([(1, [1, 2])], "content long, shingles array<long>")
+    plan = P._crowded(bands, sets)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [content" in plan and "BroadcastHashJoin" not in plan
