@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,11 +39,49 @@ def stage(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     Cuts the lineage, survives the loss of any executor, and gives the planner
     real sizes to choose joins by.  ``codec`` packs large texts tighter than the session does.
     """
-    path = f"{staging_root(df.sparkSession)}/pagemill-stage/{label}-{uuid.uuid4().hex}"
+    return _stored(df, _staging_path(df.sparkSession, label), codec)
+
+
+def _staging_path(spark: SparkSession, label: str) -> str:
+    return f"{staging_root(spark)}/pagemill-stage/{label}-{uuid.uuid4().hex}"
+
+
+def _stored(df: DataFrame, path: str, codec: str | None) -> DataFrame:
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever Spark can write one; a missing one is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within the block a job's shuffle files go when it ends; else they wait until the driver's heap happens to fill.
+
+    For writes: a frame that is asked again would miss its shuffles.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@contextmanager
+def staged(df: DataFrame, label: str, codec: str | None = None) -> Iterator[DataFrame]:
+    """``stage`` for the length of a block, at whose end the table is removed: nothing that is read later may rest on it."""
+    path = _staging_path(df.sparkSession, label)
+    try:
+        yield _stored(df, path, codec)
+    finally:
+        remove_folder(df.sparkSession, path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` bears it in any letter case."""
     taken = {c.lower() for c in df.columns}

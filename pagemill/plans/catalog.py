@@ -703,7 +703,7 @@ def full_run(spark, sf_dir):
 
 @query
 def stream_documents(spark, sf_dir):
-    """Three micro-batches, each with ids of the ones before and some twice, compacted on the way."""
+    """Three micro-batches, each with ids of the ones before and some twice, compacted on the way; no reader is about between them."""
     path = _scratch(spark, "stream")
     docs = table(spark, sf_dir, "documents")
     spelled = docs.select(
@@ -717,9 +717,10 @@ def stream_documents(spark, sf_dir):
         spelled.filter("doc_ord % 3 = 0").withColumn("markdown", F.concat(F.lit("third "), "markdown")).unionByName(older.filter("doc_ord % 9 = 5")),
     ]
     for batch in batches:  # what has arrived since the run before is one micro-batch, of any number of files
-        batch.write.mode("append").parquet(f"{path}/arriving")
+        batch.write.mode("append").option("compression", doc_stream.CODEC).parquet(f"{path}/arriving")
         arriving = spark.readStream.schema(spelled.schema).parquet(f"{path}/arriving")
         doc_stream.stream_documents(arriving, path, f"{path}/checkpoint", encode.hashing_encoder(), fanout=2).awaitTermination()
+        doc_stream.vacuum(spark, path)
     raw = doc_stream.read_log(spark, path, "chunks").select("target", "chunk_id", F.md5("text").alias("text_md5"))
     vectors = doc_stream.read_log(spark, path).select("target", "chunk_id", "source_url", F.size("embedding").alias("width"))
     return vectors.join(raw, ["target", "chunk_id"])

@@ -66,16 +66,15 @@ def write_scrape_cache(docs: DataFrame, path: str, force: bool = False) -> None:
     write_by_target(columns, path)
 
 
-def write_by_target(df: DataFrame, path: str, *more: str, mode: str = "overwrite") -> None:
+def write_by_target(
+    df: DataFrame, path: str, *more: str, mode: str = "overwrite", codec: str | None = None, balanced: bool = False
+) -> None:
     """Partitioned write that replaces only partitions present in ``df``.
 
     The rebalance hint sizes output files: a hot target is split over tasks,
-    small ones share a task.
+    small ones share a task.  Where tasks are known to hold enough rows of each target
+    (``balanced``) nothing is moved for that.  ``codec`` packs large texts tighter than the session does.
     """
-    (
-        df.hint("rebalance", "target", *more)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("target", *more)
-        .parquet(path)
-    )
+    placed = df if balanced else df.hint("rebalance", "target", *more)
+    writer = placed.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    (writer.option("compression", codec) if codec else writer).partitionBy("target", *more).parquet(path)

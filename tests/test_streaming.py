@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import chunking, encode
+from pagemill.operators import chunking, encode, scale
 from pagemill.operators.html import METADATA_TYPE
 from pagemill.sources import targets
 from pagemill.streaming import documents, triggers
@@ -67,6 +67,60 @@ def test_compaction_while_streaming(spark, tmp_path):
     assert documents.read_log(spark, out).count() == 1
 
 
+def test_disk_holds_live_runs_and_nothing_staged(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    monkeypatch.setattr(scale, "staging_root", lambda spark: str(tmp_path / "shared"))
+    for i in range(5):
+        rows = [(t, j, f"# H\ntext {i}", (f"u{j}",)) for t in ("a", None) for j in range(i, 8)]
+        spark.createDataFrame(rows, DOC).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(DOC).option("maxFilesPerTrigger", 1).parquet(source)
+    documents.stream_documents(stream, out, str(tmp_path / "cp"), encode.hashing_encoder(), fanout=2).awaitTermination()
+    assert not list((tmp_path / "shared").glob("*/stream-chunks*"))
+
+    def state(table):
+        return sorted(map(str, documents.read_log(spark, out, table).collect()))
+
+    def folders():
+        return {(p.parts[-3], p.name[4:]) for p in (tmp_path / "out").glob("*/target=*/run=*")}
+
+    before = {t: state(t) for t in documents.TABLES}
+    assert len(before["chunks"]) == 16 and sum("text 4" in x for x in before["chunks"]) == 8
+    documents.write_by_target(documents.read_log(spark, out).limit(1).withColumn("run", F.lit("b5-5")), f"{out}/vectors", "run")
+    documents.vacuum(spark, out)
+    assert folders() == {(t, run) for t in documents.TABLES for run in ("b0-3", "b4-4")} | {("vectors", "b5-5")}
+    assert {t: state(t) for t in documents.TABLES} == before and documents.live_runs(spark, out) == [(0, 3), (4, 4)]
+
+
+def test_reading_moves_no_row_of_the_newest_run(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def drain():
+        stream = spark.readStream.schema(DOC).parquet(source)
+        documents.stream_documents(stream, out, str(tmp_path / "cp"), encode.hashing_encoder()).awaitTermination()
+
+    for text in ("first", "second"):
+        spark.createDataFrame([("t", 1, text, ("u",)), ("t", 2, text, (text,))], DOC).coalesce(1).write.mode("append").parquet(source)
+        drain()
+    found = documents.read_log(spark, out, "chunks")
+    assert sorted(r.text for r in found.collect()) == ["first", "second", "second"]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    # 7 and 07 are told apart when written, but their folders are read as one number
+    spark.createDataFrame([("7", 1, "a", ("w",)), ("07", 2, "b", ("w",))], DOC).coalesce(1).write.parquet(str(tmp_path / "more"))
+    stream = spark.readStream.schema(DOC).parquet(str(tmp_path / "more"))
+    documents.stream_documents(stream, str(tmp_path / "numbers"), str(tmp_path / "cp2"), encode.hashing_encoder()).awaitTermination()
+    assert [r.target for r in documents.read_log(spark, str(tmp_path / "numbers")).collect()] == ["7"]
+
+
+def test_large_shares_of_a_target_are_written_where_they_are(spark, tmp_path, monkeypatch):
+    rows = spark.range(40).select(F.lit("t").alias("target"), "id")
+    table = scale.stage(rows, "rows")
+    assert not documents._balanced(table)
+    monkeypatch.setattr(documents, "FILE_ROWS", 1)
+    assert documents._balanced(table)
+    documents._write(table, str(tmp_path / "log"), "b0-0", True)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 40
+
+
 def test_triggers_resolve_targets(spark, tmp_path):
     schema = "attributes map<string,string>"
     source = str(tmp_path / "events")
@@ -91,3 +145,13 @@ def test_batches_of_the_query_arrive_in_many_files(spark, tmp_path, monkeypatch)
     assert found.count() == 40
     assert len(list((tmp_path / "stream" / "arriving").glob("*.parquet"))) > 3
     assert len(list((tmp_path / "stream" / "checkpoint" / "commits").glob("[0-9]*"))) == 3
+
+
+def test_the_query_keeps_no_run_that_a_merge_replaced(spark, tmp_path, monkeypatch):
+    from pagemill.plans import catalog
+
+    rows = [(i, f"# H{i}\nsome words of text number {i}", "en", "s") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(catalog, "_scratch", lambda spark, label: str(tmp_path / label))
+    assert catalog.queries()["stream_documents"](spark, str(tmp_path / "in")).count() == 20
+    assert {p.name for p in (tmp_path / "stream").glob("*/target=*/run=*")} == {"run=b0-1", "run=b2-2"}
