@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,8 +166,12 @@ _FINISH = [
 ]
 
 
-# Page by page: an Arrow batch would hold ten thousand pages of any size at once.
-_marked = F.udf(scan.marked_content, T.StringType(), useArrow=False)
+# Spark ends an Arrow batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch); pages become Python texts one by one.
+@F.arrow_udf(T.StringType())
+def _marked(pages: pa.Array) -> pa.Array:
+    raw = (page.as_buffer() for page in pages)
+    texts = (None if page is None else page.to_pybytes().decode("utf-8", "replace") for page in raw)
+    return pa.array(map(scan.marked_content, texts), pa.string())
 
 
 def main_content_markdown(pages: DataFrame, out: str = "markdown") -> DataFrame:

@@ -115,3 +115,9 @@ def test_unusual_markup_loses_nothing(spark):
     assert got["articles"].count("out") == 0 and "no" not in got["raw"]
     links = [r.href for r in html.extract_links(pages.filter("url = 'http://h/many'")).orderBy("pos").collect()]
     assert links == ["/far", "/ok"]
+
+
+def test_pages_that_are_no_text_or_badly_encoded(spark):
+    rows = spark.sql("select * from values (1, cast(null as string)), (2, ''), (3, cast(x'3C703E41FF42E4BD3C2F703E' as string)) as t(id, html)")
+    found = dict(html.main_content_markdown(rows).select("id", "markdown").collect())
+    assert found == {1: None, 2: None, 3: "A\ufffdB\ufffd"}
